@@ -163,3 +163,30 @@ def components(edges: DataFrame, label: str) -> DataFrame:
 def _mark(edges: DataFrame) -> tuple:
     row = edges.agg(F.count("*"), F.bit_xor(F.xxhash64("a", "b"))).first()
     return (row[0], row[1])
+
+
+def deal_blocks(items: DataFrame, key: list[str], ident: str, most: int, order: list[str] | None) -> DataFrame:
+    """Deal the groups of ``items`` so that tasks see all pairs of a group, at most about 2 * ``most`` rows at once.
+
+    Groups of one row are dropped. A group of up to ``most`` rows is one block; a larger one is cut into
+    blocks by a hash of ``ident``, and each two blocks meet once, so that a hot group becomes many tasks.
+    Appends _b (the row's block), _i and _j (the blocks that meet); sorted by key, _i, _j, _b, ``order``,
+    or not dealt out yet where ``order`` is None.
+    """
+    sizes = items.groupBy(*key).agg(F.count("*").alias("_n")).where("_n > 1")
+    blocks = F.ceil(F.col("_n") / most).cast("int")
+    dealt = items.join(sizes, key).withColumn("_k", blocks).withColumn("_b", F.pmod(F.xxhash64(ident), F.col("_k")).cast("int"))
+    dealt = dealt.withColumn("_j", F.explode(F.sequence(F.lit(0), F.col("_k") - 1)))
+    dealt = dealt.withColumn("_i", F.least("_b", "_j")).withColumn("_j", F.greatest("_b", "_j")).drop("_n", "_k")
+    return dealt if order is None else dealt.repartition(*key, "_i", "_j").sortWithinPartitions(*key, "_i", "_j", "_b", *order)
+
+
+def starts(*columns: np.ndarray) -> np.ndarray:
+    """Where a new group starts in sorted columns, and their length at the end."""
+    n = len(columns[0])
+    new = np.zeros(n, dtype=bool)
+    if n:
+        new[0] = True
+        for c in columns:
+            new[1:] |= c[1:] != c[:-1]
+    return np.append(np.flatnonzero(new), n)
