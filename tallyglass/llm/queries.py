@@ -8,13 +8,18 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import bpe, langid, lsh, packing, simhash
+from . import bpe, langid, lsh, multi_index, packing, pii, simhash
 
 
 def op3_embedding_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return lsh.near_duplicates(spark.read.parquet(f"{sf_dir}/embeddings.parquet"))
 
 
+def op5_inverted_multi_index(spark: SparkSession, sf_dir: str) -> DataFrame:
+    vectors = spark.read.parquet(f"{sf_dir}/embeddings.parquet")
+    return multi_index.search(vectors, vectors.where("vec_id % 20 = 0"))
+
+
 def op6_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
     return packing.pack_documents(docs, public_tokenizers.path("word_bpe_49k.json"))
@@ -36,8 +41,12 @@ def op9_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     return langid.predict(docs.select("doc_id", langid.held_out().alias("held_out"), "text"), learned).drop("text")
 
 
+def op10_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return pii.detect(spark.read.parquet(f"{sf_dir}/documents.parquet"))
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op3_embedding_near_dedup, op6_best_fit_packing, op7_byte_bpe, op8_simhash, op9_language_id)}
+    return {f.__name__: f for f in (op3_embedding_near_dedup, op5_inverted_multi_index, op6_best_fit_packing, op7_byte_bpe, op8_simhash, op9_language_id, op10_pii)}
 
 
 def oracle_sql() -> dict[str, str]:
