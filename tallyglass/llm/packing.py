@@ -23,11 +23,18 @@ from .common import materialize, small_batches
 CAPACITY = 4096
 END_ID = 1
 MEMO = 300_000
+_TOGETHER = 500
 #: Rows that one task ranks at most, as a target; the number of salts follows the number of pieces.
 _RANKED = 100_000
 #: What the tokenizer's normaliser takes for white space; str.split() also splits at these four controls.
 _SPACE = re.compile(r"[\t-\r \x85\xa0\u1680\u2000-\u200a\u2028\u2029\u202f\u205f\u3000]+")
 _CONTROLS = re.compile(r"[\x1c-\x1f]")
+#: A character beyond plain texts: Latin letters, digits, spaces, commas and stops.
+_BEYOND = re.compile(r"[^A-Za-z0-9 \n\t.,\xc0-\xd6\xd8-\xf6\xf8-\u012f\u0131-\u024f]")
+#: Texts to split at white space alone: letters beyond Latin, whose case or form may depend on neighbours,
+#: control characters, and commas or stops that stand by another mark.
+_ODD = re.compile(r"[^\x00-\u024f]|[\x1c-\x1f\u0130]|[.,](?=[^\s\w]|_)|(?<=[^\s\w])[.,]|(?<=_)[.,]")
+_PAIRS = (".,", ",.", "..", ",,")
 
 
 class WordTokenizer:
@@ -39,20 +46,43 @@ class WordTokenizer:
         self.library = Tokenizer.from_file(path)
         self.library.encode_special_tokens = True
         self.memo: dict[str, bytes] = {}
+        self.older: dict[str, bytes] = {}
+        vocabulary = self.library.get_vocab(with_added_tokens=True)
+        self.ends = np.zeros(max(vocabulary.values()) + 1, dtype=bool)
+        self.ends[[i for t, i in vocabulary.items() if t.endswith("</w>")]] = True
 
     def words(self, text: str) -> list[str]:
+        """Parts of the text that have the same ids one by one: words, of plain texts without case, commas and stops apart."""
+        if not (_ODD.search(text) if _BEYOND.search(text) else any(p in text for p in _PAIRS)):
+            return text.lower().replace(",", " , ").replace(".", " . ").split()
         if _CONTROLS.search(text):
             return [w for w in _SPACE.split(text) if w]
         return text.split()
 
     def learn(self, texts: list[list[str]]) -> None:
-        """Encode the words that the memo lacks; it starts anew when full."""
-        new = set().union(*texts).difference(self.memo) if texts else set()
+        """Put all these words into the memo. A full memo is set aside, and words still in use move over."""
+        new = set().union(*texts).difference(self.memo)
         if len(self.memo) + len(new) > MEMO:
-            self.memo.clear()
+            self.older, self.memo = self.memo, {}
             new = set().union(*texts)
-        batch = list(new)
-        for w, e in zip(batch, self.library.encode_batch(batch, add_special_tokens=False), strict=True):
+        for w in new.intersection(self.older):
+            self.memo[w] = self.older[w]
+        rest = [w for w in new if w not in self.older]
+        plain = [w for w in rest if len(w) < 100 and w.isalpha()]
+        odd = [w for w in rest if not (len(w) < 100 and w.isalpha())]
+        parts = [plain[at : at + _TOGETHER] for at in range(0, len(plain), _TOGETHER)]
+        found = self.library.encode_batch_fast([" ".join(p) for p in parts], add_special_tokens=False)
+        for part, e in zip(parts, found, strict=True):  # letters alone are one unit each, and the last id of a unit shows
+            ids = np.array(e.ids, dtype="<u4")
+            stops = (4 * (np.flatnonzero(self.ends[ids]) + 1)).tolist()
+            if len(stops) != len(part):
+                odd += part
+                continue
+            data, start = ids.tobytes(), 0
+            for w, stop in zip(part, stops, strict=True):
+                self.memo[w] = data[start:stop]
+                start = stop
+        for w, e in zip(odd, self.library.encode_batch(odd, add_special_tokens=False), strict=True):
             self.memo[w] = np.array(e.ids, dtype="<u4").tobytes()
 
 
