@@ -8,13 +8,18 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import bpe, importance, langid, lsh, multi_index, packing, pii, simhash
+from . import bpe, importance, langid, linechunks, lsh, multi_index, packing, pii, simhash
 
 
 def op1_importance_resampling(spark: SparkSession, sf_dir: str) -> DataFrame:
     return importance.resample(spark.read.parquet(f"{sf_dir}/documents.parquet"), spark.read.parquet(f"{sf_dir}/labels.parquet"))
 
 
+def op2_line_chunks(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = spark.read.parquet(f"{sf_dir}/documents.parquet").select("doc_id", "text")
+    return linechunks.remove_repeats(docs).drop("text")
+
+
 def op3_embedding_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return lsh.near_duplicates(spark.read.parquet(f"{sf_dir}/embeddings.parquet"))
 
@@ -50,8 +55,8 @@ def op10_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op1_importance_resampling, op3_embedding_near_dedup, op5_inverted_multi_index, op6_best_fit_packing, op7_byte_bpe, op8_simhash, op9_language_id, op10_pii)}
+    return {f.__name__: f for f in (op1_importance_resampling, op2_line_chunks, op3_embedding_near_dedup, op5_inverted_multi_index, op6_best_fit_packing, op7_byte_bpe, op8_simhash, op9_language_id, op10_pii)}
 
 
 def oracle_sql() -> dict[str, str]:
-    return {}
+    return {"op2_line_chunks": linechunks.SQL}
