@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import bpe, importance, langid, linechunks, lsh, multi_index, packing, pii, simhash
+from . import bpe, importance, langid, linechunks, lsh, multi_index, packing, pii, simhash, suffixes
 
 
 def op1_importance_resampling(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -24,6 +24,10 @@ def op3_embedding_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return lsh.near_duplicates(spark.read.parquet(f"{sf_dir}/embeddings.parquet"))
 
 
+def op4_suffix_array(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return suffixes.remove_repeats(spark.read.parquet(f"{sf_dir}/documents.parquet"))
+
+
 def op5_inverted_multi_index(spark: SparkSession, sf_dir: str) -> DataFrame:
     vectors = spark.read.parquet(f"{sf_dir}/embeddings.parquet")
     return multi_index.search(vectors, vectors.where("vec_id % 20 = 0"))
@@ -55,7 +59,7 @@ def op10_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op1_importance_resampling, op2_line_chunks, op3_embedding_near_dedup, op5_inverted_multi_index, op6_best_fit_packing, op7_byte_bpe, op8_simhash, op9_language_id, op10_pii)}
+    return {f.__name__: f for f in (op1_importance_resampling, op2_line_chunks, op3_embedding_near_dedup, op4_suffix_array, op5_inverted_multi_index, op6_best_fit_packing, op7_byte_bpe, op8_simhash, op9_language_id, op10_pii)}
 
 
 def oracle_sql() -> dict[str, str]:
