@@ -2,10 +2,11 @@
 
 Each half of a vector is quantised with its own codebook, so a pair of centroids is a cell. A query
 scores the centroids of both halves and takes cells by falling sum of the two scores with a heap, until
-it has seen the share of the entries that it is to probe; those entries are reranked on the original
-vectors. Entries are dealt over shards by a hash of their id, each with its own inverted lists over the
-shared codebooks; a query searches every shard and its answers are merged. So no cell, however full,
-is a task, and each shard is bounded.
+they hold the share of the entries that it is to probe; the entries of those cells are reranked on the
+original vectors. Entries are dealt over shards by a hash of their id, each with inverted lists over the
+shared codebooks. A query walks the cells once, with the sizes of all shards together, and takes to each
+shard the sum at which it stopped; there it reads the cells at or above it. So no cell, however full,
+is a task, each shard is bounded, and answers of shards are merged.
 """
 
 from __future__ import annotations
@@ -18,17 +19,18 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import materialize, whole_groups
+from .common import materialize, starts, whole_groups
 from .lsh import usable
 
 NEAREST = 20
-CENTROIDS = 64
+CENTROIDS = 48
 SAMPLE = 20_000
 PROBED = 0.6
 LEAST = 1_000
 SEED = 11
 _SHARD = 16_384
 _QUERIES = 4_096
+_TOGETHER = 256
 
 
 def codebook(x: np.ndarray, k: int, rounds: int = 10) -> np.ndarray:
@@ -49,23 +51,22 @@ def assign(x: np.ndarray, centers: np.ndarray) -> np.ndarray:
     return ((centers * centers).sum(1) - 2 * x @ centers.T).argmin(1) if len(x) else np.zeros(0, dtype=np.int64)
 
 
-def traverse(a: np.ndarray, b: np.ndarray, sizes: np.ndarray, want: int) -> list[int]:
-    """Cells (i * len(b) + j) by falling a[i] + b[j] until they hold ``want`` entries; empty ones are passed over."""
+def traverse(a: np.ndarray, b: np.ndarray, sizes: list[int], want: int) -> tuple[list[int], float]:
+    """Cells (i * len(b) + j) by falling a[i] + b[j] until they hold ``want`` entries, and the last sum."""
     ia, ib = np.argsort(-a, kind="stable").tolist(), np.argsort(-b, kind="stable").tolist()
-    sa, sb = a[ia].tolist(), b[ib].tolist()
-    heap, deep = [(-(sa[0] + sb[0]), 0, 0)], len(sb)
-    out, have, size = [], 0, sizes.tolist()
+    sa, sb = (-a[ia]).tolist(), (-b[ib]).tolist()
+    heap, deep, wide = [(sa[0] + sb[0], 0, 0)], len(sb), len(sa)
+    out, have, last, push, pop = [], 0, np.inf, heapq.heappush, heapq.heappop
     while heap and have < want:
-        _, i, j = heapq.heappop(heap)
+        last, i, j = pop(heap)
         cell = ia[i] * deep + ib[j]
-        if size[cell]:
-            out.append(cell)
-            have += size[cell]
+        out.append(cell)
+        have += sizes[cell]
         if j + 1 < deep:
-            heapq.heappush(heap, (-(sa[i] + sb[j + 1]), i, j + 1))
-        if j == 0 and i + 1 < len(sa):
-            heapq.heappush(heap, (-(sa[i + 1] + sb[0]), i + 1, 0))
-    return out
+            push(heap, (sa[i] + sb[j + 1], i, j + 1))
+        if j == 0 and i + 1 < wide:
+            push(heap, (sa[i + 1] + sb[0], i + 1, 0))
+    return out, -last
 
 
 def inner(x: np.ndarray, q: np.ndarray) -> np.ndarray:
@@ -73,15 +74,11 @@ def inner(x: np.ndarray, q: np.ndarray) -> np.ndarray:
     return np.add.accumulate(x * q, axis=1)[:, -1]
 
 
-def best(ids: np.ndarray, x: np.ndarray, q: np.ndarray, own: int, k: int) -> tuple[np.ndarray, np.ndarray]:
-    """The k largest inner products over rows whose id isn't ``own``, ties to smaller ids."""
-    rough = x @ q
+def best(ids: np.ndarray, x: np.ndarray, rough: np.ndarray, q: np.ndarray, own: int, k: int) -> tuple[np.ndarray, np.ndarray]:
+    """The k largest inner products over rows whose id isn't ``own``, ties to smaller ids; ``rough`` is -inf for rows not probed."""
     rough[ids == own] = -np.inf
-    if rough.size > k:
-        edge = np.partition(rough, rough.size - k)[rough.size - k]
-        keep = np.flatnonzero((rough >= edge - 1e-9 * max(1.0, abs(edge))) & (rough > -np.inf))
-    else:
-        keep = np.flatnonzero(rough > -np.inf)
+    edge = np.partition(rough, rough.size - k)[rough.size - k] if rough.size > k else -np.inf
+    keep = np.flatnonzero((rough >= edge - 1e-9 * max(1.0, abs(edge))) & (rough > -np.inf)) if edge > -np.inf else np.flatnonzero(rough > -np.inf)
     score = inner(x[keep], q)
     order = np.lexsort((ids[keep], -score))[:k]
     return ids[keep][order], score[order]
@@ -93,66 +90,88 @@ def search(vectors: DataFrame, queries: DataFrame, k: int = NEAREST, probed: flo
     Vectors that aren't usable and rows with a null id take no part. Rows that repeat an id and its
     vector count once; a query never gets its own id. Only vectors as long as the most frequent
     length take part: the index has one dimension. Codebooks are fitted on ``SAMPLE`` rows at most, taken
-    by a hash of the id; every row is indexed. A query sees ``probed`` of each shard's entries, and at
-    least ``LEAST``.
+    by a hash of the id; every row is indexed. A query probes ``probed`` of the entries, and at least
+    ``LEAST``.
     """
     spark = vectors.sparkSession
     pick = lambda df: df.where(F.col(vec_id).isNotNull() & usable(vector)).select(F.col(vec_id).cast("long").alias("id"), F.col(vector).cast("array<double>").alias("v"))
-    rows = materialize(pick(vectors).distinct(), "index")
+    rows = materialize(pick(vectors).distinct(), "vectors")
     sizes = rows.groupBy(F.size("v").alias("d")).agg(F.count("*").alias("n")).orderBy(F.desc("n"), "d").first()
-    schema = "query_id long, rank int, vec_id long, score double"
     if sizes is None:
-        return spark.createDataFrame([], schema)
+        return spark.createDataFrame([], "query_id long, rank int, vec_id long, score double")
     dim, n = sizes
     rows = rows.where(F.size("v") == dim)
-    sample = rows.where(F.pmod(F.xxhash64("id", F.lit(SEED)), F.lit(1 << 20)) < int(min(1, 0.9 * SAMPLE / n) * (1 << 20)) + 1)
-    x = np.array([r[0] for r in sample.orderBy(F.xxhash64("id"), "id").limit(SAMPLE).select("v").collect()])
-    if not len(x):
-        x = np.array([r[0] for r in rows.limit(SAMPLE).select("v").collect()])
+    order = F.xxhash64("id", F.lit(SEED))
+    taken = rows.where(F.pmod(order, F.lit(1 << 20)) <= int(min(1, 0.9 * SAMPLE / n) * (1 << 20))).orderBy(order, "id").limit(SAMPLE).select("v").collect()
+    x = np.array([r[0] for r in taken or rows.limit(SAMPLE).select("v").collect()])
     half = max(1, dim // 2)
     books = [codebook(x[:, :half], centroids), codebook(x[:, half:], centroids)]
-    shards, blocks = max(1, -(-n // _SHARD)), 1
-    asked = pick(queries).where(F.size("v") == dim).distinct()
-    blocks = max(1, -(-asked.count() // _QUERIES))
-    entries = rows.select(
-        F.pmod(F.xxhash64("id"), F.lit(shards)).cast("int").alias("s"), F.explode(F.sequence(F.lit(0), F.lit(blocks - 1))).alias("b"), F.lit(0).alias("q"), "id", "v"
+    wide = len(books[1])
+    matrix = lambda column: column.flatten().to_numpy(zero_copy_only=False).reshape(-1, dim)
+
+    def index(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            x = matrix(batch.column(1))
+            cells = assign(x[:, :half], books[0]) * wide + assign(x[:, half:], books[1])
+            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(cells.astype(np.int32))], ["id", "v", "cell"])
+
+    entries = materialize(rows.mapInArrow(index, "id long, v array<double>, cell int"), "index")
+    count = [0] * (len(books[0]) * wide)
+    for cell, m in entries.groupBy("cell").agg(F.count("*")).collect():  # a row a cell
+        count[cell] = m
+    want = max(LEAST, int(np.ceil(probed * n)))
+
+    def walk(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            x = matrix(batch.column(1))
+            a, b = x[:, :half] @ books[0].T, x[:, half:] @ books[1].T
+            stops = [traverse(p, q, count, want)[1] for p, q in zip(a, b, strict=True)]
+            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(stops, pa.float64())], ["id", "v", "stop"])
+
+    asked = pick(queries).where(F.size("v") == dim).distinct().mapInArrow(walk, "id long, v array<double>, stop double")
+    asked = materialize(asked, "queries")
+    shards, blocks = max(1, -(-n // _SHARD)), max(1, -(-asked.count() // _QUERIES))
+    none = F.lit(None)
+    listed = entries.select(
+        F.pmod(F.xxhash64("id"), F.lit(shards)).cast("int").alias("s"), F.explode(F.sequence(F.lit(0), F.lit(blocks - 1))).alias("b"), F.lit(0).alias("q"), "id", "v", "cell", none.cast("double").alias("stop")
     )
     asking = asked.select(
-        F.explode(F.sequence(F.lit(0), F.lit(shards - 1))).alias("s"), F.pmod(F.xxhash64("id"), F.lit(blocks)).cast("int").alias("b"), F.lit(1).alias("q"), "id", "v"
+        F.explode(F.sequence(F.lit(0), F.lit(shards - 1))).alias("s"), F.pmod(F.xxhash64("id"), F.lit(blocks)).cast("int").alias("b"), F.lit(1).alias("q"), "id", "v", none.cast("int").alias("cell"), "stop"
     )
-    dealt = entries.union(asking).repartition(max(shards * blocks, 1), "s", "b").sortWithinPartitions("s", "b", "q", "id")
+    dealt = listed.union(asking).repartition(shards * blocks, "s", "b").sortWithinPartitions("s", "b", "q", "id")
 
     def probe(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for table in whole_groups(batches, ["s", "b"], 1):
             s, b, q, ids = (table.column(c).to_numpy() for c in range(4))
-            x = table.column("v").chunk(0).flatten().to_numpy().reshape(-1, dim)
-            for lo in np.flatnonzero(np.concatenate([[True], (s[1:] != s[:-1]) | (b[1:] != b[:-1])])).tolist():
-                hi = lo + int(np.searchsorted((s[lo:] != s[lo]) | (b[lo:] != b[lo]), True))
+            x = matrix(table.column("v").chunk(0))
+            cell, stop = (table.column(c).to_numpy() for c in ("cell", "stop"))
+            group = starts(s, b)
+            for lo, hi in zip(group[:-1], group[1:], strict=True):
                 mid = lo + int(np.searchsorted(q[lo:hi], 1))
-                yield _search_shard(ids[lo:mid], x[lo:mid], ids[mid:hi], x[mid:hi], books, half, k, probed)
+                yield _search_shard(ids[lo:mid], x[lo:mid], cell[lo:mid].astype(np.int64), ids[mid:hi], x[mid:hi], stop[mid:hi], books, half, k)
 
     found = dealt.mapInArrow(probe, "query_id long, vec_id long, score double")
     order = Window.partitionBy("query_id").orderBy(F.desc("score"), "vec_id")
     return found.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= k).select("query_id", "rank", "vec_id", "score")
 
 
-def _search_shard(ids, x, query_ids, queries, books, half, k, probed) -> pa.RecordBatch:
-    wide = len(books[1])
-    cells = assign(x[:, :half], books[0]) * wide + assign(x[:, half:], books[1])
+def _search_shard(ids, x, cells, query_ids, queries, stops, books, half, k) -> pa.RecordBatch:
+    """Rerank the entries of each query's cells, cell by cell for all queries that take it."""
     order = np.argsort(cells, kind="stable")
-    ids, x = ids[order], x[order]
-    sizes = np.bincount(cells, minlength=len(books[0]) * wide)
-    ends = np.cumsum(sizes)
-    a, b = queries[:, :half] @ books[0].T, queries[:, half:] @ books[1].T
-    want = max(LEAST, int(np.ceil(probed * len(ids))))
-    out = ([], [], [])
-    for i, own in enumerate(query_ids.tolist()):
-        if not len(ids):
-            break
-        take = np.concatenate([np.arange(ends[c] - sizes[c], ends[c]) for c in traverse(a[i], b[i], sizes, want)])
-        near, score = best(ids[take], x[take], queries[i], own, k)
-        out[0].append(np.full(len(near), own))
-        out[1].append(near)
-        out[2].append(score)
-    join = lambda p, t: np.concatenate(p).astype(t) if p else np.zeros(0, dtype=t)
-    return pa.RecordBatch.from_arrays([pa.array(join(out[0], np.int64)), pa.array(join(out[1], np.int64)), pa.array(join(out[2], np.float64))], ["query_id", "vec_id", "score"])
+    ids, x, cells = ids[order], x[order], cells[order]
+    ends = starts(cells)
+    out = ([np.zeros(0, np.int64)], [np.zeros(0, np.int64)], [np.zeros(0)])
+    for at in range(0, len(query_ids) if len(ids) else 0, _TOGETHER):
+        part = queries[at : at + _TOGETHER]
+        sums = (part[:, :half] @ books[0].T)[:, :, None] + (part[:, half:] @ books[1].T)[:, None]
+        taken = sums.reshape(len(part), -1) >= stops[at : at + _TOGETHER, None] - 1e-12
+        rough = np.full((len(part), len(ids)), -np.inf)
+        for lo, hi in zip(ends[:-1], ends[1:], strict=True):
+            by = np.flatnonzero(taken[:, cells[lo]])
+            rough[by, lo:hi] = part[by] @ x[lo:hi].T
+        for i, own in enumerate(query_ids[at : at + _TOGETHER].tolist()):
+            near, score = best(ids, x, rough[i], part[i], own, k)
+            out[0].append(np.full(len(near), own))
+            out[1].append(near)
+            out[2].append(score)
+    return pa.RecordBatch.from_arrays([pa.array(np.concatenate(c)) for c in out], ["query_id", "vec_id", "score"])
