@@ -8,6 +8,7 @@ from __future__ import annotations
 
 import gc
 import tempfile
+import time
 import uuid
 from collections.abc import Iterator
 
@@ -36,27 +37,30 @@ def small_batches(spark: SparkSession, rows: int = 500) -> None:
     spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(rows))
 
 
-def materialize(df: DataFrame, label: str) -> DataFrame:
+def materialize(df: DataFrame, label: str, large: bool = False) -> DataFrame:
     """Write ``df`` as Parquet to the shared folder and read it back.
 
     Afterwards the plans that led here are unreachable; collecting them lets Spark's cleaner drop
-    their shuffle files early.
+    their shuffle files early. After ``large`` shuffles this waits until the cleaner has seen them.
     """
     spark = df.sparkSession
     path = f"{shared_dir(spark)}/tallyglass/{label}-{uuid.uuid4().hex}"
     df.write.parquet(path)
     schema = df.schema
     del df
-    release(spark)
+    release(spark, 3 if large else 1)
     out = spark.read.schema(schema).parquet(path)
     out._tallyglass_path = path  # type: ignore[attr-defined]
     return out
 
 
-def release(spark: SparkSession) -> None:
-    """Let the context cleaner see plans that nobody holds any more."""
-    gc.collect()
-    spark.sparkContext._jvm.System.gc()
+def release(spark: SparkSession, times: int = 1) -> None:
+    """Let the context cleaner see plans that nobody holds any more; it works beside the driver's thread."""
+    for i in range(times):
+        if i:
+            time.sleep(0.5)
+        gc.collect()
+        spark.sparkContext._jvm.System.gc()
 
 
 def discard(*tables: DataFrame) -> None:
@@ -165,6 +169,11 @@ def _mark(edges: DataFrame) -> tuple:
     return (row[0], row[1])
 
 
+def barrier(df: DataFrame) -> DataFrame:
+    """``df``, with nothing above it moved below: a filter on a deep expression would else repeat it many times over."""
+    return df.observe(f"rows-{uuid.uuid4().hex}", F.count(F.lit(1)).alias("n"))
+
+
 def deal_blocks(items: DataFrame, key: list[str], ident: str, most: int, order: list[str] | None) -> DataFrame:
     """Deal the groups of ``items`` so that tasks see all pairs of a group, at most about 2 * ``most`` rows at once.
 

@@ -15,7 +15,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import materialize
+from .common import barrier, materialize
 
 _MOD = (1 << 31) - 1
 _BASE = 1_000_003
@@ -85,7 +85,7 @@ def remove_repeats(docs: DataFrame, text: str = "text") -> DataFrame:
     flagged = index.join(repeated, "h").groupBy("_k", F.col("doc_id").alias("_d")).agg(F.collect_set("c").alias("_c"))  # a list of the document's chunks
     held = with_chunks(_joined(keyed.select("doc_id", "_k", text), flagged, "inner"), text)
     held = held.select("doc_id", "_k", F.explode("_c").alias("c"), "_chunks").select("doc_id", "_k", "c", F.get("_chunks", F.col("c"))["s"].alias("s"))
-    held = materialize(held, "line-candidates")
+    held = materialize(held, "line-candidates", large=True)
     place = F.struct("doc_id", "_k", "c")
     first = held.groupBy("s").agg(F.min(place).alias("first"), F.count("*").alias("n")).where("n > 1")
     again = held.join(first.select("s", "first"), "s").where(place > F.col("first"))
@@ -94,7 +94,7 @@ def remove_repeats(docs: DataFrame, text: str = "text") -> DataFrame:
     gone = F.coalesce("_gone", F.array().cast("array<int>"))
     kept = F.filter("_chunks", lambda c, i: ~F.array_contains(gone, i))
     lines = lambda chunks: F.coalesce(F.aggregate(chunks, F.lit(0).cast("long"), lambda n, c: n + c["n"]), F.lit(0))
-    return (
+    return barrier(
         out.withColumn("_kept", kept)
         .withColumn("n_lines", lines(F.col("_chunks")))
         .withColumn("n_removed", F.col("n_lines") - lines(F.col("_kept")))

@@ -183,18 +183,32 @@ def links(fps: DataFrame, n: int, budget: int = BUDGET) -> DataFrame:
     return dealt.mapInArrow(join, "a long, b long")
 
 
-def groups(docs: DataFrame, words: int = WORDS, budget: int = BUDGET) -> DataFrame:
-    """For each row of ``docs``: doc_id, fp, component_id (the smallest doc_id of its component).
+def groups(docs: DataFrame, words: int = WORDS, budget: int = BUDGET, keep: tuple[str, ...] = ("doc_id",)) -> DataFrame:
+    """For each row of ``docs``: ``keep``, fp, root (a fingerprint that names the component) and component_id.
 
-    Documents link if their fingerprints differ in at most ``budget`` bits. A null or empty text has
-    fingerprint 0 and links like any other. A null doc_id is never a smallest id; a component of such
-    documents alone has component_id null. Repeated rows have equal fingerprints and so one component.
+    ``keep`` has doc_id; component_id is the smallest doc_id of the component. Documents link if their
+    fingerprints differ in at most ``budget`` bits. A null or empty text has fingerprint 0 and links like
+    any other. A null doc_id is never a smallest id; a component of such documents alone has
+    component_id null. Repeated rows have equal fingerprints and so one component.
     """
-    prints = materialize(fingerprints(docs, words=words), "simhash")
+    prints = materialize(fingerprints(docs, words=words, keep=keep), "simhash")
     distinct = materialize(prints.groupBy("fp").agg(F.min("doc_id").alias("low")), "simhash-distinct")
     forest = components(links(distinct.select("fp"), distinct.count(), budget), "simhash-links")
     rooted = distinct.join(forest, distinct.fp == forest.node, "left").select("fp", "low", F.coalesce("root", "fp").alias("root"))
     rooted = materialize(rooted, "simhash-roots")
     least = rooted.groupBy("root").agg(F.min("low").alias("component_id"))
-    named = rooted.join(least, "root").select("fp", "component_id")
-    return prints.join(named, "fp").select("doc_id", "fp", "component_id")
+    return prints.join(rooted.join(least, "root").select("fp", "root", "component_id"), "fp").select(*keep, "fp", "root", "component_id")
+
+
+def deduplicate(docs: DataFrame, words: int = WORDS, budget: int = BUDGET) -> DataFrame:
+    """The rows of ``docs`` without near-duplicates: of each component the document with the smallest doc_id.
+
+    A document with a null id stays only where its component has no other; of several, and of different
+    texts of one id, the one with the smallest hash stays. Of repeated rows one stays.
+    """
+    columns = docs.columns
+    keyed = docs.withColumn("_k", F.xxhash64("doc_id", "text")).withColumn("_k2", F.xxhash64("text", "doc_id"))
+    found = groups(keyed, words, budget, ("doc_id", "_k", "_k2"))
+    order = F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "_k", "_k2")
+    stay = materialize(found.groupBy("root").agg(F.min(order).alias("x")).select("x._k", "x._k2"), "simhash-stay")
+    return keyed.join(stay, ["_k", "_k2"], "left_semi").dropDuplicates(["_k", "_k2"]).select(*columns)
