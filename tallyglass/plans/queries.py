@@ -1,15 +1,414 @@
-"""Registered queries of the library by name, each with the SQL that checks it where SQL can."""
+"""Registered queries of the library by name, each with the SQL that checks it where SQL can.
+
+The tables hold no recordings, so each query runs an operator's own rule on an analogue: events are
+observations of a label (the type) by a key, sold parts are shapes, documents are token sets.
+"""
 
 from __future__ import annotations
 
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+from pyspark.sql import types as T
+
+from ..functions import text
+from ..operators import matching, merging, sequences, votes
+from ..streaming import limits
+
+# The most telling stopwords of each language.
+STOPWORDS = {
+    "de": "der die und ich nicht das ist du sie es ein zu er wir was mich dich sind wenn auch noch aber mit",
+    "en": "the you and to of it that is in what we he this for on have with not be your",
+    "fr": "je le la et les vous de pas que un une est il ce ne tu nous des en qui",
+    "es": "que de no la el es y en lo un te se me una por los con para si",
+    "it": "che di non la il è un e per una sono mi ti ho cosa se del ma lo",
+    "nl": "de het een ik je niet en dat is van we hij ze op te maar met wat voor",
+}
+QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
+SQL: dict[str, str] = {}
+
+
+def query(sql: str | None = None):
+    def add(f):
+        QUERIES[f.__name__] = f
+        if sql:
+            SQL[f.__name__] = sql
+        return f
+
+    return add
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {}
+    return dict(QUERIES)
 
 
 def oracle_sql() -> dict[str, str]:
-    return {}
+    return dict(SQL)
+
+
+def _read(spark: SparkSession, sf_dir: str, table: str) -> DataFrame:
+    return spark.read.parquet(f"{sf_dir}/{table}.parquet")
+
+
+def _events(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Events with whole seconds and milliseconds since 1970, and the hour and day as text."""
+    e = _read(spark, sf_dir, "events")
+    micros = F.unix_micros(F.col("ts").cast("timestamp"))
+    return e.withColumns(
+        {"ms": F.floor(micros / 1000).cast("long"), "sec": F.floor(micros / 1_000_000).cast("long"), "hour": F.date_format("ts", "yyyy-MM-dd HH"), "day": F.date_format("ts", "yyyy-MM-dd")}
+    )
+
+
+_E = "e AS (SELECT *, CAST(floor(epoch_us(ts) / 1000) AS BIGINT) AS ms, CAST(floor(epoch_us(ts) / 1000000) AS BIGINT) AS sec, strftime(ts, '%Y-%m-%d %H') AS hour, strftime(ts, '%Y-%m-%d') AS day FROM events)"
+
+
+def _votes_sql(keys: str, source: str = "e", label: str = "event_type") -> str:
+    return f"""v AS (SELECT {keys}, {label} AS label, count(*) AS n FROM {source} GROUP BY ALL),
+s AS (SELECT {keys}, CAST(sum(n) AS BIGINT) AS total, max(n) AS top, arg_min(label, struct_pack(n := -n, l := label)) AS label, count(*) FILTER (n > 0) AS labels FROM v GROUP BY {keys}),
+t AS (SELECT *, CASE WHEN total < 2 THEN 'unconfirmed' WHEN 3 * top < 2 * total OR (labels > 1 AND top < 3) THEN 'conflict' ELSE '' END AS reason FROM s)"""
+
+
+@query(f"WITH {_E}, {_votes_sql('user_id, hour')} SELECT user_id, hour, CASE WHEN reason = '' THEN label END AS label, reason, total FROM t")
+def trusted_label(spark, sf_dir):
+    return votes.trusted_label(votes.count_votes(_events(spark, sf_dir), ["user_id", "hour"], "event_type"), ["user_id", "hour"])
+
+
+@query(f"WITH {_E}, {_votes_sql('user_id')} SELECT user_id, CASE WHEN reason = '' THEN label END AS label, reason, total FROM t")
+def trusted_label_by_user(spark, sf_dir):
+    return votes.trusted_label(votes.count_votes(_events(spark, sf_dir), ["user_id"], "event_type"), ["user_id"])
+
+
+@query(f"WITH {_E}, {_votes_sql('user_id, day')} SELECT user_id, day, label, top, total FROM t WHERE top >= 3 AND 4 * top >= 3 * total")
+def override_label(spark, sf_dir):
+    return votes.override_label(votes.count_votes(_events(spark, sf_dir), ["user_id", "day"], "event_type"), ["user_id", "day"])
+
+
+@query("""WITH v AS (SELECT l_suppkey, l_returnflag AS label, l_quantity, count(*) AS n FROM lineitem GROUP BY ALL),
+s AS (SELECT l_suppkey, l_quantity, CAST(sum(n) AS BIGINT) AS total, max(n) AS top, arg_min(label, struct_pack(n := -n, l := label)) AS label, count(*) AS labels FROM v GROUP BY ALL),
+w AS (SELECT *, sum(n) OVER (PARTITION BY l_suppkey, l_quantity) AS tt FROM v),
+c AS (SELECT l_suppkey, l_quantity, count(*) AS n_labels, bool_and(label IN ('A', 'R')) AS alike FROM w WHERE NOT (n = 1 AND tt >= 10) GROUP BY ALL)
+SELECT l_suppkey, CAST(l_quantity AS DOUBLE) AS l_quantity,
+ CASE WHEN n_labels > 1 AND alike THEN NULL WHEN total < 2 OR 3 * top < 2 * total OR (labels > 1 AND top < 3) THEN NULL ELSE label END AS label,
+ CASE WHEN n_labels > 1 AND alike THEN 'ambiguous' WHEN total < 2 THEN 'unconfirmed' WHEN 3 * top < 2 * total OR (labels > 1 AND top < 3) THEN 'conflict' ELSE '' END AS reason,
+ CAST(coalesce(n_labels, 0) AS INTEGER) AS n_labels FROM s LEFT JOIN c USING (l_suppkey, l_quantity)""")
+def read_decision(spark, sf_dir):
+    rows = _read(spark, sf_dir, "lineitem").withColumn("l_quantity", F.col("l_quantity").cast("double"))
+    return votes.read_decision(votes.count_votes(rows, ["l_suppkey", "l_quantity"], "l_returnflag"), ["l_suppkey", "l_quantity"], ["A", "R"])
+
+
+@query(f"""WITH {_E}, v AS (SELECT user_id, event_type AS label, day, count(*) AS n FROM e GROUP BY ALL), w AS (SELECT *, sum(n) OVER (PARTITION BY user_id, day) AS tt FROM v)
+SELECT user_id, day, label, n FROM w WHERE NOT (n = 1 AND tt >= 10)""")
+def without_strays(spark, sf_dir):
+    return votes.without_strays(votes.count_votes(_events(spark, sf_dir), ["user_id", "day"], "event_type"), ["user_id", "day"]).select("user_id", "day", "label", "n")
+
+
+@query("SELECT l_partkey, l_returnflag AS label, count(*) AS n FROM (SELECT DISTINCT l_orderkey, l_partkey, l_returnflag FROM lineitem) GROUP BY ALL")
+def one_vote_per_cue(spark, sf_dir):
+    return votes.one_vote_per_unit(_read(spark, sf_dir, "lineitem"), "l_orderkey", ["l_partkey"], "l_returnflag")
+
+
+@query(f"WITH {_E}, {_votes_sql('user_id, hour')} SELECT user_id, hour, CASE WHEN reason = '' THEN 'settled' ELSE 'interim' END AS part, label, total FROM (SELECT * EXCLUDE (label), CASE WHEN reason = '' THEN label END AS label FROM t)")
+def settled_split(spark, sf_dir):
+    return votes.settled(votes.count_votes(_events(spark, sf_dir), ["user_id", "hour"], "event_type"), ["user_id", "hour"])
+
+
+@query("""WITH a AS (SELECT 'part' AS key, count(*) AS n FROM lineitem GROUP BY l_partkey), b AS (SELECT 'part and supplier' AS key, count(*) AS n FROM lineitem GROUP BY l_partkey, l_suppkey), u AS (FROM a UNION ALL FROM b)
+SELECT key, count(*) AS n_keys, count(*) FILTER (n = 1) AS n_once, CAST(sum(n) AS BIGINT) AS n_rows, count(*) >= 200 AND 2 * count(*) FILTER (n = 1) >= count(*) AS rescaled FROM u GROUP BY key""")
+def key_frequency_rescaled(spark, sf_dir):
+    rows = _read(spark, sf_dir, "lineitem")
+    one = votes.key_frequency(rows, ["l_partkey"]).select(F.lit("part").alias("key"), "*")
+    return one.union(votes.key_frequency(rows, ["l_partkey", "l_suppkey"]).select(F.lit("part and supplier").alias("key"), "*"))
+
+
+@query("""WITH h AS (SELECT l_quantity::DOUBLE AS v, count(*) AS n FROM lineitem WHERE l_quantity >= 0 GROUP BY 1),
+c AS (SELECT v, sum(n) OVER (ORDER BY v) AS n0, sum(n * v) OVER (ORDER BY v) AS s0, sum(n) OVER () AS n, sum(n * v) OVER () AS s FROM h)
+SELECT v + 0.5 AS threshold FROM c WHERE n0 < n ORDER BY round(pow(s0 * n - s * n0, 2) / (n0 * (n - n0)), 6) DESC, v LIMIT 1""")
+def otsu_threshold(spark, sf_dir):
+    return sequences.otsu_threshold(_read(spark, sf_dir, "lineitem"), "l_quantity")
+
+
+@query("SELECT l_returnflag, round(median(l_quantity::DOUBLE), 6) AS unit, count(*) AS n FROM lineitem GROUP BY l_returnflag HAVING count(*) >= 3")
+def median_unit(spark, sf_dir):
+    rows = _read(spark, sf_dir, "lineitem").groupBy("l_returnflag")
+    return rows.agg(F.round(F.median(F.col("l_quantity").cast("double")), 6).alias("unit"), F.count("*").alias("n")).where("n >= 3")
+
+
+@query("""WITH c AS (SELECT l_partkey, l_suppkey, count(*) AS n FROM lineitem GROUP BY ALL HAVING count(*) >= 2)
+SELECT l_partkey, l_suppkey, n, CAST(r AS INTEGER) AS rank FROM (SELECT *, row_number() OVER (PARTITION BY l_partkey ORDER BY n DESC, l_suppkey) AS r FROM c) WHERE r <= 24""")
+def top_members_prune(spark, sf_dir):
+    return votes.prune_members(_read(spark, sf_dir, "lineitem"), "l_partkey", "l_suppkey").select("l_partkey", "l_suppkey", "n", "rank")
+
+
+@query("SELECT user_id % 10 AS pool, event_type AS label, count(*) AS n FROM events GROUP BY ALL")
+def pooled_votes(spark, sf_dir):
+    rows = _read(spark, sf_dir, "events").withColumn("pool", F.col("user_id") % 10)
+    return votes.count_votes(rows, ["pool"], "event_type")
+
+
+@query("""WITH c AS (SELECT p_brand, p_type, count(*) AS n FROM part GROUP BY ALL)
+SELECT p_brand, CAST(sum(n) AS BIGINT) AS members, arg_min(p_type, struct_pack(n := -n, t := p_type)) AS best, count(*) AS variants FROM c GROUP BY p_brand""")
+def inventory(spark, sf_dir):
+    found = votes.summary(votes.count_votes(_read(spark, sf_dir, "part"), ["p_brand"], "p_type"), ["p_brand"])
+    return found.select("p_brand", F.col("total").alias("members"), F.col("label").alias("best"), F.col("labels").alias("variants"))
+
+
+@query("SELECT l_linestatus, count(*) FILTER (NOT l_quantity > 25) AS no, count(*) FILTER (l_quantity > 25) AS yes, CASE WHEN count(*) FILTER (l_quantity > 25) > count(*) FILTER (NOT l_quantity > 25) THEN true WHEN count(*) FILTER (l_quantity > 25) < count(*) FILTER (NOT l_quantity > 25) THEN false END AS styled FROM lineitem GROUP BY l_linestatus")
+def style_counts(spark, sf_dir):
+    return votes.style_counts(_read(spark, sf_dir, "lineitem"), ["l_linestatus"], F.col("l_quantity") > 25)
+
+
+_STOP = ", ".join(f"('{lang}', '{w}')" for lang, ws in STOPWORDS.items() for w in ws.split())
+
+
+@query(f"""WITH w AS (SELECT doc_id, unnest(regexp_extract_all(lower(text), '[\\p{{L}}]+')) AS word FROM documents), stop(lang, word) AS (VALUES {_STOP}),
+h AS (SELECT doc_id, stop.lang, count(*) AS n FROM w JOIN stop USING (word) GROUP BY ALL),
+b AS (SELECT doc_id, arg_max(lang, struct_pack(n := n, l := lang)) AS lang, max(n) AS n, list_sort(list(n), 'DESC')[2] AS second FROM h GROUP BY doc_id)
+SELECT d.doc_id, CASE WHEN n >= 20 AND 2 * n >= 3 * coalesce(second, 0) THEN b.lang END AS language, coalesce(n, 0) AS hits FROM documents d LEFT JOIN b USING (doc_id)""")
+def language_guess(spark, sf_dir):
+    stop = spark.createDataFrame([(lang, w) for lang, ws in STOPWORDS.items() for w in ws.split()], "lang string, word string")
+    return votes.guess_language(_read(spark, sf_dir, "documents"), "doc_id", "text", stop)
+
+
+@query("""WITH a AS (SELECT p_partkey AS k, p_name AS r FROM part), b AS (SELECT p_partkey + 1 AS k, p_name AS g FROM part),
+c AS (SELECT levenshtein(coalesce(r, ''), coalesce(g, '')) AS edits, length(coalesce(r, '')) AS chars, coalesce(r, '') = coalesce(g, '') AS exact FROM a FULL JOIN b USING (k))
+SELECT CAST(sum(edits) AS BIGINT) AS edits, CAST(sum(chars) AS BIGINT) AS chars, count(*) FILTER (exact) AS n_exact, count(*) AS n, round(1000 * sum(edits) / greatest(sum(chars), 1), 3) AS cer_permille FROM c""")
+def cer_report(spark, sf_dir):
+    part = _read(spark, sf_dir, "part")
+    ref, got = part.select(F.col("p_partkey").alias("k"), "p_name"), part.select((F.col("p_partkey") + 1).alias("k"), "p_name")
+    return matching.error_rate(matching.compare(ref, got, "k", "p_name"))
+
+
+@query("""SELECT strftime(ts, '%Y-%m-%d') AS day, count(*) AS n, count(*) FILTER (event_type LIKE 'c%') AS n_c, count(*) FILTER (event_type LIKE 'p%') AS n_p, count(*) FILTER (event_type LIKE 'e%') AS n_e, round(sum(value), 4) AS value FROM events GROUP BY 1""")
+def usage_counters(spark, sf_dir):
+    by = lambda p: F.count_if(F.col("event_type").startswith(p)).alias(f"n_{p}")
+    return _events(spark, sf_dir).groupBy("day").agg(F.count("*").alias("n"), by("c"), by("p"), by("e"), F.round(F.sum("value"), 4).alias("value"))
+
+
+_G = "g AS (SELECT *, (ms - lag(ms) OVER (PARTITION BY user_id ORDER BY event_id)) // 3600000 AS hours FROM e)"
+
+
+@query(f"""WITH {_E}, {_G}, h AS (SELECT hours, count(*) FILTER (event_type = 'click') AS letter, count(*) FILTER (event_type <> 'click') AS space FROM g WHERE hours IS NOT NULL GROUP BY hours)
+SELECT hours, letter, space, CASE WHEN letter > 0 AND space = 0 THEN false WHEN space > 0 AND letter = 0 THEN true WHEN letter >= 10 * space THEN false WHEN space >= 10 * letter THEN true END AS is_space FROM h""")
+def gap_classify(spark, sf_dir):
+    rows = sequences.gaps(_events(spark, sf_dir), "user_id", ["event_id"], F.col("ms"), F.col("ms")).withColumn("hours", F.expr("gap div 3600000") - F.when((F.col("gap") < 0) & (F.col("gap") % 3600000 != 0), 1).otherwise(0))
+    h = rows.where("hours is not null").groupBy("hours").agg(F.count_if(F.col("event_type") == "click").alias("letter"), F.count_if(F.col("event_type") != "click").alias("space"))
+    one, two = F.col("letter"), F.col("space")
+    return h.withColumn("is_space", F.when((one > 0) & (two == 0), False).when((two > 0) & (one == 0), True).when(one >= 10 * two, False).when(two >= 10 * one, True))
+
+
+@query(f"""WITH {_E}, x AS (SELECT event_id, user_id, ms, CASE WHEN event_type <> 'view' THEN ms + CAST(floor(value * 1000) AS BIGINT) END AS end_ms, lead(ms) OVER (PARTITION BY user_id ORDER BY ms, event_id) AS nxt FROM e)
+SELECT event_id, user_id, ms, CASE WHEN nxt IS NULL THEN coalesce(end_ms, ms + 4000) ELSE least(end_ms, nxt) END AS end_ms FROM x""")
+def fill_end_times(spark, sf_dir):
+    ended = _events(spark, sf_dir).withColumn("end_ms", F.when(F.col("event_type") != "view", F.col("ms") + F.floor(F.col("value") * 1000).cast("long")))
+    return sequences.fill_end_times(ended, "user_id", ["ms", "event_id"], "ms").select("event_id", "user_id", "ms", "end_ms")
+
+
+@query(f"WITH {_E} SELECT event_id, user_id, ms - lag(ms) OVER (PARTITION BY user_id ORDER BY ms, event_id) AS gap FROM e")
+def inter_row_gap(spark, sf_dir):
+    return sequences.gaps(_events(spark, sf_dir), "user_id", ["ms", "event_id"], F.col("ms"), F.col("ms")).select("event_id", "user_id", "gap")
+
+
+@query(f"""WITH {_E}, g AS (SELECT event_id, user_id, ms, ms - lag(ms) OVER (PARTITION BY user_id ORDER BY ms, event_id) AS gap FROM e)
+SELECT event_id, user_id, CAST(sum(CASE WHEN gap > 14400000 THEN 1 ELSE 0 END) OVER (PARTITION BY user_id ORDER BY ms, event_id ROWS UNBOUNDED PRECEDING) AS BIGINT) AS word FROM g""")
+def word_split(spark, sf_dir):
+    rows = sequences.gaps(_events(spark, sf_dir), "user_id", ["ms", "event_id"], F.col("ms"), F.col("ms"))
+    return sequences.words(rows, "user_id", ["ms", "event_id"], F.lit(14_400_000)).select("event_id", "user_id", "word")
+
+
+@query("""SELECT conv_id, turn, nullif(array_to_string(list_slice(list_filter(list(text) OVER w, lambda x: x <> ''), -12, -1), ' / '), '') AS context FROM conversations WINDOW w AS (PARTITION BY conv_id ORDER BY turn, role, text ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING)""")
+def context_12(spark, sf_dir):
+    rows = sequences.context(_read(spark, sf_dir, "conversations"), "conv_id", ["turn", "role", "text"], "text")
+    return rows.select("conv_id", "turn", F.nullif(F.array_join("context", " / "), F.lit("")).alias("context"))
+
+
+@query(f"""WITH {_E}, x AS (SELECT event_id, user_id, CASE WHEN value > 50 THEN event_type END AS style FROM e)
+SELECT event_id, user_id, coalesce(first_value(style IGNORE NULLS) OVER (PARTITION BY user_id ORDER BY event_id ROWS BETWEEN CURRENT ROW AND UNBOUNDED FOLLOWING), last_value(style IGNORE NULLS) OVER (PARTITION BY user_id ORDER BY event_id ROWS UNBOUNDED PRECEDING)) AS style FROM x""")
+def style_inherit(spark, sf_dir):
+    rows = _read(spark, sf_dir, "events").select("event_id", "user_id", F.when(F.col("value") > 50, F.col("event_type")).alias("style"))
+    return sequences.inherit(rows, "user_id", ["event_id"], "style")
+
+
+@query("SELECT o_orderkey, CAST(row_number() OVER (PARTITION BY o_custkey ORDER BY o_orderdate, o_orderkey) AS INTEGER) AS position, CAST(row_number() OVER (PARTITION BY o_custkey ORDER BY o_orderdate, o_orderkey) - 1 AS INTEGER) AS ahead FROM orders")
+def queue_positions(spark, sf_dir):
+    return sequences.queue(_read(spark, sf_dir, "orders"), "o_custkey", ["o_orderdate", "o_orderkey"]).select("o_orderkey", "position", "ahead")
+
+
+@query("""WITH i AS (SELECT event_id, user_id, event_type, row_number() OVER (PARTITION BY user_id ORDER BY event_id) - row_number() OVER (PARTITION BY user_id, event_type ORDER BY event_id) AS i FROM events)
+SELECT user_id, event_type, min(event_id) AS first_id, max(event_id) AS last_id, count(*) AS length FROM i GROUP BY user_id, event_type, i HAVING count(*) >= 3""")
+def conflict_runs(spark, sf_dir):
+    return sequences.runs(_read(spark, sf_dir, "events"), "user_id", ["event_id"], "event_type")
+
+
+@query("""WITH r AS (SELECT event_id AS ref, user_id, value AS rv FROM events WHERE event_type = 'purchase'),
+m AS (SELECT e.event_id, ref, abs(value - rv) AS d FROM events e JOIN r USING (user_id) WHERE abs(value - rv) <= 5)
+SELECT event_id, arg_min(ref, struct_pack(d := d, r := ref)) AS ref_id, round(min(d), 6) AS distance FROM m GROUP BY event_id""")
+def exact_nearest_lookup(spark, sf_dir):
+    e = _read(spark, sf_dir, "events")
+    ref = e.where("event_type = 'purchase'").select("user_id", F.col("event_id").alias("ref"), F.col("value").alias("rv"))
+    found = matching.nearest_lookup(e.select("user_id", "event_id", "value"), ref, "user_id", "event_id", "value", "ref", "rv", 5)
+    return found.withColumn("distance", F.round("distance", 6))
+
+
+_SETS = """t AS (SELECT doc_id, source, list_sort(list_distinct(regexp_extract_all(lower(text), '[\\p{L}]+'))) AS tokens FROM documents),
+c AS (SELECT min(doc_id) AS class_id, tokens, len(tokens) AS size, count(*) AS copies, arg_min(source, doc_id) AS source FROM t WHERE len(tokens) > 0 GROUP BY tokens),
+p AS (SELECT a.class_id AS a, b.class_id AS b, a.source AS a_source, b.source AS b_source, a.size + b.size - 2 * len(list_intersect(a.tokens, b.tokens)) AS differing, a.size + b.size AS total
+  FROM c a JOIN c b ON a.class_id < b.class_id AND 2000 * abs(a.size - b.size) <= 120 * (a.size + b.size)),
+n AS (SELECT * FROM p WHERE 2000 * differing <= 120 * total),
+w AS (SELECT a AS id, b AS other, a_source AS label, b_source AS other_label, differing, total FROM n UNION ALL SELECT b, a, b_source, a_source, differing, total FROM n)"""
+
+
+def _sets(spark, sf_dir):
+    return matching.token_sets(_read(spark, sf_dir, "documents"), "doc_id", "text", "source")
+
+
+@query(f"WITH {_SETS} SELECT a, b, a_source, b_source, CAST(differing AS INTEGER) AS differing, CAST(total AS INTEGER) AS total FROM n")
+def near_join(spark, sf_dir):
+    return matching.near_join(_sets(spark, sf_dir), "source")
+
+
+@query(f"""WITH {_SETS}, r AS (SELECT *, CAST(ceil(2000 * differing / total) AS BIGINT) AS ratio FROM w), b AS (SELECT id, min(struct_pack(ratio := ratio, other := other, l := other_label)) AS b FROM r GROUP BY id),
+v AS (SELECT r.id, min(r.ratio) AS rival FROM r JOIN b USING (id) WHERE r.other_label IS DISTINCT FROM b.b.l GROUP BY r.id)
+SELECT id, CASE WHEN rival IS NULL OR rival - b.b.ratio >= 60 THEN b.b.other END AS match, b.b.ratio AS ratio, rival FROM b LEFT JOIN v USING (id)""")
+def near_margin(spark, sf_dir):
+    return matching.nearest_with_margin(matching.near_join(_sets(spark, sf_dir), "source"), "source")
+
+
+@query(f"WITH {_SETS} SELECT class_id, CAST(size AS INTEGER) AS size, copies FROM c WHERE class_id NOT IN (SELECT id FROM w WHERE label IS DISTINCT FROM other_label)")
+def rival_anti(spark, sf_dir):
+    sets = _sets(spark, sf_dir)
+    return matching.without_rivals(sets, matching.near_join(sets, "source"), "source")
+
+
+@query("""WITH k AS (SELECT l_suppkey, l_partkey, count(*) AS n FROM lineitem GROUP BY ALL), s AS (SELECT DISTINCT p_brand, p_partkey AS l_partkey FROM part),
+t AS (SELECT l_suppkey, CAST(sum(n) AS BIGINT) AS total FROM k GROUP BY 1), m AS (SELECT l_suppkey, p_brand, CAST(sum(n) AS BIGINT) AS c FROM k JOIN s USING (l_partkey) GROUP BY ALL),
+b AS (SELECT l_suppkey, arg_min(p_brand, struct_pack(c := -c, b := p_brand)) AS brand, max(c) AS covered FROM m GROUP BY 1)
+SELECT l_suppkey, CASE WHEN 20 * coalesce(covered, 0) >= total THEN brand END AS best, coalesce(covered, 0) AS covered, total FROM t LEFT JOIN b USING (l_suppkey)""")
+def coverage_probe(spark, sf_dir):
+    sets = _read(spark, sf_dir, "part").select("p_brand", F.col("p_partkey").alias("l_partkey"))
+    return matching.coverage(_read(spark, sf_dir, "lineitem"), "l_suppkey", sets, "p_brand", "l_partkey")
+
+
+def _snapshots(spark, sf_dir):
+    """Votes by user and type of days up to the middle of the log, and of all days but the first."""
+    e = _events(spark, sf_dir)
+    ends = e.agg(F.min("sec").alias("lo"), F.max("sec").alias("hi"))
+    e = e.crossJoin(F.broadcast(ends))  # a row
+    pick = lambda c: votes.count_votes(e.where(c), ["user_id"], "event_type")
+    return pick("2 * sec <= lo + hi"), pick("sec >= lo + 86400")
+
+
+_SNAP = f"""{_E}, r AS (SELECT min(sec) AS lo, max(sec) AS hi FROM e), old AS (SELECT user_id, event_type AS label, count(*) AS n FROM e, r WHERE 2 * sec <= lo + hi GROUP BY ALL), new AS (SELECT user_id, event_type AS label, count(*) AS n FROM e, r WHERE sec >= lo + 86400 GROUP BY ALL)"""
+
+
+@query(f"WITH {_SNAP} SELECT user_id, label, CAST(sum(n) AS BIGINT) AS n FROM (FROM old UNION ALL FROM new) GROUP BY ALL")
+def additive_merge(spark, sf_dir):
+    return merging.additive_merge(list(_snapshots(spark, sf_dir)), ["user_id", "label"])
+
+
+@query(f"WITH {_SNAP} SELECT user_id, label, new.n - coalesce(old.n, 0) AS n FROM new LEFT JOIN old USING (user_id, label) WHERE new.n - coalesce(old.n, 0) > 0")
+def delta_merge(spark, sf_dir):
+    old, new = _snapshots(spark, sf_dir)
+    return merging.delta(new, old, ["user_id", "label"])
+
+
+def _best_sql(source: str) -> str:
+    return f"SELECT user_id, arg_min(label, struct_pack(n := -n, l := label)) AS label, max(n) AS top, sum(n) AS total FROM {source} GROUP BY user_id"
+
+
+@query(f"""WITH {_SNAP}, t AS (SELECT user_id, CASE WHEN 3 * top >= total THEN label END AS have FROM ({_best_sql('old')})), o AS (SELECT user_id, CASE WHEN 3 * top >= total THEN label END AS get FROM ({_best_sql('new')}))
+SELECT user_id, CASE WHEN o.user_id IS NULL THEN 'lost' WHEN t.user_id IS NULL THEN CASE WHEN get IS NULL THEN 'ambiguous' ELSE 'new' END WHEN get IS NULL THEN 'ambiguous' WHEN have IS NOT DISTINCT FROM get THEN 'same' ELSE 'changed' END AS action, have, get FROM t FULL JOIN o USING (user_id)""")
+def import_plan(spark, sf_dir):
+    best = lambda v: votes.summary(v, ["user_id"]).select("user_id", F.when(3 * F.col("top") >= F.col("total"), F.col("label")).alias("label"))
+    old, new = _snapshots(spark, sf_dir)
+    return merging.import_plan(best(old), best(new), "user_id")
+
+
+@query(f"""WITH {_SNAP}, s AS (SELECT user_id, max(n) AS sv FROM new GROUP BY 1), p AS (SELECT user_id, max(n) AS pv FROM old GROUP BY 1)
+SELECT user_id, CASE WHEN p.user_id IS NULL THEN 'add' WHEN s.user_id IS NULL THEN 'retire' WHEN sv > pv THEN 'replace' ELSE 'keep' END AS action FROM s FULL JOIN p USING (user_id)""")
+def seed_retire(spark, sf_dir):
+    old, new = (v.groupBy("user_id").agg(F.max("n").alias("version")) for v in _snapshots(spark, sf_dir))
+    return merging.seed_actions(new, old, "user_id", "version")
+
+
+@query(f"WITH {_E}, first AS (SELECT DISTINCT day FROM e WHERE event_type = 'error') SELECT user_id AS key, event_type AS label, count(*) AS n FROM e WHERE day NOT IN (SELECT day FROM first WHERE day < '2024-01-10') GROUP BY ALL")
+def journal_replay(spark, sf_dir):
+    e = _events(spark, sf_dir)
+    journal = e.select(F.col("day").alias("run"), F.col("user_id").alias("key"), F.col("event_type").alias("label"), F.lit(1).cast("long").alias("n"))
+    return merging.replay(journal, e.where("event_type = 'error' and day < '2024-01-10'").select(F.col("day").alias("run")))
+
+
+@query(f"WITH {_E} SELECT event_id, user_id, day, greatest(3 - row_number() OVER (PARTITION BY user_id, day ORDER BY ms, event_id), 0) AS left FROM e")
+def daily_allowance(spark, sf_dir):
+    rows = _events(spark, sf_dir).withColumn("used", F.lit(1).cast("long"))
+    return sequences.allowance(rows, ["user_id", "day"], ["ms", "event_id"], "used", 3).select("event_id", "user_id", "day", F.col("left").cast("long").alias("left"))
+
+
+@query(f"WITH {_E} SELECT day, count(DISTINCT user_id) AS users, count(*) AS n FROM e GROUP BY day")
+def daily_users(spark, sf_dir):
+    return _events(spark, sf_dir).groupBy("day").agg(F.countDistinct("user_id").alias("users"), F.count("*").alias("n"))
+
+
+@query("""WITH x AS (SELECT event_id, user_id, event_type, lag(event_type) OVER w AS before, row_number() OVER w AS i FROM events WINDOW w AS (PARTITION BY user_id ORDER BY event_id))
+SELECT event_id, user_id, event_type, before FROM x WHERE i = 1 OR event_type IS DISTINCT FROM before""")
+def change_feed(spark, sf_dir):
+    return sequences.change_feed(_read(spark, sf_dir, "events"), "user_id", ["event_id"], "event_type").select("event_id", "user_id", "event_type", "before")
+
+
+@query(f"""WITH RECURSIVE {_E}, o AS (SELECT event_id, user_id, sec, row_number() OVER (PARTITION BY user_id ORDER BY sec, event_id) AS i FROM e),
+f AS (SELECT event_id, user_id, sec, i, true AS accepted, sec AS last, CAST(0 AS BIGINT) AS wait FROM o WHERE i = 1
+ UNION ALL SELECT o.event_id, o.user_id, o.sec, o.i, f.last < o.sec - 21600, CASE WHEN f.last < o.sec - 21600 THEN o.sec ELSE f.last END, CASE WHEN f.last < o.sec - 21600 THEN 0 ELSE f.last + 21600 - o.sec + 1 END FROM f JOIN o ON o.user_id = f.user_id AND o.i = f.i + 1)
+SELECT event_id, user_id, accepted, wait FROM f""")
+def rate_limit(spark, sf_dir):
+    rows = _events(spark, sf_dir).select("event_id", "user_id", "sec")
+    return limits.rate_limit(rows, "user_id", "sec", ["sec", "event_id"], 1, 21_600).select("event_id", "user_id", "accepted", "wait")
+
+
+@query(f"""WITH RECURSIVE o AS (SELECT event_id, user_id, event_type = 'error' AS hit, row_number() OVER (PARTITION BY user_id ORDER BY event_id) AS i FROM events),
+f AS (SELECT event_id, user_id, i, CASE WHEN hit THEN 7 ELSE 8 END AS lim, CASE WHEN hit THEN 0 ELSE 1 END AS ok FROM o WHERE i = 1
+ UNION ALL SELECT o.event_id, o.user_id, o.i, CASE WHEN hit THEN greatest(1, lim - 1) WHEN ok + 1 >= 5 AND lim < 8 THEN lim + 1 ELSE lim END, CASE WHEN hit OR (ok + 1 >= 5 AND lim < 8) THEN 0 ELSE ok + 1 END FROM f JOIN o ON o.user_id = f.user_id AND o.i = f.i + 1)
+SELECT event_id, user_id, CAST(lim AS INTEGER) AS "limit" FROM f""")
+def aimd_replay(spark, sf_dir):
+    rows = _read(spark, sf_dir, "events").select("event_id", "user_id", (F.col("event_type") == "error").alias("hit"))
+    return limits.adaptive_limit(rows, "user_id", "hit", ["event_id"], 8, 5).select("event_id", "user_id", "limit")
+
+
+@query()
+def cooldown_replay(spark, sf_dir):
+    rows = _events(spark, sf_dir).select("event_id", "user_id", "sec", (F.col("event_type") == "error").alias("hit"))
+    return limits.cooldown(rows, "user_id", "sec", "hit", ["sec", "event_id"], least=3600, most=86_400).select("event_id", "user_id", "pause")
+
+
+@query("SELECT doc_id, CASE WHEN n_chars = 0 OR n_chars IS NULL THEN 422 WHEN n_chars > 20000 THEN 413 WHEN lang IS NULL THEN 400 WHEN n_chars < 100 THEN 429 ELSE 201 END AS status FROM documents")
+def admission_status(spark, sf_dir):
+    n = F.col("n_chars")
+    status = F.when((n == 0) | n.isNull(), 422).when(n > 20_000, 413).when(F.col("lang").isNull(), 400).when(n < 100, 429).otherwise(201)
+    return _read(spark, sf_dir, "documents").select("doc_id", status.alias("status"))
+
+
+@query("""WITH x AS (SELECT o_orderkey, CAST(floor(o_totalprice * 100) AS BIGINT) AS ms FROM orders)
+SELECT o_orderkey, lpad(CAST(ms // 3600000 AS VARCHAR), 2, '0') || ':' || lpad(CAST(ms // 60000 % 60 AS VARCHAR), 2, '0') || ':' || lpad(CAST(ms // 1000 % 60 AS VARCHAR), 2, '0') || ',' || lpad(CAST(ms % 1000 AS VARCHAR), 3, '0') AS stamp FROM x""")
+def fmt_ts(spark, sf_dir):
+    return _read(spark, sf_dir, "orders").select("o_orderkey", text.fmt_ts(F.floor(F.col("o_totalprice") * 100)).alias("stamp"))
+
+
+@query("SELECT page_id, md5(regexp_replace(html, '</?[biu]>', '', 'gi')) AS plain, length(regexp_replace(html, '</?[biu]>', '', 'gi')) AS n FROM pages")
+def strip_tags(spark, sf_dir):
+    plain = text.strip_tags(F.col("html"))
+    return _read(spark, sf_dir, "pages").select("page_id", F.md5(plain).alias("plain"), F.length(plain).cast("long").alias("n"))
+
+
+@query("SELECT doc_id, md5('\"a\" - ''b''... fi ' || nfc_normalize(text)) AS folded FROM documents")
+def simplify_text(spark, sf_dir):
+    return _read(spark, sf_dir, "documents").select("doc_id", F.md5(text.simplify(F.concat(F.lit("“a” – ’b’… ﬁ "), F.col("text")))).alias("folded"))
+
+
+@query("WITH c AS (SELECT p_size, count(*) AS n FROM part GROUP BY p_size) SELECT p_size, n FROM c ORDER BY n DESC, p_size LIMIT 3")
+def top_modal(spark, sf_dir):
+    return _read(spark, sf_dir, "part").groupBy("p_size").agg(F.count("*").alias("n")).orderBy(F.desc("n"), "p_size").limit(3)
+
+
+@query("""SELECT user_id, arg_max(event_type, event_id) AS event_type, arg_max(value, event_id) AS value, max(event_id) AS last_id FROM events GROUP BY user_id""")
+def latest_progress(spark, sf_dir):
+    e = _read(spark, sf_dir, "events").withColumn("last_id", F.col("event_id"))
+    return limits.latest_progress(e, "user_id", "event_id", ["event_type", "value", "last_id"])
