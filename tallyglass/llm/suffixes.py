@@ -152,14 +152,29 @@ def covered(group: np.ndarray, before: list[bytes], after: list[bytes]) -> tuple
 
     Rows of a group stand together, in the order of the texts. Covered is every string around the anchor
     that a row before it has too; as each holds the anchor, they make one stretch. (0, 0): nothing.
+    Rows that equal the first of their group, byte for byte, are done with at once; the rest is sorted.
     """
     n = len(group)
     x, x_size = _rows(before, _BEFORE)
     y, y_size = _rows(after, LENGTH)
-    classes = []
-    for rows, size in ((x, x_size), (y, y_size)):
-        order, lcp = suffix_sort(rows, size, group)
-        classes.append((order, lcp))
+    begin = np.flatnonzero(np.append(True, group[1:] != group[:-1])) if n else np.zeros(0, dtype=np.int64)
+    head = np.repeat(begin, np.diff(np.append(begin, n)))
+    same = (x_size == x_size[head]) & (y_size == y_size[head]) & (x == x[head]).all(1) & (y == y[head]).all(1)
+    same[begin] = False
+    most, least, fresh = x_size.copy(), np.maximum(LENGTH - y_size, 0), ~same
+    hit = same & (most >= least)
+    others = np.bincount(np.cumsum(np.append(False, group[1:] != group[:-1])), weights=~same) if n else np.zeros(0)
+    rest = np.flatnonzero(~same & np.repeat(others > 1, np.diff(np.append(begin, n))))
+    if rest.size:
+        most[rest], least[rest], fresh[rest] = _sorted_cover(group[rest], x[rest], x_size[rest], y[rest], y_size[rest])
+        hit[rest] = most[rest] >= 0
+    return np.where(hit, most, 0), np.where(hit, LENGTH - least, 0), fresh
+
+
+def _sorted_cover(group: np.ndarray, x: np.ndarray, x_size: np.ndarray, y: np.ndarray, y_size: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Largest and smallest reach before the anchor of a string seen in an earlier row (-1: none), and new surroundings."""
+    n = len(group)
+    classes = [suffix_sort(x, x_size, group), suffix_sort(y, y_size, group)]
     most, least = np.full(n, -1, dtype=np.int64), np.full(n, LENGTH, dtype=np.int64)
 
     def number(which: int, length: int) -> np.ndarray:
@@ -178,8 +193,7 @@ def covered(group: np.ndarray, before: list[bytes], after: list[bytes]) -> tuple
     whole = np.stack([number(0, _BEFORE), number(1, LENGTH), x_size, y_size], axis=1)
     fresh = np.zeros(n, dtype=bool)
     fresh[np.unique(whole, axis=0, return_index=True)[1]] = True
-    hit = most >= 0
-    return np.where(hit, most, 0), np.where(hit, LENGTH - least, 0), fresh
+    return most, least, fresh
 
 
 def _in_blocks(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[pa.Table, int]]:
@@ -227,7 +241,7 @@ def repeated_spans(docs: DataFrame) -> DataFrame:
 
     rows = docs.select("doc_id", "text").mapInArrow(find, T.StructType([id_field, T.StructField("at", T.IntegerType()), T.StructField("h", T.LongType())]))
     twice = rows.withColumn("n", F.count("*").over(Window.partitionBy("h"))).where("n > 1")
-    flagged = materialize(twice.groupBy(F.col("doc_id").alias("_d")).agg(F.collect_set("at").alias("at")), "suffix-anchors")  # the document's anchors
+    flagged = materialize(twice.groupBy(F.col("doc_id").alias("_d")).agg(F.collect_set("at").alias("at")), "suffix-anchors", large=True)  # the document's anchors
 
     def look(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -299,8 +313,8 @@ def remove_repeats(docs: DataFrame, with_kept: bool = False) -> DataFrame:
     """
     small_batches(docs.sparkSession)
     keyed = docs.select("doc_id", F.xxhash64("doc_id", "text").alias("_k"), "text")
-    spans = materialize(repeated_spans(keyed), "suffix-spans")
-    lists = spans.groupBy(F.col("doc_id").alias("_d"), F.col("_k").alias("_k2")).agg(F.collect_set(F.struct("start", "stop")).alias("spans"))  # within one document
+    spans = materialize(repeated_spans(keyed), "suffix-spans", large=True)
+    lists = spans.groupBy(F.col("doc_id").alias("_d"), F.col("_k").alias("_k2")).agg(F.collect_list(F.struct("start", "stop")).alias("spans"))  # within one document
     joined = keyed.join(lists, (keyed["_k"] == lists["_k2"]) & keyed["doc_id"].eqNullSafe(lists["_d"]), "left").select("doc_id", "text", "spans.start", "spans.stop")
     names = ["doc_id", "n_bytes", "n_removed", "n_spans", "kept_sha256", *["kept"] * with_kept]
 
