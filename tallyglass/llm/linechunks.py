@@ -63,8 +63,11 @@ def with_chunks(docs: DataFrame, text: str = "text") -> DataFrame:
 
 
 def _joined(docs: DataFrame, lists: DataFrame, how: str) -> DataFrame:
-    """Join per-document lists (_k, _d, ...) to documents; a null id meets a null id."""
-    other = lists.withColumnRenamed("_k", "_k2")
+    """Join per-document lists (_k, _d, ...) to documents; a null id meets a null id.
+
+    Such lists grow with the corpus, so both sides are sorted and merged whatever their size.
+    """
+    other = lists.withColumnRenamed("_k", "_k2").hint("merge")
     return docs.join(other, (docs["_k"] == other["_k2"]) & docs["doc_id"].eqNullSafe(other["_d"]), how).drop("_k2", "_d")
 
 
