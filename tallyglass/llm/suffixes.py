@@ -31,6 +31,7 @@ GRAM = 32
 _BEFORE = LENGTH - GRAM
 _BLOCK = 32_768
 _BASE = 0x9E3779B97F4A7C15 | 1
+_WEIGHTS = np.array([pow(_BASE, i + 1, 1 << 64) for i in range(_BEFORE + LENGTH)], dtype=np.uint64)
 _POWERS = np.array([pow(_BASE, i, 1 << 64) for i in range(GRAM)], dtype=np.uint64)
 
 
@@ -152,19 +153,21 @@ def covered(group: np.ndarray, before: list[bytes], after: list[bytes]) -> tuple
 
     Rows of a group stand together, in the order of the texts. Covered is every string around the anchor
     that a row before it has too; as each holds the anchor, they make one stretch. (0, 0): nothing.
-    Rows that equal the first of their group, byte for byte, are done with at once; the rest is sorted.
+    Rows that equal an earlier one of their group, byte for byte, are done with at once; the rest is sorted.
     """
     n = len(group)
     x, x_size = _rows(before, _BEFORE)
     y, y_size = _rows(after, LENGTH)
-    begin = np.flatnonzero(np.append(True, group[1:] != group[:-1])) if n else np.zeros(0, dtype=np.int64)
-    head = np.repeat(begin, np.diff(np.append(begin, n)))
-    same = (x_size == x_size[head]) & (y_size == y_size[head]) & (x == x[head]).all(1) & (y == y[head]).all(1)
-    same[begin] = False
+    number = np.cumsum(np.append(False, group[1:] != group[:-1])) if n else np.zeros(0, dtype=np.int64)
+    key = (x * _WEIGHTS[:_BEFORE]).sum(1, dtype=np.uint64) + (y * _WEIGHTS[_BEFORE:]).sum(1, dtype=np.uint64)
+    key = _mixed(key + np.uint64(_BASE) * (number * 65_536 + x_size * 256 + y_size).astype(np.uint64))
+    _, first, inverse = np.unique(key, return_index=True, return_inverse=True)
+    head = first[inverse]
+    same = (head != np.arange(n)) & (number == number[head]) & (x_size == x_size[head]) & (y_size == y_size[head])
+    same[same] = (x[same] == x[head[same]]).all(1) & (y[same] == y[head[same]]).all(1)
     most, least, fresh = x_size.copy(), np.maximum(LENGTH - y_size, 0), ~same
     hit = same & (most >= least)
-    others = np.bincount(np.cumsum(np.append(False, group[1:] != group[:-1])), weights=~same) if n else np.zeros(0)
-    rest = np.flatnonzero(~same & np.repeat(others > 1, np.diff(np.append(begin, n))))
+    rest = np.flatnonzero(~same & (np.bincount(number, weights=~same) > 1)[number]) if n else number
     if rest.size:
         most[rest], least[rest], fresh[rest] = _sorted_cover(group[rest], x[rest], x_size[rest], y[rest], y_size[rest])
         hit[rest] = most[rest] >= 0
