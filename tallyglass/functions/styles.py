@@ -1,0 +1,60 @@
+"""Styled text: characters with their flags, and balanced tags again."""
+
+from __future__ import annotations
+
+import re
+from collections.abc import Iterator
+from itertools import groupby
+
+import pandas as pd
+from pyspark.sql import functions as F
+from pyspark.sql import types as T
+
+_TAG = re.compile(r"<(/?)([A-Za-z]+)[^>]*>")
+
+
+def parse(text: str) -> list[tuple[str, str]]:
+    """(character, flags) pairs; unknown tags are dropped, white space becomes single blanks within the text."""
+    active: dict[str, bool] = {}
+    out: list[tuple[str, str]] = []
+    at = 0
+    for m in [*_TAG.finditer(text), None]:
+        flags = "".join(f for f in "biu" if active.get(f))
+        for c in text[at : m.start() if m else len(text)]:
+            if not c.isspace():
+                out.append((c, flags))
+            elif out and out[-1][0] != " ":
+                out.append((" ", flags))
+        if m:
+            active[m[2].lower()] = not m[1]
+            at = m.end()
+    return out[:-1] if out and out[-1][0] == " " else out
+
+
+def render(chars: list[tuple[str, str]]) -> str:
+    """Tags for runs of equal flags, nested and balanced; a blank has the flags that both sides share."""
+    flags = [f for _, f in chars]
+    for i, (c, _) in enumerate(chars):
+        if c == " " and 0 < i < len(chars) - 1:
+            flags[i] = "".join(f for f in flags[i - 1] if f in chars[i + 1][1])
+    out, opened = [], []
+    for now, run in groupby(range(len(chars)), key=lambda i: flags[i]):
+        while any(f not in now for f in opened):
+            out.append(f"</{opened.pop()}>")
+        for f in now:
+            if f not in opened:
+                opened.append(f)
+                out.append(f"<{f}>")
+        out += [chars[i][0] for i in run]
+    return "".join([*out, *(f"</{f}>" for f in reversed(opened))])
+
+
+def normalized(text: str) -> str:
+    """Each line that isn't blank with balanced tags."""
+    return "\n".join(render(parse(line)) for line in text.split("\n") if line.strip())
+
+
+@F.pandas_udf(T.StringType())
+def normalize(texts: Iterator[pd.Series]) -> Iterator[pd.Series]:
+    for s in texts:
+        yield s.map(normalized, na_action="ignore")

@@ -8,6 +8,7 @@ from collections.abc import Iterator
 import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 # Typographic variants and what they are folded to.
 SINGLE_QUOTES = "´`’‘‚′ʼʻ‹›‛"
@@ -41,7 +42,7 @@ def fold(text: Column) -> Column:
     return plain
 
 
-@F.pandas_udf("string")
+@F.pandas_udf(T.StringType())
 def compose(parts: Iterator[pd.Series]) -> Iterator[pd.Series]:
     """Canonical composition (NFC), which no built-in function gives."""
     for s in parts:
@@ -55,7 +56,10 @@ def simplify(text: Column) -> Column:
 
 def majority_style(styles: Column) -> Column:
     """The flags of more than half of an array of styles, in their order."""
-    return F.concat(*[F.when(2 * F.size(F.filter(styles, lambda s, f=f: s.contains(f))) > F.size(styles), f).otherwise("") for f in STYLES])
+    def often(flag: str) -> Column:
+        return F.when(2 * F.size(F.filter(styles, lambda s: s.contains(flag))) > F.size(styles), flag).otherwise("")
+
+    return F.concat(*map(often, STYLES))
 
 
 def version_tuple(version: Column) -> Column:
