@@ -9,7 +9,9 @@ byte for byte. Anchors that agree on d bytes before and LENGTH - d after are the
 string, and all but the first of those are covered.
 
 Everything is distributed by anchor or by document; the size of a group is met by sorting and streaming,
-never by pairs. Of a group too large for one block, only rows with different surroundings are held on.
+never by pairs. Map tasks settle what repeats within a batch of documents, and send one anchor of it on;
+so of a string that every third document has, a group gets a row a batch. Of a group too large for one
+block, only rows with different surroundings are held on.
 """
 
 from __future__ import annotations
@@ -30,6 +32,7 @@ LENGTH = 100
 GRAM = 32
 _BEFORE = LENGTH - GRAM
 _BLOCK = 32_768
+_SALTS = 1024
 _BASE = 0x9E3779B97F4A7C15 | 1
 _WEIGHTS = np.array([pow(_BASE, i + 1, 1 << 64) for i in range(_BEFORE + LENGTH)], dtype=np.uint64)
 _POWERS = np.array([pow(_BASE, i, 1 << 64) for i in range(GRAM)], dtype=np.uint64)
@@ -240,41 +243,85 @@ def repeated_spans(docs: DataFrame) -> DataFrame:
             row = np.repeat(np.arange(len(found)), [len(a) for a, _ in found])
             at = np.concatenate([a for a, _ in found]) if found else np.zeros(0, np.int64)
             h = np.concatenate([h for _, h in found]) if found else np.zeros(0, np.uint64)
-            yield pa.RecordBatch.from_arrays([batch.column(0).take(pa.array(row)), pa.array(at.astype(np.int32)), pa.array(h.view(np.int64))], ["doc_id", "at", "h"])
-
-    rows = docs.select("doc_id", "text").mapInArrow(find, T.StructType([id_field, T.StructField("at", T.IntegerType()), T.StructField("h", T.LongType())]))
-    twice = rows.withColumn("n", F.count("*").over(Window.partitionBy("h"))).where("n > 1")
+            _, first, inverse, count = np.unique(h, return_index=True, return_inverse=True, return_counts=True)
+            salt = np.where(count[inverse] > 1, np.where(first[inverse] == np.arange(h.size), -1, 1 + at % _SALTS), 0)
+            columns = [batch.column(0).take(pa.array(row)), pa.array(at.astype(np.int32)), pa.array(h.view(np.int64)), pa.array(salt.astype(np.int32))]
+            yield pa.RecordBatch.from_arrays(columns, ["doc_id", "at", "h", "salt"])
+
+    # salt: 0 once in its batch, -1 the one of several there that stands for them, above 0 the others, which needn't be counted
+    rows = docs.select("doc_id", "text").mapInArrow(find, T.StructType([id_field, T.StructField("at", T.IntegerType()), T.StructField("h", T.LongType()), T.StructField("salt", T.IntegerType())]))
+    together = Window.partitionBy("h", F.greatest("salt", F.lit(0)))
+    twice = rows.withColumn("n", F.count("*").over(together)).where("n > 1 or salt <> 0")
     flagged = materialize(twice.groupBy(F.col("doc_id").alias("_d")).agg(F.collect_set("at").alias("at")), "suffix-anchors", large=True)  # the document's anchors
 
     def look(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
+            ids, keys = batch.column(0).to_pylist(), batch.column(1).to_pylist()
+            texts, places = batch.column(2).to_pylist(), batch.column(3).to_pylist()
             row, place, hashes, before, after = [], [], [], [], []
-            for i, (text, at) in enumerate(zip(batch.column(2).to_pylist(), batch.column(3).to_pylist(), strict=True)):
-                data = (text or "").encode()
-                at = np.array(sorted(p for p in at if p + GRAM <= len(data)), dtype=np.int64)
+            last = None
+            for i in sorted(range(len(ids)), key=lambda i: (ids[i] is not None, ids[i] or 0, keys[i])):
+                if (ids[i], keys[i]) == last:
+                    continue  # a repeated row is no second document
+                last, data = (ids[i], keys[i]), (texts[i] or "").encode()
+                at = np.array(sorted(p for p in places[i] if p + GRAM <= len(data)), dtype=np.int64)
                 h, b, a = around(data, at)
                 row += [i] * len(at)
                 place.append(at)
                 hashes.append(h)
                 before += b
                 after += a
+            at, h = np.concatenate(place), np.concatenate(hashes)
+            salt, stop = np.zeros(at.size, dtype=np.int32), np.zeros(at.size, dtype=np.int32)
+            _, inverse, count = np.unique(h, return_inverse=True, return_counts=True)
+            seen: set = set()
+            for k in np.flatnonzero(count[inverse] > 1).tolist():  # in the order of the texts
+                same = (h[k], before[k], after[k])
+                if same in seen:
+                    most, least = len(before[k]), max(LENGTH - len(after[k]), 0)
+                    salt[k], before[k], after[k] = 1 + at[k] % _SALTS, None, None
+                    at[k], stop[k] = (at[k] - most, at[k] + LENGTH - least) if most >= least else (at[k], at[k])
+                else:
+                    seen.add(same)
             take = pa.array(row, pa.int64())
             yield pa.RecordBatch.from_arrays(
                 [
-                    pa.array(np.concatenate(hashes).view(np.int64)), batch.column(0).take(take), batch.column(1).take(take),
-                    pa.array(np.concatenate(place).astype(np.int32)), pa.array(before, pa.binary()), pa.array(after, pa.binary()),
+                    pa.array(h.view(np.int64)), pa.array(salt), batch.column(0).take(take), batch.column(1).take(take),
+                    pa.array(at.astype(np.int32)), pa.array(stop), pa.array(before, pa.binary()), pa.array(after, pa.binary()),
                 ],
-                ["h", "doc_id", "_k", "at", "before", "after"],
+                ["h", "salt", "doc_id", "_k", "at", "stop", "before", "after"],
             )
 
+    numbers = lambda *names: [T.StructField(c, T.IntegerType()) for c in names]
     schema = T.StructType(
-        [T.StructField("h", T.LongType()), id_field, T.StructField("_k", T.LongType()), T.StructField("at", T.IntegerType()), T.StructField("before", T.BinaryType()), T.StructField("after", T.BinaryType())]
+        [T.StructField("h", T.LongType()), *numbers("salt"), id_field, T.StructField("_k", T.LongType()), *numbers("at", "stop"), T.StructField("before", T.BinaryType()), T.StructField("after", T.BinaryType())]
     )
     met = docs.join(flagged, docs["doc_id"].eqNullSafe(flagged["_d"])).select("doc_id", "_k", "text", "at").mapInArrow(look, schema)
-    met = met.repartition("h").sortWithinPartitions("h", "doc_id", "_k", "at")
+    met = met.repartition("h", "salt").sortWithinPartitions("h", "salt", "doc_id", "_k", "at")
 
     def cover(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for table, old in _in_blocks(batches):
+        names, settled = ["doc_id", "_k", "start", "stop"], []
+
+        def open_() -> Iterator[pa.RecordBatch]:
+            last = None
+            for batch in batches:
+                salt = batch.column(1).to_numpy()
+                done = batch.filter(pa.array((salt > 0) & (batch.column(5).to_numpy() > batch.column(4).to_numpy())))
+                settled.append(pa.RecordBatch.from_arrays([done.column(i) for i in (2, 3, 4, 5)], names))
+                live = batch.filter(pa.array(salt == 0))
+                if live.num_rows:  # rows of a repeated document stand together
+                    before = live.slice(0, 1) if last is None else last
+                    h, k, at = (np.concatenate([before.column(i).to_numpy(), live.column(i).to_numpy()]) for i in (0, 3, 4))
+                    same = (h[1:] == h[:-1]) & (k[1:] == k[:-1]) & (at[1:] == at[:-1])
+                    same[0] &= last is not None
+                    for i in np.flatnonzero(same).tolist():
+                        same[i] = live.column(2)[i] == (live.column(2)[i - 1] if i else before.column(2)[0])
+                    last = live.slice(live.num_rows - 1)
+                    yield live.filter(pa.array(~same))
+
+        for table, old in _in_blocks(open_()):
+            while settled:
+                yield settled.pop()
             h = table["h"].to_numpy()
             group = np.cumsum(np.append(False, h[1:] != h[:-1]))
             left, right, _ = covered(group, table["before"].to_pylist(), table["after"].to_pylist())
@@ -283,9 +330,9 @@ def repeated_spans(docs: DataFrame) -> DataFrame:
             at = table["at"].to_numpy()[hit]
             take = pa.array(hit)
             yield pa.RecordBatch.from_arrays(
-                [table["doc_id"].combine_chunks().take(take), table["_k"].combine_chunks().take(take), pa.array((at - left[hit]).astype(np.int32)), pa.array((at + right[hit]).astype(np.int32))],
-                ["doc_id", "_k", "start", "stop"],
+                [table["doc_id"].combine_chunks().take(take), table["_k"].combine_chunks().take(take), pa.array((at - left[hit]).astype(np.int32)), pa.array((at + right[hit]).astype(np.int32))], names
             )
+        yield from settled
 
     spans = T.StructType([id_field, T.StructField("_k", T.LongType()), T.StructField("start", T.IntegerType()), T.StructField("stop", T.IntegerType())])
     return met.mapInArrow(cover, spans)

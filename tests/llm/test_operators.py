@@ -213,6 +213,14 @@ def test_repeated_strings_odd_rows(spark):
     assert suffixes.remove_repeats(docs(spark, [])).count() == 0
 
 
+def test_repeated_rows_are_one_document(spark):
+    r = random.Random(5)
+    t = "".join(r.choice("abcdefgh ") for _ in range(400))
+    rows = [(3, t, None, None, 0)] * 3 + [(4, t, None, None, 0)] * 2 + [(None, "x" + t[:200], None, None, 0)] * 2
+    out = suffixes.remove_repeats(docs(spark, rows).repartition(5)).collect()
+    assert sorted((x["doc_id"] or 0, x["n_removed"]) for x in out) == [(0, 0), (0, 0), (3, 200), (3, 200), (3, 200), (4, 400), (4, 400)]
+
+
 def test_suffix_sort_survives_hash_collisions(monkeypatch):
     rng = np.random.default_rng(1)
     x = rng.integers(0, 2, (40, 12)).astype(np.uint8)
