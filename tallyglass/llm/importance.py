@@ -29,9 +29,9 @@ from .common import materialize, small_batches
 BUCKETS = 1 << 18
 #: Labelled rows whose text makes the target model, at most.
 TARGETS = 20_000
-SHARE = 0.7
+SHARE = 0.75
 #: Occurrences that both models get in every bucket beside those found, after raw counts are scaled to the target.
-SMOOTH = 5.0
+SMOOTH = 20.0
 #: N-grams that every document counts as.
 LENGTH = 1000.0
 SEED = 5
