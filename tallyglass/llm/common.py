@@ -161,7 +161,9 @@ def components(edges: DataFrame, label: str) -> DataFrame:
         if after == before:
             break
         before = after
-    return now.select(F.col("a").alias("node"), F.col("b").alias("root"))
+    found = now.select(F.col("a").alias("node"), F.col("b").alias("root"))
+    found._tallyglass_path = now._tallyglass_path  # type: ignore[attr-defined]
+    return found
 
 
 def _mark(edges: DataFrame) -> tuple:

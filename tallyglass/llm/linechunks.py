@@ -15,7 +15,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import barrier, materialize
+from .common import barrier, discard, materialize
 
 _MOD = (1 << 31) - 1
 _BASE = 1_000_003
@@ -93,6 +93,7 @@ def remove_repeats(docs: DataFrame, text: str = "text") -> DataFrame:
     first = held.groupBy("s").agg(F.min(place).alias("first"), F.count("*").alias("n")).where("n > 1")
     again = held.join(first.select("s", "first"), "s").where(place > F.col("first"))
     again = materialize(again.groupBy("_k", F.col("doc_id").alias("_d")).agg(F.collect_set("c").alias("_gone")), "line-repeats")
+    discard(index, held)
     out = with_chunks(_joined(keyed, again, "left"), text)
     gone = F.coalesce("_gone", F.array().cast("array<int>"))
     kept = F.filter("_chunks", lambda c, i: ~F.array_contains(gone, i))

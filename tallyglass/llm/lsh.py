@@ -17,7 +17,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import components, deal_blocks, local_roots, materialize, starts, whole_groups
+from .common import components, deal_blocks, discard, local_roots, materialize, starts, whole_groups
 
 COSINE = 0.95
 RECALL = 0.99
@@ -152,6 +152,7 @@ def near_duplicates(vectors: DataFrame, vec_id: str = "vec_id", vector: str = "e
     forest = components(met.select(F.col("cls").alias("a"), F.col("root").alias("b")), "vectors-links")
     rooted = classes.select("cls", "mult", "low").join(forest, classes.cls == forest.node, "left").select("cls", "mult", "low", F.coalesce("root", "cls").alias("root"))
     rooted = materialize(rooted, "vectors-roots")
+    discard(classes, forest)
     least = rooted.groupBy("root").agg(F.min("low").alias("component_id"))
     links = met.groupBy("cls").agg(F.sum("add").alias("add"))
     named = rooted.join(least, "root").join(links, "cls", "left").select("cls", (F.col("mult") - 1 + F.coalesce("add", F.lit(0))).alias("n_links"), "component_id")

@@ -19,7 +19,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import materialize, starts, whole_groups
+from .common import discard, materialize, starts, whole_groups
 from .lsh import usable
 
 NEAREST = 20
@@ -95,7 +95,7 @@ def search(vectors: DataFrame, queries: DataFrame, k: int = NEAREST, probed: flo
     """
     spark = vectors.sparkSession
     pick = lambda df: df.where(F.col(vec_id).isNotNull() & usable(vector)).select(F.col(vec_id).cast("long").alias("id"), F.col(vector).cast("array<double>").alias("v"))
-    rows = materialize(pick(vectors).distinct(), "vectors")
+    rows = table = materialize(pick(vectors).distinct(), "vectors")
     sizes = rows.groupBy(F.size("v").alias("d")).agg(F.count("*").alias("n")).orderBy(F.desc("n"), "d").first()
     if sizes is None:
         return spark.createDataFrame([], "query_id long, rank int, vec_id long, score double")
@@ -130,6 +130,7 @@ def search(vectors: DataFrame, queries: DataFrame, k: int = NEAREST, probed: flo
 
     asked = pick(queries).where(F.size("v") == dim).distinct().mapInArrow(walk, "id long, v array<double>, stop double")
     asked = materialize(asked, "queries")
+    discard(table)
     shards, blocks = max(1, -(-n // _SHARD)), max(1, -(-asked.count() // _QUERIES))
     none = F.lit(None)
     listed = entries.select(

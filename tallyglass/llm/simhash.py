@@ -18,7 +18,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import components, deal_blocks, local_roots, materialize, small_batches, starts, whole_groups
+from .common import components, deal_blocks, discard, local_roots, materialize, small_batches, starts, whole_groups
 
 WORDS = 4
 BUDGET = 4
@@ -196,6 +196,7 @@ def groups(docs: DataFrame, words: int = WORDS, budget: int = BUDGET, keep: tupl
     forest = components(links(distinct.select("fp"), distinct.count(), budget), "simhash-links")
     rooted = distinct.join(forest, distinct.fp == forest.node, "left").select("fp", "low", F.coalesce("root", "fp").alias("root"))
     rooted = materialize(rooted, "simhash-roots")
+    discard(distinct, forest)
     least = rooted.groupBy("root").agg(F.min("low").alias("component_id"))
     return prints.join(rooted.join(least, "root").select("fp", "root", "component_id"), "fp").select(*keep, "fp", "root", "component_id")
 

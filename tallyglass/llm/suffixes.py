@@ -26,7 +26,7 @@ from pyspark.sql import Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import _last_start, materialize, small_batches
+from .common import _last_start, discard, materialize, small_batches
 
 LENGTH = 100
 GRAM = 32
@@ -335,7 +335,9 @@ def repeated_spans(docs: DataFrame) -> DataFrame:
         yield from settled
 
     spans = T.StructType([id_field, T.StructField("_k", T.LongType()), T.StructField("start", T.IntegerType()), T.StructField("stop", T.IntegerType())])
-    return met.mapInArrow(cover, spans)
+    found = materialize(met.mapInArrow(cover, spans), "suffix-spans", large=True)
+    discard(flagged)
+    return found
 
 
 def cut(data: bytes, spans: list[tuple[int, int]]) -> tuple[bytes, list[tuple[int, int]]]:
@@ -363,8 +365,7 @@ def remove_repeats(docs: DataFrame, with_kept: bool = False) -> DataFrame:
     """
     small_batches(docs.sparkSession)
     keyed = docs.select("doc_id", F.xxhash64("doc_id", "text").alias("_k"), "text")
-    spans = materialize(repeated_spans(keyed), "suffix-spans", large=True)
-    lists = spans.groupBy(F.col("doc_id").alias("_d"), F.col("_k").alias("_k2")).agg(F.collect_list(F.struct("start", "stop")).alias("spans"))  # within one document
+    lists = repeated_spans(keyed).groupBy(F.col("doc_id").alias("_d"), F.col("_k").alias("_k2")).agg(F.collect_list(F.struct("start", "stop")).alias("spans"))  # within one document
     joined = keyed.join(lists, (keyed["_k"] == lists["_k2"]) & keyed["doc_id"].eqNullSafe(lists["_d"]), "left").select("doc_id", "text", "spans.start", "spans.stop")
     names = ["doc_id", "n_bytes", "n_removed", "n_spans", "kept_sha256", *["kept"] * with_kept]
 
