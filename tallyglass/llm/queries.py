@@ -62,5 +62,39 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {f.__name__: f for f in (op1_importance_resampling, op2_line_chunks, op3_embedding_near_dedup, op4_suffix_array, op5_inverted_multi_index, op6_best_fit_packing, op7_byte_bpe, op8_simhash, op9_language_id, op10_pii)}
 
 
+#: Vectors without a link stand for themselves; the closure over links gives the components.
+VECTORS_SQL = """
+WITH RECURSIVE e AS (SELECT vec_id, CAST(embedding AS DOUBLE[]) AS v FROM embeddings),
+v AS (SELECT * FROM e WHERE vec_id IS NOT NULL AND len(list_filter(v, lambda x: x IS NULL OR isnan(x) OR isinf(x))) = 0 AND len(list_filter(v, lambda x: x <> 0)) > 0),
+p AS (SELECT a.vec_id AS a, b.vec_id AS b FROM v a JOIN v b ON a.vec_id <> b.vec_id AND len(a.v) = len(b.v) AND list_cosine_similarity(a.v, b.v) >= 0.95),
+r AS (SELECT vec_id AS a, vec_id AS b FROM e UNION SELECT r.a, p.b FROM r JOIN p ON p.a = r.b),
+c AS (SELECT a AS vec_id, min(b) AS component_id FROM r GROUP BY a)
+SELECT c.vec_id, (SELECT count(*) FROM p WHERE p.a = c.vec_id) AS n_links, component_id, c.vec_id = component_id AS kept FROM c
+"""
+
+#: The exact answer, which the index gives too as long as the table has no more rows than a query probes at least.
+NEAREST_SQL = """
+WITH e AS (SELECT vec_id, CAST(embedding AS DOUBLE[]) AS v FROM embeddings),
+v AS (SELECT * FROM e WHERE vec_id IS NOT NULL AND len(list_filter(v, lambda x: x IS NULL OR isnan(x) OR isinf(x))) = 0 AND len(list_filter(v, lambda x: x <> 0)) > 0),
+s AS (SELECT q.vec_id AS query_id, c.vec_id, list_inner_product(q.v, c.v) AS score FROM v q JOIN v c ON q.vec_id <> c.vec_id AND len(q.v) = len(c.v) WHERE q.vec_id % 20 = 0)
+SELECT query_id, CAST(r AS INTEGER) AS rank, vec_id, score FROM (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, vec_id) AS r FROM s) WHERE r <= 20
+"""
+
+#: Every 100-byte window of every text by its hex digits; a window seen earlier covers its bytes.
+REPEATS_SQL = """
+WITH d AS (SELECT doc_id, hex(encode(coalesce(text, ''))) AS x, octet_length(encode(coalesce(text, ''))) AS n FROM documents),
+w AS (SELECT doc_id, s, md5(substr(x, CAST(2 * s + 1 AS BIGINT), 200)) AS g FROM (SELECT doc_id, x, unnest(range(n - 99)) AS s FROM d WHERE n >= 100)),
+c AS (SELECT doc_id, s, s + 100 AS e FROM (SELECT *, row_number() OVER (PARTITION BY g ORDER BY doc_id, s) AS i FROM w) WHERE i > 1),
+m AS (SELECT *, max(e) OVER (PARTITION BY doc_id ORDER BY s ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) AS before FROM c),
+i AS (SELECT *, sum(CASE WHEN before IS NULL OR s > before THEN 1 ELSE 0 END) OVER (PARTITION BY doc_id ORDER BY s) AS island FROM m),
+r AS (SELECT doc_id, island, min(s) AS s, max(e) AS e FROM i GROUP BY doc_id, island),
+k AS (SELECT r.doc_id, r.s, r.e, substr(x, CAST(2 * coalesce(lag(r.e) OVER o, 0) + 1 AS BIGINT), CAST(2 * (r.s - coalesce(lag(r.e) OVER o, 0)) AS BIGINT)) AS part FROM r JOIN d USING (doc_id) WINDOW o AS (PARTITION BY r.doc_id ORDER BY r.s)),
+t AS (SELECT doc_id, count(*) AS n_spans, sum(e - s) AS n_removed, string_agg(part, '' ORDER BY s) AS kept, max(e) AS last FROM k GROUP BY doc_id)
+SELECT d.doc_id, CAST(n AS BIGINT) AS n_bytes, CAST(coalesce(n_removed, 0) AS BIGINT) AS n_removed, CAST(coalesce(n_spans, 0) AS BIGINT) AS n_spans,
+  sha256(unhex(coalesce(kept, '') || substr(x, CAST(2 * coalesce(last, 0) + 1 AS BIGINT)))) AS kept_sha256
+FROM d LEFT JOIN t USING (doc_id)
+"""
+
+
 def oracle_sql() -> dict[str, str]:
-    return {"op2_line_chunks": linechunks.SQL}
+    return {"op2_line_chunks": linechunks.SQL, "op3_embedding_near_dedup": VECTORS_SQL, "op4_suffix_array": REPEATS_SQL, "op5_inverted_multi_index": NEAREST_SQL}
