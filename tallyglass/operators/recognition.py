@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import heapq
 from collections.abc import Iterator
 
 import pandas as pd
@@ -126,12 +127,18 @@ def greedy_batches(cues: DataFrame, size: int = BATCH) -> DataFrame:
     weights = counts.groupBy("file").agg(F.map_from_entries(F.collect_list(F.struct("k", "n"))).alias("w"))
 
     def choose(frame: pd.DataFrame) -> pd.DataFrame:
-        frame = frame.sort_values("cue")
-        weight = dict(frame["w"].iloc[0])
-        left, covered, out = {r.cue: (set(r.keys), r.n_glyphs) for r in frame.itertuples()}, set(), []
-        while left and len(out) < size:
-            cue = max(left, key=lambda c: sum(weight.get(k, 0) for k in left[c][0] - covered) / (1 + 0.02 * left[c][1]))
-            covered |= left.pop(cue)[0]
+        weight, left = dict(frame["w"].iloc[0]), {r.cue: (set(r.keys), r.n_glyphs) for r in frame.itertuples()}
+        covered: set = set()
+        score = lambda c: -sum(weight.get(k, 0) for k in left[c][0] - covered) / (1 + 0.02 * left[c][1])
+        heap, out = [(score(c), c) for c in left], []
+        heapq.heapify(heap)
+        while heap and len(out) < size:  # a score only falls, so one that is still best after a second look is best
+            _, cue = heapq.heappop(heap)
+            now = (score(cue), cue)
+            if heap and now > heap[0]:
+                heapq.heappush(heap, now)
+                continue
+            covered |= left[cue][0]
             out.append((frame["file"].iloc[0], cue, len(out)))
         return pd.DataFrame(out, columns=["file", "cue", "batch_no"])
 

@@ -10,10 +10,9 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
-from pyspark.sql import types as T
 
-from ..functions import text
-from ..operators import matching, merging, sequences, votes
+from ..functions import styles, text
+from ..operators import answers, matching, merging, recognition, sequences, votes
 from ..streaming import limits
 
 # The most telling stopwords of each language.
@@ -412,3 +411,40 @@ def top_modal(spark, sf_dir):
 def latest_progress(spark, sf_dir):
     e = _read(spark, sf_dir, "events").withColumn("last_id", F.col("event_id"))
     return limits.latest_progress(e, "user_id", "event_id", ["event_type", "value", "last_id"])
+
+
+@query()
+def greedy_cover(spark, sf_dir):
+    rows = _read(spark, sf_dir, "lineitem").groupBy(F.col("l_suppkey").cast("string").alias("file"), F.col("l_orderkey").cast("long").alias("cue"))
+    cues = rows.agg(F.count("*").cast("int").alias("n_glyphs"), F.collect_set(F.col("l_partkey").cast("string")).alias("keys"))  # an order's parts
+    return recognition.greedy_batches(cues, 8)
+
+
+@query()
+def census_groups(spark, sf_dir):
+    tracks = _read(spark, sf_dir, "supplier").select(F.col("s_suppkey").alias("track"), "s_nationkey")
+    keys = _read(spark, sf_dir, "lineitem").select(F.col("l_suppkey").alias("track"), F.col("l_partkey").alias("key"))
+    return recognition.census_groups(tracks, keys, "s_nationkey", 60)
+
+
+@query()
+def tag_style_parse(spark, sf_dir):
+    pages = _read(spark, sf_dir, "pages").withColumn("styled", styles.normalize(F.col("html")))
+    return pages.select("page_id", F.md5("styled").alias("styled"), F.length("styled").alias("n"))
+
+
+@query("SELECT event_id, CAST(floor(value) AS BIGINT) AS risk FROM events WHERE event_type = 'error' AND user_id NOT IN (SELECT user_id FROM events WHERE event_type = 'purchase' AND value > 95)")
+def unsampled_errors(spark, sf_dir):
+    e = _read(spark, sf_dir, "events")
+    done = e.where("event_type = 'purchase' and value > 95").select("user_id").distinct()
+    return e.where("event_type = 'error'").join(done, "user_id", "left_anti").select("event_id", F.floor("value").alias("risk"))
+
+
+@query("""WITH v AS (SELECT l_suppkey AS s, l_linenumber AS c, l_returnflag AS label, count(*) AS n FROM lineitem GROUP BY ALL),
+f AS (SELECT s, c, coalesce(sum(n) FILTER (label = 'A'), 0) >= 2 AND coalesce(sum(n) FILTER (label = 'R'), 0) >= 2 AS b FROM v GROUP BY s, c)
+SELECT CAST(s AS VARCHAR) AS "set", bool_or(b) AS alike FROM f GROUP BY s""")
+def alike_font(spark, sf_dir):
+    li = _read(spark, sf_dir, "lineitem").select(F.col("l_suppkey").cast("string").alias("set"), F.col("l_linenumber").cast("string").alias("cluster"), F.lit(0).alias("top_rel"), "l_returnflag")
+    seen = votes.count_votes(li, ["set", "cluster", "top_rel"], "l_returnflag")
+    none = spark.createDataFrame([], "set string, cluster string, h int, w int")
+    return answers.alike_font(seen, none, "A", "R")
