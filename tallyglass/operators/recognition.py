@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import heapq
+from collections import Counter
 from collections.abc import Iterator
 
 import pandas as pd
@@ -123,13 +124,10 @@ def greedy_batches(cues: DataFrame, size: int = BATCH) -> DataFrame:
     Rows (file, cue, n_glyphs, keys: array of unknown keys). A file's cues are chosen one after the other,
     so a file is one group; the number of rounds is bounded by ``size``.
     """
-    counts = cues.select("file", F.explode("keys").alias("k")).groupBy("file", "k").agg(F.count("*").alias("n"))
-    weights = counts.groupBy("file").agg(F.map_from_entries(F.collect_list(F.struct("k", "n"))).alias("w"))
-
     def choose(frame: pd.DataFrame) -> pd.DataFrame:
-        weight, left = dict(frame["w"].iloc[0]), {r.cue: (set(r.keys), r.n_glyphs) for r in frame.itertuples()}
+        weight, left = Counter(k for ks in frame["keys"] for k in ks), {r.cue: (set(r.keys), r.n_glyphs) for r in frame.itertuples()}
         covered: set = set()
-        score = lambda c: -sum(weight.get(k, 0) for k in left[c][0] - covered) / (1 + 0.02 * left[c][1])
+        score = lambda c: -sum(weight[k] for k in left[c][0] - covered) / (1 + 0.02 * left[c][1])
         heap, out = [(score(c), c) for c in left], []
         heapq.heapify(heap)
         while heap and len(out) < size:  # a score only falls, so one that is still best after a second look is best
@@ -142,7 +140,7 @@ def greedy_batches(cues: DataFrame, size: int = BATCH) -> DataFrame:
             out.append((frame["file"].iloc[0], cue, len(out)))
         return pd.DataFrame(out, columns=["file", "cue", "batch_no"])
 
-    return cues.join(weights, "file").groupBy("file").applyInPandas(choose, "file string, cue long, batch_no int")
+    return cues.select("file", "cue", "n_glyphs", "keys").groupBy("file").applyInPandas(choose, "file string, cue long, batch_no int")
 
 
 def census_groups(tracks: DataFrame, keys: DataFrame, frame: str, least_permille: int = 500) -> DataFrame:
