@@ -15,8 +15,8 @@ SINGLE_QUOTES = "´`’‘‚′ʼʻ‹›‛"
 DOUBLE_QUOTES = "„“”«»″‟＂〝〞"
 DASHES = "‐‑‒–—―−⁃﹘﹣－"
 SEVERAL = {"…": "...", "․": ".", "ﬀ": "ff", "ﬁ": "fi", "ﬂ": "fl", "ﬃ": "ffi", "ﬄ": "ffl", "ﬅ": "st", "ﬆ": "st"}
-SPACES = "".join(map(chr, (0xA0, 0x2000, 0x2001, 0x2002, 0x2003, 0x2004, 0x2005, 0x2006, 0x2007, 0x2008, 0x2009, 0x200A, 0x202F, 0x205F, 0x3000)))
-DROPPED = "".join(map(chr, (0xAD, 0x200B, 0x200C, 0x200D, 0x2060, 0xFEFF)))
+SPACES = "\u00a0\u2000\u2001\u2002\u2003\u2004\u2005\u2006\u2007\u2008\u2009\u200a\u202f\u205f\u3000"
+DROPPED = "\u00ad\u200b\u200c\u200d\u2060\ufeff"
 STYLES = "biu"
 
 
