@@ -9,7 +9,7 @@ Equal fingerprints are one leaf. Only a spanning forest of the links found leave
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Iterable, Iterator
 from itertools import combinations
 
 import numpy as np
@@ -28,25 +28,36 @@ _LEAF = 64
 _FRONTIER = 500_000
 
 
-def fingerprint(text: str | None, words: int = WORDS) -> int:
-    """Bits set in over half the hashes of the shingles, repeats included; 0 for a text without words."""
+def shingles(text: str | None, words: int = WORDS) -> Iterator[np.ndarray]:
+    """Hashes of the shingles of ``words`` words (of all words where they are fewer), repeats included, in parts; none for a text without words."""
     found = (text or "").encode().lower().split()  # bytes: lowers A-Z, splits at space and \x09-\x0d
     if not found:
-        return 0
+        return
     n = max(1, len(found) - words + 1)
     joined = b" ".join(found)
     ends = np.cumsum([len(w) + 1 for w in found]) - 1
     begins = np.concatenate([[0], ends[:-1] + 1])
     stops = ends[words - 1 :] if len(found) >= words else ends[-1:]
     h = xxhash.xxh64_intdigest
-    counts = np.zeros(64, dtype=np.int64)
     begins, stops = begins[:n].tolist(), stops.tolist()
     for at in range(0, n, 65_536):
-        part = np.array([h(joined[a:b], SEED) for a, b in zip(begins[at : at + 65_536], stops[at : at + 65_536], strict=True)], dtype="<u8")
+        yield np.array([h(joined[a:b], SEED) for a, b in zip(begins[at : at + 65_536], stops[at : at + 65_536], strict=True)], dtype="<u8")
+
+
+def majority(parts: Iterable[np.ndarray]) -> int:
+    """Bits set in over half the hashes of ``parts``."""
+    counts, n = np.zeros(64, dtype=np.int64), 0
+    for part in parts:
         counts += np.unpackbits(part.view(np.uint8).reshape(-1, 8), axis=1, bitorder="little").sum(0, dtype=np.int64)
+        n += part.size
     return int(sum(1 << i for i in np.flatnonzero(2 * counts > n).tolist()))
 
 
+def fingerprint(text: str | None, words: int = WORDS) -> int:
+    """Bits set in over half the hashes of the shingles, repeats included; 0 for a text without words."""
+    return majority(shingles(text, words))
+
+
 def fingerprints(docs: DataFrame, text: str = "text", words: int = WORDS, keep: tuple[str, ...] = ("doc_id",)) -> DataFrame:
     """``keep`` and the fingerprint as a signed 64-bit number; one pass over the texts."""
     small_batches(docs.sparkSession)

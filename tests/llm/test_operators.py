@@ -16,7 +16,8 @@ import xxhash
 from pyspark.sql import functions as F
 from tokenizers import Tokenizer
 
-from tallyglass.llm import bpe, common, importance, langid, linechunks, lsh, multi_index, packing, pii, simhash, suffixes
+import corpus_pipeline
+from tallyglass.llm import bpe, common, importance, langid, linechunks, lsh, multi_index, neardup, packing, pii, simhash, suffixes
 
 DOCS = "doc_id long, text string, lang string, source string, n_chars long"
 ODD = [
@@ -413,6 +414,42 @@ def test_deduplicate_keeps_one(spark):
     assert simhash.deduplicate(docs(spark, [])).count() == 0
 
 
+def planted(seed, n=60):
+    """Texts of 120 words, each with a copy that has words replaced; and of each pair its Jaccard similarity."""
+    r = random.Random(seed)
+    word = lambda: "".join(r.choice("abcdefgh") for _ in range(5))
+    grams = lambda w: {tuple(w[i : i + 5]) for i in range(len(w) - 4)}
+    rows, alike = [], {}
+    for i in range(n):
+        a = [word() for _ in range(120)]
+        b = list(a)
+        for _ in range(r.randrange(1, 6)):
+            b[r.randrange(len(b))] = word()
+        x, y = grams(a), grams(b)
+        alike[i] = len(x & y) / len(x | y)
+        rows += [(i, " ".join(a), None, None, 0), (i + 1000, " ".join(b), None, None, 0)]
+    return rows, alike
+
+
+@pytest.mark.parametrize("small", [neardup._SMALL, 1])
+def test_near_dedup_stage_removes_planted_near_copies(spark, monkeypatch, small):
+    monkeypatch.setattr(neardup, "_SMALL", small)
+    rows, alike = planted(20)
+    rows += [(2000 + i, rows[0][1] + f" tail{i}", None, None, 0) for i in range(40)] + [(3000, None, None, None, 0), (3001, " ", None, None, 0), (3002, "one two", None, None, 0)]
+    out = {x["doc_id"] for x in corpus_pipeline.near_dedup(spark, docs(spark, rows), "").collect()}
+    assert {i for i in alike if i + 1000 not in out} == {i for i, s in alike.items() if s >= 0.8}
+    assert sum(0.8 <= s < 0.95 for s in alike.values()) > 10 and sum(0.6 < s < 0.8 for s in alike.values()) > 10
+    assert out - set(range(2000)) == {3000, 3002} and set(range(60)) <= out
+
+
+def test_near_dedup_odd_rows(spark):
+    rows = [(4, "a b c d e", None, None, 0), (2, "A b c d e", None, None, 0), (2, "a b c d e", None, None, 0), (2, "a b c d e", None, None, 0), (None, "a b c d e", None, None, 0), (None, "q r s t", None, None, 0), (None, "q r s t", None, None, 0)]
+    out = neardup.deduplicate(docs(spark, rows))
+    assert out.columns == docs(spark, []).columns
+    assert sorted((x["doc_id"] or 0, x["text"].lower()) for x in out.collect()) == [(0, "q r s t"), (2, "a b c d e")]
+    assert neardup.deduplicate(docs(spark, [])).count() == 0
+
+
 # 9
 
 def test_language_id_held_out(spark):
