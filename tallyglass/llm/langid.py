@@ -23,6 +23,8 @@ from .common import small_batches
 DIM = 1024
 MAX_LANGUAGES = 1024
 UNKNOWN = "und"
+#: Letters from which on a text's score tells a known language from noise.
+LETTERS = 20
 _COLUMNS = 4096
 _CELLS = 1 << 21
 
@@ -162,6 +164,16 @@ def predict(docs: DataFrame, prototypes: dict[str, np.ndarray], text: str = "tex
     return docs.mapInArrow(label, schema)
 
 
+def known(text: str = "text", dim: int = DIM):
+    """True for predicted rows that are like a known language: a score of 3 / sqrt(dim) or more.
+
+    Cosines of unrelated texts have a standard deviation of 1 / sqrt(dim). Texts of fewer than ``LETTERS``
+    letters may score as low in their own language; for them any score above 0 is enough.
+    """
+    short = F.length(F.regexp_replace(F.col(text), r"\P{L}+", "")) < LETTERS
+    return (F.col("lang_pred") != UNKNOWN) & ((F.col("score") >= 3 / dim**0.5) | (short & (F.col("score") > 0)))
+
+
 def held_out(doc_id: str = "doc_id"):
     """True for the documents kept from learning: crc32 of the id as text, mod 4, is 2; false for a null id."""
     return F.coalesce(F.crc32(F.col(doc_id).cast("string").cast("binary")) % 4 == 2, F.lit(False))

@@ -1,3 +1,5 @@
+import random
+
 import pytest
 
 import corpus_pipeline
@@ -25,6 +27,16 @@ def test_stages_on_small_documents(spark, tmp_path):
     assert corpus_pipeline.run(spark, str(tmp_path)).count() == seen[4].count()
 
 
+def test_language_stage_rejects_unlearned_scripts(spark):
+    r = random.Random(1)
+    junk = lambda a, b: " ".join("".join(chr(r.randrange(a, b)) for _ in range(6)) for _ in range(80))
+    english = "the cat sat on the mat and slept all day while the dog ran far away and ate some fish"
+    rows = [(i, f"{english} {i}", "en", "s", 0) for i in range(20)] + [(50, "cat", "en", "s", 0)]
+    rows += [(100 + i, junk(*s), None, "s", 0) for i, s in enumerate([(0x430, 0x450), (0x3B1, 0x3CA), (0x4E00, 0x9000)] * 20)]
+    out = corpus_pipeline.language_id(spark, spark.createDataFrame(rows, "doc_id long, text string, lang string, source string, n_chars long"), "")
+    assert {x["doc_id"] for x in out.collect()} == {*range(20), 50}
+
+
 def test_empty_table(spark, tmp_path):
     spark.createDataFrame([], "doc_id long, text string, lang string, source string, n_chars long").write.parquet(str(tmp_path / "documents.parquet"))
     assert corpus_pipeline.run(spark, str(tmp_path)).count() == 0
