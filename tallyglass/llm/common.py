@@ -6,11 +6,10 @@ share, so a lost executor costs a task and never a result.
 
 from __future__ import annotations
 
-import gc
 import tempfile
-import time
 import uuid
 from collections.abc import Iterator
+from contextlib import contextmanager
 
 import numpy as np
 import pyarrow as pa
@@ -18,6 +17,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 _LOCAL_DIR: list[str] = []
+_HOT = 1000
 
 
 def shared_dir(spark: SparkSession) -> str:
@@ -32,35 +32,53 @@ def shared_dir(spark: SparkSession) -> str:
     return _LOCAL_DIR[0]
 
 
-def small_batches(spark: SparkSession, rows: int = 500) -> None:
-    """Bound the rows of an Arrow batch, so that a batch of long texts stays small."""
-    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(rows))
+#: Rows and bytes of an Arrow batch, at most; a single longer text is a batch by itself.
+BATCH = {"spark.sql.execution.arrow.maxRecordsPerBatch": "500", "spark.sql.execution.arrow.maxBytesPerBatch": str(16 << 20)}
+_CLEAN = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
 
 
-def materialize(df: DataFrame, label: str, large: bool = False) -> DataFrame:
+def small_batches(spark: SparkSession) -> None:
+    """Bound the rows and bytes of Arrow batches, where the session has no bounds of its own.
+
+    Results don't depend on them. They stay set, as a plan that is returned reads them when it runs.
+    """
+    for key, value in BATCH.items():
+        if spark.conf.get(key, None) is None:
+            spark.conf.set(key, value)
+
+
+@contextmanager
+def setting(spark: SparkSession, key: str, value: str) -> Iterator[None]:
+    """A setting that holds within the block alone."""
+    before = spark.conf.get(key, None)
+    spark.conf.set(key, value)
+    try:
+        yield
+    finally:
+        spark.conf.unset(key) if before is None else spark.conf.set(key, before)
+
+
+def materialize(df: DataFrame, label: str) -> DataFrame:
     """Write ``df`` as Parquet to the shared folder and read it back.
 
-    Afterwards the plans that led here are unreachable; collecting them lets Spark's cleaner drop
-    their shuffle files early. After ``large`` shuffles this waits until the cleaner has seen them.
+    Spark deletes the shuffle files of the write when it ends. The table is deleted by :func:`discard`, or
+    else when the session's JVM exits.
     """
     spark = df.sparkSession
     path = f"{shared_dir(spark)}/tallyglass/{label}-{uuid.uuid4().hex}"
-    df.write.parquet(path)
-    schema = df.schema
-    del df
-    release(spark, 3 if large else 1)
-    out = spark.read.schema(schema).parquet(path)
+    with setting(spark, _CLEAN, "true"):
+        df.write.parquet(path)
+    files, p = _files(spark, path)
+    files.deleteOnExit(p)
+    out = spark.read.schema(df.schema).parquet(path)
     out._tallyglass_path = path  # type: ignore[attr-defined]
     return out
 
 
-def release(spark: SparkSession, times: int = 1) -> None:
-    """Let the context cleaner see plans that nobody holds any more; it works beside the driver's thread."""
-    for i in range(times):
-        if i:
-            time.sleep(0.5)
-        gc.collect()
-        spark.sparkContext._jvm.System.gc()
+def _files(spark: SparkSession, path: str):
+    """The file system of a path, and the path, as Hadoop has them."""
+    p = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    return p.getFileSystem(spark._jsparkSession.sessionState().newHadoopConf()), p
 
 
 def discard(*tables: DataFrame) -> None:
@@ -68,9 +86,22 @@ def discard(*tables: DataFrame) -> None:
     for df in tables:
         path = getattr(df, "_tallyglass_path", None)
         if path:
-            jvm = df.sparkSession.sparkContext._jvm
-            p = jvm.org.apache.hadoop.fs.Path(path)
-            p.getFileSystem(df.sparkSession._jsparkSession.sessionState().newHadoopConf()).delete(p, True)
+            files, p = _files(df.sparkSession, path)
+            files.delete(p, True)
+
+
+def split_join(big: DataFrame, small: DataFrame, key: str) -> DataFrame:
+    """Inner join of ``big`` with ``small``, which has a row a key at most, where one key may hold a third of ``big``.
+
+    Keys with over a ``_HOT``-th of the rows of ``big`` are at most ``_HOT``; their rows of ``small`` are broadcast, and
+    rows of ``big`` stay where they are. The others are exchanged. ``big`` is read twice and should be a table.
+    """
+    n = big.count()
+    hot = [r[0] for r in big.where(F.col(key).isNotNull()).groupBy(key).agg(F.count("*").alias("n")).where(F.col("n") > max(n // _HOT, 100)).collect()]
+    if not hot:
+        return big.join(small, key)
+    among = F.col(key).isin(hot)
+    return big.where(among).join(F.broadcast(small.where(among)), key).unionByName(big.where(~among).join(small.where(~among), key))
 
 
 def whole_groups(batches: Iterator[pa.RecordBatch], key: list[str], rows: int) -> Iterator[pa.Table]:

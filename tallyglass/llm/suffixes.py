@@ -252,7 +252,7 @@ def repeated_spans(docs: DataFrame) -> DataFrame:
     rows = docs.select("doc_id", "text").mapInArrow(find, T.StructType([id_field, T.StructField("at", T.IntegerType()), T.StructField("h", T.LongType()), T.StructField("salt", T.IntegerType())]))
     together = Window.partitionBy("h", F.greatest("salt", F.lit(0)))
     twice = rows.withColumn("n", F.count("*").over(together)).where("n > 1 or salt <> 0")
-    flagged = materialize(twice.groupBy(F.col("doc_id").alias("_d")).agg(F.collect_set("at").alias("at")), "suffix-anchors", large=True)  # the document's anchors
+    flagged = materialize(twice.groupBy(F.col("doc_id").alias("_d")).agg(F.collect_set("at").alias("at")), "suffix-anchors")  # the document's anchors
 
     def look(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -335,7 +335,7 @@ def repeated_spans(docs: DataFrame) -> DataFrame:
         yield from settled
 
     spans = T.StructType([id_field, T.StructField("_k", T.LongType()), T.StructField("start", T.IntegerType()), T.StructField("stop", T.IntegerType())])
-    found = materialize(met.mapInArrow(cover, spans), "suffix-spans", large=True)
+    found = materialize(met.mapInArrow(cover, spans), "suffix-spans")
     discard(flagged)
     return found
 

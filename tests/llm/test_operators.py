@@ -6,6 +6,7 @@ import itertools
 import math
 import random
 import re
+import time
 import zlib
 
 import numpy as np
@@ -360,6 +361,19 @@ def test_codec_equals_the_library():
         assert ids == library.encode_ordinary(t) and mine.decode(ids) == t.encode()
 
 
+def test_long_pieces_take_linear_time():
+    c, r = bpe.codec(public_tokenizers.path("byte_bpe_50k.tiktoken"), public_tokenizers.PATTERN), random.Random(10)
+    text = "".join(r.choice("abcdefghijklmnopqrstuvwxyz") for _ in range(160_000))
+
+    def took(n):
+        began = time.process_time()
+        c.encode(text[:n])
+        return time.process_time() - began
+
+    took(20_000)
+    assert min(took(160_000) for _ in range(2)) <= 16 * min(took(20_000) for _ in range(3))  # about 8; quadratic would be 64
+
+
 def test_encode_decode_odd_rows(spark):
     out = bpe.encode_decode(clashing(docs(spark)), public_tokenizers.path("byte_bpe_50k.tiktoken"), public_tokenizers.PATTERN, with_ids=True).collect()
     assert sorted(x["decoded_sha256"] for x in out) == sorted(hashlib.sha256((t or "").encode()).hexdigest() for _, t, *_ in ODD)
@@ -514,15 +528,80 @@ def test_field_finds_what_patterns_miss():
     assert [s[0][0] for _, s in pii.find(field, list(held))] == ["secret", "number", "phone"]
 
 
-def test_viterbi_equals_brute_force():
+def walked(field, numbers):
+    """Labels of one row by a plain walk over the whole of it."""
+    emit = lambda t: sum(field.emit_whole[p][numbers[t + place] if 0 <= t + place < len(numbers) else 0] for p, place in enumerate(field.places)).astype(np.int64)
+    best, back = field.move_whole[-1] + emit(0), []
+    for t in range(1, len(numbers)):
+        through = best[:, None] + field.move_whole[:-1]
+        back.append(through.argmax(0))
+        best = through.max(0) + emit(t)
+    out = [int(best.argmax())]
+    for step in reversed(back):
+        out.append(int(step[out[-1]]))
+    return out[::-1]
+
+
+PERSONAL = (
+    'the token = "4f1c9ab07de2468013579bdf2468ace013579bdf" and go', "password = 'correcthorsebattery' or", "secret=abcdefabcdefabcdefabcdef is", "call (555) 123-4567 now",
+    "account 0329408264589781 of them", "and plain words, with 1999 numbers", "token:\n\nf00ba4f00ba4f00ba4f00ba4f00ba4f00ba4dead", "Dr. Anna Miller came",
+)
+
+
+@pytest.mark.parametrize("lane", [1, 2, 5, pii._LANE])
+@pytest.mark.parametrize("together", [1, 40, pii._TOGETHER])
+def test_decoding_equals_a_walk_over_whole_texts(monkeypatch, lane, together):
+    monkeypatch.setattr(pii, "_LANE", lane)
+    monkeypatch.setattr(pii, "_TOGETHER", together)
+    monkeypatch.setattr(pii, "_STRETCH", 37)
+    field, r = pii.train(), random.Random(16)
+    rows = ["", *PERSONAL, *(" ".join(r.choice(PERSONAL) for _ in range(r.randrange(1, 8))) for _ in range(12))]
+    numbers = [field.read(t) for t in rows]
+    assert [len(n) for n in numbers] == [len(pii._TOKEN.findall(t)) for t in rows]
+    got = field.decode(numbers)
+    assert [g.tolist() for g in got] == [walked(field, n.tolist()) if len(n) else [] for n in numbers]
+    assert sum(int(g.any()) for g in got) > 12
+    assert field.decode([]) == [] and field.decode([numbers[0]])[0].size == 0
+
+
+def test_walk_equals_every_labelling():
     field = pii.train()
-    rows = [field.numbers(["token", "=", "ab12cd"]), field.numbers(["a", "1"])]
-    near, _ = field.padded(rows)
-    scores, move = field.scores(near), field.move + field.ban
-    for i, got in enumerate(field.viterbi(rows)):
-        n = len(rows[i])
-        score = lambda y: scores[i, 0, y[0]] + move[-1, y[0]] + sum(scores[i, t, y[t]] + move[y[t - 1], y[t]] for t in range(1, n))  # noqa: B023, E731
-        assert tuple(got) == max(itertools.product(range(len(pii.LABELS)), repeat=n), key=score)
+    for text in ("token = ab12cd", "a 1", "Dr. Lee"):
+        numbers = field.read(text).tolist()
+        n = len(numbers)
+        emit = [sum(field.emit_whole[p][numbers[t + q] if 0 <= t + q < n else 0] for p, q in enumerate(field.places)).astype(np.int64) for t in range(n)]
+        score = lambda y: emit[0][y[0]] + field.move_whole[-1, y[0]] + sum(emit[t][y[t]] + int(field.move_whole[y[t - 1], y[t]]) for t in range(1, n))  # noqa: B023, E731
+        best = max(map(score, itertools.product(range(len(pii.LABELS)), repeat=n)))
+        assert score(walked(field, numbers)) == best == score(field.decode([np.array(numbers)])[0].tolist())
+
+
+def test_field_needs_no_digit_and_crosses_lines():
+    found = [[(k, t[a:b]) for k, a, b in pii.find(pii.train(), [t])[0][1]] for t in PERSONAL]
+    assert found[1] == [("secret", "correcthorsebattery")] and found[2] == [("secret", "abcdefabcdefabcdefabcdef")]
+    assert found[5] == [] and found[6] == [("secret", "f00ba4f00ba4f00ba4f00ba4f00ba4f00ba4dead")] and found[7] == [("name", "Anna Miller")]
+    assert [s[0][0] for _, s in pii.find(pii.train(), ["api_key: QWERTYUIOPASDFGHJKL"])] == ["secret"]
+
+
+def test_detect_equals_patterns_and_walk(spark):
+    rows = [*ODD, *((100 + i, t, None, None, 0) for i, t in enumerate(PERSONAL)), (200, "a@b.co 10.0.0.1 4111 1111 1111 1111 +1 (017) 555-7713 " * 3, None, None, 0)]
+    field, want = pii.train(), []
+    for i, t, *_ in rows:
+        t = t or ""
+        base = [(k, *m.span()) for k, (rx, ok) in BASE.items() for m in rx.finditer(t) if ok(m[0])] if len(t) < 1000 else []
+        tokens = [m.span() for m in re.finditer(pii._TOKEN, t)]
+        names = [pii.LABELS[y] for y in walked(field, field.read(t).tolist())] if tokens else []
+        spans = list(base)
+        for k, name in enumerate(names):
+            if name[0] == "B":
+                end = next((j for j in range(k + 1, len(names)) if names[j][0] != "I"), len(names))
+                a, b = tokens[k][0], tokens[end - 1][1]
+                if not any(a < y and x < b for _, x, y in base):
+                    spans.append((name[2:], a, b))
+        write = lambda s: ",".join(f"{k}:{a}:{b}" for k, a, b in s)
+        spans = sorted(spans, key=lambda s: (pii.KINDS.index(s[0]), s[1]))
+        want.append((i, *(sum(k == s[0] for s in base) for k in BASE), hashlib.sha256(write(base).encode()).hexdigest(), write(spans)))
+    got = [tuple(x) for x in pii.detect(clashing(docs(spark, rows))).collect()]
+    assert sorted(got, key=repr) == sorted(want, key=repr) and sum(bool(x[-1]) for x in got) > 7
 
 
 def test_detect_odd_rows(spark):
