@@ -1,7 +1,7 @@
 """Byte-level BPE, encoding in linear time by backtracking over longest matches, and decoding.
 
-Bytes are mapped to Latin-1 characters, so that one Aho-Corasick automaton of all tokens finds the
-longest token from any place. A sequence of tokens is what the merges give exactly if each two
+Bytes are mapped to Latin-1 characters, and an Aho-Corasick automaton holds all tokens backwards: one pass
+over a piece from its end finds the longest token that starts at every place. A sequence of tokens is what the merges give exactly if each two
 neighbours, encoded alone, stay the two; so the encoder takes longest matches, tries the next shorter
 prefix where a neighbour doesn't fit, and steps back where no prefix is left. Places given up once are
 never tried again, and whether two tokens fit is memoised.
@@ -31,12 +31,14 @@ class Codec:
     def __init__(self, path: str, pattern: str):
         with open(path, "rb") as f:
             ranks = {base64.b64decode(a).decode("latin-1"): int(b) for a, b in (x.split() for x in f if x.strip())}
+        if any(chr(b) not in ranks for b in range(256)):
+            raise ValueError("a byte has no token")
         self.rank, self.split_text = ranks, regex.compile(pattern).findall
         self.token = {i: t for t, i in ranks.items()}
         self.bytes = {i: t.encode("latin-1") for t, i in ranks.items()}
         self.find = ahocorasick.Automaton()
         for t, i in ranks.items():
-            self.find.add_word(t, i)
+            self.find.add_word(t[::-1], i)
         self.find.make_automaton()
         self.shorter = {i: next((ranks[t[:n]] for n in range(len(t) - 1, 0, -1) if t[:n] in ranks), None) for t, i in ranks.items()}
         self.merged: dict[tuple[int, int], int] = {}
@@ -86,18 +88,23 @@ class Codec:
             got = self.fits[a, b] = self._apart(a, b)
         return got
 
-    def _longest(self, text: str, at: int) -> int:
-        for _, i in self.find.iter_long(text, at):
-            return i
-        raise ValueError("a byte has no token")
+    def _longest(self, text: str) -> list[int]:
+        """The longest token that starts at each place; the automaton gives the longest of a place first."""
+        out, left = [0] * len(text), len(text)
+        for end, i in self.find.iter(text[::-1]):
+            if len(text) - 1 - end < left:
+                left = len(text) - 1 - end
+                out[left] = i
+        return out
 
     def encode_piece(self, data: bytes) -> list[int]:
         """Ids of one piece of the pattern."""
         text = data.decode("latin-1")
         if (one := self.rank.get(text)) is not None:
             return [one]
+        longest = self._longest(text)
         out: list[int] = []
-        at, dead, token = 0, set(), self._longest(text, 0) if text else None
+        at, dead, token = 0, set(), longest[0] if text else None
         while token is not None:
             last = out[-1] if out else None
             while token is not None:
@@ -120,7 +127,7 @@ class Codec:
                 continue
             out.append(token)
             at = end
-            token = self._longest(text, at) if at < len(text) else None
+            token = longest[at] if at < len(text) else None
         return out
 
     def encode_pieces(self, text: str) -> list[str]:
