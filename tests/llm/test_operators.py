@@ -3,7 +3,7 @@
 import base64
 import hashlib
 import itertools
-import math
+import os
 import random
 import re
 import time
@@ -18,7 +18,7 @@ from pyspark.sql import functions as F
 from tokenizers import Tokenizer
 
 import corpus_pipeline
-from tallyglass.llm import bpe, common, importance, langid, linechunks, lsh, multi_index, neardup, packing, pii, simhash, suffixes
+from tallyglass.llm import bpe, common, importance, langid, linechunks, lsh, multi_index, neardup, packing, pii, queries, simhash, suffixes
 
 DOCS = "doc_id long, text string, lang string, source string, n_chars long"
 ODD = [
@@ -248,34 +248,84 @@ def nearest_by_force(ids, x, q, own, k=20):
     return [(i, -v) for v, i in sorted(s)[:k]]
 
 
-def test_search_small_tables_is_exact(spark):
+@pytest.mark.parametrize("shard, cell", [(multi_index._SHARD, multi_index.CELL), (40, 2)])
+def test_search_without_a_margin_is_exact(spark, monkeypatch, shard, cell):
+    monkeypatch.setattr(multi_index, "_SHARD", shard)
+    monkeypatch.setattr(multi_index, "CELL", cell)
+    monkeypatch.setattr(multi_index, "FIRST", 30)
     rng = np.random.default_rng(5)
-    x = rng.standard_normal((150, 8)).astype(np.float32)
-    x[40:60] = x[0]
+    x = rng.standard_normal((600, 8)).astype(np.float32)
+    x[40:300] = x[0]
     df = spark.createDataFrame([(i, v.tolist()) for i, v in enumerate(x)], "vec_id long, embedding array<float>")
-    out = multi_index.search(df, df.where("vec_id % 20 = 0")).collect()
-    for q in range(0, 150, 20):
+    out = multi_index.search(df, df.where("vec_id % 20 = 0"), margin=None).collect()
+    assert len(out) == 30 * 20
+    for q in range(0, 600, 20):
         got = [(r["vec_id"], r["score"]) for r in sorted((r for r in out if r["query_id"] == q), key=lambda r: r["rank"])]
-        assert got == nearest_by_force(range(150), x.astype(float).tolist(), x[q].astype(float).tolist(), q)
+        assert got == nearest_by_force(range(600), x.astype(float).tolist(), x[q].astype(float).tolist(), q)
 
 
-def test_search_recall_when_most_cells_are_left_out(spark, monkeypatch):
-    monkeypatch.setattr(multi_index, "LEAST", 100)
+def vectors_of(kind, rng, n=3000):
+    x = rng.standard_normal((n, 32))
+    x /= np.linalg.norm(x, axis=1, keepdims=True)
+    if kind == "uneven":
+        return x * np.exp(0.7 * rng.standard_normal((n, 1)))
+    if kind == "hot":
+        x[: n // 3] = x[0]
+    if kind == "clustered":
+        return x[rng.integers(0, 100, n)] + 0.05 * rng.standard_normal((n, 32))
+    return x
+
+
+@pytest.mark.parametrize("kind", ["plain", "uneven", "hot", "clustered"])
+def test_search_recall(spark, monkeypatch, kind):
+    """By score, as equal vectors may stand for each other."""
     monkeypatch.setattr(multi_index, "_SHARD", 700)
-    rng = np.random.default_rng(6)
-    x = rng.standard_normal((3000, 16))
+    x = vectors_of(kind, np.random.default_rng(6))
     df = spark.createDataFrame([(i, v.tolist()) for i, v in enumerate(x)], "vec_id long, embedding array<double>")
-    out = multi_index.search(df, df.where("vec_id % 20 = 0")).groupBy("query_id").agg(F.collect_list("vec_id").alias("v")).collect()
-    hits = sum(len(set(r["v"]) & {i for i, _ in nearest_by_force(range(3000), x.tolist(), x[r["query_id"]].tolist(), r["query_id"])}) for r in out)
+    out = multi_index.search(df, df.where("vec_id % 20 = 0")).groupBy("query_id").agg(F.collect_list("score").alias("s")).collect()
+    hits = 0
+    for r in out:
+        scores = np.delete(x @ x[r["query_id"]], r["query_id"])
+        hits += sum(s >= np.sort(scores)[-20] - 1e-9 for s in r["s"])
     assert len(out) == 150 and hits / (150 * 20) >= 0.9
 
 
-def test_traversal_falls(spark):
+@pytest.mark.skipif(not os.path.isdir("/root/testdata/sf0.01"), reason="no test tables")
+def test_registered_search_recall(spark):
+    sf = "/root/testdata/sf0.01"
+    rows = spark.read.parquet(f"{sf}/embeddings.parquet").select("vec_id", "embedding").collect()
+    ids, x = np.array([r[0] for r in rows]), np.array([r[1] for r in rows], dtype=np.float64)
+    got = {}
+    for r in queries.queries()["op5_inverted_multi_index"](spark, sf).collect():
+        got.setdefault(r["query_id"], set()).add(r["vec_id"])
+    assert set(got) == {int(i) for i in ids if i % 20 == 0}
+    hits = sum(len(found & {i for i, _ in nearest_by_force(ids.tolist(), x.tolist(), x[ids == q][0].tolist(), q)}) for q, found in got.items())
+    assert hits / (20 * len(got)) >= 0.9
+
+
+def test_search_reads_a_small_share_of_clusters():
+    x = vectors_of("clustered", np.random.default_rng(8), 20_000)
+    index = multi_index.Index.fit(x[:5000], 32, len(x), multi_index.CENTROIDS)
+    cells, far = index.place(x)
+    found, at = np.unique(cells, return_inverse=True)
+    sums = [np.stack([np.bincount(at, weights=w[:, h]) for h in (0, 1)], axis=1) for w in (far, far**2)]
+    index.settle(found, np.bincount(at), *sums, sums[0], multi_index.MARGIN, 0)
+    read = []
+    for q in x[:200:10]:
+        first = np.isin(cells, index.walk(q[None], np.array([np.inf]))[0])
+        best = np.sort((x @ q)[first])[-20]
+        read.append(np.isin(cells, index.walk(q[None], np.array([best]))[0]).mean())
+    assert np.mean(read) < 0.1
+
+
+def test_traversal_falls():
     rng = np.random.default_rng(7)
     a, b = rng.standard_normal(9), rng.standard_normal(7)
-    cells, stop = multi_index.traverse(a, b, [1] * 63, 63)
-    sums = [a[c // 7] + b[c % 7] for c in cells]
-    assert sorted(cells) == list(range(63)) and sums == sorted(sums, reverse=True) and math.isclose(stop, sums[-1])
+    sum_of = lambda c: a[c // 7] + b[c % 7]
+    cells = multi_index.traverse(a, b, [1] * 63, 63, np.inf)
+    assert sorted(cells) == list(range(63)) and [sum_of(c) for c in cells] == sorted(map(sum_of, range(63)), reverse=True)
+    assert multi_index.traverse(a, b, [1] * 63, 5, 0.3) == [c for i, c in enumerate(cells) if i < 5 or sum_of(c) >= 0.3]
+    assert multi_index.traverse(a, b, [0] * 63, 5, 0.0) == []
 
 
 def test_search_odd_rows(spark):
@@ -284,6 +334,11 @@ def test_search_odd_rows(spark):
     df = spark.createDataFrame(rows, "vec_id long, embedding array<float>")
     out = [tuple(r) for r in multi_index.search(df, df.where("vec_id % 20 = 0")).orderBy("query_id", "rank").collect()]
     assert out == [(0, 1, 1, 1.0), (0, 2, 20, 0.5), (20, 1, 0, 0.5), (20, 2, 1, 0.5)]
+    out = [tuple(r) for r in multi_index.search(clashing(df), df.where("vec_id = 6"), k=2).collect()]
+    assert out == []  # the only vector of its length
+    two = spark.createDataFrame([(1, [1.0, 0.0]), (1, [0.0, 1.0]), (2, [1.0, 1.0]), (3, [2.0, 2.0, 2.0]), (4, [1.0, 0.0, 0.0])], "vec_id long, embedding array<float>")
+    out = sorted(tuple(r) for r in multi_index.search(two, two).collect())
+    assert out == [(1, 1, 2, 1.0), (1, 1, 2, 1.0), (2, 1, 1, 1.0), (2, 2, 1, 1.0), (3, 1, 4, 2.0), (4, 1, 3, 2.0)]
     none = spark.createDataFrame([], df.schema)
     assert multi_index.search(none, none).count() == 0
 
