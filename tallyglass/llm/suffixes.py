@@ -6,35 +6,43 @@ occurs again are looked at further, with the bytes around them. The anchors of o
 what follows and by what precedes them: a merge sort in which two suffixes are compared by a binary
 search for their common extension over prefix polynomial hashes. Neighbours' extensions are then verified
 byte for byte. Anchors that agree on d bytes before and LENGTH - d after are the occurrences of one
-string, and all but the first of those are covered.
-
-Everything is distributed by anchor or by document; the size of a group is met by sorting and streaming,
-never by pairs. Map tasks settle what repeats within a batch of documents, and send one anchor of it on;
-so of a string that every third document has, a group gets a row a batch. Of a group too large for one
-block, only rows with different surroundings are held on.
+string, and all but the first of those are covered. Equal surroundings are neighbours that agree throughout.
+
+Everything is distributed by anchor or by document, never by pairs. Map tasks sort the anchors of a batch of
+documents, settle those that equal an earlier one throughout, and send the others on. What reaches a group is sorted in
+blocks; a block takes along one row of each surroundings seen so far. A group with too many of those, and each
+of the few strings that make up a thousandth of all anchors, is dealt anew: the strings around an anchor are
+told apart by how far before it they start, and those of a narrow range agree on most of their bytes, so
+anchors are grouped by these bytes, range by range. In a range of one start all rows of a group are equal.
 """
 
 from __future__ import annotations
 
+import functools
 import hashlib
+import struct
 from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
+from pyspark.sql.pandas.types import to_arrow_type
 
-from .common import _last_start, discard, materialize, small_batches
+from .common import _last_start, discard, materialize, small_batches, starts
 
 LENGTH = 100
 GRAM = 32
 _BEFORE = LENGTH - GRAM
 _BLOCK = 32_768
 _SALTS = 1024
+_PARTS = 8
+_HOT = 1000
+_OFTEN = 100_000
 _BASE = 0x9E3779B97F4A7C15 | 1
-_WEIGHTS = np.array([pow(_BASE, i + 1, 1 << 64) for i in range(_BEFORE + LENGTH)], dtype=np.uint64)
 _POWERS = np.array([pow(_BASE, i, 1 << 64) for i in range(GRAM)], dtype=np.uint64)
 
 
@@ -77,8 +85,9 @@ def around(data: bytes, at: np.ndarray) -> tuple[np.ndarray, list[bytes], list[b
 
 
 def _common(a: np.ndarray, b: np.ndarray, hashes: np.ndarray, size: np.ndarray) -> np.ndarray:
-    """Longest common prefix of rows a and b, by binary search over equal prefix hashes."""
-    low, high = np.zeros(a.size, dtype=np.int64), np.minimum(size[a], size[b])
+    """Longest common prefix of rows a and b, by binary search over equal prefix hashes; equal rows need one look."""
+    high = np.minimum(size[a], size[b])
+    low = np.where(hashes[a, high] == hashes[b, high], high, 0)
     while (open_ := low < high).any():
         mid = (low + high + 1) >> 1
         same = hashes[a, mid] == hashes[b, mid]
@@ -151,108 +160,162 @@ def _rows(column: list[bytes], width: int) -> tuple[np.ndarray, np.ndarray]:
     return np.frombuffer(b"".join([b.ljust(width, b"\0") for b in column]), dtype=np.uint8).reshape(-1, width), size
 
 
-def covered(group: np.ndarray, before: list[bytes], after: list[bytes]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+def covered(group: np.ndarray, before: list[bytes], after: list[bytes], least: np.ndarray, most: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """For each anchor, how far before and after it bytes are covered, and whether its surroundings are new.
 
-    Rows of a group stand together, in the order of the texts. Covered is every string around the anchor
-    that a row before it has too; as each holds the anchor, they make one stretch. (0, 0): nothing.
-    Rows that equal an earlier one of their group, byte for byte, are done with at once; the rest is sorted.
+    Rows of a group stand together, in the order of the texts. Covered is every string that starts ``least`` to
+    ``most`` bytes before the anchor and that a row before it has too; as each holds the anchor, they
+    make one stretch. (0, 0): nothing.
     """
     n = len(group)
     x, x_size = _rows(before, _BEFORE)
     y, y_size = _rows(after, LENGTH)
-    number = np.cumsum(np.append(False, group[1:] != group[:-1])) if n else np.zeros(0, dtype=np.int64)
-    key = (x * _WEIGHTS[:_BEFORE]).sum(1, dtype=np.uint64) + (y * _WEIGHTS[_BEFORE:]).sum(1, dtype=np.uint64)
-    key = _mixed(key + np.uint64(_BASE) * (number * 65_536 + x_size * 256 + y_size).astype(np.uint64))
-    _, first, inverse = np.unique(key, return_index=True, return_inverse=True)
-    head = first[inverse]
-    same = (head != np.arange(n)) & (number == number[head]) & (x_size == x_size[head]) & (y_size == y_size[head])
-    same[same] = (x[same] == x[head[same]]).all(1) & (y[same] == y[head[same]]).all(1)
-    most, least, fresh = x_size.copy(), np.maximum(LENGTH - y_size, 0), ~same
-    hit = same & (most >= least)
-    rest = np.flatnonzero(~same & (np.bincount(number, weights=~same) > 1)[number]) if n else number
-    if rest.size:
-        most[rest], least[rest], fresh[rest] = _sorted_cover(group[rest], x[rest], x_size[rest], y[rest], y_size[rest])
-        hit[rest] = most[rest] >= 0
-    return np.where(hit, most, 0), np.where(hit, LENGTH - least, 0), fresh
-
-
-def _sorted_cover(group: np.ndarray, x: np.ndarray, x_size: np.ndarray, y: np.ndarray, y_size: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Largest and smallest reach before the anchor of a string seen in an earlier row (-1: none), and new surroundings."""
-    n = len(group)
-    classes = [suffix_sort(x, x_size, group), suffix_sort(y, y_size, group)]
-    most, least = np.full(n, -1, dtype=np.int64), np.full(n, LENGTH, dtype=np.int64)
-
-    def number(which: int, length: int) -> np.ndarray:
-        order, lcp = classes[which]
-        out = np.empty(n, dtype=np.int64)
+    x_size, y_size = np.minimum(x_size, most), np.minimum(y_size, LENGTH - least)
+    new = np.append(True, group[1:] != group[:-1])[:n]
+    number = np.cumsum(new) - 1
+    order_x, lcp_x = suffix_sort(x, x_size, group)
+    order_y, lcp_y = suffix_sort(y, y_size, group)
+    alike = _equal(order_x, lcp_x, x_size) * (n + 1) + _equal(order_y, lcp_y, y_size)
+    _, first, inverse = np.unique(alike, return_index=True, return_inverse=True)
+    fresh = first[inverse] == np.arange(n)
+    far, near = np.minimum(x_size, most), np.maximum(LENGTH - y_size, least)  # what an earlier row of equal surroundings covers
+    hit = ~fresh & (far >= near)
+    rest = fresh & (np.bincount(number, weights=fresh, minlength=1) > 1)[number]
+    if rest.any():
+        far[rest], near[rest] = _partly(rest, (order_x, lcp_x, x_size), (order_y, lcp_y, y_size), least, most)
+        hit[rest] = far[rest] >= 0
+    return np.where(hit, far, 0), np.where(hit, LENGTH - near, 0), fresh
+
+
+def _equal(order: np.ndarray, lcp: np.ndarray, size: np.ndarray) -> np.ndarray:
+    """Numbers of the rows, alike for sorted neighbours that agree throughout."""
+    sorted_size = size[order]
+    out = np.empty(order.size, dtype=np.int64)
+    out[order] = np.cumsum((lcp != sorted_size) | (np.append(-1, sorted_size[:-1]) != sorted_size)) if order.size else 0
+    return out
+
+
+def _partly(rest: np.ndarray, ahead: tuple, behind: tuple, least: np.ndarray, most: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Largest and smallest reach before the anchor, of the rows of ``rest``, of a string seen in an earlier one of them (-1: none)."""
+    rows = np.flatnonzero(rest)
+    far, near = np.full(rest.size, -1, dtype=np.int64), np.full(rest.size, LENGTH, dtype=np.int64)
+    sides = []
+    for order, lcp, size in (ahead, behind):  # common prefixes of the rows of rest, which stay in their order
+        kept = np.flatnonzero(rest[order])
+        sides.append((order[kept], np.minimum.reduceat(lcp[: kept[-1] + 1], np.append(0, kept[:-1] + 1)) if kept.size else lcp[:0], size))
+
+    def number(side: tuple, length: int) -> np.ndarray:
+        order, lcp, _ = side
+        out = np.empty(rest.size, dtype=np.int64)
         out[order] = np.cumsum(lcp < length)
         return out
 
-    for d in range(_BEFORE + 1):
-        valid = np.flatnonzero((x_size >= d) & (y_size >= LENGTH - d))
-        key = number(0, d)[valid] * (n + 1) + number(1, LENGTH - d)[valid]
+    for d in range(int(least[rows].min()), int(most[rows].max()) + 1):
+        valid = rows[(sides[0][2][rows] >= d) & (sides[1][2][rows] >= LENGTH - d) & (least[rows] <= d) & (d <= most[rows])]
+        key = number(sides[0], d)[valid] * (rest.size + 1) + number(sides[1], LENGTH - d)[valid]
         _, first, inverse = np.unique(key, return_index=True, return_inverse=True)
         again = valid[first[inverse] != np.arange(valid.size)]
-        most[again] = d
-        least[again] = np.minimum(least[again], d)
-    whole = np.stack([number(0, _BEFORE), number(1, LENGTH), x_size, y_size], axis=1)
-    fresh = np.zeros(n, dtype=bool)
-    fresh[np.unique(whole, axis=0, return_index=True)[1]] = True
-    return most, least, fresh
+        far[again] = d
+        near[again] = np.minimum(near[again], d)
+    return far[rows], near[rows]
 
 
-def _in_blocks(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[pa.Table, int]]:
-    """Tables of whole groups of sorted anchors, and how many rows at their start were seen before.
+def narrowed(h: int, least: int, most: int, before: bytes, after: bytes) -> Iterator[tuple[int, int, int]]:
+    """The parts of a range of starts, with a hash of the bytes that all strings of the part share; none where the text is too short."""
+    step = -(-(most - least + 1) // _PARTS)
+    for a in range(least, most + 1, step):
+        b = min(a + step - 1, most)
+        if len(before) >= a and len(after) >= LENGTH - b:
+            yield xxhash.xxh64_intdigest(struct.pack("<qhh", h, a, b) + before[:a] + after[: LENGTH - b]) - (1 << 63), a, b
 
-    A group beyond a block goes on with the rows of different surroundings seen so far at its start.
+
+def _judged(batches: Iterator[pa.RecordBatch], block: int) -> Iterator[tuple[pa.Table, np.ndarray | None, np.ndarray | None]]:
+    """Sorted anchors in blocks of whole groups, and how far before and after each is covered.
+
+    A group beyond a block goes on with one row of each surroundings seen so far, marked as judged. Where these
+    would fill half a block, they and the rest of their group come out with None: they are to be narrowed.
     """
-    held, n, old, limit = [], 0, 0, _BLOCK
+
+    def judge(table: pa.Table):
+        h, least, most = (table[c].to_numpy() for c in ("h", "least", "most"))
+        left, right, fresh = covered(h, table["before"].to_pylist(), table["after"].to_pylist(), least, most)
+        return left, np.where(table["judged"].to_numpy(zero_copy_only=False), 0, right), fresh
+
+    held, n, over = [], 0, None
     for batch in batches:
+        if over is not None:
+            at = int(np.searchsorted(batch.column("h").to_numpy() != over, True)) if batch.num_rows else 0
+            if at:
+                yield pa.Table.from_batches([batch.slice(0, at)]), None, None
+            batch = batch.slice(at)
+            over = None if batch.num_rows else over
         if not batch.num_rows:
             continue
         held.append(batch)
         n += batch.num_rows
-        if n < limit:
+        if n < block:
             continue
         table = pa.Table.from_batches(held).combine_chunks()
         cut = _last_start(table, ["h"])
         if cut:
-            yield table.slice(0, cut), old
-            rest, old = table.slice(cut), 0
+            part, rest = table.slice(0, cut), table.slice(cut)
+            yield part, *judge(part)[:2]
         else:
-            yield table, old
-            group = np.zeros(n, dtype=np.int64)
-            fresh = covered(group, table["before"].to_pylist(), table["after"].to_pylist())[2]
+            left, right, fresh = judge(table)
+            yield table, left, right
             rest = table.filter(pa.array(fresh))
-            old = rest.num_rows
+            seen = rest.schema.get_field_index("judged")
+            rest = rest.set_column(seen, rest.schema.field(seen), pa.array(np.ones(rest.num_rows, dtype=bool)))
+            if rest.num_rows > block // 2:
+                over = table["h"][0].as_py()
+                yield rest, None, None
+                rest = rest.slice(0, 0)
         held, n = rest.combine_chunks().to_batches(), rest.num_rows
-        limit = max(_BLOCK, 2 * old)
-    if n > old:
-        yield pa.Table.from_batches(held).combine_chunks(), old
+    if n:
+        table = pa.Table.from_batches(held).combine_chunks()
+        yield table, *judge(table)[:2]
 
 
 def repeated_spans(docs: DataFrame) -> DataFrame:
     """Stretches (doc_id, _k, start, stop) of the texts of ``docs`` (doc_id, _k, text) that occur earlier."""
     small_batches(docs.sparkSession)
     id_field = docs.schema["doc_id"]
+    field = lambda name, kind: T.StructField(name, kind())
+    block = _BLOCK
 
     def find(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        names, often, total = ["doc_id", "at", "h", "salt"], {}, 0  # often: strings that repeat within batches of this task
         for batch in batches:
             found = [anchors((t or "").encode()) for t in batch.column(1).to_pylist()]
             row = np.repeat(np.arange(len(found)), [len(a) for a, _ in found])
             at = np.concatenate([a for a, _ in found]) if found else np.zeros(0, np.int64)
-            h = np.concatenate([h for _, h in found]) if found else np.zeros(0, np.uint64)
-            _, first, inverse, count = np.unique(h, return_index=True, return_inverse=True, return_counts=True)
-            salt = np.where(count[inverse] > 1, np.where(first[inverse] == np.arange(h.size), -1, 1 + at % _SALTS), 0)
-            columns = [batch.column(0).take(pa.array(row)), pa.array(at.astype(np.int32)), pa.array(h.view(np.int64)), pa.array(salt.astype(np.int32))]
-            yield pa.RecordBatch.from_arrays(columns, ["doc_id", "at", "h", "salt"])
-
-    # salt: 0 once in its batch, -1 the one of several there that stands for them, above 0 the others, which needn't be counted
-    rows = docs.select("doc_id", "text").mapInArrow(find, T.StructType([id_field, T.StructField("at", T.IntegerType()), T.StructField("h", T.LongType()), T.StructField("salt", T.IntegerType())]))
+            h = (np.concatenate([h for _, h in found]) if found else np.zeros(0, np.uint64)).view(np.int64)
+            total += h.size
+            some, first, inverse, count = np.unique(h, return_index=True, return_inverse=True, return_counts=True)
+            known = np.array([x in often for x in some.tolist()], dtype=bool)
+            again = (count > 1) | known
+            stands = (first[inverse] == np.arange(h.size)) & ~known[inverse]
+            salt = np.where(again[inverse], np.where(stands, -1, 1 + at % _SALTS), 0)
+            for x, m in zip(some[again].tolist(), count[again].tolist(), strict=True):
+                often[x] = often.get(x, 0) + m
+            if len(often) > _OFTEN:
+                often = dict(sorted(often.items(), key=lambda e: -e[1])[: _OFTEN // 2])
+            yield pa.RecordBatch.from_arrays([batch.column(0).take(pa.array(row)), pa.array(at.astype(np.int32)), pa.array(h), pa.array(salt.astype(np.int32))], names)
+        hot = [(x, m) for x, m in often.items() if m > total / _HOT / 2]
+        yield pa.RecordBatch.from_arrays(
+            [pa.nulls(len(hot), field_type), pa.array([min(m, 2**31 - 1) for _, m in hot], pa.int32()), pa.array([x for x, _ in hot], pa.int64()), pa.array([-2] * len(hot), pa.int32())], names
+        )
+
+    # salt: 0 once in its batch, -1 the one of several in its task that stands for them, above 0 the others, which needn't be counted; -2 how many of a string a task has
+    field_type = to_arrow_type(id_field.dataType)
+    rows = docs.select("doc_id", "text").mapInArrow(find, T.StructType([T.StructField("doc_id", id_field.dataType), field("at", T.IntegerType), field("h", T.LongType), field("salt", T.IntegerType)]))
     together = Window.partitionBy("h", F.greatest("salt", F.lit(0)))
     twice = rows.withColumn("n", F.count("*").over(together)).where("n > 1 or salt <> 0")
-    flagged = materialize(twice.groupBy(F.col("doc_id").alias("_d")).agg(F.collect_set("at").alias("at")), "suffix-anchors")  # the document's anchors
+    counted = F.when(F.col("salt") == -2, F.col("h"))
+    flagged = twice.groupBy(F.col("doc_id").alias("_d"), counted.alias("_h")).agg(F.collect_set("at").alias("at"), F.sum("at").alias("n"))  # the document's anchors
+    flagged = materialize(flagged, "suffix-anchors")
+    total = flagged.where("_h is null").agg(F.sum(F.size("at"))).first()[0] or 0
+    hot = {r[0] for r in flagged.where((F.col("_h").isNotNull()) & (F.col("n") > max(block, total // _HOT))).select("_h").collect()}  # about _HOT at most
 
     def look(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -271,73 +334,111 @@ def repeated_spans(docs: DataFrame) -> DataFrame:
                 hashes.append(h)
                 before += b
                 after += a
-            at, h = np.concatenate(place), np.concatenate(hashes)
-            salt, stop = np.zeros(at.size, dtype=np.int32), np.zeros(at.size, dtype=np.int32)
-            _, inverse, count = np.unique(h, return_inverse=True, return_counts=True)
-            seen: set = set()
-            for k in np.flatnonzero(count[inverse] > 1).tolist():  # in the order of the texts
-                same = (h[k], before[k], after[k])
-                if same in seen:
-                    most, least = len(before[k]), max(LENGTH - len(after[k]), 0)
-                    salt[k], before[k], after[k] = 1 + at[k] % _SALTS, None, None
-                    at[k], stop[k] = (at[k] - most, at[k] + LENGTH - least) if most >= least else (at[k], at[k])
-                else:
-                    seen.add(same)
-            take = pa.array(row, pa.int64())
+            at, h, row = np.concatenate(place), np.concatenate(hashes).view(np.int64), np.array(row, dtype=np.int64)
+            order = np.argsort(h, kind="stable")  # the texts of a string in their order
+            stop, live = np.zeros(at.size, dtype=np.int64), np.ones(at.size, dtype=bool)
+            bounds = starts(h[order])
+            several = np.flatnonzero(np.diff(bounds) > 1)
+            picked = np.concatenate([order[bounds[g] : bounds[g + 1]] for g in several]) if several.size else order[:0]
+            for lo in range(0, picked.size, block):  # a group cut in two is only settled less
+                some = picked[lo : lo + block]
+                left, right, fresh = covered(h[some], [before[k] for k in some], [after[k] for k in some], np.zeros(some.size, dtype=np.int64), np.full(some.size, _BEFORE))
+                done = some[~fresh]
+                live[done] = False
+                stop[done] = at[done] + right[~fresh]
+                at[done] -= left[~fresh]
+            alive = np.flatnonzero(live)
+            split = np.isin(h[alive], list(hot)) if hot else np.zeros(alive.size, dtype=bool)
+            done, whole = np.flatnonzero(~live & (stop > at)), alive[~split]
+            parts = [(k, *p) for k in alive[split].tolist() for p in narrowed(int(h[k]), 0, _BEFORE, before[k], after[k])]
+            yield _laid(batch, row, at, before, after, whole, h[whole], np.zeros(whole.size), np.full(whole.size, _BEFORE))
+            yield _laid(batch, row, at, before, after, *(np.array([p[i] for p in parts], dtype=np.int64) for i in range(4)))
+            take = pa.array(row[done])
+            none = pa.nulls(done.size, pa.binary())
             yield pa.RecordBatch.from_arrays(
                 [
-                    pa.array(h.view(np.int64)), pa.array(salt), batch.column(0).take(take), batch.column(1).take(take),
-                    pa.array(at.astype(np.int32)), pa.array(stop), pa.array(before, pa.binary()), pa.array(after, pa.binary()),
+                    pa.array(h[done]), pa.array((1 + at[done] % _SALTS).astype(np.int32)), batch.column(0).take(take), batch.column(1).take(take), pa.array(at[done].astype(np.int32)),
+                    pa.array(stop[done].astype(np.int32)), *(pa.array(np.zeros(done.size, dtype=np.int32)) for _ in range(2)), pa.array(np.zeros(done.size, dtype=bool)), none, none,
                 ],
-                ["h", "salt", "doc_id", "_k", "at", "stop", "before", "after"],
+                _NAMES,
             )
 
-    numbers = lambda *names: [T.StructField(c, T.IntegerType()) for c in names]
-    schema = T.StructType(
-        [T.StructField("h", T.LongType()), *numbers("salt"), id_field, T.StructField("_k", T.LongType()), *numbers("at", "stop"), T.StructField("before", T.BinaryType()), T.StructField("after", T.BinaryType())]
-    )
-    met = docs.join(flagged, docs["doc_id"].eqNullSafe(flagged["_d"])).select("doc_id", "_k", "text", "at").mapInArrow(look, schema)
-    met = met.repartition("h", "salt").sortWithinPartitions("h", "salt", "doc_id", "_k", "at")
+    numbers = [field(c, T.IntegerType) for c in ("at", "stop", "least", "most")]
+    schema = T.StructType([field("h", T.LongType), field("salt", T.IntegerType), id_field, field("_k", T.LongType), *numbers, field("judged", T.BooleanType), field("before", T.BinaryType), field("after", T.BinaryType)])
+    met = docs.join(flagged.where("_h is null"), docs["doc_id"].eqNullSafe(flagged["_d"])).select("doc_id", "_k", "text", "at").mapInArrow(look, schema)
+
+    def narrow(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            fields = [batch.column(c).to_pylist() for c in ("h", "least", "most", "before", "after")]
+            parts = [(i, *p) for i, row in enumerate(zip(*fields, strict=True)) for p in narrowed(*row)]
+            i, h, least, most = (np.array([p[c] for p in parts], dtype=np.int64) for c in range(4))
+            take = pa.array(i)
+            new = {"h": pa.array(h), "least": pa.array(least.astype(np.int32)), "most": pa.array(most.astype(np.int32))}
+            yield pa.RecordBatch.from_arrays([new[c] if c in new else batch.column(c).take(take) for c in _NAMES], _NAMES)
 
     def cover(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        names, settled = ["doc_id", "_k", "start", "stop"], []
+        settled = []
 
         def open_() -> Iterator[pa.RecordBatch]:
             last = None
             for batch in batches:
-                salt = batch.column(1).to_numpy()
-                done = batch.filter(pa.array((salt > 0) & (batch.column(5).to_numpy() > batch.column(4).to_numpy())))
-                settled.append(pa.RecordBatch.from_arrays([done.column(i) for i in (2, 3, 4, 5)], names))
+                salt = batch.column("salt").to_numpy()
+                settled.append(batch.filter(pa.array(salt > 0)))
                 live = batch.filter(pa.array(salt == 0))
                 if live.num_rows:  # rows of a repeated document stand together
-                    before = live.slice(0, 1) if last is None else last
-                    h, k, at = (np.concatenate([before.column(i).to_numpy(), live.column(i).to_numpy()]) for i in (0, 3, 4))
+                    prior = live.slice(0, 1) if last is None else last
+                    h, k, at = (np.concatenate([prior.column(c).to_numpy(), live.column(c).to_numpy()]) for c in ("h", "_k", "at"))
                     same = (h[1:] == h[:-1]) & (k[1:] == k[:-1]) & (at[1:] == at[:-1])
                     same[0] &= last is not None
                     for i in np.flatnonzero(same).tolist():
-                        same[i] = live.column(2)[i] == (live.column(2)[i - 1] if i else before.column(2)[0])
+                        same[i] = live.column("doc_id")[i] == (live.column("doc_id")[i - 1] if i else prior.column("doc_id")[0])
                     last = live.slice(live.num_rows - 1)
                     yield live.filter(pa.array(~same))
 
-        for table, old in _in_blocks(open_()):
+        for table, left, right in _judged(open_(), block):
             while settled:
                 yield settled.pop()
-            h = table["h"].to_numpy()
-            group = np.cumsum(np.append(False, h[1:] != h[:-1]))
-            left, right, _ = covered(group, table["before"].to_pylist(), table["after"].to_pylist())
-            hit = np.flatnonzero(right > 0)
-            hit = hit[hit >= old]
-            at = table["at"].to_numpy()[hit]
-            take = pa.array(hit)
-            yield pa.RecordBatch.from_arrays(
-                [table["doc_id"].combine_chunks().take(take), table["_k"].combine_chunks().take(take), pa.array((at - left[hit]).astype(np.int32)), pa.array((at + right[hit]).astype(np.int32))], names
-            )
+            table = table.combine_chunks()
+            if left is None:
+                out = table.set_column(table.schema.get_field_index("stop"), "stop", pa.array(np.full(table.num_rows, -1, dtype=np.int32)))
+            else:
+                hit = np.flatnonzero(right > 0)
+                out, none = table.take(pa.array(hit)), pa.nulls(hit.size, pa.binary())
+                at = out["at"].to_numpy()
+                new = {"at": pa.array((at - left[hit]).astype(np.int32)), "stop": pa.array((at + right[hit]).astype(np.int32)), "before": none, "after": none}
+                out = pa.table([new[c] if c in new else out[c] for c in _NAMES], _NAMES)
+            yield from out.to_batches()
         yield from settled
 
-    spans = T.StructType([id_field, T.StructField("_k", T.LongType()), T.StructField("start", T.IntegerType()), T.StructField("stop", T.IntegerType())])
-    found = materialize(met.mapInArrow(cover, spans), "suffix-spans")
-    discard(flagged)
-    return found
+    found = []
+    while True:
+        dealt = met.repartition("h", "salt").sortWithinPartitions("h", "salt", "doc_id", "_k", "at")
+        part = materialize(dealt.mapInArrow(cover, schema), "suffix-spans")
+        if not found:
+            discard(flagged)
+        found.append(part.where("stop >= 0").select("doc_id", "_k", F.col("at").alias("start"), "stop"))
+        over = part.where("stop < 0")
+        if over.isEmpty():
+            break
+        met = over.mapInArrow(narrow, schema)
+    return functools.reduce(DataFrame.union, found)
+
+
+_NAMES = ["h", "salt", "doc_id", "_k", "at", "stop", "least", "most", "judged", "before", "after"]
+
+
+def _laid(batch: pa.RecordBatch, row: np.ndarray, at: np.ndarray, before: list[bytes], after: list[bytes], which: np.ndarray, h: np.ndarray, least: np.ndarray, most: np.ndarray) -> pa.RecordBatch:
+    """The anchors ``which``, to be grouped by ``h``."""
+    take, n = pa.array(row[which]), which.size
+    zero = pa.array(np.zeros(n, dtype=np.int32))
+    some = which.tolist()
+    return pa.RecordBatch.from_arrays(
+        [
+            pa.array(h), zero, batch.column(0).take(take), batch.column(1).take(take), pa.array(at[which].astype(np.int32)), zero, pa.array(least.astype(np.int32)),
+            pa.array(most.astype(np.int32)), pa.array(np.zeros(n, dtype=bool)), pa.array([before[k] for k in some], pa.binary()), pa.array([after[k] for k in some], pa.binary()),
+        ],
+        _NAMES,
+    )
 
 
 def cut(data: bytes, spans: list[tuple[int, int]]) -> tuple[bytes, list[tuple[int, int]]]:

@@ -192,7 +192,7 @@ def spans_by_force(rows):
     return out
 
 
-@pytest.mark.parametrize("block", [suffixes._BLOCK, 7])
+@pytest.mark.parametrize("block", [suffixes._BLOCK, 40, 7, 2])
 def test_repeated_strings_equal_brute_force(spark, monkeypatch, block):
     monkeypatch.setattr(suffixes, "_BLOCK", block)
     r = random.Random(4)
@@ -202,6 +202,9 @@ def test_repeated_strings_equal_brute_force(spark, monkeypatch, block):
         t = "".join(r.choice([r.choice(passages), r.choice(passages)[r.randrange(50) :], "".join(r.choice("abcdefg ") for _ in range(r.randrange(90)))]) for _ in range(r.randrange(5)))
         rows.append((i, t))
     rows += [(30, "ab" * 700), (31, "a" * 500), (32, None), (33, rows[3][1])]
+    common_part, scrap = "".join(r.choice("xyz") for _ in range(70)), lambda n: "".join(r.choice("pq") for _ in range(n))
+    rows += [(40 + i, scrap(80) + common_part[:32] + scrap(80)) for i in range(40)]  # one hot string, surroundings that differ
+    rows += [(90 + i, scrap(3) + common_part + passages[i % 3][:29] + scrap(r.randrange(20))) for i in range(40)]
     out = suffixes.remove_repeats(docs(spark, [(i, t, None, None, 0) for i, t in rows])).collect()
     assert {x["doc_id"]: (x["n_bytes"], x["n_removed"], x["n_spans"], x["kept_sha256"]) for x in out} == spans_by_force(rows)
 
