@@ -7,7 +7,8 @@ for byte, and removed everywhere but at their first place.
 
 Only hashes are exchanged until a chunk is known to repeat; then the texts are exchanged by document to
 cut out the bytes to compare, and once more to remove what repeats. Counts and first places are partial
-aggregates, so a chunk that a third of all documents share reaches a task as one row per map task.
+aggregates, so a chunk that a third of all documents share reaches a task as one row per map task. What they
+say is joined back by place, never by chunk: places that aren't the only one, and those that aren't the first.
 """
 
 from __future__ import annotations
@@ -19,6 +20,7 @@ from .common import barrier, discard, materialize
 
 _MOD = (1 << 31) - 1
 _BASE = 1_000_003
+NEW = ("n_lines", "n_removed", "kept_text")
 
 #: The same over DuckDB.
 SQL = """
@@ -72,36 +74,49 @@ def _joined(docs: DataFrame, lists: DataFrame, how: str) -> DataFrame:
 
 
 def remove_repeats(docs: DataFrame, text: str = "text") -> DataFrame:
-    """Append n_lines, n_removed (lines) and kept_text to ``docs``.
+    """Append n_lines, n_removed (lines) and kept_text to ``docs``, in place of columns of those names.
 
     The first place of a chunk is in the smallest doc_id (a null one before all), and there the first
     chunk. A text of one chunk that repeats is removed wholly: kept_text is empty. A null text has no
     lines and kept_text null. A single line is never a chunk to remove. Rows that repeat both id and text
-    are one document and treated alike. Columns of ``docs`` whose names start with an underscore, or are
-    those appended, are not supported.
+    are one document and treated alike. Other columns pass through, whatever their names.
     """
-    keyed = docs.withColumn("_k", F.xxhash64("doc_id", text))
+    columns = [c for c in docs.columns if c not in NEW]
+    column = lambda c: F.col(f"`{c}`")
+    keyed = docs.select(F.struct(*[column(c) for c in columns if c != text] or [F.lit(0)]).alias("_row"), "doc_id", F.xxhash64("doc_id", column(text)).alias("_k"), column(text).alias("_text"))
+    bare = keyed.select("doc_id", "_k", "_text")
     several = F.transform("_chunks", lambda c: F.when(c["n"] > 1, F.xxhash64(c["s"])))
-    index = with_chunks(keyed.select("doc_id", "_k", text), text).select("doc_id", "_k", F.posexplode(several).alias("c", "h"))
+    index = with_chunks(bare, "_text").select("doc_id", "_k", F.posexplode(several).alias("c", "h"))
     index = materialize(index.where("h is not null"), "line-chunks")
-    repeated = index.groupBy("h").agg(F.count("*").alias("n")).where("n > 1").select("h")
-    flagged = index.join(repeated, "h").groupBy("_k", F.col("doc_id").alias("_d")).agg(F.collect_set("c").alias("_c"))  # a list of the document's chunks
-    held = with_chunks(_joined(keyed.select("doc_id", "_k", text), flagged, "inner"), text)
+    place = F.struct("doc_id", "_k", "c")
+    only = index.groupBy("h").agg(F.min(place).alias("at"), F.count("*").alias("n")).where("n = 1").select("at")
+    flagged = _by_document(_other_places(index, only), "_c")
+    held = with_chunks(_joined(bare, flagged, "inner"), "_text")
     held = held.select("doc_id", "_k", F.explode("_c").alias("c"), "_chunks").select("doc_id", "_k", "c", F.get("_chunks", F.col("c"))["s"].alias("s"))
     held = materialize(held, "line-candidates")
-    place = F.struct("doc_id", "_k", "c")
-    first = held.groupBy("s").agg(F.min(place).alias("first"), F.count("*").alias("n")).where("n > 1")
-    again = held.join(first.select("s", "first"), "s").where(place > F.col("first"))
-    again = materialize(again.groupBy("_k", F.col("doc_id").alias("_d")).agg(F.collect_set("c").alias("_gone")), "line-repeats")
+    first = held.groupBy("s").agg(F.min(place).alias("at")).select("at")
+    again = materialize(_by_document(_other_places(held, first), "_gone"), "line-repeats")
     discard(index, held)
-    out = with_chunks(_joined(keyed, again, "left"), text)
+    out = with_chunks(_joined(keyed, again, "left"), "_text")
     gone = F.coalesce("_gone", F.array().cast("array<int>"))
     kept = F.filter("_chunks", lambda c, i: ~F.array_contains(gone, i))
     lines = lambda chunks: F.coalesce(F.aggregate(chunks, F.lit(0).cast("long"), lambda n, c: n + c["n"]), F.lit(0))
-    return barrier(
+    out = barrier(
         out.withColumn("_kept", kept)
         .withColumn("n_lines", lines(F.col("_chunks")))
         .withColumn("n_removed", F.col("n_lines") - lines(F.col("_kept")))
         .withColumn("kept_text", F.array_join(F.transform("_kept", lambda c: c["s"]), "\n"))
-        .drop("_k", "_chunks", "_gone", "_kept")
     )
+    return out.select(*[F.col("_text").alias(c) if c == text else F.col("_row")[c].alias(c) for c in columns], *NEW)
+
+
+def _other_places(rows: DataFrame, places: DataFrame) -> DataFrame:
+    """doc_id, _k and c of the rows that are at none of ``places`` (at)."""
+    other = places.select(F.col("at.doc_id").alias("_d"), F.col("at._k").alias("_k2"), F.col("at.c").alias("_c2"))
+    met = rows["doc_id"].eqNullSafe(other["_d"]) & (rows["_k"] == other["_k2"]) & (rows["c"] == other["_c2"])
+    return rows.join(other, met, "left_anti").select("doc_id", "_k", "c")
+
+
+def _by_document(places: DataFrame, name: str) -> DataFrame:
+    """The chunks of each document, in a list of at most its own."""
+    return places.groupBy("_k", F.col("doc_id").alias("_d")).agg(F.collect_set("c").alias(name))
