@@ -17,7 +17,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import components, deal_blocks, discard, local_roots, materialize, starts, whole_groups
+from .common import components, deal_blocks, discard, local_roots, materialize, small_batches, split_join, starts, whole_groups
 
 COSINE = 0.95
 RECALL = 0.99
@@ -44,9 +44,15 @@ def tables(n: int, cosine: float = COSINE, recall: float = RECALL) -> tuple[int,
 
 
 def codes(unit: np.ndarray, k: int, many: int) -> np.ndarray:
-    """Bucket of each row in each table, as a 64-bit mix of its cells."""
-    rng = np.random.default_rng([SEED, unit.shape[1]])
-    cells = np.floor((unit @ rng.standard_normal((unit.shape[1], k * many)) + rng.uniform(0, WIDTH, k * many)) / WIDTH)
+    """Bucket of each row in each table, as a 64-bit mix of its cells.
+
+    Vectors and directions are rounded so that all sums are exact in double precision; so a row's codes
+    are the same in whatever matrix it is.
+    """
+    rng, d = np.random.default_rng([SEED, unit.shape[1]]), unit.shape[1]
+    fine = 2.0 ** min(16, 29 - math.ceil(math.log2(max(d, 2))))
+    directions = np.round(rng.standard_normal((d, k * many)).clip(-8, 8) * fine) / fine
+    cells = np.floor((np.round(unit * 2.0**20) / 2.0**20 @ directions + rng.uniform(0, WIDTH, k * many)) / WIDTH)
     cells = cells.astype(np.int64).view(np.uint64).reshape(len(unit), many, k)
     out = np.zeros((len(unit), many), dtype=np.uint64)
     for i in range(k):
@@ -67,7 +73,7 @@ def _matrix(column: pa.Array, size: int) -> np.ndarray:
 
 
 def _unit(x: np.ndarray) -> np.ndarray:
-    return x / np.sqrt((x * x).sum(1, keepdims=True))
+    return x / np.sqrt(np.add.accumulate(x * x, axis=1)[:, -1:]) if x.shape[1] else x  # added up in one order
 
 
 def _pairs(x: np.ndarray, a: slice, b: slice, cosine: float) -> tuple[np.ndarray, np.ndarray]:
@@ -90,8 +96,10 @@ def near_duplicates(vectors: DataFrame, vec_id: str = "vec_id", vector: str = "e
     length never link. Rows that repeat an id are vectors of their own. A null id is never a
     component's; its row links, and is not kept.
     """
+    small_batches(vectors.sparkSession)
     cls = F.when(usable(vector), F.md5(F.col(vector).cast("string")))
     rows = vectors.select(F.col(vec_id).alias("vec_id"), F.col(vector).alias("v"), cls.alias("cls"))
+    ids = materialize(rows.select("vec_id", "cls"), "vectors-ids")
     classes = rows.where("cls is not null").groupBy("cls", "v").agg(F.count("*").alias("mult"), F.min("vec_id").alias("low"))
     classes = materialize(classes.withColumn("d", F.size("v")), "vectors")
     k, many = tables(classes.count(), cosine, recall)
@@ -155,7 +163,8 @@ def near_duplicates(vectors: DataFrame, vec_id: str = "vec_id", vector: str = "e
     discard(classes, forest)
     least = rooted.groupBy("root").agg(F.min("low").alias("component_id"))
     links = met.groupBy("cls").agg(F.sum("add").alias("add"))
-    named = rooted.join(least, "root").join(links, "cls", "left").select("cls", (F.col("mult") - 1 + F.coalesce("add", F.lit(0))).alias("n_links"), "component_id")
-    out = rows.select("vec_id", "cls").join(named, "cls", "left")
-    own = F.when(F.col("cls").isNull(), F.col("vec_id")).otherwise(F.col("component_id"))
-    return out.select("vec_id", F.coalesce("n_links", F.lit(0)).cast("long").alias("n_links"), own.alias("component_id"), F.coalesce(F.col("vec_id") == own, F.lit(False)).alias("kept"))
+    named = split_join(rooted, least, "root").join(links, "cls", "left").select("cls", (F.col("mult") - 1 + F.coalesce("add", F.lit(0))).alias("n_links"), "component_id")
+    named = materialize(named, "vectors-named")
+    alone = ids.where("cls is null").select("vec_id", F.lit(0).cast("long").alias("n_links"), F.col("vec_id").alias("component_id"))
+    linked = split_join(ids.where("cls is not null"), named, "cls").select("vec_id", "n_links", "component_id")
+    return linked.unionByName(alone).withColumn("kept", F.coalesce(F.col("vec_id") == F.col("component_id"), F.lit(False)))

@@ -18,7 +18,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import components, deal_blocks, discard, local_roots, materialize, small_batches, starts, whole_groups
+from .common import components, deal_blocks, discard, local_roots, materialize, small_batches, split_join, starts, whole_groups
 
 WORDS = 4
 BUDGET = 4
@@ -209,7 +209,8 @@ def groups(docs: DataFrame, words: int = WORDS, budget: int = BUDGET, keep: tupl
     rooted = materialize(rooted, "simhash-roots")
     discard(distinct, forest)
     least = rooted.groupBy("root").agg(F.min("low").alias("component_id"))
-    return prints.join(rooted.join(least, "root").select("fp", "root", "component_id"), "fp").select(*keep, "fp", "root", "component_id")
+    named = split_join(rooted, least, "root").select("fp", "root", "component_id")
+    return split_join(prints, named, "fp").select(*keep, "fp", "root", "component_id")
 
 
 def deduplicate(docs: DataFrame, words: int = WORDS, budget: int = BUDGET) -> DataFrame:

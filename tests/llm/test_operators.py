@@ -134,6 +134,13 @@ def test_line_chunks_odd_rows(spark):
     assert by[None, ODD[3][1]]["n_removed"] == 0 and by[4, ODD[3][1]]["n_removed"] == 3 and by[4, ODD[3][1]]["kept_text"] == ""
     assert by[6, ODD[7][1]]["kept_text"] == ODD[7][1]
     assert linechunks.remove_repeats(docs(spark, [])).count() == 0
+    odd = docs(spark)
+    for c in ("n_lines", "n_removed", "kept_text", "_k", "_d", "_c", "_chunks", "_row", "_text", "c", "s", "at", "a.b"):
+        odd = odd.withColumn(c, F.lit(c))
+    again = linechunks.remove_repeats(odd)
+    assert again.columns == [c for c in odd.columns if c not in linechunks.NEW] + list(linechunks.NEW)
+    rows = again.collect()
+    assert {(x["doc_id"], x["text"], x["kept_text"]) for x in rows} == {(x["doc_id"], x["text"], x["kept_text"]) for x in out} and {x["_k"] + x["a.b"] for x in rows} == {"_ka.b"}
 
 
 def test_line_chunks_run_no_python(spark):
@@ -167,6 +174,26 @@ def test_vectors_in_blocks_count_each_pair_once(spark, monkeypatch):
     assert all(r["n_links"] == 49 and r["component_id"] == 0 for r in out)
 
 
+def test_codes_do_not_depend_on_the_matrix():
+    x = lsh._unit(np.random.default_rng(5).standard_normal((4000, 64)))
+    k, many = lsh.tables(10**6)
+    whole = lsh.codes(x, k, many)
+    assert (np.concatenate([lsh.codes(x[i : i + 7], k, many) for i in range(0, 4000, 7)]) == whole).all()
+    assert all((lsh.codes(lsh._unit(x[i : i + 1]), k, many) == lsh.codes(lsh._unit(x), k, many)[i]).all() for i in range(0, 4000, 401))
+
+
+def test_vectors_right_above_the_threshold_meet(spark):
+    """Pairs planted at cosine 0.951, at the default recall."""
+    rng = np.random.default_rng(6)
+    a = lsh._unit(rng.standard_normal((1000, 64)))
+    b = rng.standard_normal((1000, 64))
+    b = lsh._unit(b - (b * a).sum(1, keepdims=True) * a)
+    x = np.concatenate([a, 0.951 * a + np.sqrt(1 - 0.951**2) * b])
+    out = lsh.near_duplicates(clashing(spark.createDataFrame([(i, v.tolist()) for i, v in enumerate(x)], "vec_id long, embedding array<double>"))).collect()
+    assert len(out) == 2000 and {r["n_links"] for r in out} <= {0, 1}
+    assert sum(r["n_links"] for r in out) / 2000 >= 0.98
+
+
 def test_vectors_odd_rows(spark):
     nan, inf = float("nan"), float("inf")
     rows = [(1, None), (2, []), (3, [0.0, 0.0]), (4, [nan, 1.0]), (5, [inf, 1.0]), (6, [None, 1.0]), (7, [1.0, 0.0]), (8, [2.0, 0.0]), (8, [2.0, 0.0]), (None, [1.0, 0.0]), (9, [1.0, 0.0, 0.0]), (10, [-1.0, 0.0])]
