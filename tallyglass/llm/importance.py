@@ -1,11 +1,10 @@
 """Quality selection by importance resampling over hashed n-grams.
 
 Words, runs of marks and pairs of both are hashed into buckets, and two bag-of-n-gram models are
-estimated over them: one of the target text, one of all raw text. A document's log weight is the mean
-over its n-grams of the log ratio of the two models, times a fixed length, so that documents of any
-length compete evenly. A sample without replacement with probabilities in proportion to the weights is
-the k documents with the largest log weight plus Gumbel noise; the noise is a hash of the document's
-id, so a run can be repeated.
+estimated over them: one of the target text, one of all raw text. A document's log weight is the log
+ratio of what the two models give it, the sum over its n-grams. A sample without replacement with
+probabilities in proportion to the weights is the k documents with the largest log weight plus Gumbel
+noise; the noise is a hash of the document's id, so a run can be repeated.
 
 Both models are counted over all documents, in one pass without a shuffle of text; scoring is another.
 The target may be taken from a bounded sample of labelled rows.
@@ -31,9 +30,7 @@ BUCKETS = 1 << 18
 TARGETS = 20_000
 SHARE = 0.75
 #: Occurrences that both models get in every bucket beside those found, after raw counts are scaled to the target.
-SMOOTH = 20.0
-#: N-grams that every document counts as.
-LENGTH = 1000.0
+SMOOTH = 3.0
 SEED = 5
 _MEMO = 300_000
 _UNITS = re.compile(r"\w+|[^\w\s]+")
@@ -69,8 +66,8 @@ def models(docs: DataFrame, targets: DataFrame, buckets: int = BUCKETS) -> np.nd
     ids = targets.where("doc_id is not null").distinct()
     if ids.count() > TARGETS:
         raise ValueError(f"more than {TARGETS} target documents")
-    marked = docs.join(F.broadcast(ids.select("doc_id", F.lit(True).alias("_t"))), "doc_id", "left")  # TARGETS bounds it
-    rows = marked.where("text is not null").select("text", F.coalesce("_t", F.lit(False)).alias("t"))
+    marked = docs.select("doc_id", "text").join(F.broadcast(ids.select("doc_id", F.lit(True).alias("t"))), "doc_id", "left")  # TARGETS bounds it
+    rows = marked.where("text is not null").select("text", F.coalesce("t", F.lit(False)).alias("t"))
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         hasher, total = Hasher(buckets), {t: np.zeros(buckets, dtype=np.int64) for t in (True, False)}
@@ -93,27 +90,27 @@ def models(docs: DataFrame, targets: DataFrame, buckets: int = BUCKETS) -> np.nd
     return np.log((target + SMOOTH) / (raw * (target.sum() / max(raw.sum(), 1)) + SMOOTH))
 
 
-def gumbel(doc_id: int | None, seed: int) -> float:
-    """Standard Gumbel noise from a hash of the id."""
-    key = b"" if doc_id is None else struct.pack("<q", doc_id)
+def gumbel(doc_id: object, seed: int) -> float:
+    """Standard Gumbel noise from a hash of the id, a number or a text."""
+    key = b"" if doc_id is None else struct.pack("<q", doc_id) if isinstance(doc_id, int) else b"=" + str(doc_id).encode()
     u = (xxhash.xxh64_intdigest(key, seed) + 0.5) / 2.0**64
     return float(-np.log(-np.log(u)))
 
 
 def weigh(docs: DataFrame, ratio: np.ndarray, seed: int = SEED) -> DataFrame:
-    """doc_id, n_grams, mean_ratio (per n-gram), log_weight and key (log_weight with noise)."""
+    """doc_id, n_grams, mean_ratio (per n-gram), log_weight (their sum) and key (log_weight with noise)."""
     small_batches(docs.sparkSession)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         hasher = Hasher(len(ratio))
         for batch in batches:
             ids = batch.column(0).to_pylist()
-            n, mean = np.zeros(len(ids), dtype=np.int64), np.zeros(len(ids))
+            n, total = np.zeros(len(ids), dtype=np.int64), np.zeros(len(ids))
             for i, text in enumerate(batch.column(1).to_pylist()):
                 found = hasher(text or "")
-                n[i], mean[i] = found.size, ratio[found].sum() / max(found.size, 1)
+                n[i], total[i] = found.size, ratio[found].sum()
             noise = np.array([gumbel(i, seed) for i in ids])
-            columns = [batch.column(0), pa.array(n), pa.array(mean), pa.array(LENGTH * mean), pa.array(LENGTH * mean + noise)]
+            columns = [batch.column(0), pa.array(n), pa.array(total / np.maximum(n, 1)), pa.array(total), pa.array(total + noise)]
             yield pa.RecordBatch.from_arrays(columns, ["doc_id", "n_grams", "mean_ratio", "log_weight", "key"])
 
     fields = [("n_grams", T.LongType()), ("mean_ratio", T.DoubleType()), ("log_weight", T.DoubleType()), ("key", T.DoubleType())]
@@ -126,22 +123,33 @@ def top(rows: DataFrame, k: int, key: str = "key", tie: str = "doc_id") -> DataF
 
     The edge is found by counting, twelve bits of the ordered number at a time, so the driver sees 4096
     counts a round for any number of rows. Rows that tie in both are kept or not together, so more
-    than ``k`` may be kept then; a null ``tie`` comes first.
+    than ``k`` may be kept then; a null ``tie`` comes first; texts tie by a hash. A null key comes last.
     """
     if k <= 0:
         return rows.withColumn("kept", F.lit(False))
-    x = F.round(F.greatest(F.least(F.col(key), F.lit(1e12)), F.lit(-1e12)) * F.lit(float(1 << 20))).cast("long") + F.lit(1 << 61)
-    y = F.lit(1 << 61) - F.coalesce(F.col(tie).cast("long"), F.lit(-(1 << 61)))
-    held = rows.select(x.alias("x"), y.alias("y"))
-    edge_x, k = _edge(held, "x", k)
-    edge_y, _ = _edge(held.where(F.col("x") == edge_x), "y", k)
-    return rows.withColumn("kept", (x > edge_x) | ((x == edge_x) & (y >= edge_y)))
+    whole = isinstance(rows.schema[tie].dataType, T.IntegralType)
+    x = F.coalesce(F.col(key).cast("double"), F.lit(float("-inf"))) + F.lit(0.0)  # no negative zero
+    y = F.bitwise_not(F.coalesce(F.col(tie).cast("long") if whole else F.xxhash64(tie), F.lit(-(1 << 63)).cast("long")))
+
+    def order(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            bits = batch.column(0).to_numpy().view(np.int64)
+            yield pa.RecordBatch.from_arrays([pa.array(np.where(bits < 0, bits ^ np.int64(2**63 - 1), bits)), batch.column(1)], ["x", "y"])
+
+    held = rows.select(x.alias("x"), y.alias("y")).mapInArrow(order, "x long, y long")  # doubles as longs in the same order
+    edge, k = _edge(held, "x", k)
+    if edge is None:
+        return rows.withColumn("kept", F.lit(True))
+    least, _ = _edge(held.where(F.col("x") == edge), "y", k)
+    bits = np.int64(edge)
+    edge = float(np.array(bits ^ np.int64(2**63 - 1) if bits < 0 else bits).view(np.float64))
+    return rows.withColumn("kept", (x > edge) | ((x == edge) & (y >= least)))
 
 
-def _edge(rows: DataFrame, column: str, k: int) -> tuple[int, int]:
-    """The k-th largest of a column of longs from 0 on, and how many rows equal to it are among those k."""
+def _edge(rows: DataFrame, column: str, k: int) -> tuple[int | None, int]:
+    """The k-th largest of a column of longs, and how many rows equal to it are among those k; None: there are fewer rows."""
     low = 0
-    for shift in (51, 39, 27, 15, 3, 0):
+    for shift in (52, 40, 28, 16, 4, 0):
         counts = rows.groupBy(F.shiftright(column, shift).alias("p")).agg(F.count("*")).collect()
         for p, n in sorted(counts, reverse=True):
             low = p << shift
@@ -149,7 +157,7 @@ def _edge(rows: DataFrame, column: str, k: int) -> tuple[int, int]:
                 break
             k -= n
         else:
-            return -1, k  # fewer than k rows: all are kept
+            return None, k
         rows = rows.where(F.col(column).between(low, low + (1 << shift) - 1))
     return low, k
 
