@@ -5,7 +5,8 @@ its letters' vectors, each rotated by its place; a text is the sum of its trigra
 sum of its texts. A text gets the language whose vector has the largest cosine with its own.
 
 Sums are whole numbers, so the result doesn't depend on partitioning. Learning and predicting are each
-one pass over the texts without a shuffle of text; the driver holds one vector per language.
+one pass over the texts without a shuffle of text. Languages are a table of vectors; a pass takes
+``TOGETHER`` of them along, so beyond that many there is a pass for each so many.
 """
 
 from __future__ import annotations
@@ -18,10 +19,11 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import small_batches
+from .common import materialize, small_batches
 
 DIM = 1024
-MAX_LANGUAGES = 1024
+#: Languages that one pass over the texts compares with.
+TOGETHER = 1024
 UNKNOWN = "und"
 #: Letters from which on a text's score tells a known language from noise.
 LETTERS = 20
@@ -99,15 +101,13 @@ def _blocks(texts: list[str], most: int = 256, chars: int = 2_000_000) -> Iterat
         yield slice(start, len(texts))
 
 
-def learn(docs: DataFrame, text: str = "text", lang: str = "lang", dim: int = DIM) -> dict[str, np.ndarray]:
-    """Language prototypes from all rows with text and lang; rows with a null in either teach nothing.
-
-    The driver receives one vector per language. More than ``MAX_LANGUAGES`` languages are refused.
-    """
+def learn(docs: DataFrame, text: str = "text", lang: str = "lang", dim: int = DIM) -> DataFrame:
+    """Language prototypes (lang, v) from all rows with text and lang; rows with a null in either teach nothing."""
     small_batches(docs.sparkSession)
 
     def sums(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         encoder, total = Encoder(dim), {}
+        give = lambda: [pa.RecordBatch.from_arrays([pa.array([x] * dim), pa.array(np.arange(dim, dtype=np.int32)), pa.array(v)], ["lang", "i", "v"]) for x, v in total.items()]
         for batch in batches:
             texts, langs = batch.column(0).to_pylist(), batch.column(1).to_pylist()
             for part in _blocks(texts):
@@ -116,52 +116,60 @@ def learn(docs: DataFrame, text: str = "text", lang: str = "lang", dim: int = DI
                 found = encoder.bundle(texts[part], np.array([number[x] for x in langs[part]]), len(names))
                 for x, v in zip(names, found, strict=True):
                     total[x] = total.get(x, 0) + v.astype(np.int64)
-        for x, v in total.items():
-            yield pa.RecordBatch.from_arrays([pa.array([x] * dim), pa.array(np.arange(dim, dtype=np.int32)), pa.array(v)], ["lang", "i", "v"])
+            if len(total) > TOGETHER:
+                yield from give()
+                total.clear()
+        yield from give()
 
     rows = docs.select(F.col(text).alias("text"), F.col(lang).alias("lang")).where("text is not null and lang is not null")
     summed = rows.mapInArrow(sums, "lang string, i int, v long").groupBy("lang", "i").agg(F.sum("v").alias("v"))
     whole = summed.groupBy("lang").agg(F.sort_array(F.collect_list(F.struct("i", "v"))).alias("v"))  # dim entries a language
-    found = whole.select("lang", "v.v").limit(MAX_LANGUAGES + 1).collect()
-    if len(found) > MAX_LANGUAGES:
-        raise ValueError(f"more than {MAX_LANGUAGES} languages")
-    return {r[0]: np.array(r[1], dtype=np.float64) for r in sorted(found)}
+    return materialize(whole.select("lang", "v.v"), "languages")
 
 
-def predict(docs: DataFrame, prototypes: dict[str, np.ndarray], text: str = "text") -> DataFrame:
+def predict(docs: DataFrame, prototypes: DataFrame, text: str = "text") -> DataFrame:
     """Append ``lang_pred`` and ``score`` (the cosine, at least 0) to ``docs``.
 
     A null text, a text without a letter, and any text when nothing was learned get ``und`` and 0.
     Equal cosines go to the first language by name. Columns of ``docs`` of those names are replaced.
     """
     small_batches(docs.sparkSession)
-    names = sorted(prototypes)
-    dim = len(prototypes[names[0]]) if names else DIM
-    known = np.stack([prototypes[x] for x in names]) if names else np.zeros((0, dim))
-    known = known / np.maximum(np.sqrt((known**2).sum(1, keepdims=True)), 1e-300)
     docs = docs.drop("lang_pred", "score")
+    out = docs.select("*", F.lit(UNKNOWN).alias("lang_pred"), F.lit(0.0).alias("score"))
+    names = [r[0] for r in prototypes.select("lang").orderBy("lang").collect()]
+    for at in range(0, len(names), TOGETHER):
+        some = names[at : at + TOGETHER]
+        learned = {r[0]: np.array(r[1], dtype=np.float64) for r in prototypes.where(F.col("lang").between(some[0], some[-1])).collect()}
+        out = _nearer(materialize(out, "languages-so-far") if at else out, some, np.stack([learned[x] for x in some]), text)
+    return out.withColumn("score", F.greatest(F.lit(0.0), F.least(F.lit(1.0), "score")))
+
+
+def _nearer(docs: DataFrame, names: list[str], known: np.ndarray, text: str) -> DataFrame:
+    """``docs`` with lang_pred and score, where a language of ``names`` is nearer than the one so far, replaced."""
+    dim = known.shape[1]
+    known = known / np.maximum(np.sqrt((known**2).sum(1, keepdims=True)), 1e-300)
     fields = docs.columns
-    schema = T.StructType([*docs.schema.fields, T.StructField("lang_pred", T.StringType()), T.StructField("score", T.DoubleType())])
     at = fields.index(text)
 
     def label(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         encoder = Encoder(dim)
         lettered = lambda t: bool(t) and bool((encoder.letter[np.frombuffer(t.encode("utf-32-le", "surrogatepass"), dtype=np.uint32)] != 0).any())
         for batch in batches:
-            texts = batch.column(at).to_pylist()
-            got, scores = np.full(len(texts), -1), np.zeros(len(texts))
+            texts, got = batch.column(at).to_pylist(), batch.column(len(fields) - 2).to_pylist()
+            scores = np.where([x == UNKNOWN for x in got], -np.inf, batch.column(len(fields) - 1).to_numpy())
             for part in _blocks([t or "" for t in texts]):
-                rows = [i for i in range(part.start, part.stop) if names and lettered(texts[i])]
+                rows = [i for i in range(part.start, part.stop) if lettered(texts[i])]
                 if not rows:
                     continue
                 found = encoder.bundle([texts[i] for i in rows], np.arange(len(rows)), len(rows))
                 near = found @ known.T / np.maximum(np.sqrt((found**2).sum(1, keepdims=True)), 1e-300)
-                got[rows] = near.argmax(1)
-                scores[rows] = np.clip(near.max(1), 0, 1)
-            labels = pa.array([names[i] if i >= 0 else UNKNOWN for i in got])
-            yield pa.RecordBatch.from_arrays([*batch.columns, labels, pa.array(scores)], [*fields, "lang_pred", "score"])
+                for i, best, score in zip(rows, near.argmax(1).tolist(), near.max(1).tolist(), strict=True):
+                    if score > scores[i]:
+                        got[i], scores[i] = names[best], score
+            scores = np.where([x == UNKNOWN for x in got], 0.0, scores)
+            yield pa.RecordBatch.from_arrays([*batch.columns[:-2], pa.array(got, pa.string()), pa.array(scores)], fields)
 
-    return docs.mapInArrow(label, schema)
+    return docs.mapInArrow(label, docs.schema)
 
 
 def known(text: str = "text", dim: int = DIM):

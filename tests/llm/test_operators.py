@@ -3,6 +3,7 @@
 import base64
 import hashlib
 import itertools
+import math
 import os
 import random
 import re
@@ -73,6 +74,45 @@ def test_resampling_odd_rows(spark):
     assert importance.resample(docs(spark, []), labels).count() == 0
 
 
+def test_models_weights_and_kept_equal_brute_force(spark):
+    written = [(i, t, None, None, 0) for i, t in enumerate(texts(17, 50))]
+    labels = spark.createDataFrame([(i, i % 3 % 2, int(i % 5 == 0)) for i in range(0, 50, 2)], "doc_id long, quality int, toxic int")
+    good = {r[0] for r in labels.collect() if r[1] == 1 and r[2] == 0}
+
+    def grams(text):
+        words = re.findall(r"\w+|[^\w\s]+", text.lower())
+        h = [xxhash.xxh64_intdigest(w, importance.SEED) for w in words]
+        full = 2**64 - 1
+        pairs = []
+        for a, b in itertools.pairwise(h):
+            x = (a * 0x9E3779B97F4A7C15 & full) ^ (b + (b << 7 & full) & full)
+            pairs.append(((x ^ x >> 31) * 0x9E3779B97F4A7C15 & full) >> 20)
+        return [x % importance.BUCKETS for x in h + pairs]
+
+    raw, target, keys = {}, {}, {}
+    for i, t, *_ in written:
+        for g in grams(t):
+            raw[g] = raw.get(g, 0) + 1
+            target[g] = target.get(g, 0) + (i in good)
+    share = sum(target.values()) / sum(raw.values())
+    ratio = {g: math.log((target[g] + importance.SMOOTH) / (n * share + importance.SMOOTH)) for g, n in raw.items()}
+    weight = {i: sum(ratio[g] for g in grams(t)) for i, t, *_ in written}
+    for i in weight:
+        u = (xxhash.xxh64_intdigest(i.to_bytes(8, "little"), importance.SEED) + 0.5) / 2**64
+        keys[i] = weight[i] - math.log(-math.log(u))
+    want = set(sorted(keys, key=lambda i: (-keys[i], i))[:20])
+    out = importance.resample(docs(spark, written).repartition(3), labels, 0.4).collect()
+    assert {x["doc_id"] for x in out if x["kept"]} == want
+    for x in out:
+        assert math.isclose(x["log_weight"], weight[x["doc_id"]], abs_tol=1e-9) and math.isclose(x["key"], keys[x["doc_id"]], abs_tol=1e-9) and x["n_grams"] == len(grams(written[x["doc_id"]][1]))
+
+
+def test_resampling_takes_ids_of_text(spark):
+    rows = docs(spark, [(i, t, None, None, 0) for i, t in enumerate(texts(18, 10))]).withColumn("doc_id", F.concat(F.lit("d"), "doc_id"))
+    labels = spark.createDataFrame([("d1", 1, 0)], "doc_id string, quality int, toxic int")
+    assert importance.resample(rows.withColumn("t", F.lit(1)), labels, 0.5).where("kept").count() == 5
+
+
 def test_gumbel_top_k_draws_in_proportion():
     hits = np.zeros(3)
     logs = np.log([1, 2, 7])
@@ -84,7 +124,7 @@ def test_gumbel_top_k_draws_in_proportion():
 @pytest.mark.parametrize("k", [0, 1, 17, 99, 100, 200])
 def test_top_is_exact(spark, k):
     r = random.Random(k)
-    rows = [(i, r.choice([0.0, -3.5, 1e9, r.gauss(0, 100)])) for i in range(100)]
+    rows = [(i, r.choice([0.0, -0.0, -3.5, 1e300, 5e-324, 1 + 2**-50, 1.0, -1 - 2**-50, r.gauss(0, 100)])) for i in range(100)]
     got = {x["doc_id"] for x in importance.top(spark.createDataFrame(rows, "doc_id long, key double"), k).where("kept").collect()}
     assert got == {i for i, _ in sorted(rows, key=lambda x: (-x[1], x[0]))[:k]}
 
@@ -571,6 +611,32 @@ def test_language_id_odd_rows(spark):
     assert langid.identify(docs(spark, [])).count() == 0
 
 
+@pytest.mark.parametrize("together", [langid.TOGETHER, 1])
+def test_predictions_equal_brute_force(spark, monkeypatch, together):
+    monkeypatch.setattr(langid, "TOGETHER", together)
+    letters = langid.Encoder()
+    vector = lambda c: letters._random(ord(c) if c.isalpha() else 0).astype(np.int64)
+
+    def bundle(text):
+        t = re.sub(r" +", " ", "".join(c if c.isalpha() else " " for c in f" {text.lower()} "))
+        return sum((np.roll(vector(a), 2) * np.roll(vector(b), 1) * vector(c) for a, b, c in zip(t, t[1:], t[2:], strict=False)), np.zeros(langid.DIM, dtype=np.int64))
+
+    r = random.Random(19)
+    words = {"aa": "kalo mitu".split(), "bb": "sch Ung, eit".split(), "cc": "ción que ñe".split()}
+    rows = [(i, " ".join(r.choice(words[x]) for _ in range(8)), x, "s", 0) for i in range(30) for x in [sorted(words)[i % 3]]] + [(40, "Ünlike 12", "bb", "s", 0), (41, None, "aa", "s", 0), (42, "12 !", None, "s", 0), (43, "sch", None, "s", 0)]
+    held = {i for i, *_ in rows if zlib.crc32(str(i).encode()) % 4 == 2}
+    known = {x: sum((bundle(t) for i, t, y, *_ in rows if y == x and t and i not in held), np.zeros(langid.DIM, dtype=np.int64)).astype(float) for x in words}
+    got = {x["doc_id"]: x for x in langid.identify(docs(spark, rows).repartition(3)).collect()}
+    for i, t, *_ in rows:
+        if not t or not any(c.isalpha() for c in t):
+            assert (got[i]["lang_pred"], got[i]["score"]) == ("und", 0.0)
+            continue
+        b = bundle(t).astype(float)
+        cos = {x: float(b @ v / np.linalg.norm(b) / np.linalg.norm(v)) for x, v in known.items()}
+        best = max(sorted(cos), key=cos.get)
+        assert got[i]["lang_pred"] == best and math.isclose(got[i]["score"], max(0.0, cos[best]), abs_tol=1e-9)
+
+
 def test_bundles_are_sums_of_trigrams():
     e = langid.Encoder(64)
     got = e.bundle(["ab c"], np.array([0]), 1)[0]
