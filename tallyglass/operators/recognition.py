@@ -70,12 +70,23 @@ def unknown_share(read: DataFrame, cue: list[str]) -> DataFrame:
     return found.withColumn("phase", F.when(100 * F.col("unknown") > F.col("n"), "training").otherwise("inference"))
 
 
-def arbitrate(own: Column, teacher: Column, letters_ok: Column, repaired: Column | None = None) -> Column:
-    """(text, source) by precedence: an own complete reading, agreement, the teacher where letters are missing, a repair, a placeholder."""
+def arbitrate(own: Column, own_ok: Column, teacher: Column, teacher_fits: Column, own_filled: Column | None = None, repaired: Column | None = None) -> Column:
+    """(text, source) of a cue by precedence.
+
+    ``own`` is its own reading (tags and all), ``own_ok`` whether that is complete, ``own_filled`` the reading with only its unsure breaks taken from the
+    teacher. Without a teacher a complete reading stands. Where both have the same characters the own one decides styles; where they have the same letters,
+    the own one decides breaks; a teacher whose text misfits the glyphs (``teacher_fits`` false) gives way to a complete reading; else the teacher is
+    taken, its letters being arbitrated one by one. Then a repair, then a placeholder.
+    """
     pick = lambda text, source: F.struct(text.alias("text"), F.lit(source).alias("source"))
-    plain = lambda c: F.regexp_replace(c, r"\s", "")
-    choice = F.when(own.isNotNull() & (teacher.isNull() | (own == teacher)), pick(own, "own"))
-    choice = choice.when(letters_ok & own.isNotNull() & (plain(own) == plain(teacher)), pick(teacher, "spaces"))
+    bare = lambda c: F.regexp_replace(c, r"(?i)</?[biu]>", "")
+    letters = lambda c: F.regexp_replace(bare(c), r"\s", "")
+    done = own.isNotNull() & F.coalesce(own_ok, F.lit(False))
+    choice = F.when(done & (teacher.isNull() | (bare(own) == bare(teacher))), pick(own, "own"))
+    choice = choice.when(done & (letters(own) == letters(teacher)), pick(own, "spaces from geometry"))
+    if own_filled is not None:
+        choice = choice.when(own_filled.isNotNull() & (letters(own_filled) == letters(teacher)), pick(own_filled, "spaces filled"))
+    choice = choice.when(done & ~F.coalesce(teacher_fits, F.lit(True)), pick(own, "own against teacher"))
     choice = choice.when(teacher.isNotNull(), pick(teacher, "teacher"))
     if repaired is not None:
         choice = choice.when(repaired.isNotNull(), pick(repaired, "repaired"))
@@ -121,8 +132,9 @@ def resolve_words(words: DataFrame, lexicon: DataFrame, most: int = 64) -> DataF
 def greedy_batches(cues: DataFrame, size: int = BATCH) -> DataFrame:
     """The first ``size`` cues to ask about per file: each adds most unknown key occurrences for its length.
 
-    Rows (file, cue, n_glyphs, keys: array of unknown keys). A file's cues are chosen one after the other,
-    so a file is one group; the number of rounds is bounded by ``size``.
+    Rows (file, cue, n_glyphs, keys: array of the cue's unknown keys, one for each occurrence). A key weighs as much as it
+    occurs in the file. A file's cues are chosen one after the other, so a file is one group; the number of rounds is
+    bounded by ``size``.
     """
     def choose(frame: pd.DataFrame) -> pd.DataFrame:
         weight, left = Counter(k for ks in frame["keys"] for k in ks), {r.cue: (set(r.keys), r.n_glyphs) for r in frame.itertuples()}

@@ -153,14 +153,18 @@ def test_segment_align_learn_round_trip(spark):
     assert "".join(s[4] for s in merged["spans"]) == "helloworld"
     assert align.align(lines[0], "", 8) is None and align.align([], "", 8)["cost"] == 0
     rows = spark.createDataFrame([("f", 0, 0, lines[0], "hello world")], "file string, cue int, line int, glyphs array<struct<key:string,h:int,w:int,label:string,gap_after:int>>, text string")
-    seen = align.learn(rows, 8.0)
-    assert seen.count() == 10 and seen.select("key").distinct().count() == 7
+    seen = align.learn(rows, 8.0).collect()
+    votes = {(r["keys"][0], r["label"]) for r in seen if r["kind"] == "vote"}
+    assert len(votes) == 7 and {x for _, x in votes} == set("helowrd")  # one vote a cue
+    assert [r["label"] for r in seen if r["kind"] == "word"] == ["hello", "world"]
+    assert [r["is_space"] for r in seen if r["kind"] == "gap"] == [False] * 4 + [True] + [False] * 4
 
 
 def test_conflict_and_look_alike_costs():
     glyph = lambda label: {"key": "k", "w": 5, "label": label, "gap_after": 2}
     assert align.align([glyph("a")], "b", 8)["conflicts"] == 1
-    assert align.align([glyph("I")], "l", 8) == {"cost": 0.5, "conflicts": 0, "spans": [(0, 1, 0, 1, "l")]}
+    alike = align.align([glyph("I")], "l", 8)
+    assert (alike["cost"], alike["conflicts"], alike["soft"], alike["spans"]) == (0.5, 0, 0, [(0, 1, 0, 1, "l")])
 
 
 def test_segment_cues(spark):

@@ -30,9 +30,17 @@ def test_word_memory_needs_two_thirds(spark):
 
 
 def test_arbitration(spark):
-    rows = spark.createDataFrame([("a b", None, True), ("ab", "a b", True), ("ac", "a b", False), (None, None, False), ("x", "x", True)], "own string, teacher string, ok boolean")
-    got = [tuple(r[0]) for r in rows.select(R.arbitrate(F.col("own"), F.col("teacher"), F.col("ok"))).collect()]
-    assert got == [("a b", "own"), ("a b", "spaces"), ("a b", "teacher"), ("[?]", "placeholder"), ("x", "own")]
+    rows = spark.createDataFrame(
+        [
+            ("a b", True, None, None, None), ("<i>ab</i>", True, "ab", True, None), ("ab", True, "a b", True, None), (None, False, "a b", True, "a b"), ("ac", True, "a b", True, None),
+            ("ac", True, "a b", False, None), (None, False, None, None, None), ("x?", False, "xy", False, None),
+        ],
+        "own string, ok boolean, teacher string, fits boolean, filled string",
+    )
+    got = [tuple(r[0]) for r in rows.select(R.arbitrate(*map(F.col, ("own", "ok", "teacher", "fits", "filled")))).collect()]
+    assert got == [
+        ("a b", "own"), ("<i>ab</i>", "own"), ("ab", "spaces from geometry"), ("a b", "spaces filled"), ("a b", "teacher"), ("ac", "own against teacher"), ("[?]", "placeholder"), ("xy", "teacher"),
+    ]
 
 
 def test_gaps(spark):
