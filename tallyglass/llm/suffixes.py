@@ -86,20 +86,23 @@ def around(data: bytes, at: np.ndarray) -> tuple[np.ndarray, list[bytes], list[b
 
 def _common(a: np.ndarray, b: np.ndarray, hashes: np.ndarray, size: np.ndarray) -> np.ndarray:
     """Longest common prefix of rows a and b, by binary search over equal prefix hashes; equal rows need one look."""
-    high = np.minimum(size[a], size[b])
-    low = np.where(hashes[a, high] == hashes[b, high], high, 0)
-    while (open_ := low < high).any():
+    out = np.minimum(size[a], size[b])
+    open_ = np.flatnonzero(hashes[out, a] != hashes[out, b])
+    a, b, low, high = a[open_], b[open_], np.zeros(open_.size, dtype=np.int64), out[open_] - 1
+    while (low < high).any():
         mid = (low + high + 1) >> 1
-        same = hashes[a, mid] == hashes[b, mid]
-        low, high = np.where(open_ & same, mid, low), np.where(open_ & ~same, mid - 1, high)
-    return low
+        same = hashes[mid, a] == hashes[mid, b]
+        low, high = np.where(same, mid, low), np.where(same, high, mid - 1)
+    out[open_] = low
+    return out
 
 
-def _less(a: np.ndarray, b: np.ndarray, x: np.ndarray, size: np.ndarray, hashes: np.ndarray) -> np.ndarray:
+def _order(a: np.ndarray, b: np.ndarray, x: np.ndarray, size: np.ndarray, hashes: np.ndarray) -> np.ndarray:
+    """Below, at or above 0 where row a comes before, equals or comes after row b."""
     n = _common(a, b, hashes, size)
     ended = n == np.minimum(size[a], size[b])
     at = np.minimum(n, x.shape[1] - 1)
-    return np.where(ended, size[a] < size[b], x[a, at] < x[b, at])
+    return np.where(ended, size[a] - size[b], x[a, at].astype(np.int64) - x[b, at])
 
 
 def suffix_sort(x: np.ndarray, size: np.ndarray, group: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -110,9 +113,9 @@ def suffix_sort(x: np.ndarray, size: np.ndarray, group: np.ndarray) -> tuple[np.
     once: a row's new place is its own within its run and its rank in the other run.
     """
     n = len(x)
-    hashes = np.zeros((n, x.shape[1] + 1), dtype=np.uint64)
-    for i in range(x.shape[1]):
-        hashes[:, i + 1] = hashes[:, i] * np.uint64(_BASE) + x[:, i] + np.uint64(1)
+    hashes = np.zeros((x.shape[1] + 1, n), dtype=np.uint64)
+    for i, column in enumerate(np.ascontiguousarray(x.T)):
+        hashes[i + 1] = hashes[i] * np.uint64(_BASE) + column + np.uint64(1)
     new = np.ones(n, dtype=bool)
     new[1:] = group[1:] != group[:-1]
     start = np.flatnonzero(new)
@@ -120,7 +123,11 @@ def suffix_sort(x: np.ndarray, size: np.ndarray, group: np.ndarray) -> tuple[np.
     first, last = np.repeat(start, count), np.repeat(start + count, count)
     order, width = np.arange(n), 1
     while width < (count.max() if n else 0):
-        live = np.flatnonzero(last - first > width)
+        heads = np.flatnonzero((last - first > width) & ((np.arange(n) - first) % (2 * width) == 0))  # left runs
+        heads = heads[heads + width < last[heads]]
+        heads = heads[_order(order[heads + width - 1], order[heads + width], x, size, hashes) > 0]  # others are in order as they are
+        length = np.minimum(2 * width, last[heads] - heads)
+        live = np.repeat(heads, length) + np.arange(length.sum()) - np.repeat(np.cumsum(length) - length, length)
         run = (live - first[live]) // width
         own = first[live] + run * width
         other = first[live] + (run ^ 1) * width
@@ -130,9 +137,8 @@ def suffix_sort(x: np.ndarray, size: np.ndarray, group: np.ndarray) -> tuple[np.
         while (open_ := low < high).any():
             k = np.flatnonzero(open_)
             mid = (low[k] + high[k]) >> 1
-            a, b = row[k], order[mid]
-            # equal rows: those of the left run first
-            up = np.where(right[k], ~_less(a, b, x, size, hashes), _less(b, a, x, size, hashes))
+            sign = _order(row[k], order[mid], x, size, hashes)
+            up = (sign > 0) | ((sign == 0) & right[k])  # equal rows: those of the left run first
             low[k], high[k] = np.where(up, mid + 1, low[k]), np.where(up, high[k], mid)
         order = order.copy()
         order[np.minimum(own, begin) + (live - own) + (low - begin)] = row
