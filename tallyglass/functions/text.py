@@ -66,3 +66,25 @@ def version_tuple(version: Column) -> Column:
     """Comparable (major, minor, patch) of a version; missing parts are 0."""
     found = F.regexp_extract_all(version, F.lit(r"(\d+)"), F.lit(1))
     return F.struct(*[F.coalesce(F.get(found, F.lit(i)).cast("int"), F.lit(0)).alias(x) for i, x in enumerate(("major", "minor", "patch"))])
+
+
+def count_cues(index: Column) -> Column:
+    """How many cues an index text lists: its timestamp lines."""
+    return F.regexp_count(index, F.lit(r"(?im)^timestamp:"))
+
+
+def superseded(name: Column) -> Column:
+    """(name, version) of a set's file that a newer one replaced, as in ``calm-sable.0.2.2.json``; null for any other name."""
+    pattern = r"^(.+?)\.(\d+(?:\.\d+)*)\.json$"
+    found = F.struct(F.regexp_extract(name, pattern, 1).alias("name"), F.regexp_extract(name, pattern, 2).alias("version"))
+    return F.when(name.rlike(pattern), found)
+
+
+def report_number(report: Column, field: str) -> Column:
+    """A whole number out of a JSON report; null where it isn't there."""
+    return F.get_json_object(report, f"$.{field}").cast("long")
+
+
+def user_hash(user: Column) -> Column:
+    """24 hex digits of SHA-256, in place of a user's name."""
+    return F.substring(F.sha2(user.cast("binary"), 256), 1, 24)

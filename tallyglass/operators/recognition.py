@@ -129,6 +129,36 @@ def resolve_words(words: DataFrame, lexicon: DataFrame, most: int = 64) -> DataF
     return words.join(ranked.where("rank = 1").select("id", F.when(sure, F.col("spelling")).alias("resolved")), "id", "left")
 
 
+# Marks around a word, and what a reading needs on the Zipf scale.
+MARKS = "\"'.,;:!?()[]{}-–—…«»„“”‚‘’¿¡"
+MIN_ZIPF, MIN_LEAD, REPAIR_LEAD = 1.0, 1.5, 2.0
+
+
+def core(word: Column) -> Column:
+    """A word without the marks around it."""
+    return F.btrim(word, F.lit(MARKS))
+
+
+def repair_words(words: DataFrame, lexicon: DataFrame, most: int = 64) -> DataFrame:
+    """Append repaired to words (id, parts: the text of each glyph): the spelling with I and l exchanged that the lexicon would rather have, else null.
+
+    ``lexicon`` (word, zipf, valid). Only parts of I and l alone are exchanged. A valid word stays; another spelling must be known, be a hundred times as
+    frequent as the word as read, and 30 times as the next.
+    """
+    swaps = F.expr("transform(parts, p -> if(p rlike '^[Il]+$', aggregate(split(p, ''), array(''), (done, c) -> if(c = '', done, flatten(transform(done, d -> array(concat(d, 'I'), concat(d, 'l')))))), array(p)))")
+    opened = words.select("id", F.array_join("parts", "").alias("read"), swaps.alias("options"))
+    small = opened.where((F.aggregate("options", F.lit(1).cast("long"), lambda n, c: n * F.size(c))).between(2, most))
+    grown = F.aggregate("options", F.array(F.lit("")), lambda done, c: F.flatten(F.transform(done, lambda d: F.transform(c, lambda x: F.concat(d, x)))))
+    spelled = small.select("id", "read", F.explode(grown).alias("spelling")).withColumn("_w", F.lower(core(F.col("spelling"))))
+    known = spelled.join(lexicon.select(F.col("word").alias("_w"), "zipf", "valid"), "_w", "left").withColumn("zipf", F.coalesce("zipf", F.lit(0.0)))
+    own = F.max(F.when(F.col("spelling") == F.col("read"), F.struct("zipf", F.coalesce("valid", F.lit(False)).alias("valid")))).alias("own")
+    others = F.sort_array(F.collect_list(F.when(F.col("spelling") != F.col("read"), F.struct("zipf", "spelling"))), asc=False).alias("others")  # ``most`` at most
+    found = known.groupBy("id").agg(own, others)
+    first, second = F.get("others", F.lit(0)), F.coalesce(F.get("others", F.lit(1))["zipf"], F.lit(0.0))
+    ok = ~F.col("own.valid") & (first["zipf"] >= MIN_ZIPF) & (first["zipf"] - F.col("own.zipf") >= REPAIR_LEAD) & (first["zipf"] - second >= MIN_LEAD)
+    return words.join(found.where(ok).select("id", first["spelling"].alias("repaired")), "id", "left")
+
+
 def greedy_batches(cues: DataFrame, size: int = BATCH) -> DataFrame:
     """The first ``size`` cues to ask about per file: each adds most unknown key occurrences for its length.
 

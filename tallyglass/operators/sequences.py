@@ -28,12 +28,11 @@ def words(rows: DataFrame, group: str, order: list[str], threshold: Column) -> D
 
 def context(rows: DataFrame, group: str, order: list[str], text: str, most: int = 12) -> DataFrame:
     """Append context: the last ``most`` texts before a row, without empty and missing ones."""
+    said = F.coalesce(F.col(text) != "", F.lit(False))
+    among = Window.partitionBy(group, said).orderBy(*order).rowsBetween(1 - most, 0)  # rows with text, by themselves
     before = Window.partitionBy(group).orderBy(*order).rowsBetween(Window.unboundedPreceding, -1)
-    return rows.withColumn("context", _tail(F.collect_list(F.nullif(F.col(text), F.lit(""))).over(before), most))
-
-
-def _tail(array: Column, most: int) -> Column:
-    return F.slice(array, F.greatest(F.size(array) - most, F.lit(0)) + 1, F.lit(most))
+    rows = rows.withColumn("_recent", F.when(said, F.collect_list(text).over(among)))
+    return rows.withColumn("context", F.coalesce(F.last("_recent", ignorenulls=True).over(before), F.array().cast("array<string>"))).drop("_recent")
 
 
 def inherit(rows: DataFrame, group: str, order: list[str], value: str) -> DataFrame:

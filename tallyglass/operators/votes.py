@@ -116,3 +116,24 @@ def guess_language(texts: DataFrame, key: str, text: str, stopwords: DataFrame,
     second = F.coalesce(F.get("all", F.lit(1)), F.lit(0))
     won = (F.col("b.n") >= least) & (2 * F.col("b.n") >= 3 * second)
     return texts.select(key).join(best.select(key, F.when(won, F.col("b.lang")).alias("language"), F.col("b.n").alias("hits")), key, "left").select(key, "language", F.coalesce("hits", F.lit(0)).alias("hits"))
+
+
+def first_samples(rows: DataFrame, key: str, order: list[str], fields: list[str]) -> DataFrame:
+    """Per key how often it occurs, n, and the fields of its first row."""
+    first = F.min_by(F.struct(*fields), F.struct(*order)).alias("_f")
+    return rows.groupBy(key).agg(F.count("*").alias("n"), first).select(key, "n", *[F.col("_f")[f].alias(f) for f in fields])
+
+
+def combined_style(geometry_no: Column, geometry_yes: Column, tags_no: Column, tags_yes: Column) -> Column:
+    """Whether a style holds: by geometry where that has an opinion, else by tags."""
+    return F.when(geometry_no != geometry_yes, geometry_yes > geometry_no).otherwise(tags_yes > tags_no)
+
+
+def track_fingerprint(glyphs: DataFrame, track: str, key: str, height: str) -> DataFrame:
+    """Per track: glyphs, unique keys, the thousandths of them seen once, the most frequent height (ties to the smaller), and how many keys repeat."""
+    counts = glyphs.groupBy(track, key).agg(F.count("*").alias("n"))
+    totals = counts.groupBy(track).agg(F.sum("n").alias("glyphs"), F.count("*").alias("unique"), F.count_if(F.col("n") == 1).alias("_once"))
+    tall = glyphs.groupBy(track, height).agg(F.count("*").alias("n"))
+    modal = tall.groupBy(track).agg(F.min_by(height, F.struct((-F.col("n")).alias("n"), F.col(height).alias("h"))).alias("modal_height"))
+    share = F.floor((1000 * F.col("_once") + F.floor(F.col("unique") / 2)) / F.col("unique")).cast("long")
+    return totals.join(modal, track).select(track, "glyphs", "unique", share.alias("once_permille"), "modal_height", (F.col("unique") - F.col("_once")).alias("repeated"))

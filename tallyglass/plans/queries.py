@@ -464,3 +464,67 @@ def alike_font(spark, sf_dir):
     seen = votes.count_votes(li, ["set", "cluster", "top_rel"], "l_returnflag")
     shapes = li.groupBy("set", "cluster").agg((F.min("l_partkey") % 300).cast("int").alias("h"), (F.max("l_partkey") % 300).cast("int").alias("w"))
     return answers.alike_font(seen, shapes, "A", "R")
+
+
+@query("""WITH c AS (SELECT l_suppkey, l_partkey, count(*) AS n FROM lineitem GROUP BY ALL), t AS (SELECT l_suppkey, CAST(sum(n) AS BIGINT) AS glyphs, count(*) AS "unique", count(*) FILTER (n = 1) AS once FROM c GROUP BY 1),
+h AS (SELECT l_suppkey, CAST(l_quantity AS BIGINT) AS h, count(*) AS n FROM lineitem GROUP BY ALL), m AS (SELECT l_suppkey, arg_min(h, struct_pack(n := -n, h := h)) AS modal_height FROM h GROUP BY 1)
+SELECT l_suppkey, glyphs, "unique", (1000 * once + "unique" // 2) // "unique" AS once_permille, modal_height, "unique" - once AS repeated FROM t JOIN m USING (l_suppkey)""")
+def track_fingerprint(spark, sf_dir):
+    rows = _read(spark, sf_dir, "lineitem").withColumn("h", F.col("l_quantity").cast("long"))
+    return votes.track_fingerprint(rows, "l_suppkey", "l_partkey", "h")
+
+
+@query("""SELECT l_partkey, count(*) AS n, arg_min(l_orderkey, struct_pack(o := l_orderkey, l := l_linenumber)) AS l_orderkey, CAST(arg_min(l_quantity, struct_pack(o := l_orderkey, l := l_linenumber)) AS DOUBLE) AS quantity FROM lineitem GROUP BY l_partkey""")
+def first_samples(spark, sf_dir):
+    rows = _read(spark, sf_dir, "lineitem").withColumn("quantity", F.col("l_quantity").cast("double"))
+    return votes.first_samples(rows, "l_partkey", ["l_orderkey", "l_linenumber"], ["l_orderkey", "quantity"])
+
+
+@query("""WITH c AS (SELECT l_suppkey, l_partkey, count(*) AS n FROM lineitem GROUP BY ALL), f AS (SELECT l_partkey, arg_min(n, l_suppkey) AS n FROM c GROUP BY 1)
+SELECT p_partkey, p_size + greatest(coalesce(n - 1, 0), 0) AS n FROM part LEFT JOIN f ON l_partkey = p_partkey""")
+def occurrence_credit(spark, sf_dir):
+    counts = _read(spark, sf_dir, "lineitem").groupBy("l_suppkey", F.col("l_partkey").alias("p_partkey")).agg(F.count("*").alias("n"))
+    shapes = _read(spark, sf_dir, "part").select("p_partkey", F.col("p_size").cast("long").alias("n"))
+    return merging.credit_occurrences(shapes, counts, "p_partkey", "l_suppkey")
+
+
+@query(f"""WITH {_E}, j AS (SELECT *, CASE WHEN event_type = 'error' THEN 'clear' ELSE 'vote' END AS op FROM e WHERE day NOT IN (SELECT day FROM e WHERE event_type = 'purchase' AND value > 99)),
+c AS (SELECT user_id, max(struct_pack(d := day, i := event_id)) AS c FROM j WHERE op = 'clear' GROUP BY 1)
+SELECT user_id, CAST(sum(CASE WHEN op = 'vote' AND (c IS NULL OR struct_pack(d := day, i := event_id) > c) THEN 1 ELSE 0 END) AS BIGINT) AS n FROM j LEFT JOIN c USING (user_id) GROUP BY user_id""")
+def journal_in_order(spark, sf_dir):
+    e = _events(spark, sf_dir)
+    journal = e.select(F.col("day").alias("run"), F.col("event_id").alias("seq_no"), "user_id", F.when(F.col("event_type") == "error", "clear").otherwise("vote").alias("op"), F.lit(1).cast("long").alias("n"))
+    return merging.replay_in_order(journal, e.where("event_type = 'purchase' and value > 99").select(F.col("day").alias("run")), ["user_id"])
+
+
+@query(f"""WITH {_E}, c AS (SELECT user_id, day, count(*) FILTER (event_type = 'click') AS a, count(*) FILTER (event_type = 'view') AS b, count(*) FILTER (event_type = 'error') AS x, count(*) FILTER (event_type = 'purchase') AS y FROM e GROUP BY ALL)
+SELECT user_id, day, CASE WHEN a <> b THEN b > a ELSE y > x END AS styled FROM c""")
+def style_by_geometry(spark, sf_dir):
+    n = lambda x: F.count_if(F.col("event_type") == x)
+    c = _events(spark, sf_dir).groupBy("user_id", "day").agg(n("click").alias("a"), n("view").alias("b"), n("error").alias("x"), n("purchase").alias("y"))
+    return c.select("user_id", "day", votes.combined_style(*map(F.col, "abxy")).alias("styled"))
+
+
+@query(f"""WITH RECURSIVE {_E}, o AS (SELECT event_id, user_id, v, lead(v) OVER w AS nxt, row_number() OVER w AS i FROM (SELECT *, CASE WHEN event_type IN ('click', 'view') THEN event_type END AS v FROM e) WINDOW w AS (PARTITION BY user_id ORDER BY ms, event_id)),
+f AS (SELECT event_id, user_id, i, coalesce(v, nxt) AS resolved FROM o WHERE i = 1
+ UNION ALL SELECT o.event_id, o.user_id, o.i, CASE WHEN v IS NOT NULL THEN v WHEN resolved IS NULL THEN nxt WHEN nxt IS NULL OR nxt = resolved THEN resolved END FROM f JOIN o ON o.user_id = f.user_id AND o.i = f.i + 1)
+SELECT event_id, user_id, resolved FROM f""")
+def neighbour_fold(spark, sf_dir):
+    rows = _events(spark, sf_dir).select("event_id", "user_id", "ms", F.when(F.col("event_type").isin("click", "view"), F.col("event_type")).alias("v"))
+    return limits.follow_neighbours(rows, "user_id", ["ms", "event_id"], "v").select("event_id", "user_id", "resolved")
+
+
+@query("SELECT event_id, CAST(json_extract(props, '$.k') AS BIGINT) AS k, CAST(json_extract(props, '$.none') AS BIGINT) AS missing FROM events")
+def report_numbers(spark, sf_dir):
+    return _read(spark, sf_dir, "events").select("event_id", text.report_number(F.col("props"), "k").alias("k"), text.report_number(F.col("props"), "none").alias("missing"))
+
+
+@query(f"WITH {_E} SELECT DISTINCT user_id, day FROM e WHERE event_type = 'purchase' EXCEPT SELECT user_id, day FROM e WHERE event_type = 'error'")
+def members_missing(spark, sf_dir):
+    e = _events(spark, sf_dir)
+    return merging.members_missing(e.where("event_type = 'purchase'"), e.where("event_type = 'error'"), "user_id", "day")
+
+
+@query("SELECT c_custkey, substr(sha256(c_name), 1, 24) AS who FROM customer")
+def user_hash(spark, sf_dir):
+    return _read(spark, sf_dir, "customer").select("c_custkey", text.user_hash(F.col("c_name")).alias("who"))

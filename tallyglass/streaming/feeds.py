@@ -15,15 +15,14 @@ def change_feed_stream(rows: DataFrame, key: str, order: str, value: str) -> Dat
 
     def step(keys: tuple, frames: Iterator[pd.DataFrame], state) -> Iterator[pd.DataFrame]:
         known, last = (True, state.get[0]) if state.exists else (False, None)
-        for frame in frames:
-            out = []
-            for r in frame.sort_values(order, kind="stable").itertuples():
-                now = getattr(r, value)
-                if not known or now != last:
-                    out.append((keys[0], getattr(r, order), now))
-                known, last = True, now
-            yield pd.DataFrame(out, columns=[key, order, value])
+        whole = pd.concat([f[[order, value]] for f in frames]).sort_values(order, kind="stable")  # a key's rows of one micro-batch
+        out = []
+        for at, now in zip(whole[order].tolist(), whole[value].tolist(), strict=True):
+            if not known or now != last:
+                out.append((keys[0], at, now))
+            known, last = True, now
         state.update((last,))
+        yield pd.DataFrame(out, columns=[key, order, value])
 
     schema = ", ".join(f"`{c}` {k}" for c, k in kinds.items())
     return rows.select(key, order, value).groupBy(key).applyInPandasWithState(step, schema, f"last {kinds[value]}", "append", "NoTimeout")
@@ -34,28 +33,46 @@ def expired(jobs: DataFrame, now: int, status: str = "status", seconds: str = "f
     return jobs.where(F.col(status).isin("done", "error") & (F.col(seconds) < now - after))
 
 
-def upsert_counters(batch: DataFrame, path: str, keys: list[str]) -> None:
-    """Add a micro-batch's counters to a table: for ``foreachBatch``. The table is read, merged and written beside.
+def _versions(spark, path: str) -> list[int]:
+    """Batches whose whole table of counters is there."""
+    path_of = spark.sparkContext._jvm.org.apache.hadoop.fs.Path
+    folder = path_of(path)
+    fs = folder.getFileSystem(spark._jsparkSession.sessionState().newHadoopConf())
+    if not fs.exists(folder):
+        return []
+    names = [s.getPath() for s in fs.listStatus(folder) if s.getPath().getName().startswith("v")]
+    return sorted(int(p.getName()[1:]) for p in names if fs.exists(path_of(p, "_SUCCESS")))
 
-    Each batch writes a new version folder; only one with its success mark counts, so a failed batch leaves
-    the version before in place.
+
+def upsert_counters(batch: DataFrame, batch_id: int, path: str, keys: list[str]) -> None:
+    """Add a micro-batch's counters to a table, once: for ``foreachBatch``.
+
+    A batch writes a folder named by its id: the newest one before it, and its own counts. Only one with its success mark
+    counts, so a batch that failed is written again, and one that is repeated after its write is skipped.
     """
     from ..operators.merging import additive_merge
 
     spark = batch.sparkSession
-    jvm = spark.sparkContext._jvm
-    fs = jvm.org.apache.hadoop.fs.Path(path).getFileSystem(spark._jsparkSession.sessionState().newHadoopConf())
-    folder = jvm.org.apache.hadoop.fs.Path(path)
-    versions = sorted(int(s.getPath().getName()[1:]) for s in fs.listStatus(folder) if s.getPath().getName().startswith("v") and fs.exists(jvm.org.apache.hadoop.fs.Path(s.getPath(), "_SUCCESS"))) if fs.exists(folder) else []
+    done = _versions(spark, path)
+    if batch_id in done:
+        return
     parts = [batch.groupBy(*keys).agg(F.sum("n").alias("n"))]
-    if versions:
-        parts.append(spark.read.parquet(f"{path}/v{versions[-1]}"))
-    additive_merge(parts, keys).write.mode("overwrite").parquet(f"{path}/v{(versions[-1] if versions else 0) + 1}")
+    if earlier := [v for v in done if v < batch_id]:
+        parts.append(spark.read.parquet(f"{path}/v{earlier[-1]}"))
+    additive_merge(parts, keys).write.mode("overwrite").parquet(f"{path}/v{batch_id}")
 
 
 def read_counters(spark, path: str) -> DataFrame:
     """The newest whole version of a table of counters."""
-    jvm = spark.sparkContext._jvm
-    fs = jvm.org.apache.hadoop.fs.Path(path).getFileSystem(spark._jsparkSession.sessionState().newHadoopConf())
-    names = [s.getPath().getName() for s in fs.listStatus(jvm.org.apache.hadoop.fs.Path(path)) if fs.exists(jvm.org.apache.hadoop.fs.Path(s.getPath(), "_SUCCESS"))]
-    return spark.read.parquet(f"{path}/v{max(int(n[1:]) for n in names if n.startswith('v'))}")
+    return spark.read.parquet(f"{path}/v{_versions(spark, path)[-1]}")
+
+
+def replay_and_follow(spark, path: str, schema: str, job: str | None = None) -> DataFrame:
+    """A stream of the events (JSON lines) that a folder holds and of those that come, of one job or all: a new reader gets what was missed first."""
+    rows = spark.readStream.schema(schema).option("maxFilesPerTrigger", 1000).json(path)
+    return rows if job is None else rows.where(F.col("job_id") == job)
+
+
+def every(stream: DataFrame, seconds: float, action, checkpoint: str):
+    """Start a query that calls ``action`` (batch, batch_id) with what came, so many seconds apart: the ticker of a queue."""
+    return stream.writeStream.trigger(processingTime=f"{seconds} seconds").option("checkpointLocation", checkpoint).foreachBatch(action).start()

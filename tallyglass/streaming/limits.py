@@ -11,7 +11,7 @@ from collections.abc import Callable, Iterator
 
 import pandas as pd
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -90,22 +90,38 @@ def cooldown(rows: DataFrame, key: str, seconds: str, throttled: str, order: lis
     return fold(rows, key, order, [seconds, throttled], lambda: {"ok": False, "pause": 0, "until": -(1 << 62)}, step, [("pause", T.IntegerType())])
 
 
+def follow_neighbours(rows: DataFrame, key: str, order: list[str], value: str) -> DataFrame:
+    """Append resolved: a missing value becomes its neighbours' where all that are known agree, from left to right.
+
+    The neighbour before counts as already resolved, the one after as it was; so a run of missing values fills from
+    its left end as long as nothing after contradicts.
+    """
+    after = F.lead(value).over(Window.partitionBy(key).orderBy(*order))
+
+    def step(s: list, own, following):
+        near = {x for x in (s[0], following) if x is not None}
+        s[0] = own if own is not None else near.pop() if len(near) == 1 else None
+        return (s[0],)
+
+    out = fold(rows.withColumn("_after", after), key, order, [value, "_after"], lambda: [None], step, [("resolved", rows.schema[value].dataType)])
+    return out.drop("_after")
+
+
 def rate_limit_stream(rows: DataFrame, key: str, seconds: str, cap: int, window: int) -> DataFrame:
-    """:func:`rate_limit` over a stream: key, seconds, accepted. State is the accepted times, ``cap`` at most."""
+    """:func:`rate_limit` over a stream: key, seconds, accepted. Rows of a key are judged in the order of their seconds
+    within a micro-batch, and after those of earlier ones. State is the accepted times, ``cap`` at most."""
     kind = rows.schema[key].dataType.simpleString()
 
     def step(keys: tuple, frames: Iterator[pd.DataFrame], state) -> Iterator[pd.DataFrame]:
-        held = list(state.get[0]) if state.exists else []
-        for frame in frames:
-            frame = frame.sort_values(seconds, kind="stable")
-            out = []
-            for now in frame[seconds].tolist():
-                held = [t for t in held if t >= now - window]
-                out.append(len(held) < cap)
-                if out[-1]:
-                    held.append(now)
-            yield pd.DataFrame({key: keys[0], seconds: frame[seconds].to_numpy(), "accepted": out})
+        held, out = list(state.get[0]) if state.exists else [], []
+        times = sorted(t for frame in frames for t in frame[seconds].tolist())  # a key's rows of one micro-batch
+        for now in times:
+            held = [t for t in held if t >= now - window]
+            out.append(len(held) < cap)
+            if out[-1]:
+                held.append(now)
         state.update((held,))
+        yield pd.DataFrame({key: [keys[0]] * len(times), seconds: times, "accepted": out})
 
     grouped = rows.select(key, F.col(seconds).cast("long").alias(seconds)).groupBy(key)
     return grouped.applyInPandasWithState(step, f"`{key}` {kind}, `{seconds}` long, accepted boolean", "held array<long>", "append", "NoTimeout")

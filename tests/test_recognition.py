@@ -84,3 +84,53 @@ def test_index_and_report(spark):
     assert {tuple(r) for r in R.index_with_notes(scanned, old, ["release"], ["notes"]).collect()} == {("r", 5, "mine"), ("s", 6, "")}
     rows = spark.createDataFrame([("f", "own"), ("f", "own"), ("f", "teacher")], "file string, source string")
     assert json.loads(R.report(rows, "file").first()["report"]) == {"by_source": {"own": 2, "teacher": 1}, "cues": 3}
+
+
+def test_repair_needs_a_non_word_and_a_clear_lead(spark):
+    lexicon = spark.createDataFrame([("idee", 5.0, True), ("ldee", 1.5, False), ("ill", 4.5, True), ("lll", 0.5, False), ("ali", 4.0, False), ("all", 4.5, False)], "word string, zipf double, valid boolean")
+    words = spark.createDataFrame([(1, ["l", "d", "e", "e"]), (2, ["I", "l", "l"]), (3, ["a", "I", "i"]), (4, ["x", "y"]), (5, ["(", "l", "d", "e", "e", ")"]), (6, ["l"] * 9), (7, ["lll"]), (8, ["a", "I", "I"])], "id long, parts array<string>")
+    got = {r["id"]: r["repaired"] for r in R.repair_words(words, lexicon).collect()}
+    # 2 is a word; 6 has too many spellings; 8 has two, 'all' and 'alI', nearly as frequent
+    assert got == {1: "Idee", 2: None, 3: "ali", 4: None, 5: "(Idee)", 6: None, 7: "Ill", 8: None}
+
+
+def naive_batches(cues, size):
+    weight, covered, left, out = {}, set(), dict(cues), []
+    for _, keys in cues.values():
+        for k in keys:
+            weight[k] = weight.get(k, 0) + 1
+    while left and len(out) < size:
+        best = min(left, key=lambda c: (-sum(weight[k] for k in set(left[c][1]) - covered) / (1 + 0.02 * left[c][0]), c))
+        covered |= set(left.pop(best)[1])
+        out.append(best)
+    return out
+
+
+def test_batches_equal_a_naive_choice_and_weigh_occurrences(spark):
+    import random
+
+    r = random.Random(3)
+    cues = {f: {c: (r.randrange(1, 40), [r.choice("abcdefghij") for _ in range(r.randrange(6))]) for c in range(12)} for f in ("f", "g")}
+    rows = spark.createDataFrame([(f, c, n, k) for f, x in cues.items() for c, (n, k) in x.items()], "file string, cue long, n_glyphs int, keys array<string>")
+    got = {}
+    for x in R.greedy_batches(rows, 7).orderBy("batch_no").collect():
+        got.setdefault(x["file"], []).append(x["cue"])
+    assert got == {f: naive_batches(x, 7) for f, x in cues.items()}
+
+
+def test_census_equals_a_naive_fold(spark):
+    import random
+
+    r = random.Random(4)
+    pool = {f: [f"{f}{i}" for i in range(14)] for f in "xy"}
+    tracks = {t: ("xy"[t % 2], set(r.sample(pool["xy"[t % 2]], r.randrange(2, 9)))) for t in range(24)}
+    want = {}
+    for f in "xy":
+        leaders = []
+        for t in sorted((t for t in tracks if tracks[t][0] == f), key=lambda t: (-len(tracks[t][1]), t)):
+            lead = next((x for x in leaders if 2 * len(tracks[x][1] & tracks[t][1]) >= len(tracks[t][1])), None)
+            want[t] = t if lead is None else lead
+            leaders += [t] if lead is None else []
+    rows = spark.createDataFrame([(t, f) for t, (f, _) in tracks.items()], "track long, frame string")
+    keys = spark.createDataFrame([(t, k) for t, (_, ks) in tracks.items() for k in ks], "track long, key string")
+    assert {x["track"]: x["leader"] for x in R.census_groups(rows, keys, "frame").collect()} == want and len(set(want.values())) < 24
