@@ -1,6 +1,7 @@
 import random
 
 import pytest
+from pyspark.sql import functions as F
 
 import corpus_pipeline
 from tallyglass.llm import langid, packing, queries
@@ -37,6 +38,30 @@ def test_language_stage_rejects_unlearned_scripts(spark):
     assert {x["doc_id"] for x in out.collect()} == {*range(20), 50}
 
 
+def test_stages_take_odd_rows_and_clashing_columns(spark, tmp_path):
+    english = "the cat sat on the mat and slept all day while the dog ran far away and ate some fish near token = 'abcdefabcdefabcdefabcdef'"
+    rows = [(i, f"{english} number {i}\nand line {i} of it\nthird {i}", "en", "s", 0) for i in range(20)]
+    rows += [rows[3]] * 2 + [(None, rows[3][1], "en", None, None), (4, "the dog ran over the hill and far away to the mat of the cat", None, "s", 1), (50, None, None, None, None), (51, "", "en", "s", 0), (52, " ".join([english] * 3000), "en", "s", 0)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, lang string, source string, n_chars long")
+    names = ["kept_text", "n_lines", "lang_pred", "score", "masked", "spans", "fp", "_k", "_k2", "h", "rest", "set", "root", "a.b"]
+    for c in names:
+        docs = docs.withColumn(c, F.lit(c))
+    columns, counts = docs.columns, []
+    for k, (name, stage) in enumerate(corpus_pipeline.STAGES[:-1]):
+        docs = stage(spark, docs, "")
+        assert docs.columns == columns
+        docs.write.parquet(str(tmp_path / str(k)))
+        docs = spark.read.parquet(str(tmp_path / str(k)))
+        found = docs.collect()
+        counts.append(len(found))
+        assert all(x[c] == c for x in found for c in names)
+    assert counts[0] == len(rows) - 2 and counts[3] == counts[2] <= counts[1] <= counts[0]
+    texts = {x["doc_id"]: x["text"] for x in found}
+    assert "<SECRET>" in texts[0] and texts[52].count("<SECRET>") == 3000
+    packed = corpus_pipeline.pack(spark, docs, "").groupBy("doc_id").count().collect()
+    assert {x["doc_id"] for x in packed} == set(texts)
+
+
 def test_empty_table(spark, tmp_path):
     spark.createDataFrame([], "doc_id long, text string, lang string, source string, n_chars long").write.parquet(str(tmp_path / "documents.parquet"))
     assert corpus_pipeline.run(spark, str(tmp_path)).count() == 0
