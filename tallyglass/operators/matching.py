@@ -6,6 +6,10 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 
+#: A token is hot that makes more than one in so many of all.
+HOT = 1000
+
+
 def nearest_lookup(facts: DataFrame, reference: DataFrame, key: str, fact_id: str, value: str, ref_id: str, ref_value: str, tolerance: float) -> DataFrame:
     """For each fact the reference row of its key nearest in value, within ``tolerance``; ties to the smaller ref_id. Facts without one are left out."""
     met = facts.join(reference, key).withColumn("_off", F.abs(F.col(value) - F.col(ref_value))).where(F.col("_off") <= tolerance)
@@ -27,8 +31,12 @@ def near_join(sets: DataFrame, carry: str, permille: int = 120) -> DataFrame:
     Two such sets share so many tokens that the rarest few of each have one in common: sets meet on
     those (prefix filtering), so common tokens never make a group. The ratio is compared in whole numbers.
     """
-    often = sets.select(F.explode("tokens").alias("token")).groupBy("token").agg(F.count("*").alias("f"))
-    ranked = sets.select("class_id", "size", F.explode("tokens").alias("token")).join(often, "token")
+    tokens = sets.select("class_id", "size", F.explode("tokens").alias("token"))
+    often = tokens.groupBy("token").agg(F.count("*").alias("f"))
+    least = (sets.agg(F.sum("size")).first()[0] or 0) // HOT
+    hot, rest = often.where(F.col("f") > least), often.where(F.col("f") <= least)  # HOT hot ones at most, so they are broadcast and no token is a task
+    known = tokens.join(F.broadcast(hot), "token", "left")
+    ranked = known.where("f is not null").unionByName(known.where("f is null").drop("f").join(rest, "token"))
     order = F.row_number().over(Window.partitionBy("class_id").orderBy("f", "token"))
     # overlap o >= (1 - r/2) * mean size, and the other set has at least (1 - r/2) / (1 + r/2) of this one's size
     share = (2000 - permille) / (2000 + permille)

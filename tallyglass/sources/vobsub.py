@@ -1,6 +1,7 @@
 """Caption tracks: the text index as a DataFrame, subpicture units as nested rows, and a data source for pairs.
 
-``spark.read.format("vobsub")`` reads .idx/.sub pairs, one task a pair, into one row per subpicture.
+``read_vobsub`` reads .idx/.sub pairs from any file system of Spark's into one row per subpicture;
+``spark.read.format("vobsub")`` reads those of a folder that executors can open, one task a pair.
 """
 
 from __future__ import annotations
@@ -11,9 +12,12 @@ from collections.abc import Iterator
 from dataclasses import dataclass, field
 
 import numpy as np
+import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 from pyspark.sql.datasource import DataSource, DataSourceReader, InputPartition
+from pyspark.sql.pandas.types import to_arrow_schema
 
 from ..operators.sequences import fill_end_times
 
@@ -180,8 +184,10 @@ def decode_unit(unit: bytes, palette: list[tuple[int, int, int]]) -> dict:
 
 
 def cues(name: str, index: bytes, data: bytes, track: int) -> Iterator[tuple]:
-    """Rows of ``CUES`` for one track; units that can't be read leave holes in the numbers, ends may be null."""
+    """Rows of ``CUES`` for one track; units that can't be read leave holes in the numbers, ends may be null; no rows for a track that isn't there."""
     _, palette, tracks = parse_index(index.decode("latin-1"))
+    if track >= len(tracks):
+        return
     chosen = tracks[track]
     for number, (ms, place) in enumerate(chosen.entries):
         unit = demux(data, place, chosen.stream)
@@ -226,8 +232,28 @@ class _Reader(DataSourceReader):
             yield from cues(os.path.basename(partition.path), i.read(), d.read(), self.track)
 
 
+def pair_files(spark: SparkSession, path: str) -> DataFrame:
+    """Rows (base, idx, sub) of the index and picture files under ``path``, which any of Spark's file systems may hold; one is null where it is missing."""
+    places = [path, path[: -len(".idx")] + ".sub"] if path.endswith(".idx") else [path]
+    files = spark.read.format("binaryFile").option("pathGlobFilter", "*.{idx,sub}").load(places).select("path", "content")
+    content = lambda end: F.first(F.when(F.col("path").endswith(end), F.col("content")), ignorenulls=True).alias(end[1:])
+    return files.groupBy(F.regexp_replace("path", r"\.(idx|sub)$", "").alias("base")).agg(content(".idx"), content(".sub"))
+
+
 def read_vobsub(spark: SparkSession, path: str, track: int = 0) -> DataFrame:
-    """Cues of all pairs at ``path``, with missing and overlong ends filled."""
-    spark.dataSource.register(VobSub)
-    rows = spark.read.format("vobsub").option("track", track).load(path)
-    return fill_end_times(rows, "file", ["cue"])
+    """Cues of all pairs at ``path``, with missing and overlong ends filled; a file without its partner gives none (see :func:`pair_files`)."""
+    kinds = to_arrow_schema(T.StructType.fromDDL(CUES))
+
+    def decode(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for base, index, data in zip(*(batch.column(i).to_pylist() for i in range(3)), strict=True):
+                rows = []
+                for row in cues(os.path.basename(base) + ".idx", index, data, track):
+                    cue = dict(zip(kinds.names, row, strict=True))
+                    cue["image"] = dict(zip(("h", "w", "px"), cue["image"], strict=True))
+                    cue["colors"] = [dict(zip("rgb", c, strict=True)) for c in cue["colors"]]
+                    rows.append(cue)
+                yield pa.RecordBatch.from_pylist(rows, schema=kinds)
+
+    whole = pair_files(spark, path).where("idx is not null and sub is not null")
+    return fill_end_times(whole.mapInArrow(decode, CUES), "file", ["cue"])

@@ -75,6 +75,15 @@ def test_decode_round_trip(spark, pair):
         assert np.array_equal(np.frombuffer(r["image"]["px"], np.uint8).reshape(r["image"]["h"], r["image"]["w"]), image)
 
 
+def test_odd_files_give_no_rows(spark, pair):
+    folder, _ = pair
+    (folder / "lonely.idx").write_text(INDEX)
+    (folder / "other.sub").write_bytes(b"\0")
+    assert vobsub.read_vobsub(spark, str(folder)).count() == 2 and vobsub.read_vobsub(spark, str(folder), track=7).count() == 0
+    assert vobsub.read_vobsub(spark, str(folder / "a.idx")).select("file").distinct().collect()[0][0] == "a.idx"
+    assert {(r["base"].rsplit("/", 1)[1], r["idx"] is None, r["sub"] is None) for r in vobsub.pair_files(spark, str(folder)).collect()} == {("a", False, False), ("lonely", False, True), ("other", True, False)}
+
+
 def test_truncated_unit_and_missing_sub(spark, pair, tmp_path):
     unit = encode_unit(np.zeros((4, 4), np.uint8))
     assert vobsub.demux(packets(unit)[:-3], 0, 0) == unit[:-3]
@@ -224,5 +233,12 @@ def test_glyph_sets(spark, tmp_path):
     row = shapes.first()
     assert (row["cluster"], row["n"], bytes(row["bits"])) == ("k1", 2, b"\xff")
     assert tuple(seen.first()) == ("s", "k1", 0, "a", 2) and sequences_.first()["parts"] == ["k1", "k1"]
+    (tmp_path / "private").mkdir()
+    side = {"learned_sources": ["a", "b"], "words": {"k1|k1": {"w": 2}}, "interim": {"shapes": [{"key": "k1", "variants": [{"top_rel": 0, "votes": {"a": 1, "b": 1}}]}]}}
+    (tmp_path / "private" / "s.json").write_text(json.dumps(side))
+    (tmp_path / "private" / "t.json").write_text("{}")
+    sources, words, interim = glyphsets.read_private(spark, str(tmp_path / "private"))
+    assert {tuple(r) for r in sources.collect()} == {("s", "a"), ("s", "b")} and [tuple(r) for r in words.collect()] == [("s", ["k1", "k1"], "w", 2)]
+    assert {(r["label"], r["n"]) for r in glyphsets.with_interim(seen, interim).collect()} == {("a", 3), ("b", 1)}
     glyphsets.write_sets(seen, str(tmp_path / "out"))
     assert spark.read.parquet(str(tmp_path / "out")).count() == 1
