@@ -188,18 +188,22 @@ def greedy_batches(cues: DataFrame, size: int = BATCH) -> DataFrame:
 def census_groups(tracks: DataFrame, keys: DataFrame, frame: str, least_permille: int = 500) -> DataFrame:
     """Tracks that share most of their glyphs: rows (track, leader), largest track first within a frame size.
 
-    A track joins the first leader that covers ``least_permille`` of its keys; else it leads. Shares are counted for
-    all pairs with a common key in one join; the ordered choice folds over a frame's tracks alone.
+    A track joins the first leader that covers ``least_permille`` of its keys; else it leads. A leader has one of the rarest few keys of such a track, so
+    tracks meet on those (prefix filtering) and common keys make no group; then their key sets are compared. The ordered choice folds over a frame's
+    tracks alone.
     """
-    sized = keys.groupBy("track").agg(F.countDistinct("key").alias("n"))
-    own = tracks.join(sized, "track").select("track", frame, "n")
-    distinct = keys.select("track", "key").distinct()
-    a, b = distinct.select(F.col("track").alias("a"), "key"), distinct.select(F.col("track").alias("b"), "key")
-    shared = a.join(b, "key").where("a <> b").groupBy("a", "b").agg(F.count("*").alias("common"))
-    other = own.select(F.col("track").alias("b"), F.col(frame).alias("_f"))
-    met = shared.join(own, shared.a == own.track).join(other, "b").where(F.col(frame) == F.col("_f")).where(1000 * F.col("common") >= least_permille * F.col("n"))
-    covering = met.groupBy("a").agg(F.collect_set("b").alias("by"))
-    rows = own.join(covering, own.track == covering.a, "left").select(frame, "track", "n", "by")
+    framed = keys.select("track", "key").distinct().join(tracks.select("track", frame).distinct(), "track")
+    own = framed.groupBy("track", frame).agg(F.count("*").alias("n"), F.collect_set("key").alias("keys"))  # a track's keys
+    often = framed.groupBy(frame, "key").agg(F.count("*").alias("f"))
+    rare = F.row_number().over(Window.partitionBy("track", frame).orderBy("f", "key"))
+    needed = F.greatest(F.ceil(F.col("n") * least_permille / 1000), F.lit(1))
+    prefix = framed.join(often, [frame, "key"]).join(own.select("track", frame, "n"), ["track", frame]).withColumn("_o", rare).where(F.col("_o") <= F.col("n") - needed + 1)
+    met = prefix.select(frame, "key", F.col("track").alias("a")).join(framed.select(frame, "key", F.col("track").alias("b")), [frame, "key"]).where("a <> b").select(frame, "a", "b").distinct()
+    side = lambda x: own.select(frame, F.col("track").alias(x), F.col("keys").alias(f"{x}_keys"))
+    met = met.join(side("a"), [frame, "a"]).join(side("b"), [frame, "b"])
+    covers = 1000 * F.size(F.array_intersect("a_keys", "b_keys")) >= least_permille * F.size("a_keys")
+    covering = met.where(covers).groupBy(F.col("a").alias("track"), frame).agg(F.collect_set("b").alias("by"))
+    rows = own.select("track", frame, "n").join(covering, ["track", frame], "left").select(frame, "track", "n", "by")
 
     def fold(part: pd.DataFrame) -> pd.DataFrame:
         leaders, out = [], []
