@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import heapq
 from collections import Counter
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
@@ -251,6 +251,25 @@ def reline(texts: DataFrame, most_lines: int = 8) -> DataFrame:
     return texts.select("id", "text", "widths").mapInPandas(run, f"id {kind}, lines array<string>")
 
 
+def until_stable(step: Callable[[DataFrame], DataFrame], state: DataFrame, most: int = 4) -> tuple[DataFrame, int]:
+    """``state`` after ``step`` was applied until it changes nothing, ``most`` times at most; and how often it was.
+
+    For reading a file again with what reading it taught. Lineage is cut with a checkpoint after each pass, in the session's checkpoint folder.
+    """
+
+    def mark(df: DataFrame) -> tuple:
+        return tuple(df.agg(F.count("*"), F.bit_xor(F.xxhash64(*[F.to_json(F.struct(F.col(f"`{c}`"))) for c in df.columns])), F.sum(F.xxhash64(*[F.to_json(F.struct(F.col(f"`{c}`"))) for c in df.columns]) % (1 << 32))).first())
+
+    before = mark(state)
+    for n in range(1, most + 1):
+        state = step(state).checkpoint()
+        after = mark(state)
+        if after == before:
+            return state, n
+        before = after
+    return state, most
+
+
 def index_with_notes(scanned: DataFrame, old: DataFrame, keys: list[str], manual: list[str]) -> DataFrame:
     """A corpus index made anew, with the hand-written columns of the old one kept by key; missing ones are empty."""
     return scanned.drop(*manual).join(old.select(*keys, *manual).dropDuplicates(keys), keys, "left").fillna("", manual)

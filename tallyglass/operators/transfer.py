@@ -10,6 +10,7 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from ..streaming.limits import follow_neighbours
 from . import bitmaps
 
 ENOUGH, LEAD = 0.80, 0.12
@@ -103,10 +104,67 @@ def slant(mask: np.ndarray) -> float:
     return at
 
 
+def ridge(mask: np.ndarray) -> np.ndarray:
+    """Widths of the strokes along their middle: twice the distance to the ground, where no neighbour is farther from it."""
+    h, w = mask.shape[0] + 2, mask.shape[1] + 2
+    padded = np.pad(mask, 1)
+    ink, ground = np.argwhere(padded), np.argwhere(~padded)
+    far = np.zeros((h, w))
+    for at in range(0, len(ink), 512):
+        part = ink[at : at + 512]
+        far[part[:, 0], part[:, 1]] = np.sqrt(((part[:, None] - ground[None]) ** 2).sum(2).min(1))
+    around = np.pad(far, 1)
+    most = np.maximum.reduce([around[dy : dy + h, dx : dx + w] for dy in range(3) for dx in range(3)])
+    return 2 * far[(far == most) & (far > 0)]
+
+
 def stroke(mask: np.ndarray) -> float:
-    """Mean horizontal run of ink, in pixels."""
-    runs = [b - a for row in mask for a, b in bitmaps.stretches(row)]
-    return float(np.mean(runs)) if runs else 0.0
+    """Mean width of a shape's strokes, in pixels."""
+    widths = ridge(mask)
+    return float(widths.mean()) if widths.size else 0.0
+
+
+def bold_votes(words: DataFrame, shapes: DataFrame, bold: float = 1.25, regular: float = 1.1) -> DataFrame:
+    """Votes (file, key, regular, bold) of the words (file, word, height, keys) whose strokes are near their file's median, or well above it.
+
+    ``shapes`` (key, h, w, ink, bits) are measured once each. A word's width is the mean over all its ridges; words with ink below a tenth of their
+    line's height squared say nothing, and neither do those between ``regular`` and ``bold`` times the median. A glyph votes as often as it occurs.
+    """
+
+    def measure(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for f in frames:
+            widths = [ridge(bitmaps.unpack(r.bits, r.h, r.w)) for r in f.itertuples()]
+            yield pd.DataFrame({"key": f["key"], "ink": f["ink"], "wide": [float(x.sum()) for x in widths], "ridge": [x.size for x in widths]})
+
+    measured = shapes.dropDuplicates(["key"]).select("key", "h", "w", "ink", "bits").mapInPandas(measure, "key string, ink int, wide double, ridge long")
+    parts = words.select("file", "word", "height", F.explode("keys").alias("key")).join(measured, "key")
+    told = parts.groupBy("file", "word", "height").agg(F.sum("ink").alias("ink"), (F.sum("wide") / F.sum("ridge")).alias("stroke")).where(10 * F.col("ink") >= F.col("height") * F.col("height"))
+    by = F.col("stroke") / F.col("median")
+    judged = told.join(told.groupBy("file").agg(F.median("stroke").alias("median")), "file").select("file", "word", F.when(by >= bold, True).when(by <= regular, False).alias("bold"))
+    return _votes(words, judged, "bold", "regular", "bold")
+
+
+def italic_votes(words: DataFrame) -> DataFrame:
+    """Votes (file, key, upright, italic) of words (file, line, word, slanted: true, false or null, keys: array of key, small).
+
+    First only words that slant clearly vote, with their glyphs that aren't small. Then a word is what most of its decided glyphs say (two votes and three
+    quarters of all), else what it was, else what its neighbours agree on, from left to right; and every glyph of it votes.
+    """
+    one = words.select("file", "line", "word", "slanted", F.explode("keys").alias("g")).select("file", "line", "word", "slanted", "g.*")
+    seen = one.where("slanted is not null and not small").groupBy("file", "key").agg(F.count_if("slanted").alias("i"), F.count_if(~F.col("slanted")).alias("u"))
+    sure = seen.where((F.col("i") + F.col("u") >= 2) & (4 * F.greatest("i", "u") >= 3 * (F.col("i") + F.col("u")))).select("file", "key", (F.col("i") > F.col("u")).alias("says"))
+    most = one.join(sure, ["file", "key"]).groupBy("file", "line", "word").agg((2 * F.count_if("says") > F.count("*")).alias("says"))
+    known = words.select("file", "line", "word", "slanted").join(most, ["file", "line", "word"], "left").withColumn("own", F.coalesce("says", "slanted"))
+    place = F.to_json(F.struct("file", "line"))
+    final = follow_neighbours(known.select("file", "line", "word", place.alias("place"), "own"), "place", ["word"], "own")
+    named = words.withColumn("keys", F.transform("keys", lambda g: g["key"])).withColumn("word", F.struct("line", "word"))
+    return _votes(named, final.select("file", F.struct("line", "word").alias("word"), F.col("resolved").alias("italic")), "italic", "upright", "italic")
+
+
+def _votes(words: DataFrame, judged: DataFrame, flag: str, no: str, yes: str) -> DataFrame:
+    """How often each key occurs in words judged to have a flag, and not to have it."""
+    met = words.select("file", "word", F.explode("keys").alias("key")).join(judged.where(F.col(flag).isNotNull()), ["file", "word"])
+    return met.groupBy("file", "key").agg(F.count_if(~F.col(flag)).alias(no), F.count_if(flag).alias(yes))
 
 
 def word_styles(words: DataFrame, italic: float = 0.15, bold: float = 1.25, regular: float = 1.1) -> DataFrame:
