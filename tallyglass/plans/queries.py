@@ -488,13 +488,13 @@ def occurrence_credit(spark, sf_dir):
     return merging.credit_occurrences(shapes, counts, "p_partkey", "l_suppkey")
 
 
-@query(f"""WITH {_E}, j AS (SELECT *, CASE WHEN event_type = 'error' THEN 'clear' ELSE 'vote' END AS op FROM e WHERE day NOT IN (SELECT day FROM e WHERE event_type = 'purchase' AND value > 99)),
+@query(f"""WITH {_E}, j AS (SELECT *, CASE WHEN event_type = 'error' THEN 'clear' ELSE 'vote' END AS op FROM e WHERE day NOT IN (SELECT day FROM e WHERE event_type = 'error' AND day < '2024-01-10')),
 c AS (SELECT user_id, max(struct_pack(d := day, i := event_id)) AS c FROM j WHERE op = 'clear' GROUP BY 1)
 SELECT user_id, CAST(sum(CASE WHEN op = 'vote' AND (c IS NULL OR struct_pack(d := day, i := event_id) > c) THEN 1 ELSE 0 END) AS BIGINT) AS n FROM j LEFT JOIN c USING (user_id) GROUP BY user_id""")
 def journal_in_order(spark, sf_dir):
     e = _events(spark, sf_dir)
     journal = e.select(F.col("day").alias("run"), F.col("event_id").alias("seq_no"), "user_id", F.when(F.col("event_type") == "error", "clear").otherwise("vote").alias("op"), F.lit(1).cast("long").alias("n"))
-    return merging.replay_in_order(journal, e.where("event_type = 'purchase' and value > 99").select(F.col("day").alias("run")), ["user_id"])
+    return merging.replay_in_order(journal, e.where("event_type = 'error' and day < '2024-01-10'").select(F.col("day").alias("run")), ["user_id"])
 
 
 @query(f"""WITH {_E}, c AS (SELECT user_id, day, count(*) FILTER (event_type = 'click') AS a, count(*) FILTER (event_type = 'view') AS b, count(*) FILTER (event_type = 'error') AS x, count(*) FILTER (event_type = 'purchase') AS y FROM e GROUP BY ALL)
