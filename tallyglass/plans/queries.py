@@ -452,17 +452,17 @@ def unsampled_errors(spark, sf_dir):
     return e.where("event_type = 'error'").join(done, "user_id", "left_anti").select("event_id", F.floor("value").alias("risk"))
 
 
-@query(f"""WITH x AS (SELECT l_suppkey AS s, concat(l_linenumber, '-', CAST(l_quantity AS INTEGER)) AS c, l_returnflag AS label, l_partkey FROM lineitem),
-{_votes_sql('s, c', 'x', 'label')}, z AS (SELECT s, c, min(l_partkey) % 300 AS h, max(l_partkey) % 300 AS w FROM x GROUP BY ALL),
+@query(f"""WITH x AS (SELECT l_suppkey AS s, concat(l_linenumber, '-', CAST(l_quantity AS INTEGER), '-', CAST(round(100 * l_discount) AS INTEGER)) AS c, l_returnflag AS label, l_partkey FROM lineitem),
+{_votes_sql('s, c', 'x', 'label')}, z AS (SELECT s, c, min(l_partkey) % 20 AS h, max(l_partkey) % 20 AS w FROM x GROUP BY ALL),
 f AS (SELECT s, c, coalesce(sum(n) FILTER (label = 'A'), 0) >= 2 AND coalesce(sum(n) FILTER (label = 'R'), 0) >= 2 AS b FROM v GROUP BY s, c),
 r AS (SELECT t.s, label, h, w FROM t JOIN z USING (s, c) WHERE reason = '' AND label IN ('A', 'R')),
 y AS (SELECT DISTINCT a.s FROM r a JOIN r b ON a.s = b.s AND a.label = 'A' AND b.label = 'R' AND abs(a.h - b.h) <= 1 AND abs(a.w - b.w) <= 1)
 SELECT CAST(s AS VARCHAR) AS "set", bool_or(b) OR s IN (SELECT s FROM y) AS alike FROM f GROUP BY s""")
 def alike_font(spark, sf_dir):
-    cluster = F.concat_ws("-", F.col("l_linenumber").cast("int"), F.col("l_quantity").cast("int"))
+    cluster = F.concat_ws("-", F.col("l_linenumber").cast("int"), F.col("l_quantity").cast("int"), F.round(100 * F.col("l_discount")).cast("int"))
     li = _read(spark, sf_dir, "lineitem").select(F.col("l_suppkey").cast("string").alias("set"), cluster.alias("cluster"), F.lit(0).alias("top_rel"), "l_returnflag", "l_partkey")
     seen = votes.count_votes(li, ["set", "cluster", "top_rel"], "l_returnflag")
-    shapes = li.groupBy("set", "cluster").agg((F.min("l_partkey") % 300).cast("int").alias("h"), (F.max("l_partkey") % 300).cast("int").alias("w"))
+    shapes = li.groupBy("set", "cluster").agg((F.min("l_partkey") % 20).cast("int").alias("h"), (F.max("l_partkey") % 20).cast("int").alias("w"))
     return answers.alike_font(seen, shapes, "A", "R")
 
 
