@@ -204,12 +204,13 @@ def _plain(x):
 
 
 def recognize(
-    glyphs: DataFrame, votes: DataFrame, sequences: DataFrame, near: DataFrame, pairs: DataFrame, histogram: DataFrame, memory: DataFrame, reference: DataFrame | None = None, tentative: bool = False
+    glyphs: DataFrame, votes: DataFrame, sequences: DataFrame, near: DataFrame, pairs: DataFrame, histogram: DataFrame, memory: DataFrame, reference: DataFrame | None = None, tentative: bool = False,
+    bearings: DataFrame | None = None,
 ) -> DataFrame:
     """Lines of text (file, cue, line, text, letters_ok, ok, problems, low) of segmented glyphs.
 
     ``votes`` (key, top_rel, label, n) decide what a glyph is read as; ``near`` (key, ref_key) lends unknown keys another's votes; ``sequences`` (parts, label, n)
-    are read first; ``pairs`` (ka, kb, gap, letter, space) and ``histogram`` (gap, letter, space) tell spaces; ``memory`` (keys, text, n) settles look-alikes;
+    are read first; ``pairs`` (ka, kb, gap, letter, space), ``bearings`` (side, key, value) and ``histogram`` (gap, letter, space) tell spaces; ``memory`` (keys, text, n) settles look-alikes;
     ``reference`` (file, cue, line, text) fills breaks that nothing decides. With ``tentative`` a label seen once is read, and listed in low. A line that isn't
     wholly read has placeholders, and its problems.
     """
@@ -226,7 +227,7 @@ def recognize(
     inside = matched.where("length > 1").select(*line, F.explode(F.sequence(F.col("pos") + 1, F.col("pos") + F.col("length") - 1)).alias("pos"))
     after = F.lead("key").over(Window.partitionBy(*line).orderBy("pos"))
     keyed = glyphs.select(*line, "pos", F.col("key").alias("ka"), after.alias("kb"), F.col("gap_after").alias("gap"))
-    spaces = classify_gaps(keyed.where("gap is not null"), pairs, histogram).select(*line, "pos", F.col("is_space").alias("space_after"))
+    spaces = classify_gaps(keyed.where("gap is not null"), pairs, histogram, bearings).select(*line, "pos", F.col("is_space").alias("space_after"))
     items = read.join(matched, [*line, "pos"], "left").join(inside, [*line, "pos"], "left_anti")
     ends = items.withColumn("_end", F.col("pos") + F.coalesce("length", F.lit(1)) - 1).join(spaces.withColumnRenamed("pos", "_end"), [*line, "_end"], "left")
     style = F.when(F.col("underlined"), "u").otherwise("")

@@ -93,11 +93,12 @@ def arbitrate(own: Column, own_ok: Column, teacher: Column, teacher_fits: Column
     return choice.otherwise(pick(F.lit("[?]"), "placeholder"))
 
 
-def classify_gaps(rows: DataFrame, pairs: DataFrame, histogram: DataFrame) -> DataFrame:
+def classify_gaps(rows: DataFrame, pairs: DataFrame, histogram: DataFrame, bearings: DataFrame | None = None) -> DataFrame:
     """Append is_space: true, false, or null where unsure.
 
-    A pair (ka, kb, gap) seen twice and always alike decides; else how often its gap was inside and between
-    words, ten to one; else the ranges of both.
+    A pair (ka, kb, gap) seen twice and always alike decides; else, where a space is known to add over four pixels, the gap beyond the pair's
+    ``bearings`` (side, key, value): clear of half a space by a fifth of one, three tenths where a bearing is a default, and two pixels at least; else
+    how often its gap was inside and between words, ten to one; else the ranges of both.
     """
     pair = pairs.select("ka", "kb", "gap", F.when((F.col("letter") + F.col("space") >= 2) & (F.least("letter", "space") == 0), F.col("space") > 0).alias("by_pair"))
     gap = histogram.select("gap", F.col("letter").alias("l"), F.col("space").alias("s"))
@@ -108,8 +109,17 @@ def classify_gaps(rows: DataFrame, pairs: DataFrame, histogram: DataFrame) -> Da
     below = (F.col("gap") <= F.col("max_l")) & (F.col("min_s").isNull() | (F.col("gap") < F.col("min_s")))
     above = (F.col("gap") >= F.col("min_s")) & (F.col("max_l").isNull() | (F.col("gap") > F.col("max_l")))
     by_range = F.when(F.coalesce(below, F.lit(False)), False).when(F.coalesce(above, F.lit(False)), True)
-    result = F.when(F.col("by_pair").isNotNull(), F.col("by_pair")).when(seen, counted).otherwise(by_range)
-    return met.withColumn("is_space", result).drop("by_pair", "l", "s", "max_l", "min_s")
+    result = F.when(F.col("by_pair").isNotNull(), F.col("by_pair"))
+    if bearings is not None:
+        side = lambda x, key, name: bearings.where(F.col("side") == x).select(F.col("key").alias(key), F.col("value").alias(name))
+        one = lambda x: F.max(F.when(F.col("side") == x, F.col("value"))).alias(f"_{x}")
+        met = met.join(side("right", "ka", "_r"), "ka", "left").join(side("left", "kb", "_l"), "kb", "left")
+        met = met.crossJoin(F.broadcast(bearings.agg(one("right_default"), one("left_default"), one("space"))))  # a row
+        beyond = F.col("gap") - F.coalesce("_r", "_right_default") - F.coalesce("_l", "_left_default") - F.col("_space") / 2
+        margin = F.greatest(F.lit(2.0), F.when(F.col("_r").isNotNull() & F.col("_l").isNotNull(), 0.2).otherwise(0.3) * F.col("_space"))
+        result = result.when(F.col("_space") > 4, F.when(beyond < -margin, False).when(beyond > margin, True))
+    result = result.when(seen, counted).otherwise(by_range)
+    return met.withColumn("is_space", result).drop("by_pair", "l", "s", "max_l", "min_s", "_r", "_l", "_right_default", "_left_default", "_space")
 
 
 def resolve_words(words: DataFrame, lexicon: DataFrame, most: int = 64) -> DataFrame:

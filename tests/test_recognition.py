@@ -43,6 +43,16 @@ def test_arbitration(spark):
     ]
 
 
+def test_gaps_beyond_bearings(spark):
+    rows = spark.createDataFrame([(0, "a", "b", 3), (1, "a", "b", 13), (2, "a", "b", 8), (3, "x", "y", 1), (4, "x", "y", 20), (5, "p", "q", 13)], "i int, ka string, kb string, gap int")
+    pairs = spark.createDataFrame([("p", "q", 13, 2, 0)], "ka string, kb string, gap int, letter long, space long")
+    histogram = spark.createDataFrame([(8, 50, 0), (3, 0, 9)], "gap int, letter long, space long")
+    bearings = [("right", "a", 2.0), ("left", "b", 1.0), ("right_default", None, 1.0), ("left_default", None, 0.0), ("space", None, 10.0)]
+    read = lambda b: [r["is_space"] for r in R.classify_gaps(rows, pairs, histogram, spark.createDataFrame(b, "side string, key string, value double")).orderBy("i").collect()]
+    assert read(bearings) == [False, True, None, False, True, False]
+    assert read([*bearings[:4], ("space", None, 3.0)])[:3] == [True, True, False]  # a space too narrow to tell: the counts decide
+
+
 def test_gaps(spark):
     pairs = spark.createDataFrame([("a", "b", 5, 0, 2), ("a", "c", 5, 1, 1)], "ka string, kb string, gap int, letter long, space long")
     histogram = spark.createDataFrame([(2, 50, 0), (5, 20, 1), (6, 3, 3), (12, 0, 9)], "gap int, letter long, space long")
