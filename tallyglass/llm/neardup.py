@@ -2,15 +2,21 @@
 
 Candidates come from two sources: the trie self-join of SimHash fingerprints, within a few bits, and bands
 of MinHash values, since at a similarity of 0.8 fingerprints of 64 bits differ in too many bits for a trie
-to prune. A pair of similarity s shares a band with probability 1 - (1 - s**ROWS)**BANDS. Every candidate is
+to prune. A pair of similarity s shares a band with probability 1 - (1 - s**ROWS)**BANDS, and a full group of a
+band gives a largest spanning forest by estimated similarity in place of all its pairs. Every candidate is
 then checked on the shingles themselves, and only pairs at or above the similarity are links.
 
-Texts with equal shingles are one node. A full group of a band gives a largest spanning forest by
-estimated similarity in place of all its pairs: its links at any similarity join the same texts.
+What these sources leave out is found by prefix filtering, which is exact: in one order of all shingles, a pair at
+the similarity has a shingle in common among the first of both. Only texts that are not in one component yet meet, so
+that a large group of near copies costs no pairs here.
+
+Texts with equal shingles are one node.
 """
 
 from __future__ import annotations
 
+import itertools
+import math
 from collections.abc import Iterator
 
 import numpy as np
@@ -32,6 +38,13 @@ _DRAWN = np.random.Generator(np.random.Philox(key=17)).integers(0, 1 << 64, (3,
 _PART = 1_024
 _SMALL = 64
 _BLOCK = 8_192
+#: Documents whose shingles are counted, at most about; in how many of them a shingle is common; how many are listed at most.
+_SAMPLE = 10_000
+_OFTEN = 3
+_LISTED = 200_000
+#: Bits of a set's parity map; it tells little of sets that may differ in over half as many shingles.
+_BITS = 1_024
+_PAIRS = 1 << 17
 
 
 def distinct_shingles(text: str | None, words: int = WORDS) -> np.ndarray:
@@ -48,14 +61,46 @@ def minhashes(shingles: np.ndarray) -> np.ndarray:
     return out
 
 
-def sketches(docs: DataFrame, words: int, keep: tuple[str, ...]) -> DataFrame:
-    """``keep`` and, of each text: set (a hash of its shingles), fp, sig (a byte a MinHash value), bands (empty for a text without words)."""
+def common_shingles(docs: DataFrame, words: int) -> tuple[np.ndarray, np.ndarray]:
+    """Sorted hashes of the shingles that many documents of a sample hold, and how many do.
+
+    They decide the order of shingles alone, by which rare ones come first; the links are the same by any order.
+    """
+    share = max(1, docs.count() // _SAMPLE)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            found = [distinct_shingles(t, words) for t in batch.column(0).to_pylist()]
+            yield pa.RecordBatch.from_arrays([pa.array(np.concatenate([*found, np.zeros(0, dtype="<u8")]).view(np.int64))], ["h"])
+
+    counted = docs.where(F.pmod("_k2", F.lit(share)) == 0).select("text").mapInArrow(run, "h long").groupBy("h").agg(F.count("*").alias("n"))
+    listed = counted.where(F.col("n") >= _OFTEN).orderBy(F.desc("n"), "h").limit(_LISTED).toArrow()
+    h, n = listed["h"].to_numpy().view(np.uint64), listed["n"].to_numpy()
+    order = np.argsort(h)
+    return h[order], n[order]
+
+
+def prefix(shingles: np.ndarray, common: tuple[np.ndarray, np.ndarray], similarity: float) -> np.ndarray:
+    """The first of the sorted shingles by (how common, hash): as many as may be missing from an alike set, and one."""
+    many = shingles.size - math.ceil(similarity * shingles.size - 1e-6) + 1
+    if common[0].size:
+        at = np.minimum(np.searchsorted(common[0], shingles), common[0].size - 1)
+        often = np.where(common[0][at] == shingles, common[1][at], 0)
+        if often.any():
+            shingles = shingles[np.lexsort((shingles, often))]
+    return shingles[:many]
+
+
+def sketches(docs: DataFrame, words: int, keep: tuple[str, ...], similarity: float) -> DataFrame:
+    """``keep`` and, of each text: set (a hash of its shingles), fp, sig (a byte a MinHash value), bands (empty for a text without words),
+    n (shingles), bits (which hashes' last bits it has an odd number of times) and prefix."""
     small_batches(docs.sparkSession)
     kept = docs.select(*keep, F.col("text").alias("_text"))
+    common = common_shingles(docs, words)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            sets, fps, sigs, bands = [], [], [], []
+            sets, fps, sigs, bands, sizes, bits, first = [], [], [], [], [], [], []
             for t in batch.column(batch.num_columns - 1).to_pylist():
                 found = distinct_shingles(t, words)
                 least = minhashes(found)
@@ -63,11 +108,16 @@ def sketches(docs: DataFrame, words: int, keep: tuple[str, ...]) -> DataFrame:
                 fps.append(simhash.majority([found]))
                 sigs.append((least >> np.uint64(32)).astype(np.uint8).tobytes())
                 bands.append((least * (_DRAWN[2] | np.uint64(1))).reshape(BANDS, ROWS).sum(1, dtype=np.uint64).view(np.int64).tolist() if found.size else [])
+                sizes.append(found.size)
+                odd = np.bincount((found & np.uint64(_BITS - 1)).astype(np.int64), minlength=_BITS) & 1
+                bits.append(np.packbits(odd.astype(np.uint8)).tobytes())
+                first.append(prefix(found, common, similarity).view(np.int64))
             whole = [pa.array(np.array(x, dtype=np.uint64).view(np.int64)) for x in (sets, fps)]
-            yield pa.RecordBatch.from_arrays([*batch.columns[:-1], *whole, pa.array(sigs, pa.binary()), pa.array(bands, pa.list_(pa.int64()))], [*keep, "set", "fp", "sig", "bands"])
+            whole += [pa.array(sigs, pa.binary()), pa.array(bands, pa.list_(pa.int64())), pa.array(sizes, pa.int64()), pa.array(bits, pa.binary()), pa.array(first, pa.list_(pa.int64()))]
+            yield pa.RecordBatch.from_arrays([*batch.columns[:-1], *whole], [*keep, "set", "fp", "sig", "bands", "n", "bits", "prefix"])
 
     head = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in kept.schema.fields[:-1])
-    return kept.mapInArrow(run, f"{head}, set long, fp long, sig binary, bands array<long>")
+    return kept.mapInArrow(run, f"{head}, set long, fp long, sig binary, bands array<long>, n long, bits binary, prefix array<long>")
 
 
 def forest(sig: np.ndarray, least: float) -> tuple[np.ndarray, np.ndarray]:
@@ -89,7 +139,7 @@ def forest(sig: np.ndarray, least: float) -> tuple[np.ndarray, np.ndarray]:
 
 
 def band_pairs(nodes: DataFrame, similarity: float) -> DataFrame:
-    """Candidate pairs (a, b) of the sets that share a band."""
+    """Candidate pairs (a, b) of the sets that share a band; not all that are alike, see :func:`missed_pairs`."""
     items = nodes.select("set", "sig", F.posexplode("bands").alias("band", "v"))
     dealt = deal_blocks(items, ["band", "v"], "set", _BLOCK, ["set"]).select("band", "v", "_i", "_j", "set", "sig")
     least = similarity - SLACK
@@ -122,12 +172,57 @@ def fingerprint_pairs(nodes: DataFrame, budget: int) -> DataFrame:
     return nodes.join(least, "fp").select(F.col("set").alias("a"), F.col("low").alias("b")).union(linked.join(low("a"), "_a").join(low("b"), "_b").select("a", "b"))
 
 
-def links(docs: DataFrame, nodes: DataFrame, words: int, similarity: float, budget: int) -> DataFrame:
+def missed_pairs(nodes: DataFrame, joined: DataFrame, similarity: float) -> DataFrame:
+    """Candidate pairs (a, b) of sets in different components: every such pair at ``similarity`` or more is among them.
+
+    Sets that share a shingle of their prefixes meet. A pair is left out only where the shingles from there on are too few
+    (its first common shingle is shared too, and decides), or where the parity maps differ in more bits than the sets
+    may differ in shingles.
+    """
+    rooted = nodes.join(joined, nodes.set == joined.node, "left").select("set", "n", "prefix", F.coalesce("root", "set").alias("root"))
+    items = rooted.select("set", "n", "root", F.posexplode("prefix").alias("pos", "w"))
+    met = items.groupBy("w").agg(F.min("root").alias("low"), F.max("root").alias("high")).where("low <> high").select("w")
+    shared = materialize(items.join(met, "w", "left_semi"), "neardup-shared")
+    dealt = deal_blocks(shared.join(nodes.select("set", "bits"), "set"), ["w"], "set", _BLOCK, ["set"]).select("w", "_i", "_j", "_b", "set", "n", "pos", "root", "bits")
+
+    def pairs(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for table in whole_groups(batches, ["w", "_i", "_j"], 20_000):
+            w, i, j, block, sets, n, pos, root = (table.column(x).to_numpy() for x in range(8))
+            bits = np.frombuffer(b"".join(table.column(8).to_pylist()), dtype=np.uint64).reshape(-1, _BITS // 64)
+            group = starts(w, i, j)
+            number = np.repeat(np.arange(group.size - 1), np.diff(group))
+            order = np.lexsort((root, number))
+            run = starts(number, root[order])
+            after = np.repeat(run[1:], np.diff(run))  # where the next root of the group starts
+            many = group[1:][number] - after
+            ends = np.cumsum(many)
+            a, b = [np.zeros(0, dtype=np.int64)], [np.zeros(0, dtype=np.int64)]
+            cuts = np.unique(np.append(np.searchsorted(ends, np.arange(0, ends[-1], _PAIRS)), many.size)).tolist()
+            for lo, hi in itertools.pairwise(cuts):
+                x = np.repeat(np.arange(lo, hi), many[lo:hi])
+                y = after[x] + np.arange(x.size) - np.repeat(ends[lo:hi] - many[lo:hi] - (ends[lo] - many[lo]), many[lo:hi])
+                x, y = order[x], order[y]
+                both = n[x] + n[y]
+                need = similarity / (1 + similarity) * both - 1e-6  # shingles that an alike pair shares
+                near = ((i[x] == j[x]) | (block[x] != block[y])) & (np.minimum(n[x] - pos[x], n[y] - pos[y]) >= need)
+                x, y, most = x[near], y[near], (both - 2 * need)[near]
+                near = np.bitwise_count(bits[x] ^ bits[y]).sum(1, dtype=np.int64) <= most
+                a.append(sets[x[near]])
+                b.append(sets[y[near]])
+            yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(a)), pa.array(np.concatenate(b))], ["a", "b"])
+
+    return dealt.mapInArrow(pairs, "a long, b long")
+
+
+def links(docs: DataFrame, nodes: DataFrame, candidates: DataFrame, words: int, similarity: float) -> DataFrame:
     """The candidate pairs whose shingles have a Jaccard similarity of ``similarity`` or more."""
-    both = band_pairs(nodes, similarity).union(fingerprint_pairs(nodes, budget)).where("a <> b")
+    both = candidates.where("a <> b")
     pairs = materialize(both.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct(), "neardup-pairs")
+    if pairs.isEmpty():
+        return pairs
     named = pairs.select(F.col("a").alias("set")).union(pairs.select("b")).distinct()
-    texts = docs.join(nodes.join(named, "set", "left_semi").select("set", "_k", "_k2"), ["_k", "_k2"]).dropDuplicates(["set"]).select("set", "text")
+    named = materialize(nodes.join(named, "set", "left_semi").select("set", "_k", "_k2"), "neardup-named")
+    texts = docs.join(named, ["_k", "_k2"]).dropDuplicates(["set"]).select("set", "text")
 
     def shingled(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -156,10 +251,15 @@ def deduplicate(docs: DataFrame, words: int = WORDS, similarity: float = SIMILAR
     """
     columns = docs.columns
     keyed = docs.withColumn("_k", F.xxhash64("doc_id", "text")).withColumn("_k2", F.xxhash64("text", "doc_id"))
-    prints = materialize(sketches(keyed, words, ("doc_id", "_k", "_k2")), "neardup")
-    nodes = prints.groupBy("set").agg(F.min(F.struct("_k", "_k2", "fp", "sig", "bands")).alias("x")).select("set", "x.*")
+    prints = materialize(sketches(keyed, words, ("doc_id", "_k", "_k2"), similarity), "neardup")
+    nodes = prints.groupBy("set").agg(F.min(F.struct("_k", "_k2", "fp", "sig", "bands", "n", "bits", "prefix")).alias("x")).select("set", "x.*")
     nodes = materialize(nodes, "neardup-sets")
-    joined = components(links(keyed, nodes, words, similarity, budget), "neardup-links")
+    quick = band_pairs(nodes, similarity).union(fingerprint_pairs(nodes, budget))
+    joined = components(links(keyed, nodes, quick, words, similarity), "neardup-links")
+    missed = materialize(links(keyed, nodes, missed_pairs(nodes, joined, similarity), words, similarity), "neardup-missed")
+    if not missed.isEmpty():
+        first, joined = joined, components(joined.toDF("a", "b").union(missed), "neardup-links")
+        discard(first)
     rooted = prints.select("set", "doc_id", "_k", "_k2").join(joined, prints.set == joined.node, "left").withColumn("root", F.coalesce("root", "set"))
     order = F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "_k", "_k2")
     stay = materialize(rooted.groupBy("root").agg(F.min(order).alias("x")).select("x._k", "x._k2"), "neardup-stay")

@@ -581,6 +581,40 @@ def test_near_dedup_stage_removes_planted_near_copies(spark, monkeypatch, small)
     assert out - set(range(2000)) == {3000, 3002} and set(range(60)) <= out
 
 
+def test_near_dedup_stage_joins_pairs_that_no_band_shares(spark):
+    r = random.Random(31)
+    rows = []
+    for i in range(6000):
+        a = [f"{r.randrange(10**6)}" for _ in range(94)]
+        b = [*a[:43], "x", *a[44:49], "y", *a[50:]]  # 90 shingles, 80 of them shared: 0.8
+        x, y = (neardup.distinct_shingles(" ".join(t)) for t in (a, b))
+        bands = [(neardup.minhashes(z) * (neardup._DRAWN[2] | np.uint64(1))).reshape(neardup.BANDS, -1).sum(1, dtype=np.uint64) for z in (x, y)]
+        if not (bands[0] == bands[1]).any() and (simhash.majority([x]) ^ simhash.majority([y])).bit_count() > simhash.BUDGET:
+            rows += [(i, " ".join(a), None, None, 0), (i + 10_000, " ".join(b), None, None, 0)]
+    assert len(rows) >= 4
+    out = {x["doc_id"] for x in corpus_pipeline.near_dedup(spark, docs(spark, rows), "").collect()}
+    assert out == {x[0] for x in rows if x[0] < 10_000}
+
+
+@pytest.mark.parametrize("small, block, often", [(neardup._SMALL, neardup._BLOCK, neardup._OFTEN), (1, neardup._BLOCK, 10**9), (1, 5, 2)])
+def test_near_dedup_equals_brute_force(spark, monkeypatch, small, block, often):
+    for name, value in (("_SMALL", small), ("_BLOCK", block), ("_OFTEN", often)):
+        monkeypatch.setattr(neardup, name, value)
+    r = random.Random(32)
+    rows, cores = [], [[r.choice("abcdefgh") * r.randrange(1, 9) for _ in range(90)] for _ in range(3)]
+    for i in range(240):  # families around one core, at similarities on both sides of 0.8
+        w = list(cores[i % 3])
+        for _ in range(r.randrange(3)):
+            w[r.randrange(len(w))] = r.choice("stuvw") * r.randrange(1, 9)
+        rows.append((i, " ".join(w[: r.randrange(60, 91)]), None, None, 0))
+    rows += [(1000 + i, " ".join("pqrst"[: 1 + i % 5] * (1 + i % 4)), None, None, 0) for i in range(20)]
+    held = [set(neardup.distinct_shingles(t).tolist()) for _, t, *_ in rows]
+    pairs = [(i, j) for i, j in itertools.combinations(range(len(rows)), 2) if (same := len(held[i] & held[j])) * 10 >= 8 * (len(held[i]) + len(held[j]) - same)]
+    root = common.local_roots(len(rows), *np.array(pairs).T)
+    out = {x["doc_id"] for x in neardup.deduplicate(docs(spark, rows)).collect()}
+    assert out == {rows[i][0] for i in np.flatnonzero(root == np.arange(len(rows)))}
+
+
 def test_near_dedup_odd_rows(spark):
     rows = [(4, "a b c d e", None, None, 0), (2, "A b c d e", None, None, 0), (2, "a b c d e", None, None, 0), (2, "a b c d e", None, None, 0), (None, "a b c d e", None, None, 0), (None, "q r s t", None, None, 0), (None, "q r s t", None, None, 0)]
     out = neardup.deduplicate(docs(spark, rows))
