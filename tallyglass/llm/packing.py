@@ -35,16 +35,24 @@ _BEYOND = re.compile(r"[^A-Za-z0-9 \n\t.,\xc0-\xd6\xd8-\xf6\xf8-\u012f\u0131-\u0
 #: control characters, and commas or stops that stand by another mark.
 _ODD = re.compile(r"[^\x00-\u024f]|[\x1c-\x1f\u0130]|[.,](?=[^\s\w]|_)|(?<=[^\s\w])[.,]|(?<=_)[.,]")
 _PAIRS = (".,", ",.", "..", ",,")
+#: A character beyond ASCII without controls and the letters of Latin-1 and Latin Extended-A; and the parts that the tokenizer cuts lower-case texts without one into.
+_FOREIGN = re.compile(r"[^\t-\r -~\xc0-\xd6\xd8-\xf6\xf8-\u012f\u0131-\u024f]")
+_LETTERS = r"a-z\xdf-\xf6\xf8-\u012f\u0131-\u024f\u2c65\u2c66"
+_UNITS = re.compile(rf"'(?:s|t|re|ve|m|ll|d)|[{_LETTERS}]+|[0-9]|[^\s{_LETTERS}0-9]+")
+#: How the vocabulary writes a byte: as the character of its number, or one from 256 on where that doesn't print.
+_SHOWN = {b: 256 + k for k, b in enumerate([*range(33), *range(127, 161), 173])}
 
 
 class WordTokenizer:
     """Ids of whole texts, word by word: the vocabulary drops white space and never merges across it."""
 
     def __init__(self, path: str):
-        from tokenizers import Tokenizer
+        from tokenizers import Tokenizer, pre_tokenizers
 
         self.library = Tokenizer.from_file(path)
         self.library.encode_special_tokens = True
+        self.bare = Tokenizer(self.library.model)  # for words that are as the normaliser would leave them, written in the vocabulary's characters
+        self.bare.pre_tokenizer = pre_tokenizers.WhitespaceSplit()
         self.memo: dict[str, bytes] = {}
         self.older: dict[str, bytes] = {}
         vocabulary = self.library.get_vocab(with_added_tokens=True)
@@ -52,9 +60,11 @@ class WordTokenizer:
         self.ends[[i for t, i in vocabulary.items() if t.endswith("</w>")]] = True
 
     def words(self, text: str) -> list[str]:
-        """Parts of the text that have the same ids one by one: words, of plain texts without case, commas and stops apart."""
+        """Parts of the text that have the same ids one by one: words, of plain texts without case, commas and stops apart, of Latin ones the tokenizer's own units."""
         if not (_ODD.search(text) if _BEYOND.search(text) else any(p in text for p in _PAIRS)):
             return text.lower().replace(",", " , ").replace(".", " . ").split()
+        if not _FOREIGN.search(text):
+            return _UNITS.findall(text.lower())
         if _CONTROLS.search(text):
             return [w for w in _SPACE.split(text) if w]
         return text.split()
@@ -68,21 +78,29 @@ class WordTokenizer:
         for w in new.intersection(self.older):
             self.memo[w] = self.older[w]
         rest = [w for w in new if w not in self.older]
-        plain = [w for w in rest if len(w) < 100 and w.isalpha()]
-        odd = [w for w in rest if not (len(w) < 100 and w.isalpha())]
-        parts = [plain[at : at + _TOGETHER] for at in range(0, len(plain), _TOGETHER)]
-        found = self.library.encode_batch_fast([" ".join(p) for p in parts], add_special_tokens=False)
-        for part, e in zip(parts, found, strict=True):  # letters alone are one unit each, and the last id of a unit shows
-            ids = np.array(e.ids, dtype="<u4")
-            stops = (4 * (np.flatnonzero(self.ends[ids]) + 1)).tolist()
-            if len(stops) != len(part):
-                odd += part
-                continue
-            data, start = ids.tobytes(), 0
-            for w, stop in zip(part, stops, strict=True):
-                self.memo[w] = data[start:stop]
-                start = stop
-        for w, e in zip(odd, self.library.encode_batch(odd, add_special_tokens=False), strict=True):
+        small, plain, odd = [], [], []
+        for w in rest:
+            if len(w) >= 100 or not w.isalpha():
+                odd.append(w)
+            elif w.islower() and (w.isascii() or not _BEYOND.search(w)):
+                small.append(w)
+            else:
+                plain.append(w)
+        shown = [w if w.isascii() else w.encode().decode("latin-1").translate(_SHOWN) for w in small]
+        for library, words, given in ((self.bare, small, shown), (self.library, plain, plain)):
+            parts = [" ".join(given[at : at + _TOGETHER]) for at in range(0, len(words), _TOGETHER)]
+            for k, e in enumerate(library.encode_batch_fast(parts, add_special_tokens=False)):  # letters alone are one unit each, and the last id of a unit shows
+                part = words[k * _TOGETHER : (k + 1) * _TOGETHER]
+                ids = np.array(e.ids, dtype="<u4")
+                stops = (4 * (np.flatnonzero(self.ends[ids]) + 1)).tolist()
+                if len(stops) != len(part):
+                    odd += part
+                    continue
+                data, start = ids.tobytes(), 0
+                for w, stop in zip(part, stops, strict=True):
+                    self.memo[w] = data[start:stop]
+                    start = stop
+        for w, e in zip(odd, self.library.encode_batch_fast(odd, add_special_tokens=False), strict=True):
             self.memo[w] = np.array(e.ids, dtype="<u4").tobytes()
 
 
@@ -121,7 +139,7 @@ def pieces(docs: DataFrame, path: str, text: str = "text", keep: tuple[str, ...]
                 words = [t.words(x or "") for x in texts[at : i + 1]]
                 t.learn(words)
                 for j, w in enumerate(words, at):
-                    data = b"".join([t.memo[x] for x in w]) + end
+                    data = b"".join(map(t.memo.__getitem__, w)) + end
                     for k, s in enumerate(range(0, len(data), 4 * capacity)):
                         part = data[s : s + 4 * capacity]
                         rows.append(j)

@@ -16,7 +16,7 @@ import pytest
 import tiktoken
 import xxhash
 from pyspark.sql import functions as F
-from tokenizers import Tokenizer
+from tokenizers import Tokenizer, models
 
 import corpus_pipeline
 from tallyglass.llm import bpe, common, importance, langid, linechunks, lsh, multi_index, neardup, packing, pii, queries, simhash, suffixes
@@ -427,6 +427,30 @@ def test_word_ids_equal_the_library():
         assert np.frombuffer(b"".join(mine.memo[x] for x in w), "<u4").tolist() == whole.encode(t, add_special_tokens=False).ids, repr(t)
 
 
+def test_small_latin_words_need_no_normaliser():
+    mine = packing.WordTokenizer(public_tokenizers.path("word_bpe_49k.json"))
+    r = random.Random(9)
+    letters = [c for c in map(chr, range(0x61, 0x250)) if c.islower() and c.isalpha() and not packing._BEYOND.search(c)]
+    words = [*letters, *("".join(r.choice(letters[:26] * 9 + letters) for _ in range(r.randrange(1, 30))) for _ in range(3000)), "\u0131", "ab" * 49 + "c"]
+    whole = mine.library
+    mine.library = Tokenizer(models.BPE())  # gives no ids
+    mine.learn([words])
+    assert [np.frombuffer(mine.memo[w], "<u4").tolist() for w in words] == [e.ids for e in whole.encode_batch(words, add_special_tokens=False)]
+
+
+def test_latin_texts_are_cut_as_the_tokenizer_cuts():
+    whole = Tokenizer.from_file(public_tokenizers.path("word_bpe_49k.json"))
+    whole.encode_special_tokens = True
+    mine = packing.WordTokenizer(public_tokenizers.path("word_bpe_49k.json"))
+    r = random.Random(10)
+    parts = [*map(chr, [*range(9, 14), *range(32, 127), *range(0xC0, 0x250)]), *"''''''''....,,,,    ", *("s", "t", "re", "VE", "m", "LL", "d"), "<|endoftext|>", "</w>", "word", "Two"]
+    for t in [*parts, *("".join(r.choice(parts) for _ in range(r.randrange(30))) for _ in range(5000))]:
+        w = mine.words(t)
+        mine.learn([w])
+        assert np.frombuffer(b"".join(mine.memo[x] for x in w), "<u4").tolist() == whole.encode(t, add_special_tokens=False).ids, repr(t)
+    assert mine.words("Erndnton&&& it'S 12") == ["erndnton", "&&&", "it", "'s", "1", "2"]
+
+
 def test_fullest_equals_brute_force():
     r = random.Random(7)
     for _ in range(200):
