@@ -36,8 +36,8 @@ _BEYOND = re.compile(r"[^A-Za-z0-9 \n\t.,\xc0-\xd6\xd8-\xf6\xf8-\u012f\u0131-\u0
 _ODD = re.compile(r"[^\x00-\u024f]|[\x1c-\x1f\u0130]|[.,](?=[^\s\w]|_)|(?<=[^\s\w])[.,]|(?<=_)[.,]")
 _PAIRS = (".,", ",.", "..", ",,")
 #: A character beyond ASCII without controls and the letters of Latin-1 and Latin Extended-A; and the parts that the tokenizer cuts lower-case texts without one into.
-_FOREIGN = re.compile(r"[^\t-\r -~\xc0-\xd6\xd8-\xf6\xf8-\u012f\u0131-\u024f]")
-_LETTERS = r"a-z\xdf-\xf6\xf8-\u012f\u0131-\u024f\u2c65\u2c66"
+_FOREIGN = re.compile(r"[^\t-\r -~\xc0-\xd6\xd8-\xf6\xf8-\u012f\u0131-\u017f]")
+_LETTERS = r"a-z\xdf-\xf6\xf8-\u012f\u0131-\u017f"
 _UNITS = re.compile(rf"'(?:s|t|re|ve|m|ll|d)|[{_LETTERS}]+|[0-9]|[^\s{_LETTERS}0-9]+")
 #: How the vocabulary writes a byte: as the character of its number, or one from 256 on where that doesn't print.
 _SHOWN = {b: 256 + k for k, b in enumerate([*range(33), *range(127, 161), 173])}
