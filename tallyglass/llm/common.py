@@ -58,6 +58,11 @@ def setting(spark: SparkSession, key: str, value: str) -> Iterator[None]:
         spark.conf.unset(key) if before is None else spark.conf.set(key, before)
 
 
+def clean(spark: SparkSession):
+    """Within the block Spark deletes the shuffle files of an action when it ends."""
+    return setting(spark, _CLEAN, "true")
+
+
 def materialize(df: DataFrame, label: str) -> DataFrame:
     """Write ``df`` as Parquet to the shared folder and read it back.
 
@@ -66,7 +71,7 @@ def materialize(df: DataFrame, label: str) -> DataFrame:
     """
     spark = df.sparkSession
     path = f"{shared_dir(spark)}/tallyglass/{label}-{uuid.uuid4().hex}"
-    with setting(spark, _CLEAN, "true"):
+    with clean(spark):
         df.write.parquet(path)
     files, p = _files(spark, path)
     files.deleteOnExit(p)
@@ -210,14 +215,15 @@ def barrier(df: DataFrame) -> DataFrame:
 def deal_blocks(items: DataFrame, key: list[str], ident: str, most: int, order: list[str] | None) -> DataFrame:
     """Deal the groups of ``items`` so that tasks see all pairs of a group, at most about 2 * ``most`` rows at once.
 
-    Groups of one row are dropped. A group of up to ``most`` rows is one block; a larger one is cut into
+    Groups of one row are dropped. ``items`` may bring the rows of each group as _n, over one. A group of up to ``most`` rows is one block; a larger one is cut into
     blocks by a hash of ``ident``, and each two blocks meet once, so that a hot group becomes many tasks.
     Appends _b (the row's block), _i and _j (the blocks that meet); sorted by key, _i, _j, _b, ``order``,
     or not dealt out yet where ``order`` is None.
     """
-    sizes = items.groupBy(*key).agg(F.count("*").alias("_n")).where("_n > 1")
+    if "_n" not in items.columns:
+        items = items.join(items.groupBy(*key).agg(F.count("*").alias("_n")).where("_n > 1"), key)
     blocks = F.ceil(F.col("_n") / most).cast("int")
-    dealt = items.join(sizes, key).withColumn("_k", blocks).withColumn("_b", F.pmod(F.xxhash64(ident), F.col("_k")).cast("int"))
+    dealt = items.withColumn("_k", blocks).withColumn("_b", F.pmod(F.xxhash64(ident), F.col("_k")).cast("int"))
     dealt = dealt.withColumn("_j", F.explode(F.sequence(F.lit(0), F.col("_k") - 1)))
     dealt = dealt.withColumn("_i", F.least("_b", "_j")).withColumn("_j", F.greatest("_b", "_j")).drop("_n", "_k")
     return dealt if order is None else dealt.repartition(*key, "_i", "_j").sortWithinPartitions(*key, "_i", "_j", "_b", *order)

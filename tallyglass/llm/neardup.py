@@ -8,7 +8,7 @@ then checked on the shingles themselves, and only pairs at or above the similari
 
 What these sources leave out is found by prefix filtering, which is exact: in one order of all shingles, a pair at
 the similarity has a shingle in common among the first of both. Only texts that are not in one component yet meet, so
-that a large group of near copies costs no pairs here.
+that a large group of near copies costs no pairs here, and this is done for a part of the shingles at a time.
 
 Texts with equal shingles are one node.
 """
@@ -18,15 +18,16 @@ from __future__ import annotations
 import itertools
 import math
 from collections.abc import Iterator
+from functools import reduce
 
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from . import simhash
-from .common import components, deal_blocks, discard, materialize, small_batches, starts, whole_groups
+from .common import clean, components, deal_blocks, discard, materialize, small_batches, starts, whole_groups
 
 WORDS = 5
 SIMILARITY = 0.8
@@ -45,6 +46,11 @@ _LISTED = 200_000
 #: Bits of a set's parity map; it tells little of sets that may differ in over half as many shingles.
 _BITS = 1_024
 _PAIRS = 1 << 17
+#: Places of shingles in prefixes that are exchanged at once, at about, and in how many parts at most.
+_PLACES = 1 << 23
+_PARTS = 16
+#: Classes of document keys, a bit each in a broadcast table of a 64th as many rows at most.
+_CLASSES = 1 << 23
 
 
 def distinct_shingles(text: str | None, words: int = WORDS) -> np.ndarray:
@@ -74,7 +80,8 @@ def common_shingles(docs: DataFrame, words: int) -> tuple[np.ndarray, np.ndarray
             yield pa.RecordBatch.from_arrays([pa.array(np.concatenate([*found, np.zeros(0, dtype="<u8")]).view(np.int64))], ["h"])
 
     counted = docs.where(F.pmod("_k2", F.lit(share)) == 0).select("text").mapInArrow(run, "h long").groupBy("h").agg(F.count("*").alias("n"))
-    listed = counted.where(F.col("n") >= _OFTEN).orderBy(F.desc("n"), "h").limit(_LISTED).toArrow()
+    with clean(docs.sparkSession):
+        listed = counted.where(F.col("n") >= _OFTEN).orderBy(F.desc("n"), "h").limit(_LISTED).toArrow()
     h, n = listed["h"].to_numpy().view(np.uint64), listed["n"].to_numpy()
     order = np.argsort(h)
     return h[order], n[order]
@@ -164,25 +171,44 @@ def band_pairs(nodes: DataFrame, similarity: float) -> DataFrame:
     return dealt.mapInArrow(pairs, "a long, b long")
 
 
-def fingerprint_pairs(nodes: DataFrame, budget: int) -> DataFrame:
-    """Candidate pairs (a, b) of sets whose fingerprints are equal, or linked by the trie join."""
-    least = materialize(nodes.groupBy("fp").agg(F.min("set").alias("low")), "neardup-prints")
+def fingerprint_pairs(nodes: DataFrame, least: DataFrame, budget: int) -> DataFrame:
+    """Candidate pairs (a, b) of sets whose fingerprints are equal, or linked by the trie join; ``least`` has each fp's smallest set as low."""
     low = lambda c: least.select(F.col("fp").alias(f"_{c}"), F.col("low").alias(c))
     linked = simhash.links(least.select("fp"), least.count(), budget).toDF("_a", "_b")
     return nodes.join(least, "fp").select(F.col("set").alias("a"), F.col("low").alias("b")).union(linked.join(low("a"), "_a").join(low("b"), "_b").select("a", "b"))
 
 
-def missed_pairs(nodes: DataFrame, joined: DataFrame, similarity: float) -> DataFrame:
-    """Candidate pairs (a, b) of sets in different components: every such pair at ``similarity`` or more is among them.
+def shared_places(nodes: DataFrame, joined: DataFrame, similarity: float, parts: int, part: int) -> DataFrame:
+    """Places in prefixes (w, set, n, pos, root, and _n of them a shingle w), of the shingles of one part, where an alike set of another component may meet.
+
+    A set x at place ``pos`` of a shingle is alike none of more shingles than ``(1 + s) / s * (n - pos) - n``, nor of fewer than ``s * n``, so one
+    goes where its neighbours by size in the shingle's group are out of these bounds.
+    """
+    own = F.expr(f"filter(transform(prefix, (w, i) -> struct(i AS pos, w)), x -> pmod(x.w, {parts}) = {part})")
+    some = nodes.select("set", "n", own.alias("own")).where(F.size("own") > 0)
+    rooted = some.join(joined, some.set == joined.node, "left").select("set", "n", F.coalesce("root", "set").alias("root"), F.inline("own"))
+    group = Window.partitionBy("w")
+    most = (1 + similarity) / similarity * (F.col("n") - F.col("pos")) - F.col("n") + 1e-3
+    sized = rooted.select("*", F.lag("n").over(group.orderBy("n")).alias("less"), F.lead("n").over(group.orderBy("n")).alias("more"))
+    sized = sized.where((F.col("more") <= most) | (F.col("less") >= similarity * F.col("n") - 1e-3))
+    met = sized.select("w", "set", "n", "pos", "root", F.min("root").over(group).alias("low"), F.max("root").over(group).alias("high"), F.count("*").over(group).alias("_n"))
+    return met.where("low <> high").drop("low", "high")
+
+
+def missed_pairs(nodes: DataFrame, joined: DataFrame, similarity: float) -> list[DataFrame]:
+    """Tables of candidate pairs (a, b) of sets in different components: every such pair at ``similarity`` or more is in one of them.
 
     Sets that share a shingle of their prefixes meet. A pair is left out only where the shingles from there on are too few
     (its first common shingle is shared too, and decides), or where the parity maps differ in more bits than the sets
-    may differ in shingles.
+    may differ in shingles. Each table has the pairs that meet on one part of the shingles.
     """
-    rooted = nodes.join(joined, nodes.set == joined.node, "left").select("set", "n", "prefix", F.coalesce("root", "set").alias("root"))
-    items = rooted.select("set", "n", "root", F.posexplode("prefix").alias("pos", "w"))
-    met = items.groupBy("w").agg(F.min("root").alias("low"), F.max("root").alias("high")).where("low <> high").select("w")
-    shared = materialize(items.join(met, "w", "left_semi"), "neardup-shared")
+    places = nodes.agg(F.sum(F.size("prefix"))).first()[0] or 0
+    parts = min(max(1, -(-places // _PLACES)), _PARTS)
+    return [_missed(nodes, joined, similarity, parts, part) for part in range(parts)]
+
+
+def _missed(nodes: DataFrame, joined: DataFrame, similarity: float, parts: int, part: int) -> DataFrame:
+    shared = materialize(shared_places(nodes, joined, similarity, parts, part), "neardup-shared")
     dealt = deal_blocks(shared.join(nodes.select("set", "bits"), "set"), ["w"], "set", _BLOCK, ["set"]).select("w", "_i", "_j", "_b", "set", "n", "pos", "root", "bits")
 
     def pairs(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -207,22 +233,33 @@ def missed_pairs(nodes: DataFrame, joined: DataFrame, similarity: float) -> Data
                 near = ((i[x] == j[x]) | (block[x] != block[y])) & (np.minimum(n[x] - pos[x], n[y] - pos[y]) >= need)
                 x, y, most = x[near], y[near], (both - 2 * need)[near]
                 near = np.bitwise_count(bits[x] ^ bits[y]).sum(1, dtype=np.int64) <= most
-                a.append(sets[x[near]])
-                b.append(sets[y[near]])
+                x, y = sets[x[near]], sets[y[near]]
+                a.append(np.minimum(x, y))
+                b.append(np.maximum(x, y))
             yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(a)), pa.array(np.concatenate(b))], ["a", "b"])
 
-    return dealt.mapInArrow(pairs, "a long, b long")
+    found = materialize(dealt.mapInArrow(pairs, "a long, b long").distinct(), "neardup-met")
+    discard(shared)
+    return found
+
+
+def among(docs: DataFrame, named: DataFrame) -> DataFrame:
+    """The rows of ``docs`` with a key _k of ``named``, and few others, picked where they lie: texts that no one asks for aren't exchanged."""
+    at = f"pmod(_k, {_CLASSES}L)"
+    marks = named.select(F.expr(f"{at} div 64").alias("_w"), F.expr(f"shiftleft(1L, cast({at} % 64 AS int))").alias("_m")).groupBy("_w").agg(F.bit_or("_m").alias("_m"))
+    marked = docs.withColumn("_w", F.expr(f"{at} div 64")).join(F.broadcast(marks), "_w")
+    return marked.where(F.expr(f"bit_get(_m, cast({at} % 64 AS int)) = 1")).drop("_w", "_m")
 
 
 def links(docs: DataFrame, nodes: DataFrame, candidates: DataFrame, words: int, similarity: float) -> DataFrame:
-    """The candidate pairs whose shingles have a Jaccard similarity of ``similarity`` or more."""
+    """A table of the candidate pairs whose shingles have a Jaccard similarity of ``similarity`` or more."""
     both = candidates.where("a <> b")
     pairs = materialize(both.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct(), "neardup-pairs")
     if pairs.isEmpty():
         return pairs
     named = pairs.select(F.col("a").alias("set")).union(pairs.select("b")).distinct()
     named = materialize(nodes.join(named, "set", "left_semi").select("set", "_k", "_k2"), "neardup-named")
-    texts = docs.join(named, ["_k", "_k2"]).dropDuplicates(["set"]).select("set", "text")
+    texts = among(docs.select("_k", "_k2", "text"), named).join(named, ["_k", "_k2"]).dropDuplicates(["_k", "_k2"]).select("set", "text")
 
     def shingled(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -241,7 +278,9 @@ def links(docs: DataFrame, nodes: DataFrame, candidates: DataFrame, words: int,
                 near.append(same >= similarity * (x.size + y.size - same))
             yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1)], ["a", "b"]).filter(pa.array(near, pa.bool_()))
 
-    return pairs.join(side("a"), "a").join(side("b"), "b").select("a", "b", "ha", "hb").mapInArrow(checked, "a long, b long")
+    found = materialize(pairs.join(side("a"), "a").join(side("b"), "b").select("a", "b", "ha", "hb").mapInArrow(checked, "a long, b long"), "neardup-alike")
+    discard(pairs, named, held)
+    return found
 
 
 def deduplicate(docs: DataFrame, words: int = WORDS, similarity: float = SIMILARITY, budget: int = simhash.BUDGET) -> DataFrame:
@@ -254,14 +293,20 @@ def deduplicate(docs: DataFrame, words: int = WORDS, similarity: float = SIMILAR
     prints = materialize(sketches(keyed, words, ("doc_id", "_k", "_k2"), similarity), "neardup")
     nodes = prints.groupBy("set").agg(F.min(F.struct("_k", "_k2", "fp", "sig", "bands", "n", "bits", "prefix")).alias("x")).select("set", "x.*")
     nodes = materialize(nodes, "neardup-sets")
-    quick = band_pairs(nodes, similarity).union(fingerprint_pairs(nodes, budget))
-    joined = components(links(keyed, nodes, quick, words, similarity), "neardup-links")
-    missed = materialize(links(keyed, nodes, missed_pairs(nodes, joined, similarity), words, similarity), "neardup-missed")
+    members = materialize(prints.select("set", "doc_id", "_k", "_k2"), "neardup-members")
+    discard(prints)
+    least = materialize(nodes.groupBy("fp").agg(F.min("set").alias("low")), "neardup-prints")
+    quick = links(keyed, nodes, band_pairs(nodes, similarity).union(fingerprint_pairs(nodes, least, budget)), words, similarity)
+    joined = components(quick, "neardup-links")
+    discard(least, quick)
+    met = missed_pairs(nodes, joined, similarity)
+    missed = links(keyed, nodes, reduce(DataFrame.union, met), words, similarity)
+    discard(nodes, *met)
     if not missed.isEmpty():
         first, joined = joined, components(joined.toDF("a", "b").union(missed), "neardup-links")
         discard(first)
-    rooted = prints.select("set", "doc_id", "_k", "_k2").join(joined, prints.set == joined.node, "left").withColumn("root", F.coalesce("root", "set"))
+    rooted = members.join(joined, members.set == joined.node, "left").withColumn("root", F.coalesce("root", "set"))
     order = F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "_k", "_k2")
     stay = materialize(rooted.groupBy("root").agg(F.min(order).alias("x")).select("x._k", "x._k2"), "neardup-stay")
-    discard(nodes, joined)
+    discard(members, missed, joined)
     return keyed.join(stay, ["_k", "_k2"], "left_semi").dropDuplicates(["_k", "_k2"]).select(*columns)
