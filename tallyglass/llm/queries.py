@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import bpe, importance, langid, linechunks, lsh, multi_index, packing, pii, simhash, suffixes
+from . import bpe, fim, importance, langid, linechunks, lsh, multi_index, packing, pii, simhash, suffixes, whitening, windows
 
 
 def op1_importance_resampling(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -58,8 +58,22 @@ def op10_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pii.detect(spark.read.parquet(f"{sf_dir}/documents.parquet"))
 
 
+def op11_fill_in_middle(spark: SparkSession, sf_dir: str) -> DataFrame:
+    made = fim.transform(spark.read.parquet(f"{sf_dir}/documents.parquet"), keep=("doc_id",))
+    return made.select("doc_id", "n", "form", "prefix_chars", "middle_chars", F.sha2("output", 256).alias("output_sha256"), F.sha2(fim.restored(), 256).alias("restored_sha256"))
+
+
+def op12_window_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return windows.pack_documents(spark.read.parquet(f"{sf_dir}/documents.parquet"), public_tokenizers.path("byte_bpe_50k.json"))
+
+
+def op13_whitening(spark: SparkSession, sf_dir: str) -> DataFrame:
+    white = whitening.whiten(spark.read.parquet(f"{sf_dir}/embeddings.parquet"))
+    return white.withColumn("deviation", F.expr("try_cast(deviation AS bigint)"))
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op1_importance_resampling, op2_line_chunks, op3_embedding_near_dedup, op4_suffix_array, op5_inverted_multi_index, op6_best_fit_packing, op7_byte_bpe, op8_simhash, op9_language_id, op10_pii)}
+    return {f.__name__: f for f in (op1_importance_resampling, op2_line_chunks, op3_embedding_near_dedup, op4_suffix_array, op5_inverted_multi_index, op6_best_fit_packing, op7_byte_bpe, op8_simhash, op9_language_id, op10_pii, op11_fill_in_middle, op12_window_packing, op13_whitening)}
 
 
 #: Vectors without a link stand for themselves; the closure over links gives the components.
@@ -89,4 +103,4 @@ FROM d LEFT JOIN t USING (doc_id)
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op2_line_chunks": linechunks.SQL, "op3_embedding_near_dedup": VECTORS_SQL, "op4_suffix_array": REPEATS_SQL}
+    return {"op2_line_chunks": linechunks.SQL, "op3_embedding_near_dedup": VECTORS_SQL, "op4_suffix_array": REPEATS_SQL, "op11_fill_in_middle": fim.SQL}

@@ -68,8 +68,8 @@ def test_empty_table(spark, tmp_path):
 
 
 def test_names():
-    assert [n.split("_")[0] for n in queries.queries()] == [f"op{i}" for i in range(1, 11)]
+    assert [n.split("_")[0] for n in queries.queries()] == [f"op{i}" for i in range(1, 14)]
     assert 4 <= len(corpus_pipeline.STAGES) <= 5 and corpus_pipeline.STAGES[-1][1] is corpus_pipeline.pack
     assert packing.CAPACITY == 4096 and langid.UNKNOWN == "und"
     with pytest.raises(KeyError):
-        queries.queries()["op11"]
+        queries.queries()["op14"]
