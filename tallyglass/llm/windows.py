@@ -27,21 +27,25 @@ from .packing import fullest
 CAPACITY = 1024
 END_ID = 0
 MEMO = 300_000
-_TOGETHER = 500
+_TOGETHER = 5000
 _RANKED = 100_000
 _SPACES = r"\t-\r \x85\xa0\u1680\u2000-\u200a\u2028\u2029\u202f\u205f\u3000"
 #: White space and what follows up to the next: the tokenizer's units never reach from other characters into white space.
 _CHUNKS = re.compile(rf"[{_SPACES}]*[^{_SPACES}]+|[{_SPACES}]+")
-#: A line end or a space or both, letters that no version of Unicode disputes, and a comma or stop: units one by one.
-_WORD = re.compile(r"\n?( ?[A-Za-z\xc0-\xd6\xd8-\xf6\xf8-\u024f]+)([.,]?)")
-#: How the vocabulary writes a byte: as the character of its number, or one from 256 on where that doesn't print.
-_SHOWN = {b: 256 + k for k, b in enumerate([*range(33), *range(127, 161), 173])}
-_LINE = chr(_SHOWN[10])
-_UNITS = {b: c for b, c in _SHOWN.items() if b != 10}
+#: The tokenizer's own units, for texts without a character whose class another version of Unicode might see otherwise.
+_FOREIGN = re.compile(r"[^\x00-\u024f]")
+_LETTERS = r"A-Za-z\xaa\xb5\xba\xc0-\xd6\xd8-\xf6\xf8-\u024f"
+_DIGITS, _BLANKS = r"0-9\xb2\xb3\xb9\xbc-\xbe", r"\t-\r \x85\xa0"
+_UNITS = re.compile(rf" ?[{_LETTERS}]+|'(?:s|t|re|ve|m|ll|d)| ?[{_DIGITS}]+| ?[^{_BLANKS}{_LETTERS}{_DIGITS}]+|[{_BLANKS}]+(?![^{_BLANKS}])|[{_BLANKS}]+")
+_WORD = re.compile(rf" [{_LETTERS}]+")
+#: How the vocabulary writes a byte: as the character of its number, or one from 256 on where that doesn't print. A space comes first in a word.
+_SHOWN = {b: chr(256 + k) for k, b in enumerate([*range(33), *range(127, 161), 173])}
+_FIRST = _SHOWN[32]
+_APART = _SHOWN | {32: " " + _FIRST}
 
 
 class ByteTokenizer:
-    """Ids of whole texts, chunk by chunk, with a bounded memo; new words go to the library many at a time."""
+    """Ids of whole texts, unit by unit, with a bounded memo; new words go to the library many at a time."""
 
     def __init__(self, path: str):
         from tokenizers import Tokenizer, pre_tokenizers
@@ -53,44 +57,40 @@ class ByteTokenizer:
         self.memo: dict[str, bytes] = {}
         self.older: dict[str, bytes] = {}
         self.type = "<u2" if self.library.get_vocab_size() <= 1 << 16 else "<u4"
-        self.line = self.library.token_to_id(_LINE)
-        self.marks = {m: np.array(self.library.encode(m, add_special_tokens=False).ids, dtype=self.type).tobytes() for m in (".", ",", "\n")}
+        vocabulary = self.library.get_vocab(with_added_tokens=True)
+        self.first = np.zeros(max(vocabulary.values()) + 1, dtype=bool)
+        self.first[[i for t, i in vocabulary.items() if t.startswith(_FIRST)]] = True
 
     def ids(self, texts: list[str]) -> list[bytes]:
         """For each text the ids one after the other, little-endian, ``type`` each."""
-        chunks = [_CHUNKS.findall(t) for t in texts]
-        new = set().union(*chunks).difference(self.memo)
-        if len(self.memo) + len(new) > MEMO:  # a full memo is set aside, and chunks still in use move over
+        units = [(_CHUNKS if _FOREIGN.search(t) else _UNITS).findall(t) for t in texts]
+        new = set().union(*units).difference(self.memo)
+        if len(self.memo) + len(new) > MEMO:  # a full memo is set aside, and units still in use move over
             self.older, self.memo = self.memo, {}
-            new = set().union(*chunks)
-        for c in new.intersection(self.older):
-            self.memo[c] = self.older[c]
+            new = set().union(*units)
+        for u in new.intersection(self.older):
+            self.memo[u] = self.older[u]
         self._learn(new.difference(self.older))
-        return [b"".join(map(self.memo.__getitem__, c)) for c in chunks]
+        return [b"".join(map(self.memo.__getitem__, u)) for u in units]
 
     def _learn(self, new: set[str]) -> None:
-        matched = [(c, _WORD.fullmatch(c)) for c in new]
-        odd = [c for c, m in matched if not m]
-        words = [(c, m[1], m[2]) for c, m in matched if m]
-        units, found, width = list({u for _, u, _ in words}), {}, np.dtype(self.type).itemsize
-        for at in range(0, len(units), _TOGETHER):
-            part = units[at : at + _TOGETHER]
-            shown = "\n".join(part)
-            shown = shown.replace(" ", chr(_SHOWN[32])) if shown.isascii() else shown.encode().decode("latin-1").translate(_UNITS)
-            ids = np.array(self.bare.encode_batch_fast([shown.replace("\n", f" {_LINE} ")], add_special_tokens=False)[0].ids, dtype=self.type)
-            data, start = ids.tobytes(), 0
-            for u, end in zip(part, (width * np.append(np.flatnonzero(ids == self.line), ids.size)).tolist(), strict=True):
-                found[u] = data[start:end]
-                start = end + width
-        for c, u, after in words:
-            ids = found[u]
-            if after:
-                ids += self.marks[after]
-            self.memo[c] = self.marks["\n"] + ids if c[0] == "\n" else ids
+        plain, beyond, odd = [], [], []
+        for u in new:
+            (odd if not _WORD.fullmatch(u) else plain if u.isascii() else beyond).append(u)
+        width = np.dtype(self.type).itemsize
+        for words in (plain, beyond):
+            for at in range(0, len(words), _TOGETHER):
+                part = words[at : at + _TOGETHER]
+                shown = "".join(part)
+                shown = shown.replace(" ", " " + _FIRST) if words is plain else shown.encode().decode("latin-1").translate(_APART)
+                ids = np.array(self.bare.encode_batch_fast([shown], add_special_tokens=False)[0].ids, dtype=self.type)
+                starts = (width * np.flatnonzero(self.first[ids])).tolist()  # a word's first id shows its space
+                data = ids.tobytes()
+                self.memo.update((w, data[a:b]) for w, a, b in zip(part, starts, [*starts[1:], len(data)], strict=True))
         for at in range(0, len(odd), _TOGETHER):
             part = odd[at : at + _TOGETHER]
-            for c, e in zip(part, self.library.encode_batch_fast(part, add_special_tokens=False), strict=True):
-                self.memo[c] = np.array(e.ids, dtype=self.type).tobytes()
+            for u, e in zip(part, self.library.encode_batch_fast(part, add_special_tokens=False), strict=True):
+                self.memo[u] = np.array(e.ids, dtype=self.type).tobytes()
 
 
 _TOKENIZERS: dict[str, ByteTokenizer] = {}
@@ -278,6 +278,9 @@ def pack(cut: DataFrame, capacity: int = CAPACITY, with_ids: bool = False) -> Da
 
     opened = T.StructType([*placed.schema.fields, T.StructField("ids", T.BinaryType())])
     some = placed if with_ids else placed.where("part < length")
+    few = sum(int(t[t[:, 3] < n, 1].sum()) for n, t in where.items()) <= _RANKED  # parts of cut pieces, as planned
+    if few and not with_ids:
+        some = F.broadcast(some)
     parts = some.join(ids, "piece").select(*out, "ids").mapInArrow(cut_out, opened)
     whole = parts if with_ids else placed.where("part = length").unionByName(parts.drop("ids"))
     return whole.select("row", (F.col("start") + F.col("begin")).alias("start"), F.col("part").alias("length"), "ids_crc32", "doc_tokens", "sequence_id", "offset", *["ids"] * with_ids)
