@@ -15,8 +15,10 @@ from pyspark.sql import types as T
 
 from ..functions.styles import render, word_styles
 from .bitmaps import EDGE_NEAR, NEAR, local_difference, near_bitmaps, topology, unpack
-from .recognition import classify_gaps, read_glyphs, sequence_matches, word_memory
-from .votes import read_decision, summary
+from .recognition import classify_gaps, read_glyphs, word_memory
+from .sequence_keys import sequence_matches
+from .votes import options, read_decision, summary
+from .words import settle
 
 # Letters whose identity hangs on a row of pixels, and how near a match must be.
 STRICT = "Il|i1!jíìïî035689g"
@@ -181,20 +183,7 @@ def quotes_joined(items: Sequence[dict]) -> list[dict]:
     return out
 
 
-def remembered(items: Sequence[dict], memory: str | None) -> list[dict]:
-    """A word's items with ambiguous ones read as in the word's memory, where that has a character for each of them."""
-    sizes = [len(x["text"]) if x["text"] is not None else 1 for x in items]
-    if memory is None or sum(sizes) != len(memory):
-        return list(items)
-    out, at = [], 0
-    for x, n in zip(items, sizes, strict=True):
-        part = memory[at : at + n]
-        out.append({**x, "text": part, "reason": "", "via": "word"} if x["via"] == "ambig" else x)
-        at += n
-    return out
-
-
-LINES = "file string, cue int, line int, text string, letters_ok boolean, ok boolean, problems array<string>, low array<string>"
+LINES = "file string, cue int, line int, text string, letters_ok boolean, ok boolean, problems array<string>, low array<string>, settled array<string>"
 
 
 def _plain(x):
@@ -205,25 +194,30 @@ def _plain(x):
 
 def recognize(
     glyphs: DataFrame, votes: DataFrame, sequences: DataFrame, near: DataFrame, pairs: DataFrame, histogram: DataFrame, memory: DataFrame, reference: DataFrame | None = None, tentative: bool = False,
-    bearings: DataFrame | None = None,
+    bearings: DataFrame | None = None, lexicon: DataFrame | None = None, members: DataFrame | None = None, priors: DataFrame | None = None, alike: bool = False,
 ) -> DataFrame:
-    """Lines of text (file, cue, line, text, letters_ok, ok, problems, low) of segmented glyphs.
+    """Lines of text (file, cue, line, text, letters_ok, ok, problems, low, settled) of segmented glyphs.
 
     ``votes`` (key, top_rel, label, n) decide what a glyph is read as; ``near`` (key, ref_key) lends unknown keys another's votes; ``sequences`` (parts, label, n)
-    are read first; ``pairs`` (ka, kb, gap, letter, space), ``bearings`` (side, key, value) and ``histogram`` (gap, letter, space) tell spaces; ``memory`` (keys, text, n) settles look-alikes;
+    are read first, by the clusters of ``members`` where those are given; ``pairs`` (ka, kb, gap, letter, space), ``bearings`` (side, key, value) and ``histogram`` (gap, letter, space) tell spaces; ``memory`` (keys, text, n) settles look-alikes;
+    ``lexicon`` (word, zipf, valid) settles those that memory doesn't, and repairs words read with the wrong one of I and l; ``alike`` says that the font draws both the same.
+    ``priors`` (key, top_rel, label) are guesses from another set. settled lists what a word's memory, the lexicon or a repair read, as text and source.
     ``reference`` (file, cue, line, text) fills breaks that nothing decides. With ``tentative`` a label seen once is read, and listed in low. A line that isn't
     wholly read has placeholders, and its problems.
     """
-    decided = read_decision(votes, ["key", "top_rel"], list(LOOK_ALIKES))
+    same = F.lit(True) if alike else None
+    decided = read_decision(votes, ["key", "top_rel"], list(LOOK_ALIKES), priors, F.col("label").isin("I", "l") if alike else None)
+    decided = decided.join(options(votes, ["key", "top_rel"], same), ["key", "top_rel"], "left")
     once = summary(votes, ["key", "top_rel"]).select("key", "top_rel", F.col("label").alias("_top"))
     decided = decided.join(once, ["key", "top_rel"], "left").withColumn("_low", F.lit(tentative) & (F.col("reason") == "unconfirmed") & F.col("_top").isNotNull())
-    exact = decided.select("key", "top_rel", F.to_json(F.struct(F.when(F.col("_low"), F.col("_top")).otherwise(F.col("label")).alias("text"), "reason", F.col("_low").alias("low"))).alias("label"), F.xxhash64("key", "top_rel").alias("insert_no"))
+    exact = decided.select("key", "top_rel", F.to_json(F.struct(F.when(F.col("_low"), F.col("_top")).otherwise(F.col("label")).alias("text"), "reason", F.col("_low").alias("low"), "options")).alias("label"), F.xxhash64("key", "top_rel").alias("insert_no"))
     read = read_glyphs(glyphs, exact, near)  # all that is known of a position travels as its label
-    told = F.from_json("text", "text string, reason string, low boolean")
-    read = read.withColumn("_t", told).withColumns({"text": F.col("_t.text"), "low": F.coalesce("_t.low", F.lit(False)), "reason": F.when(F.col("_t").isNull(), "unknown glyph").when(F.col("_t.text").isNull(), F.col("_t.reason")).otherwise("")})
+    told = F.from_json("text", "text string, reason string, low boolean, options array<string>")
+    read = read.withColumn("_t", told).withColumns({"text": F.col("_t.text"), "low": F.coalesce("_t.low", F.lit(False)), "options": F.col("_t.options"), "reason": F.when(F.col("_t").isNull(), "unknown glyph").when(F.col("_t.text").isNull(), F.col("_t.reason")).otherwise("")})
     read = read.withColumn("via", F.when(F.col("reason") == "ambiguous", "ambig").when(F.col("low"), "tentative").otherwise(F.col("via")))
     line = ["file", "cue", "line"]
-    matched = sequence_matches(glyphs, sequences, ["pos"]).select(*line, "pos", "length", F.col("label").alias("_label"))
+    confirmed = read.withColumn("own", F.when((F.col("via") == "exact") & (F.col("reason") == ""), F.col("text")))
+    matched = sequence_matches(confirmed, sequences, ["pos"], members).select(*line, "pos", "length", F.col("label").alias("_label"))
     inside = matched.where("length > 1").select(*line, F.explode(F.sequence(F.col("pos") + 1, F.col("pos") + F.col("length") - 1)).alias("pos"))
     after = F.lead("key").over(Window.partitionBy(*line).orderBy("pos"))
     keyed = glyphs.select(*line, "pos", F.col("key").alias("ka"), after.alias("kb"), F.col("gap_after").alias("gap"))
@@ -233,7 +227,7 @@ def recognize(
     style = F.when(F.col("underlined"), "u").otherwise("")
     item = F.struct(
         "pos", F.coalesce("_label", "text").alias("text"), style.alias("style"), F.when(F.col("_label").isNotNull(), "").otherwise(F.col("reason")).alias("reason"),
-        F.when(F.col("_label").isNotNull(), "seq").otherwise(F.col("via")).alias("via"), (F.col("low") & F.col("_label").isNull()).alias("low"), "space_after", F.col("key"), F.col("_end"),
+        F.when(F.col("_label").isNotNull(), "seq").otherwise(F.col("via")).alias("via"), (F.col("low") & F.col("_label").isNull()).alias("low"), "space_after", F.col("key"), F.col("_end"), F.when(F.col("_label").isNull(), F.col("options")).alias("options"),
     ).alias("x")
     broken = F.lag(F.when(F.coalesce(F.col("x.space_after"), F.lit(True)) | F.col("x.text").isin(*WORD_BREAKS), 1).otherwise(0)).over(Window.partitionBy(*line).orderBy("x.pos"))
     laid = ends.select(*line, item).withColumn("_b", F.coalesce(broken, F.lit(0)) + F.when(F.col("x.text").isin(*WORD_BREAKS), 1).otherwise(0))
@@ -241,7 +235,8 @@ def recognize(
     spelled = glyphs.select(*line, "pos", "key").join(laid.select(*line, "word", F.explode(F.sequence(F.col("x.pos"), F.col("x._end"))).alias("pos")), [*line, "pos"])
     keys = spelled.groupBy(*line, "word").agg(F.transform(F.sort_array(F.collect_list(F.struct("pos", "key"))), lambda x: x["key"]).alias("keys"))  # a word's glyphs
     words = laid.groupBy(*line, "word").agg(F.sort_array(F.collect_list("x")).alias("items")).join(word_memory(keys, memory), [*line, "word"])
-    lines = words.groupBy(*line).agg(F.sort_array(F.collect_list(F.struct("word", "items", "memory"))).alias("words"))  # a line's words
+    words = settle(words, lexicon)
+    lines = words.groupBy(*line).agg(F.sort_array(F.collect_list(F.struct("word", "items"))).alias("words"))  # a line's words
     told = reference.select(*line, F.col("text").alias("reference")) if reference is not None else None
     lines = lines.join(told, line, "left") if told is not None else lines.withColumn("reference", F.lit(None).cast("string"))
 
@@ -249,11 +244,11 @@ def recognize(
         for frame in frames:
             out = []
             for r in frame.itertuples():
-                read = quotes_joined([x for word in _plain(r.words) for x in remembered(word["items"], word["memory"])])
+                read = quotes_joined([x for word in _plain(r.words) for x in word["items"]])
                 if isinstance(r.reference, str):
                     read = fill_spaces(read, r.reference) or read
                 wrong = problems(read)
-                out.append((r.file, r.cue, r.line, render_line(read), all(x["text"] is not None for x in read), not wrong, [f"{k}: {why}" for k, why in wrong], [x["text"] for x in read if x["low"]]))
+                out.append((r.file, r.cue, r.line, render_line(read), all(x["text"] is not None for x in read), not wrong, [f"{k}: {why}" for k, why in wrong], [x["text"] for x in read if x["low"]], [f"{x['text']}:{x['via']}" for x in read if x["via"] in ("word", "lexicon", "repair")]))
             yield pd.DataFrame(out, columns=[c.split()[0] for c in LINES.split(", ")])
 
     return lines.mapInPandas(run, LINES)

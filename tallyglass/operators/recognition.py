@@ -1,4 +1,4 @@
-"""Reading cues from evidence: sequences and words first, then keys, then the choice between sources of text."""
+"""Reading cues from evidence: word memory, keys, gaps, and the choice between sources of text."""
 
 from __future__ import annotations
 
@@ -10,35 +10,9 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .votes import trusted_label
-
 BATCH = 16
 
 
-def sequence_matches(glyphs: DataFrame, sequences: DataFrame, order: list[str]) -> DataFrame:
-    """Glyphs read together: rows (file, cue, line, pos, length, label) of the trusted sequences that start at a glyph.
-
-    ``sequences`` (parts, label, n) are votes for three or two glyphs drawn as one; where both fit, the longer is
-    taken. A match that overlaps one further left is left out: within runs of overlapping matches every
-    choice depends on the one before, so they are folded in order, line by line.
-    """
-    trusted = trusted_label(sequences, ["parts"]).where("label is not null").select("parts", "label")
-    w = Window.partitionBy("file", "cue", "line").orderBy(*order)
-    keyed = glyphs.select("file", "cue", "line", "pos", "key", F.lead("key", 1).over(w).alias("k1"), F.lead("key", 2).over(w).alias("k2"))
-    three = keyed.where("k2 is not null").select("file", "cue", "line", "pos", F.array("key", "k1", "k2").alias("parts"))
-    two = keyed.where("k1 is not null").select("file", "cue", "line", "pos", F.array("key", "k1").alias("parts"))
-    met = three.union(two).join(trusted, "parts").withColumn("length", F.size("parts"))
-    best = met.groupBy("file", "cue", "line", "pos").agg(F.max(F.struct("length", "label")).alias("b")).select("file", "cue", "line", "pos", "b.length", "b.label")
-    starts = F.sort_array(F.collect_list(F.struct("pos", "length", "label")))  # one line's matches
-    taken = F.aggregate(
-        "m", F.struct(F.lit(-1).alias("end"), F.array().cast("array<struct<pos:int,length:int,label:string>>").alias("out")),
-        lambda s, x: F.when(x["pos"] >= s["end"], F.struct((x["pos"] + x["length"]).alias("end"), F.array_append(s["out"], x).alias("out"))).otherwise(s),
-        lambda s: s["out"],
-    )
-    lines = best.groupBy("file", "cue", "line").agg(starts.alias("m"))
-    return lines.select("file", "cue", "line", F.explode(taken).alias("x")).select("file", "cue", "line", "x.*")
-
-
 def word_memory(words: DataFrame, memory: DataFrame) -> DataFrame:
     """Append memory: the text that two thirds of a word's earlier readings (keys, text, n) agree on."""
     found = memory.groupBy("keys").agg(F.sum("n").alias("total"), F.max(F.struct("n", "text")).alias("b"))
@@ -122,53 +96,6 @@ def classify_gaps(rows: DataFrame, pairs: DataFrame, histogram: DataFrame, beari
     return met.withColumn("is_space", result).drop("by_pair", "l", "s", "max_l", "min_s", "_r", "_l", "_right_default", "_left_default", "_space")
 
 
-def resolve_words(words: DataFrame, lexicon: DataFrame, most: int = 64) -> DataFrame:
-    """Append resolved to words (id, candidates: arrays of readings, one a place): the one spelling that the lexicon knows.
-
-    Words of more than ``most`` spellings stay unresolved. Regular case comes first, then known words by
-    frequency, which must lead by a factor of 100 (2.0 on the Zipf scale); otherwise null.
-    """
-    small = words.where(F.aggregate("candidates", F.lit(1).cast("long"), lambda n, c: n * F.size(c)) <= most)
-    grown = F.aggregate("candidates", F.array(F.lit("")), lambda done, c: F.flatten(F.transform(done, lambda d: F.transform(c, lambda x: F.concat(d, x)))))
-    spelled = small.select("id", F.explode(grown).alias("spelling"))
-    regular = F.col("spelling").rlike(r"^\P{L}*(\p{Lu}?[\p{Ll}\P{L}]*|[\p{Lu}\P{L}]+)$")
-    met = spelled.withColumn("regular", regular).join(lexicon.select(F.col("word"), "zipf"), F.lower("spelling") == F.col("word"), "left")
-    order = Window.partitionBy("id").orderBy(F.desc("regular"), F.desc(F.col("zipf").isNotNull()), F.desc("zipf"), "spelling")
-    ranked = met.withColumns({"rank": F.row_number().over(order), "next_regular": F.lead("regular").over(order), "next_zipf": F.lead("zipf").over(order)})
-    sure = (F.col("next_regular").isNull()) | (F.col("regular") & ~F.col("next_regular")) | (F.col("zipf").isNotNull() & (F.col("zipf") - F.coalesce("next_zipf", F.lit(0.0)) >= 2.0))
-    return words.join(ranked.where("rank = 1").select("id", F.when(sure, F.col("spelling")).alias("resolved")), "id", "left")
-
-
-# Marks around a word, and what a reading needs on the Zipf scale.
-MARKS = "\"'.,;:!?()[]{}-–—…«»„“”‚‘’¿¡"
-MIN_ZIPF, MIN_LEAD, REPAIR_LEAD = 1.0, 1.5, 2.0
-
-
-def core(word: Column) -> Column:
-    """A word without the marks around it."""
-    return F.btrim(word, F.lit(MARKS))
-
-
-def repair_words(words: DataFrame, lexicon: DataFrame, most: int = 64) -> DataFrame:
-    """Append repaired to words (id, parts: the text of each glyph): the spelling with I and l exchanged that the lexicon would rather have, else null.
-
-    ``lexicon`` (word, zipf, valid). Only parts of I and l alone are exchanged. A valid word stays; another spelling must be known, be a hundred times as
-    frequent as the word as read, and 30 times as the next.
-    """
-    swaps = F.expr("transform(parts, p -> if(p rlike '^[Il]+$', aggregate(split(p, ''), array(''), (done, c) -> if(c = '', done, flatten(transform(done, d -> array(concat(d, 'I'), concat(d, 'l')))))), array(p)))")
-    opened = words.select("id", F.array_join("parts", "").alias("read"), swaps.alias("options"))
-    small = opened.where((F.aggregate("options", F.lit(1).cast("long"), lambda n, c: n * F.size(c))).between(2, most))
-    grown = F.aggregate("options", F.array(F.lit("")), lambda done, c: F.flatten(F.transform(done, lambda d: F.transform(c, lambda x: F.concat(d, x)))))
-    spelled = small.select("id", "read", F.explode(grown).alias("spelling")).withColumn("_w", F.lower(core(F.col("spelling"))))
-    known = spelled.join(lexicon.select(F.col("word").alias("_w"), "zipf", "valid"), "_w", "left").withColumn("zipf", F.coalesce("zipf", F.lit(0.0)))
-    own = F.max(F.when(F.col("spelling") == F.col("read"), F.struct("zipf", F.coalesce("valid", F.lit(False)).alias("valid")))).alias("own")
-    others = F.sort_array(F.collect_list(F.when(F.col("spelling") != F.col("read"), F.struct("zipf", "spelling"))), asc=False).alias("others")  # ``most`` at most
-    found = known.groupBy("id").agg(own, others)
-    first, second = F.get("others", F.lit(0)), F.coalesce(F.get("others", F.lit(1))["zipf"], F.lit(0.0))
-    ok = ~F.col("own.valid") & (first["zipf"] >= MIN_ZIPF) & (first["zipf"] - F.col("own.zipf") >= REPAIR_LEAD) & (first["zipf"] - second >= MIN_LEAD)
-    return words.join(found.where(ok).select("id", first["spelling"].alias("repaired")), "id", "left")
-
-
 def greedy_batches(cues: DataFrame, size: int = BATCH) -> DataFrame:
     """The first ``size`` cues to ask about per file: each adds most unknown key occurrences for its length.
 

@@ -66,14 +66,52 @@ def without_strays(votes: DataFrame, keys: list[str]) -> DataFrame:
     return votes.withColumn("_total", total).where((F.col("n") > 0) & ~((F.col("n") == 1) & (F.col("_total") >= STRAY_TOTAL))).drop("_total")
 
 
-def read_decision(votes: DataFrame, keys: list[str], confusable: list[str] = ()) -> DataFrame:
-    """How to read a key: 'ambiguous' if its labels are the look-alikes alone, leaving strays aside; else its trusted label."""
+def with_priors(votes: DataFrame, keys: list[str], priors: DataFrame | None) -> DataFrame:
+    """Votes with a prior (keys, label) as one vote more, for keys that have votes."""
+    if priors is None:
+        return votes
+    seen = votes.where(F.col("n") > 0).select(*keys).distinct()
+    added = priors.where("label is not null").join(seen, keys, "left_semi").select(*keys, "label", F.lit(1).cast("long").alias("n"))
+    return votes.select(*keys, "label", "n").unionByName(added).groupBy(*keys, "label").agg(F.sum("n").alias("n"))
+
+
+def read_decision(votes: DataFrame, keys: list[str], confusable: list[str] = (), priors: DataFrame | None = None, alike: Column | None = None) -> DataFrame:
+    """How to read a key: 'ambiguous' if its labels are the look-alikes alone, leaving strays aside; else its trusted label.
+
+    ``priors`` (keys, label) are guesses from another set: one vote beside others, and the label itself (reason 'prior') where there are none. Where ``alike`` holds of a label, its
+    font draws that look-alike as another, and a key read as it alone is ambiguous too.
+    """
+    votes = with_priors(votes, keys, priors)
     labels = without_strays(votes, keys).groupBy(*keys).agg(F.sort_array(F.collect_set("label")).alias("voted"))
     ambiguous = (F.size("voted") > 1) & F.forall("voted", lambda x: x.isin(*confusable)) if confusable else F.lit(False)
     found = trusted_label(votes, keys).join(labels, keys, "left").withColumn("_a", F.coalesce(ambiguous, F.lit(False)))
-    return found.select(
+    if alike is not None:
+        found = found.withColumn("_a", F.col("_a") | F.coalesce(alike & F.col("label").isNotNull(), F.lit(False)))
+    found = found.select(
         *keys, F.when(~F.col("_a"), F.col("label")).alias("label"), F.when(F.col("_a"), "ambiguous").otherwise(F.col("reason")).alias("reason"), F.coalesce(F.size("voted"), F.lit(0)).alias("n_labels")
     )
+    if priors is None:
+        return found
+    guess = priors.where("label is not null").groupBy(*keys).agg(F.min("label").alias("_p"))
+    met = found.join(guess, keys, "full").withColumn("_g", F.coalesce("n_labels", F.lit(0)) == 0)
+    label = F.when(F.col("_g") & F.col("_p").isNotNull(), F.col("_p")).otherwise(F.col("label"))
+    return met.select(*keys, label.alias("label"), F.when(F.col("_g") & F.col("_p").isNotNull(), "prior").otherwise(F.col("reason")).alias("reason"), F.coalesce("n_labels", F.lit(0)).alias("n_labels"))
+
+
+def options(votes: DataFrame, keys: list[str], alike: Column | None = None) -> DataFrame:
+    """Per key the texts it may stand for (options, sorted): labels with two votes, those of several letters only as the majority; else the majority alone.
+
+    Where ``alike`` holds of every label, I and l are both possible.
+    """
+    top = F.max(F.struct("n", "label")).over(Window.partitionBy(*keys))["label"]
+    marked = votes.where((F.col("n") > 0) & (F.col("label") != "")).withColumn("_top", top)
+    backed = (F.col("n") >= MIN_VOTES) & ((F.length("label") == 1) | (F.col("label") == F.col("_top")))
+    found = marked.groupBy(*keys).agg(F.sort_array(F.collect_set(F.when(backed, F.col("label")))).alias("options"), F.max("_top").alias("_top"))
+    found = found.withColumn("options", F.when(F.size("options") == 0, F.array("_top")).otherwise(F.col("options")))
+    if alike is not None:
+        both = F.forall("options", lambda x: x.isin("I", "l")) & alike
+        found = found.withColumn("options", F.when(both, F.array(F.lit("I"), F.lit("l"))).otherwise(F.col("options")))
+    return found.select(*keys, "options")
 
 
 def settled(votes: DataFrame, keys: list[str], kept: DataFrame | None = None) -> DataFrame:

@@ -215,6 +215,11 @@ class VobSub(DataSource):
         return _Reader(self.options)
 
 
+def register(spark: SparkSession) -> None:
+    """Make ``spark.read.format("vobsub")`` known to a session; :func:`read_vobsub` needs no registration and opens any file system."""
+    spark.dataSource.register(VobSub)
+
+
 class _Reader(DataSourceReader):
     def __init__(self, options):
         self.path, self.track = options["path"], int(options.get("track", 0))

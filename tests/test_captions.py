@@ -89,6 +89,8 @@ def test_truncated_unit_and_missing_sub(spark, pair, tmp_path):
     assert vobsub.demux(packets(unit)[:-3], 0, 0) == unit[:-3]
     assert vobsub.demux(b"junk", 0, 0) is None
     (tmp_path / "b.idx").write_text(INDEX)
+    vobsub.register(spark)
+    assert spark.read.format("vobsub").load(str(tmp_path / "a.idx")).count() == 2
     with pytest.raises(Exception, match="no index"):
         spark.read.format("vobsub").load(str(tmp_path / "b.idx")).collect()
 

@@ -4,12 +4,13 @@ import json
 from pyspark.sql import functions as F
 
 from tallyglass.operators import recognition as R
+from tallyglass.operators import sequence_keys, words
 
 
 def test_longer_sequences_win_and_do_not_overlap(spark):
     glyphs = spark.createDataFrame([("f", 0, 0, i, k) for i, k in enumerate("abcabab")], "file string, cue int, line int, pos int, key string")
     votes = spark.createDataFrame([(["a", "b"], "x", 2), (["a", "b", "c"], "y", 2), (["b", "a"], "z", 2), (["c", "a"], "q", 1)], "parts array<string>, label string, n long")
-    got = sorted((r["pos"], r["length"], r["label"]) for r in R.sequence_matches(glyphs, votes, ["pos"]).collect())
+    got = sorted((r["pos"], r["length"], r["label"]) for r in sequence_keys.sequence_matches(glyphs, votes, ["pos"]).collect())
     assert got == [(0, 3, "y"), (3, 2, "x"), (5, 2, "x")]
 
 
@@ -61,9 +62,9 @@ def test_gaps(spark):
 
 
 def test_resolve(spark):
-    words = spark.createDataFrame([(1, [["I", "l"], ["t"]]), (2, [["I", "l"], ["I", "l"]]), (3, [["c"], ["a", "o"], ["t"]]), (4, [["a", "b", "c", "d"]] * 4)], "id int, candidates array<array<string>>")
+    rows = spark.createDataFrame([(1, [["I", "l"], ["t"]]), (2, [["I", "l"], ["I", "l"]]), (3, [["c"], ["a", "o"], ["t"]]), (4, [["a", "b", "c", "d"]] * 4)], "id int, candidates array<array<string>>")
     lexicon = spark.createDataFrame([("it", 6.0), ("ill", 5.0), ("cat", 5.0), ("cot", 2.5)], "word string, zipf double")
-    got = {r["id"]: r["resolved"] for r in R.resolve_words(words, lexicon).collect()}
+    got = {r["id"]: r["resolved"] for r in words.resolve_words(rows, lexicon).collect()}
     assert got[1] == "It" and got[3] == "cat" and got[4] is None
 
 
@@ -98,8 +99,8 @@ def test_index_and_report(spark):
 
 def test_repair_needs_a_non_word_and_a_clear_lead(spark):
     lexicon = spark.createDataFrame([("idee", 5.0, True), ("ldee", 1.5, False), ("ill", 4.5, True), ("lll", 0.5, False), ("ali", 4.0, False), ("all", 4.5, False)], "word string, zipf double, valid boolean")
-    words = spark.createDataFrame([(1, ["l", "d", "e", "e"]), (2, ["I", "l", "l"]), (3, ["a", "I", "i"]), (4, ["x", "y"]), (5, ["(", "l", "d", "e", "e", ")"]), (6, ["l"] * 9), (7, ["lll"]), (8, ["a", "I", "I"])], "id long, parts array<string>")
-    got = {r["id"]: r["repaired"] for r in R.repair_words(words, lexicon).collect()}
+    rows = spark.createDataFrame([(1, ["l", "d", "e", "e"]), (2, ["I", "l", "l"]), (3, ["a", "I", "i"]), (4, ["x", "y"]), (5, ["(", "l", "d", "e", "e", ")"]), (6, ["l"] * 9), (7, ["lll"]), (8, ["a", "I", "I"])], "id long, parts array<string>")
+    got = {r["id"]: r["repaired"] for r in words.repair_words(rows, lexicon).collect()}
     # 2 is a word; 6 has too many spellings; 8 has two, 'all' and 'alI', nearly as frequent
     assert got == {1: "Idee", 2: None, 3: "ali", 4: None, 5: "(Idee)", 6: None, 7: "Ill", 8: None}
 
