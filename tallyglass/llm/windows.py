@@ -26,7 +26,7 @@ from .packing import fullest
 
 CAPACITY = 1024
 END_ID = 0
-MEMO = 300_000
+MEMO = 600_000
 _TOGETHER = 5000
 _RANKED = 100_000
 _SPACES = r"\t-\r \x85\xa0\u1680\u2000-\u200a\u2028\u2029\u202f\u205f\u3000"
