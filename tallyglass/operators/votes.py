@@ -114,11 +114,21 @@ def options(votes: DataFrame, keys: list[str], alike: Column | None = None) -> D
     return found.select(*keys, "options")
 
 
-def settled(votes: DataFrame, keys: list[str], kept: DataFrame | None = None) -> DataFrame:
-    """Split keys into settled (trusted, or marked to keep) and interim evidence."""
+def settled(votes: DataFrame, keys: list[str], kept: DataFrame | None = None, confusable: list[str] = (), parts: DataFrame | None = None) -> DataFrame:
+    """Split keys into settled and interim evidence.
+
+    Settled: trusted; marked to keep (``kept``, or a prior from another set given there); look-alikes read twice, as a word decides them; and keys without votes that are ``parts`` of a settled
+    sequence.
+    """
     found = trusted_label(votes, keys).withColumn("settled", F.col("reason") == "")
-    if kept is not None:
-        found = found.join(kept.select(*keys, F.lit(True).alias("_kept")).distinct(), keys, "left").withColumn("settled", F.col("settled") | F.coalesce("_kept", F.lit(False))).drop("_kept")
+    if confusable:
+        doubtful = read_decision(votes, keys, confusable).where("reason = 'ambiguous'").select(*keys, F.lit(True).alias("_alike"))
+        found = found.join(doubtful, keys, "left").withColumn("settled", F.col("settled") | (F.coalesce("_alike", F.lit(False)) & (F.col("total") >= MIN_VOTES))).drop("_alike")
+    for more in (kept, parts):
+        if more is not None:
+            marked = more.select(*[c for c in keys if c in more.columns]).distinct().withColumn("_kept", F.lit(True))
+            found = found.join(marked, [c for c in marked.columns if c != "_kept"], "left")
+            found = found.withColumn("settled", F.col("settled") | (F.coalesce("_kept", F.lit(False)) & (F.lit(more is kept) | (F.col("total") <= 0)))).drop("_kept")
     return found.select(*keys, F.when(F.col("settled"), "settled").otherwise("interim").alias("part"), "label", "total")
 
 
