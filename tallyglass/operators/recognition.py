@@ -10,6 +10,8 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from .lineage import cut
+
 BATCH = 16
 
 
@@ -191,7 +193,7 @@ def reline(texts: DataFrame, most_lines: int = 8) -> DataFrame:
 def until_stable(step: Callable[[DataFrame], DataFrame], state: DataFrame, most: int = 4) -> tuple[DataFrame, int]:
     """``state`` after ``step`` was applied until it changes nothing, ``most`` times at most; and how often it was.
 
-    For reading a file again with what reading it taught. Lineage is cut with a checkpoint after each pass, in the session's checkpoint folder.
+    For reading a file again with what reading it taught. Lineage is cut after each pass (:func:`lineage.cut`).
     """
 
     def mark(df: DataFrame) -> tuple:
@@ -199,7 +201,7 @@ def until_stable(step: Callable[[DataFrame], DataFrame], state: DataFrame, most:
 
     before = mark(state)
     for n in range(1, most + 1):
-        state = step(state).checkpoint()
+        state = cut(step(state))
         after = mark(state)
         if after == before:
             return state, n

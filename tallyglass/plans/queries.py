@@ -12,7 +12,8 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from ..functions import styles, text
-from ..operators import answers, matching, merging, recognition, sequences, votes
+from ..operators import answers, imports, matching, merging, recognition, sequences, votes, words
+from ..operators.lineage import cut
 from ..streaming import limits
 
 # The most telling stopwords of each language.
@@ -528,3 +529,81 @@ def members_missing(spark, sf_dir):
 @query("SELECT c_custkey, substr(sha256(c_name), 1, 24) AS who FROM customer")
 def user_hash(spark, sf_dir):
     return _read(spark, sf_dir, "customer").select("c_custkey", text.user_hash(F.col("c_name")).alias("who"))
+
+
+#: Three snapshots of sets: users are dealt to ten sets, hours of theirs are shapes, and clicks and views are a pair of look-alikes. In the offered sets some odd hours have joined the hour before.
+_IMPORT = f"""{_E}, x AS (SELECT user_id, user_id % 10 AS g, user_id || ':' || hour(ts) AS key, hour(ts) AS h, CASE event_type WHEN 'click' THEN 'I' WHEN 'view' THEN 'l' ELSE event_type END AS label, sec FROM e), r AS (SELECT min(sec) AS lo, max(sec) AS hi FROM e),
+ra AS (SELECT 's' || g AS name, key, key AS cluster, label FROM x, r WHERE 2 * sec <= lo + hi AND g < 6), rc AS (SELECT 's1' AS name, key, key AS cluster, label FROM x, r WHERE sec < lo + 864000 AND g = 1),
+ob AS (SELECT CASE WHEN g < 3 THEN 's' || g WHEN g < 5 THEN 'm' || g ELSE 'n' || g END AS name, user_id, h, key, label FROM x, r WHERE sec >= lo + 86400 AND g <> 5), ks AS (SELECT DISTINCT name, key FROM ob),
+rb AS (SELECT ob.name, ob.key, coalesce(ks.key, ob.key) AS cluster, label FROM ob LEFT JOIN ks ON ks.name = ob.name AND user_id % 3 = 0 AND h % 2 = 1 AND ks.key = user_id || ':' || (h - 1)),
+al AS (SELECT 'a' AS part, * FROM ra UNION ALL SELECT 'b', * FROM rb UNION ALL SELECT 'c', * FROM rc),
+v AS (SELECT part, name, cluster, label, count(*) AS n FROM al GROUP BY ALL), q AS (SELECT part, name, cluster, list_sort(list(struct_pack(l := label, n := n))) AS told, sum(n) AS total, max(n) AS top, count(*) AS labels, arg_min(label, struct_pack(n := -n, l := label)) AS label, list(label) FILTER (n >= 2) AS twice FROM v GROUP BY ALL),
+t AS (SELECT *, total >= 2 AND 3 * top >= 2 * total AND NOT (labels > 1 AND top < 3) AS ok FROM q), mine AS (SELECT name, cluster AS key, label, told, total AS n FROM t WHERE part = 'b' AND ok), theirs AS (SELECT name, cluster AS key, label FROM t WHERE part = 'a' AND ok),
+nm AS (SELECT DISTINCT name, CASE WHEN name IN ('n7') THEN NULL WHEN name = 'm3' THEN '0.0.5' ELSE '0.2.0' END AS learned_with FROM rb), sh AS (SELECT DISTINCT name, key FROM ra),
+sr AS (SELECT mine.name, sh.name AS target, sum(n) AS known FROM mine JOIN sh ON sh.key = mine.key WHERE mine.name NOT IN (SELECT name FROM sh) GROUP BY ALL),
+tg AS (SELECT sr.name, arg_min(target, struct_pack(s := -known / total, t := target)) AS target FROM sr JOIN (SELECT name, sum(n) AS total FROM mine GROUP BY 1) USING (name) WHERE 2 * known >= total GROUP BY sr.name),
+ac AS (SELECT nm.name, learned_with, CASE WHEN nm.name IN (SELECT name FROM sh) THEN nm.name ELSE tg.target END AS target, CASE WHEN nm.name = 's1' THEN 'delta' WHEN nm.name IN (SELECT name FROM sh) THEN 'update' WHEN tg.target IS NULL THEN 'new' WHEN nm.name = 'm4' THEN 'skip' ELSE 'merge' END AS action FROM nm LEFT JOIN tg USING (name)),
+was AS (SELECT ac.name, action, theirs.key, theirs.label AS have FROM ac JOIN theirs ON theirs.name = ac.target), cl AS (SELECT DISTINCT name, key, cluster FROM rb),
+nw AS (SELECT mine.name, count(*) AS new FROM mine JOIN ac USING (name) WHERE action <> 'skip' AND NOT EXISTS (FROM was WHERE was.name = mine.name AND was.key = mine.key) AND NOT (action = 'delta' AND EXISTS (FROM q WHERE part = 'c' AND q.cluster = mine.key AND q.told = mine.told)) GROUP BY 1),
+fo AS (SELECT was.name, action, have, coalesce(o.label, m.label) AS got, t.twice FROM was LEFT JOIN cl ON cl.name = was.name AND cl.key = was.key LEFT JOIN mine o ON o.name = was.name AND o.key = was.key LEFT JOIN mine m ON m.name = was.name AND m.key = cl.cluster LEFT JOIN t ON t.part = 'b' AND t.name = was.name AND t.cluster = cl.cluster WHERE action = 'update'),
+ws AS (SELECT name, CASE WHEN got IS NOT NULL THEN CASE WHEN got <> have THEN 'changed' END WHEN list_contains(twice, have) AND len(list_filter(twice, lambda c: c NOT IN ('I', 'l', '|'))) = 0 THEN 'ambiguous' ELSE 'lost' END AS what FROM fo
+ UNION ALL SELECT was.name, 'changed' FROM was JOIN mine ON mine.name = was.name AND mine.key = was.key WHERE action = 'merge' AND label <> have),
+ct AS (SELECT name, count(*) FILTER (what = 'changed') AS changed, count(*) FILTER (what = 'lost') AS lost, count(*) FILTER (what = 'ambiguous') AS ambiguous FROM ws GROUP BY 1),
+al2 AS (SELECT ac.*, coalesce(new, 0) AS new, coalesce(changed, 0) AS changed, coalesce(lost, 0) AS lost, coalesce(ambiguous, 0) AS ambiguous FROM ac LEFT JOIN nw USING (name) LEFT JOIN ct USING (name))"""
+
+
+@query(f"""WITH {_IMPORT} SELECT name AS "set", action, target, CASE WHEN action = 'delta' THEN 'v1' END AS seed, learned_with, new, changed, lost, ambiguous,
+concat_ws('; ', CASE WHEN learned_with IS NULL THEN 'no version' END, CASE WHEN learned_with = '0.0.5' THEN 'learned with 0.0.5, before 0.1.0' END, CASE WHEN action = 'update' AND name = 's2' THEN 'another charset' END,
+ CASE WHEN action = 'update' AND changed > 0 THEN changed || ' labels change' WHEN action = 'merge' AND changed > 0 THEN changed || ' labels disagree' END, CASE WHEN action = 'update' AND lost > 0 THEN lost || ' labels lost' END,
+ CASE WHEN action = 'skip' THEN 'merged before into ' || target END, CASE WHEN action = 'new' AND new = 0 THEN 'nothing confirmed' END) AS refused FROM al2""")
+def import_actions(spark, sf_dir):
+    e = _events(spark, sf_dir)
+    e = e.crossJoin(F.broadcast(e.agg(F.min("sec").alias("lo"), F.max("sec").alias("hi"))))  # a row
+    hour, g = F.hour("ts"), F.col("user_id") % 10
+    label = F.when(F.col("event_type") == "click", "I").when(F.col("event_type") == "view", "l").otherwise(F.col("event_type"))
+    at = lambda h: F.concat_ws(":", F.col("user_id").cast("string"), h.cast("string"))
+    x = e.select("user_id", g.alias("g"), at(hour).alias("key"), F.when((F.col("user_id") % 3 == 0) & (hour % 2 == 1), at(hour - 1)).alias("head"), label.alias("label"), "sec", "lo", "hi")
+
+    def tables(rows, name):
+        seen = rows.groupBy(name.alias("set"), "key", "head", "label").agg(F.count("*").alias("n"))
+        heads = seen.select("set", F.col("key").alias("head"), F.lit(True).alias("there")).distinct()
+        seen = cut(seen.join(heads, ["set", "head"], "left").withColumn("cluster", F.when(F.col("there"), F.col("head")).otherwise(F.col("key"))))
+        shapes = seen.groupBy("set", "key", "cluster").agg(F.sum("n").alias("n"))
+        return seen.select("set").distinct(), shapes, seen.groupBy("set", "cluster", F.lit(0).alias("top_rel"), "label").agg(F.sum("n").alias("n"))
+
+    apart = x.withColumn("head", F.lit(None).cast("string"))
+    of = lambda letter: F.concat(F.lit(letter), F.col("g").cast("string"))
+    names, shapes, told = tables(apart.where("2 * sec <= lo + hi and g < 6"), of("s"))
+    shipped = imports.Sets(names.withColumns({"charset": F.lit("latin"), "merged_from": F.when(F.col("set") == "s4", F.array(F.lit("m4")))}), shapes, told)
+    names, shapes, told = tables(x.where("sec >= lo + 86400 and g <> 5"), F.when(F.col("g") < 3, of("s")).when(F.col("g") < 5, of("m")).otherwise(of("n")))
+    version = F.when(F.col("set") == "m3", "0.0.5").when(F.col("set") != "n7", "0.2.0")
+    offered = imports.Sets(names.withColumns({"learned_with": version, "charset": F.when(F.col("set") == "s2", "other").otherwise("latin"), "seeded_from": F.when(F.col("set") == "s1", "v1")}), shapes, told)
+    names, shapes, told = (t.withColumn("version", F.lit("v1")) for t in tables(apart.where("sec < lo + 864000 and g = 1"), of("s")))
+    plans, _ = imports.plan(offered, shipped, imports.Sets(names, shapes, told), "0.1.0", cut=cut)
+    return plans.withColumn("refused", F.array_join("refused", "; "))
+
+
+#: Words of all documents with their number a billion on a scale of tens, and those among them with I and l that can't be told apart.
+_WORDS = r"""w AS (SELECT word, count(*) AS n FROM (SELECT unnest(string_split(text, ' ')) AS word FROM documents) WHERE word <> '' GROUP BY 1),
+x AS (SELECT lower(trim(word, '"''.,;:!?()[]{}-–—…«»„“”‚‘’¿¡')) AS word, sum(n) AS n FROM w GROUP BY 1), lex AS (SELECT word, n, round(log10(CAST(n AS DOUBLE) * 1000000000 / (SELECT sum(n) FROM w)), 4) AS zipf FROM x),
+c AS (SELECT word, regexp_replace(word, '[Il]', '_', 'g') AS shape, len(regexp_extract_all(word, '[Il]')) AS k FROM w WHERE NOT regexp_matches(word, '[-–—/]')),
+d AS (SELECT DISTINCT shape, k FROM c WHERE k BETWEEN 1 AND 6),
+s AS (SELECT shape, list_reduce(list_prepend(string_split(shape, '_')[1], list_transform(range(1, k + 1), lambda i: (CASE WHEN (m >> (i - 1)) & 1 = 1 THEN 'I' ELSE 'l' END) || string_split(shape, '_')[i + 1])), lambda a, b: a || b) AS spelling FROM (SELECT *, unnest(range(CAST(1 << k AS BIGINT))) AS m FROM d)),
+b AS (SELECT *, trim(spelling, '"''.,;:!?()[]{}-–—…«»„“”‚‘’¿¡') AS core FROM s),
+f AS (SELECT b.*, coalesce(zipf, 0) AS z, coalesce(lex.n >= 3, false) AND core <> '' AS known, regexp_matches(core, '^\P{L}*(?:(?:\p{Lu}+|\p{Lu}?\p{Ll}+)(?:\P{L}+|$))+$') AS regular FROM b LEFT JOIN lex ON lex.word = lower(core)),
+a AS (SELECT shape, count(*) FILTER (regular) AS nr, max(spelling) FILTER (regular) AS r, count(*) FILTER (known) AS nk, max(spelling) FILTER (known) AS kn, list_reverse_sort(list(struct_pack(z := z, s := spelling))) AS o FROM f GROUP BY shape),
+h AS (SELECT shape, CASE WHEN nr = 1 THEN struct_pack(t := r, b := 'case') WHEN o[1].z >= 1 AND (o[1].z - o[2].z >= 1.5 OR o[2].z = 0) THEN struct_pack(t := o[1].s, b := 'frequency') WHEN nk = 1 THEN struct_pack(t := kn, b := 'dictionary') END AS h FROM a)"""
+
+
+@query(f"WITH {_WORDS} SELECT c.word, h.h.t AS resolved, h.h.b AS rule FROM c LEFT JOIN h ON h.shape = c.shape AND c.k BETWEEN 1 AND 6 WHERE c.k > 0")
+def lexicon_words(spark, sf_dir):
+    """Every word with I or l as a lattice of both, settled by the words of all documents."""
+    counted = _read(spark, sf_dir, "documents").select(F.explode(F.split("text", " ")).alias("word")).where("word <> ''").groupBy("word").agg(F.count("*").alias("n"))
+    counted = cut(counted)
+    total = counted.agg(F.sum("n").alias("total"))
+    bare = counted.groupBy(F.lower(words.core(F.col("word"))).alias("word")).agg(F.sum("n").alias("n")).crossJoin(F.broadcast(total))  # a row
+    lexicon = bare.select("word", F.round(F.log10(F.col("n").cast("double") * 1_000_000_000 / F.col("total")), 4).alias("zipf"), (F.col("n") >= 3).alias("valid"))
+    letters = F.filter(F.split("word", ""), lambda c: c != "")
+    lattices = counted.where("word rlike '[Il]' and not word rlike '[-–—/]'").select("word", F.transform(letters, lambda c: F.when(c.isin("I", "l"), F.array(F.lit("I"), F.lit("l"))).otherwise(F.array(c))).alias("options"))
+    settled = words.resolve(lattices, lexicon)
+    return lattices.join(settled, "options", "left").select("word", "resolved", F.col("by").alias("rule"))
