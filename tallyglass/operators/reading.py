@@ -14,7 +14,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from ..functions.styles import render, word_styles
-from .bitmaps import EDGE_NEAR, NEAR, local_difference, near_bitmaps, topology, unpack
+from .bitmaps import EDGE_NEAR, NEAR, local_difference, near_bitmaps, prototype_join, topology, unpack
 from .recognition import classify_gaps, read_glyphs, word_memory
 from .sequence_keys import sequence_matches
 from .votes import options, read_decision, summary
@@ -27,6 +27,7 @@ LOOK_ALIKES = ("I", "l", "|")
 CLASSES = ("Il1|!iíìïîj", "035689gq")
 STRICT_NEAR, STRICT_EDGE_NEAR, MARGIN, EDGE_MARGIN, RIVAL_MARGIN, JOIN_NEAR = 0.05, 0.02, 0.06, 0.03, 0.05, 0.35
 LEAST_HEIGHT, LEAST_INK = 8, 25
+PROTO_NEAR, PROTO_STRICT_NEAR, PROTO_MARGIN, PROTO_PIXELS, SURE_PIXELS = 0.04, 0.02, 0.03, 3, 1
 WORD_BREAKS = "-–—/"
 PLACEHOLDER = "�"
 
@@ -53,12 +54,42 @@ def _candidates(shapes: DataFrame, known: DataFrame, ratio: float, tolerant: boo
     return met.withColumn("dh", F.col("h") - F.col("rh"))
 
 
-def near_match(shapes: DataFrame, known: DataFrame, rescaled: bool = False) -> DataFrame:
+def has_slant(label: Column) -> Column:
+    """Whether a label has a slant and a weight of its own: it holds a letter or digit."""
+    return F.coalesce(label.rlike(r"[\p{L}\p{N}]"), F.lit(False))
+
+
+def _against(no: str, yes: str) -> Column:
+    """Whether a shape's word geometry in its file (f_...) and the known shape's (g_...) both say something, and not the same."""
+    mine, theirs = F.col(f"f_{yes}") - F.col(f"f_{no}"), F.col(f"g_{yes}") - F.col(f"g_{no}")
+    return F.coalesce(F.signum(mine) * F.signum(theirs) < 0, F.lit(False))
+
+
+#: Votes on slant and weight, as (no, yes).
+GEOMETRY = (("upright", "italic"), ("regular", "bold"))
+
+
+def _with_geometry(pairs: DataFrame, geometry: DataFrame | None, known: DataFrame) -> DataFrame:
+    """Pairs (key, ref_key) with disagree, and measured: whether the word of the unknown shape was measured for slant at all."""
+    names = [c for two in GEOMETRY for c in two]
+    if geometry is None:
+        return pairs.withColumns({"disagree": F.lit(False), "measured": F.lit(True)})
+    told = geometry.groupBy("key").agg(*(F.sum(c).alias(f"f_{c}") for c in names))
+    theirs = known.groupBy(F.col("key").alias("ref_key")).agg(*(F.max(F.col(c) if c in known.columns else F.lit(None).cast("long")).alias(f"g_{c}") for c in names))
+    met = pairs.join(told, "key", "left").join(theirs, "ref_key", "left")
+    met = met.withColumns({"disagree": _against(*GEOMETRY[0]) | _against(*GEOMETRY[1]), "measured": F.col("f_upright").isNotNull()})
+    return met.drop(*(f"{x}_{c}" for x in "fg" for c in names))
+
+
+def near_match(shapes: DataFrame, known: DataFrame, rescaled: bool = False, protos: DataFrame | None = None, geometry: DataFrame | None = None) -> DataFrame:
     """Rows (key, ref_key, ratio, stage): the known shape that an unknown one may be read as.
 
     ``shapes`` (key, h, w, ink, bits); ``known`` the same with label (null where unconfirmed) and voted (labels it was read as).
     First by differing pixels: within 0.12 of the ink, 0.05 for strict letters, which may differ a row in height only where nothing that
-    reads differently lies near; several letters must agree in the columns where they differ; another label within 0.06 makes it abstain. On
+    reads differently lies near; several letters must agree in the columns where they differ; another label within 0.06 makes it abstain.
+    Shapes without a candidate meet ``protos`` (:func:`bitmaps.prototypes`) next: the nearest with as many pieces and holes decides, within 0.04 of its stable ink (0.02 for strict and
+    unconfirmed ones) or three pixels; a pair of look-alikes is joined, an unconfirmed one makes it abstain, and so do another label within 0.03, and word geometry: ``geometry`` (key, upright,
+    italic, regular, bold) are votes of the unknown shapes' words, and ``known`` may have such columns. One pixel at most outweighs a vote against. On
     rescaled tracks shapes without a candidate meet once more with a pixel of tolerance, by pieces and holes: the nearest decides or
     abstains. An unconfirmed twin of a confirmed shape as near is passed over; look-alikes join their pair; a strict letter must be all but
     identical, without a rival, and have a learned look-alike. Ties go to the smaller ref_key.
@@ -77,13 +108,34 @@ def near_match(shapes: DataFrame, known: DataFrame, rescaled: bool = False) -> D
     other = found.join(best, "key").where("label <> b.label").groupBy("key").agg(F.min("ratio").alias("o"))
     decided = best.join(other, "key", "left").withColumn("ok", F.col("o").isNull() | (F.col("o") - F.col("b.ratio") >= MARGIN))
     first = decided.select("key", F.when(F.col("ok"), F.col("b.ref_key")).alias("ref_key"), F.col("b.ratio").alias("ratio"), F.lit("pixels").alias("stage"))
+    if protos is not None:
+        first = first.union(_prototype_match(shapes.join(first, "key", "left_anti"), known, protos, geometry))
     if not rescaled:
         return first.where("ref_key is not null")
     rest = shapes.where((F.col("h") >= LEAST_HEIGHT) & (F.col("ink") >= LEAST_INK)).join(first, "key", "left_anti")
-    return first.union(_edge_match(rest, known)).where("ref_key is not null")
+    return first.union(_edge_match(rest, known, geometry)).where("ref_key is not null")
+
+
+def _prototype_match(shapes: DataFrame, known: DataFrame, protos: DataFrame, geometry: DataFrame | None) -> DataFrame:
+    """Decisions by prototypes; a null ref_key abstains, and a shape that is near to none has no row."""
+    heads = known.select(F.col("key").alias("cluster"), F.col("h").alias("rh"), F.col("w").alias("rw"), F.col("bits").alias("r_bits"), "label", "voted").dropDuplicates(["cluster"])
+    met = prototype_join(shapes, protos).join(heads, "cluster").join(shapes.select("key", "h", "w", "bits"), "key")
+    met = met.where(_topology("bits", "h", "w") == _topology("r_bits", "rh", "rw")).select("key", F.col("cluster").alias("ref_key"), "ratio", "pixels", "label", "voted")
+    best = met.groupBy("key").agg(F.min(F.struct("ratio", "ref_key", "pixels", "label", "voted")).alias("b")).select("key", "b.*")
+    label = F.col("label")
+    tolerance = F.when(label.isNull() | _has(label, STRICT), PROTO_STRICT_NEAR).otherwise(PROTO_NEAR)
+    best = _with_geometry(best.where((F.col("ratio") <= tolerance) | (F.col("pixels") <= PROTO_PIXELS)), geometry, known)
+    others = met.select("key", F.col("label").alias("_l"), F.col("ratio").alias("_r"))
+    alike = lambda c: F.coalesce(c.isin(*LOOK_ALIKES), F.lit(False))
+    rival = best.select("key", "label").join(others, "key").where(~F.col("_l").eqNullSafe(label) & ~(alike(F.col("_l")) & alike(label))).groupBy("key").agg(F.min("_r").alias("o"))
+    pair = (F.size("voted") > 1) & F.forall("voted", lambda x: x.isin(*LOOK_ALIKES))
+    clear = F.col("o").isNull() | (F.col("o") - F.col("ratio") >= PROTO_MARGIN)
+    veto = (F.col("pixels") > SURE_PIXELS) & has_slant(label) & F.col("disagree")
+    ok = F.when(label.isNull(), F.coalesce(pair, F.lit(False))).otherwise(clear & ~veto)
+    return best.join(rival, "key", "left").select("key", F.when(ok, F.col("ref_key")).alias("ref_key"), "ratio", F.lit("prototypes").alias("stage"))
 
 
-def _edge_match(shapes: DataFrame, known: DataFrame) -> DataFrame:
+def _edge_match(shapes: DataFrame, known: DataFrame, geometry: DataFrame | None = None) -> DataFrame:
     met = _candidates(shapes, known, EDGE_NEAR, True)
     met = met.withColumn("alike", _topology("bits", "h", "w") == _topology("r_bits", "rh", "rw"))
     pair = (F.size("voted") > 1) & F.forall("voted", lambda x: x.isin(*LOOK_ALIKES))
@@ -99,12 +151,15 @@ def _edge_match(shapes: DataFrame, known: DataFrame) -> DataFrame:
     rivals = met.where(F.coalesce(differs, F.lit(False))).groupBy("key").agg(F.min("ratio").alias("any"), F.min(F.when(F.col("alike"), F.col("ratio"))).alias("o"))
     label = F.col("b.label")
     seen = known.where("label is not null").agg(F.collect_set("label").alias("seen"))  # the labels of a set
+    best = _with_geometry(best.withColumn("ref_key", F.col("b.ref_key")), geometry, known)
     row = best.join(rivals, "key", "left").crossJoin(F.broadcast(seen))  # a row
+    veto = has_slant(label) & (F.col("disagree") | (_has(label, STRICT) & ~F.col("measured")))
     learned = F.lit(False)
     for letters in CLASSES:
         learned = learned | (_has(label, letters) & F.exists("seen", partial(_other_of, letters, label)))
     strict_ok = (F.col("b.ratio") <= STRICT_EDGE_NEAR) & F.col("any").isNull() & ~((F.col("b.dh") != 0) & _has(label, SAME_HEIGHT)) & (learned | (label == "j"))
     ok = F.when(F.col("b.pair"), F.col("b.dh") == 0).when(label.isNull(), False).when(_has(label, STRICT), strict_ok).otherwise(F.col("o").isNull() | (F.col("o") - F.col("b.ratio") >= EDGE_MARGIN))
+    ok = ok & (F.col("b.pair") | ~F.coalesce(veto, F.lit(False)))
     return row.select("key", F.when(ok, F.col("b.ref_key")).alias("ref_key"), F.col("b.ratio").alias("ratio"), F.lit("edges").alias("stage"))
 
 

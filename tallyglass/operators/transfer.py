@@ -7,7 +7,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..streaming.limits import follow_neighbours
@@ -144,6 +144,66 @@ def bold_votes(words: DataFrame, shapes: DataFrame, bold: float = 1.25, regular:
     return _votes(words, judged, "bold", "regular", "bold")
 
 
+#: Shears a word is tried at, by place: a clear italic is sharpest from the 6th to the 12th, a clear upright up to the 2nd; the 10th is a typical italic.
+SHEARS = np.arange(15) * 0.025
+ITALIC, UPRIGHT, TYPICAL, CLEARER = range(6, 13), range(3), 10, 1.08
+
+
+def sharpness(ys: np.ndarray, xs: np.ndarray) -> np.ndarray:
+    """How sharply ink falls into columns under each shear: the sum of squared column counts, all shears counted at once."""
+    columns = np.rint(xs + SHEARS[:, None] * (ys - ys.max())).astype(np.int64)
+    columns -= columns.min()
+    width = int(columns.max()) + 1
+    counts = np.bincount((columns + width * np.arange(len(SHEARS))[:, None]).ravel(), minlength=width * len(SHEARS))
+    return (counts.reshape(len(SHEARS), width).astype(np.float64) ** 2).sum(1)
+
+
+def slanted(ys: np.ndarray, xs: np.ndarray) -> bool | None:
+    """Whether the ink of a word (its rows and columns) slants: yes or no where one is clearly sharper than the other, else None."""
+    if not ys.size:
+        return None
+    score = sharpness(ys, xs)
+    best = int(score.argmax())
+    if best in ITALIC and score[best] >= CLEARER * score[0]:
+        return True
+    return False if best in UPRIGHT and score[0] >= CLEARER * score[TYPICAL] else None
+
+
+def word_slants(glyphs: DataFrame, threshold: float, small: float = 0.4) -> DataFrame:
+    """Words (file, line: cue and line, word, slanted, keys: array of key, small) of segmented glyphs, for :func:`italic_votes`.
+
+    A word ends at a gap over ``threshold``. All of its ink is measured together. A key is small that is anywhere in its file lower than ``small`` of its line.
+    """
+    line = ["file", "cue", "line"]
+    order = Window.partitionBy(*line).orderBy("pos")
+    begins = F.coalesce(F.lag("gap_after").over(order) > threshold, F.lit(False)).cast("int")
+    tall = F.max(F.col("y") + F.col("h")).over(Window.partitionBy(*line)) - F.min("y").over(Window.partitionBy(*line))
+    laid = glyphs.withColumns({"_b": begins, "_low": F.col("h") < small * tall})
+    lows = laid.groupBy("file", "key").agg(F.bool_or("_low").alias("small"))  # a partial aggregate, so a common key is a row a task
+    laid = laid.withColumn("word", F.sum("_b").over(order).cast("int")).join(lows, ["file", "key"])
+    words = laid.groupBy(*line, "word").agg(F.sort_array(F.collect_list(F.struct("pos", "key", "small", "x", "y", "h", "w", "bits"))).alias("g"))  # a word's glyphs
+
+    def measure(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for f in frames:
+            out = []
+            seen: dict[tuple, bool | None] = {}
+            for g in f["g"]:
+                drawn = tuple((x["key"], x["x"] - g[0]["x"], x["y"] - g[0]["y"]) for x in g)
+                if drawn not in seen:
+                    points = [np.argwhere(bitmaps.unpack(x["bits"], x["h"], x["w"])) + (x["y"], x["x"]) for x in g]
+                    seen[drawn] = slanted(*np.concatenate(points).T)
+                out.append(seen[drawn])
+            yield f.drop(columns="g").assign(slanted=pd.array(out, dtype="boolean"), keys=[[{"key": x["key"], "small": x["small"]} for x in g] for g in f["g"]])
+
+    kinds = "file string, cue int, line int, word int, slanted boolean, keys array<struct<key:string,small:boolean>>"
+    return words.mapInPandas(measure, kinds).select("file", F.struct("cue", "line").alias("line"), "word", "slanted", "keys")
+
+
+def slant_votes(glyphs: DataFrame, threshold: float) -> DataFrame:
+    """Votes (file, key, upright, italic) straight from segmented glyphs: see :func:`word_slants` and :func:`italic_votes`."""
+    return italic_votes(word_slants(glyphs, threshold))
+
+
 def italic_votes(words: DataFrame) -> DataFrame:
     """Votes (file, key, upright, italic) of words (file, line, word, slanted: true, false or null, keys: array of key, small).
 
