@@ -2,9 +2,12 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from .lineage import cut
 
 #: A token is hot that makes more than one in so many of all.
 HOT = 1000
@@ -93,6 +96,50 @@ def coverage(keys: DataFrame, group: str, sets: DataFrame, set_name: str, key: s
     return joined.select(group, F.when(20 * F.col("covered") >= F.col("total"), F.col("b.s")).alias("best"), "covered", "total")
 
 
+#: Keys are tried in steps, those first that make more than so many in a million of their group.
+STEPS = (2000, 200, 0)
+
+
+def probe(counts: DataFrame, sets: DataFrame, group: str, set_name: str, key: str, near: Callable[[DataFrame, DataFrame], DataFrame], least: int = 500, steps: tuple[int, ...] = STEPS) -> DataFrame:
+    """Per group the set that knows most of its key occurrences, exactly or nearly: best, covered, readable, exact (of that set), total; best is null below ``least`` / 1000.
+
+    ``counts`` (group, key, n) has a row a key, ``sets`` (set_name, key, readable) what each set knows and can read. ``near(keys, sets)`` gives rows (key, set_name, readable) for keys near to
+    something in a set. Ties go to the set that reads more, then to the larger exact share, then to the smaller name.
+
+    The near search is the dear part, so frequent keys go first. After each step a set is given up for a group once all that is left untried couldn't bring it to ``least`` or to
+    what another has already; groups without a set to hope for aren't searched further. The choice is the same as without.
+    """
+    total = counts.groupBy(group).agg(F.sum("n").alias("total"))
+    step = F.coalesce(*(F.when(1_000_000 * F.col("n") >= s * F.col("total"), i) for i, s in enumerate(steps)), F.lit(len(steps) - 1))
+    tried = cut(counts.join(total, group).withColumn("_step", step))
+    known = sets.groupBy(set_name, key).agg(F.bool_or("readable").alias("readable"))
+    parts = range(len(steps))
+    sums = [F.sum(F.when(F.col("_step") == i, F.col("n")).otherwise(0)).alias(f"_e{i}") for i in parts]
+    exact = tried.join(known, key).groupBy(group, set_name).agg(F.sum("n").alias("exact"), F.sum(F.when(F.col("readable"), F.col("n")).otherwise(0)).alias("readable"), *sums)
+    left = tried.groupBy(group, "total").agg(*(F.sum(F.when(F.col("_step") > i, F.col("n")).otherwise(0)).alias(f"_left{i}") for i in parts))
+    pair, counted = [group, set_name], ["exact", "readable", *(f"_e{i}" for i in parts), "near"]
+    state = cut(exact.withColumn("near", F.lit(0).cast("long")).withColumn("alive", F.lit(True)))
+    open_ = left.select(group, F.lit(True).alias("_open"))
+    for i in parts:
+        hopeful = open_.where("_open").select(group).union(state.where("alive").select(group)).distinct()
+        wanted = tried.where(F.col("_step") == i).join(hopeful, group, "left_semi").select(group, key, "n")
+        hits = near(wanted.select(key).distinct(), known).groupBy(key, set_name).agg(F.bool_or("readable").alias("readable")).join(known.select(set_name, key), [set_name, key], "left_anti")
+        new = wanted.join(hits, key).groupBy(*pair).agg(F.sum("n").alias("_n"), F.sum(F.when(F.col("readable"), F.col("n")).otherwise(0)).alias("_r"))
+        met = state.join(new, pair, "full").join(open_, group).where(F.col("alive").isNotNull() | F.col("_open"))
+        met = met.withColumns({c: F.coalesce(c, F.lit(0)) for c in counted}).withColumn("alive", F.coalesce("alive", F.lit(True)))
+        met = met.withColumns({"near": F.col("near") + F.when(F.col("alive"), F.coalesce("_n", F.lit(0))).otherwise(0), "readable": F.col("readable") + F.when(F.col("alive"), F.coalesce("_r", F.lit(0))).otherwise(0)})
+        met = cut(met.select(*pair, *counted, "alive"))
+        most = met.groupBy(group).agg(F.max(F.col("exact") + F.col("near")).alias("_most"))
+        bar = left.join(most, group, "left").select(group, "total", F.col(f"_left{i}").alias("_rest"), F.greatest(F.ceil(least * F.col("total") / 1000), F.coalesce("_most", F.lit(0))).alias("_need"))
+        untried = F.col("_rest") - sum((F.col(f"_e{k}") for k in parts if k > i), F.lit(0))
+        state = cut(met.join(bar, group).withColumn("alive", F.col("alive") & (F.col("exact") + F.col("near") + untried >= F.col("_need"))).select(*pair, *counted, "alive"))
+        open_ = cut(bar.select(group, (F.col("_rest") >= F.col("_need")).alias("_open")))
+    covered = F.col("exact") + F.col("near")
+    order = F.struct(-covered, -F.col("readable"), -F.col("exact"), F.col(set_name))
+    best = state.where("alive").groupBy(group).agg(F.min_by(F.struct(F.col(set_name).alias("best"), covered.alias("covered"), "readable", "exact"), order).alias("b")).select(group, "b.*")
+    return total.join(best, group, "left").select(group, "best", *(F.coalesce(c, F.lit(0)).alias(c) for c in ("covered", "readable", "exact")), "total")
+
+
 def compare(a: DataFrame, b: DataFrame, key: str, text: str) -> DataFrame:
     """Full comparison of two transcripts by key: edits, reference characters, and equality; a missing side is empty."""
     met = a.select(key, F.col(text).alias("ref")).join(b.select(key, F.col(text).alias("got")), key, "full")

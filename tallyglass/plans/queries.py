@@ -295,6 +295,24 @@ def coverage_probe(spark, sf_dir):
     return matching.coverage(_read(spark, sf_dir, "lineitem"), "l_suppkey", sets, "p_brand", "l_partkey")
 
 
+@query("""WITH k AS (SELECT l_suppkey, l_partkey, count(*) AS n FROM lineitem GROUP BY ALL), t AS (SELECT l_suppkey, CAST(sum(n) AS BIGINT) AS total FROM k GROUP BY 1), s AS (SELECT p_brand, p_partkey AS key, p_size % 2 = 0 AS reads FROM part),
+x AS (SELECT l_suppkey, p_brand, n, reads, 1 AS e FROM k JOIN s ON key = l_partkey), near AS (SELECT l_partkey, p_brand, bool_or(reads) AS reads FROM (SELECT DISTINCT l_partkey FROM k) JOIN s ON key = l_partkey - 1 OR key = l_partkey + 1 GROUP BY ALL),
+h AS (SELECT l_suppkey, near.p_brand, n, near.reads, 0 AS e FROM k JOIN near USING (l_partkey) WHERE NOT EXISTS (FROM s WHERE s.p_brand = near.p_brand AND s.key = k.l_partkey)),
+c AS (SELECT l_suppkey, p_brand, CAST(sum(n) AS BIGINT) AS covered, CAST(coalesce(sum(n) FILTER (reads), 0) AS BIGINT) AS readable, CAST(coalesce(sum(n) FILTER (e = 1), 0) AS BIGINT) AS exact FROM (FROM x UNION ALL FROM h) GROUP BY ALL),
+b AS (SELECT c.*, row_number() OVER (PARTITION BY l_suppkey ORDER BY covered DESC, readable DESC, exact DESC, p_brand) AS i FROM c JOIN t USING (l_suppkey) WHERE 1000 * covered >= 160 * total)
+SELECT l_suppkey, p_brand AS best, coalesce(covered, 0) AS covered, coalesce(readable, 0) AS readable, coalesce(exact, 0) AS exact, total FROM t LEFT JOIN (FROM b WHERE i = 1) USING (l_suppkey)""")
+def near_probe(spark, sf_dir):
+    """Suppliers as tracks, brands as sets of parts: a part is nearly known by a brand that has one of its neighbours."""
+    counts = _read(spark, sf_dir, "lineitem").groupBy("l_suppkey", "l_partkey").agg(F.count("*").alias("n"))
+    sets = _read(spark, sf_dir, "part").select("p_brand", F.col("p_partkey").alias("l_partkey"), (F.col("p_size") % 2 == 0).alias("readable"))
+
+    def near(keys, known):
+        beside = keys.select("l_partkey", F.explode(F.array(F.col("l_partkey") - 1, F.col("l_partkey") + 1)).alias("_k"))
+        return beside.join(known.withColumnRenamed("l_partkey", "_k"), "_k").select("l_partkey", "p_brand", "readable")
+
+    return matching.probe(counts, sets, "l_suppkey", "p_brand", "l_partkey", near, 160, (6000, 3000, 0))
+
+
 def _snapshots(spark, sf_dir):
     """Votes by user and type of days up to the middle of the log, and of all days but the first."""
     e = _events(spark, sf_dir)
