@@ -33,6 +33,33 @@ def expired(jobs: DataFrame, now: int, status: str = "status", seconds: str = "f
     return jobs.where(F.col(status).isin("done", "error") & (F.col(seconds) < now - after))
 
 
+def evictions(jobs: DataFrame, job: str, status: str, event_time: str, after: int = 600, delay: str = "0 seconds") -> DataFrame:
+    """Rows (job, status, evicted) of jobs that were done or failed for ``after`` seconds: a timer a job, over a stream of its states.
+
+    A job that goes on before its timer runs out stays. evicted is when the timer was due, however late the watermark comes. State is a job's last word, and
+    goes with the job; a job that never ends keeps its own.
+    """
+    kind = jobs.schema[job].dataType.simpleString()
+
+    def step(keys: tuple, frames: Iterator[pd.DataFrame], state) -> Iterator[pd.DataFrame]:
+        if state.hasTimedOut:
+            last, due = state.get
+            state.remove()
+            yield pd.DataFrame({job: [keys[0]], status: [last], "evicted": pd.to_datetime([due], unit="ms")})
+            return
+        whole = pd.concat(list(frames)).sort_values("_ms", kind="stable")  # a job's states of one micro-batch
+        now, at = whole[status].iloc[-1], int(whole["_ms"].iloc[-1])
+        if state.exists and state.get[1] - 1000 * after > at:
+            now, at = state.get[0], state.get[1] - 1000 * after  # an older state that came late
+        due = at + 1000 * after
+        state.update((now, due))
+        if now in ("done", "error"):
+            state.setTimeoutTimestamp(max(due, state.getCurrentWatermarkMs() + 1))
+
+    rows = jobs.withWatermark(event_time, delay).select(job, status, event_time, F.unix_millis(event_time).alias("_ms"))
+    return rows.groupBy(job).applyInPandasWithState(step, f"`{job}` {kind}, `{status}` string, evicted timestamp", "last string, due long", "append", "EventTimeTimeout")
+
+
 def _versions(spark, path: str) -> list[int]:
     """Batches whose whole table of counters is there."""
     path_of = spark.sparkContext._jvm.org.apache.hadoop.fs.Path

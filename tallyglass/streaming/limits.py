@@ -107,12 +107,19 @@ def follow_neighbours(rows: DataFrame, key: str, order: list[str], value: str) -
     return out.drop("_after")
 
 
-def rate_limit_stream(rows: DataFrame, key: str, seconds: str, cap: int, window: int) -> DataFrame:
+def rate_limit_stream(rows: DataFrame, key: str, seconds: str, cap: int, window: int, event_time: str | None = None, delay: str = "10 minutes") -> DataFrame:
     """:func:`rate_limit` over a stream: key, seconds, accepted. Rows of a key are judged in the order of their seconds
-    within a micro-batch, and after those of earlier ones. State is the accepted times, ``cap`` at most."""
+    within a micro-batch, and after those of earlier ones. State is the accepted times, ``cap`` at most.
+
+    With ``event_time`` (the timestamp of those seconds) a key's state goes once the watermark, ``delay`` behind the latest row, is past the window of all that it holds, so
+    state is bounded by the keys of a window; without it state stays for ever.
+    """
     kind = rows.schema[key].dataType.simpleString()
 
     def step(keys: tuple, frames: Iterator[pd.DataFrame], state) -> Iterator[pd.DataFrame]:
+        if state.hasTimedOut:
+            state.remove()
+            return
         held, out = list(state.get[0]) if state.exists else [], []
         times = sorted(t for frame in frames for t in frame[seconds].tolist())  # a key's rows of one micro-batch
         for now in times:
@@ -121,10 +128,14 @@ def rate_limit_stream(rows: DataFrame, key: str, seconds: str, cap: int, window:
             if out[-1]:
                 held.append(now)
         state.update((held,))
+        if event_time:
+            state.setTimeoutTimestamp(max(1000 * (max(held, default=times[-1]) + window) + 1, state.getCurrentWatermarkMs() + 1))
         yield pd.DataFrame({key: [keys[0]] * len(times), seconds: times, "accepted": out})
 
-    grouped = rows.select(key, F.col(seconds).cast("long").alias(seconds)).groupBy(key)
-    return grouped.applyInPandasWithState(step, f"`{key}` {kind}, `{seconds}` long, accepted boolean", "held array<long>", "append", "NoTimeout")
+    if event_time:
+        rows = rows.withWatermark(event_time, delay)
+    grouped = rows.select(key, F.col(seconds).cast("long").alias(seconds), *([event_time] if event_time else [])).groupBy(key)
+    return grouped.applyInPandasWithState(step, f"`{key}` {kind}, `{seconds}` long, accepted boolean", "held array<long>", "append", "EventTimeTimeout" if event_time else "NoTimeout")
 
 
 def latest_progress(events: DataFrame, job: str, order: str, fields: list[str]) -> DataFrame:
