@@ -14,7 +14,7 @@ from pyspark.sql import functions as F
 from ..functions import styles, text
 from ..operators import answers, imports, matching, merging, recognition, sequences, votes, words
 from ..operators.lineage import cut
-from ..streaming import limits
+from ..streaming import limits, users
 
 # The most telling stopwords of each language.
 STOPWORDS = {
@@ -370,7 +370,7 @@ def daily_allowance(spark, sf_dir):
 
 @query(f"WITH {_E} SELECT day, count(DISTINCT user_id) AS users, count(*) AS n FROM e GROUP BY day")
 def daily_users(spark, sf_dir):
-    return _events(spark, sf_dir).groupBy("day").agg(F.countDistinct("user_id").alias("users"), F.count("*").alias("n"))
+    return users.daily_users(_events(spark, sf_dir), "day", "user_id")
 
 
 @query("""WITH x AS (SELECT event_id, user_id, event_type, lag(event_type) OVER w AS before, row_number() OVER w AS i FROM events WINDOW w AS (PARTITION BY user_id ORDER BY event_id))

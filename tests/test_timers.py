@@ -48,3 +48,29 @@ def test_windows_leave_the_state(spark, tmp_path):
     got = {(r["u"], r["sec"] - 1_700_000_000): r["accepted"] for r in rows}
     assert got == {("u", 0): True, ("u", 1): True, ("u", 2): False, ("v", 5): True, ("u", 3000): False, ("w", 3590): True, ("w", 9000): True, ("u", 9001): True}
     assert held == 2  # v's window has gone, and u's first one too
+
+
+def test_daily_users_batch_roll_and_stream_agree(spark, tmp_path):
+    from tallyglass.streaming import users
+
+    hour = 3600
+    start = -(1_700_000_000 % 86_400)
+    seen = [(u, at(start + s)) for u, s in [("a", 10), ("b", 20), ("a", 30), ("a", 20 * hour), ("b", 25 * hour), ("c", 26 * hour), ("b", 27 * hour), ("d", 49 * hour)]]
+    rows = spark.createDataFrame(seen, "u string, t timestamp").selectExpr("u", "t", "date_format(t, 'yyyy-MM-dd') as day")
+    want = {r["day"]: r["users"] for r in users.daily_users(rows, "day", "u").collect()}
+    days = sorted(want)
+    assert [want[d] for d in days] == [2, 2, 1]
+
+    salts = users.with_salts(spark, None, days[:2])
+    assert {r["day"]: r["salt"] for r in users.with_salts(spark, salts, days[:2]).collect()} == {r["day"]: r["salt"] for r in salts.collect()}
+    found = users.hashed(rows, salts, "day", "u")
+    kept = found.collect()
+    assert len(kept) == 4 and len({r["who"] for r in kept}) == 4 and all(len(r["who"]) == 24 for r in kept)  # b has another hash the next day
+    counts = spark.createDataFrame([], "day string, users long")
+    open_, counts, salts = users.roll(spark.createDataFrame(kept), counts, salts, days[1])
+    assert {tuple(r) for r in counts.collect()} == {(days[0], 2)} and {r["day"] for r in open_.collect()} == {days[1]} == {r["day"] for r in salts.collect()}
+    assert users.roll(spark.createDataFrame(kept), counts, salts, days[1])[1].count() == 1
+
+    batches = [seen[:3], seen[3:6], seen[6:], [("z", at(start + 80 * hour))]]
+    got, held = run(spark, tmp_path, "users", "u string, t timestamp", batches, lambda s: users.daily_users_stream(s, "t", "u", "secret"))
+    assert {r["day"]: r["users"] for r in got} == {d: want[d] for d in days} and held == 1  # the last day is still open
