@@ -2,11 +2,18 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
+import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from .align import split_over_cues
 from .votes import trusted_label
 
+# Fixed value: a number that leads a part, as "1.", "(2)", "3:" or "4 -".
+NUMBER = r"^\s*(\(?\d{1,2}[.):]|\d{1,2}\s*[-–])\s+"
+
 
 def cached_answers(images: DataFrame, answers: DataFrame) -> DataFrame:
     """Append text and via to images (image_key, context_key): the answer for image and context, else the one without context.
@@ -44,10 +51,39 @@ def unrepeated(text: Column, n_lines: Column) -> Column:
 def split_sheet(text: Column, n: Column) -> Column:
     """The ``n`` parts of an answer to a sheet, parted by blank lines and without leading numbers; null for another number of parts."""
     parts = F.filter(F.split(F.regexp_replace(text, r"^\s+|\s+$", ""), r"\n\s*\n"), lambda p: F.trim(p) != "")
-    parts = F.transform(parts, lambda p: F.regexp_replace(F.trim(p), r"^\s*(\(?\d{1,2}[.):]|\d{1,2}\s*[-–])\s+", ""))
+    parts = F.transform(parts, lambda p: F.regexp_replace(F.trim(p), NUMBER, ""))
     return F.when(F.size(parts) == n, parts)
 
 
+def sheet_texts(lines: DataFrame, answers: DataFrame, threshold: float, widths: dict[str, float] | None = None) -> DataFrame:
+    """A text for each cue of the sheets that a teacher was asked: (sheet, cue, text, via), from lines (sheet, cue, line, glyphs) and answers (sheet, text).
+
+    An answer with as many parts as cues is parted there (via parts), or else where its alignment with the glyphs of all lines costs least (via glyphs).
+    Lines of a text are those of the cue's glyphs, and styles go on over a break; a part that doesn't align with its cue becomes one line. Without an
+    answer, or where neither works, text and via are null: such cues are asked one by one. Of several answers of a sheet the first in order counts.
+    """
+    cues = lines.groupBy("sheet", "cue").agg(F.sort_array(F.collect_list(F.struct("line", "glyphs"))).alias("lines"))  # a cue's few lines
+    sheets = cues.groupBy("sheet").agg(F.sort_array(F.collect_list(F.struct("cue", "lines"))).alias("cues"))  # as few as fit an image
+    met = sheets.join(answers.groupBy("sheet").agg(F.min("text").alias("text")), "sheet", "left").withColumn("parts", split_sheet(F.col("text"), F.size("cues")))
+
+    def split(r) -> list[tuple]:
+        cues = [[list(line["glyphs"]) for line in c["lines"]] for c in r.cues]
+        if r.parts is not None:
+            whole = [split_over_cues([c], t, threshold, widths) for c, t in zip(cues, r.parts, strict=True)]
+            texts, via = [w[0] if w else " ".join(t.split()) for w, t in zip(whole, r.parts, strict=True)], "parts"
+        else:
+            texts = split_over_cues(cues, r.text, threshold, widths) if r.text else None
+            via = "glyphs" if texts else None
+        return [(r.sheet, c["cue"], t, via) for c, t in zip(r.cues, texts or [None] * len(cues), strict=True)]
+
+    def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for frame in frames:
+            yield pd.DataFrame([x for r in frame.itertuples() for x in split(r)], columns=["sheet", "cue", "text", "via"])
+
+    kind = {f.name: f.dataType.simpleString() for f in lines.schema.fields}
+    return met.mapInPandas(run, f"sheet {kind['sheet']}, cue {kind['cue']}, text string, via string")
+
+
 def apply_in_order(batches: DataFrame, batch: str = "batch_no", status: str = "status") -> DataFrame:
     """Append applied and failed: how many batches up to this one have been applied in order, whenever they arrived, and how many failed."""
     w = Window.partitionBy("file").orderBy(batch).rowsBetween(Window.unboundedPreceding, 0)

@@ -5,6 +5,7 @@ from pyspark.sql import functions as F
 
 from tallyglass.operators import answers as A
 from tallyglass.operators import bitmaps
+from tallyglass.operators.align import align, reline_by_glyphs, split_over_cues
 
 
 def test_context_answers_come_first(spark):
@@ -19,6 +20,61 @@ def test_cleaning_and_sheets(spark):
     assert tuple(got) == ("a\nb", "a\nb", "a\nb\na\nb", ["one", "two\nmore", "three"], None)
 
 
+def _drawn(text):
+    """Lines of glyphs that draw the lines of a text, each letter known."""
+    out = []
+    for line in text.split("\n"):
+        after = [line[i + 1 : i + 2] == " " for i in range(len(line))]
+        out.append([{"key": c, "w": 9, "gap_after": 18 if a else 2, "label": c} for c, a in zip(line, after, strict=True) if c != " "])
+    return out
+
+
+def test_one_answer_is_split_over_cues_by_their_glyphs():
+    cues = [_drawn("Winter came"), _drawn("over the hills\nlast night"), _drawn("so early")]
+    whole = ["Winter came", "over the hills\nlast night", "so early"]
+    for text in ("Winter came over the hills last night so early", "Winter<br>came over\nthe hills last<BR />night so early", " Winter  came\n\nover the hills last night so early "):
+        assert split_over_cues(cues, text, 12) == whole
+    assert split_over_cues(cues[:2], "Winter came over the hillslast night", 12) == whole[:2]  # words that ran together over a break
+    assert split_over_cues(cues[:1], "Winter\ncame", 12) == whole[:1]
+    assert split_over_cues(cues, "Winter", 12) is None and split_over_cues(cues, "", 12) is None and split_over_cues([], "x", 12) is None and split_over_cues([cues[0], []], "Winter came", 12) is None
+
+
+def test_styles_go_on_over_the_breaks_of_cues():
+    cues = [_drawn("Winter came"), _drawn("over the\nhills")]
+    assert split_over_cues(cues, "<i>Winter came over the hills</i>", 12) == ["<i>Winter came</i>", "<i>over the</i>\n<i>hills</i>"]
+    assert split_over_cues(cues, "Winter <i>came over</i> <b>the hills</b>", 12) == ["Winter <i>came</i>", "<i>over</i> <b>the</b>\n<b>hills</b>"]
+
+
+def test_splits_cost_least_of_all():
+    """Against every way to cut a text at its blanks."""
+    rng = np.random.default_rng(3)
+    for _ in range(40):
+        words = ["".join(rng.choice(list("abcde"), rng.integers(2, 6))) for _ in range(6)]
+        at = sorted(rng.choice(np.arange(1, 6), 2, replace=False).tolist())
+        lines = [" ".join(words[a:b]) for a, b in zip([0, *at], [*at, 6], strict=True)]
+        drawn = [_drawn(t)[0] for t in lines]
+        for line in drawn:
+            line[int(rng.integers(len(line)))]["label"] = "z"
+        cost = lambda parts: sum(found["cost"] if (found := align(g, t, 12)) else float("inf") for g, t in zip(drawn, parts, strict=True))
+        best = min(cost([" ".join(words[:i]), " ".join(words[i:j]), " ".join(words[j:])]) for i in range(1, 5) for j in range(i + 1, 6))
+        got, parts = reline_by_glyphs(drawn, " ".join(words), 12)
+        assert got == best == cost(parts)
+
+
+def test_sheets_of_cues(spark):
+    glyphs = "array<struct<key: string, w: int, gap_after: int, label: string>>"
+    rows = [(s, c, k, g) for s in "pqrst" for c, text in enumerate(["Winter came", "over the\nhills"]) for k, g in enumerate(_drawn(text))]
+    lines = spark.createDataFrame(rows, f"sheet string, cue int, line int, glyphs {glyphs}")
+    texts = [("p", "1. Winter\ncame\n\n2. over the hills"), ("q", "<i>Winter came over the hills</i>"), ("r", "snow"), ("s", "x\n\nover the\nhills"), ("s", "y"), ("u", "no such sheet")]
+    got = {(r["sheet"], r["cue"]): (r["text"], r["via"]) for r in A.sheet_texts(lines, spark.createDataFrame(texts, "sheet string, text string"), 12.0).collect()}
+    assert got == {
+        ("p", 0): ("Winter came", "parts"), ("p", 1): ("over the\nhills", "parts"), ("q", 0): ("<i>Winter came</i>", "glyphs"), ("q", 1): ("<i>over the</i>\n<i>hills</i>", "glyphs"),
+        ("r", 0): (None, None), ("r", 1): (None, None), ("s", 0): ("x", "parts"), ("s", 1): ("over the\nhills", "parts"), ("t", 0): (None, None), ("t", 1): (None, None),
+    }
+    empty = A.sheet_texts(lines.limit(0), spark.createDataFrame(texts, "sheet string, text string"), 12.0)
+    assert empty.count() == 0 and empty.columns == ["sheet", "cue", "text", "via"]
+
+
 def test_batches_apply_in_order(spark):
     rows = spark.createDataFrame([("f", 2, "ok"), ("f", 0, "ok"), ("f", 1, "failed")], "file string, batch_no int, status string")
     assert [(r["applied"], r["failed"]) for r in A.apply_in_order(rows).orderBy("batch_no").collect()] == [(1, 0), (1, 1), (2, 1)]
