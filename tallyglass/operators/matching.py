@@ -11,6 +11,8 @@ from .lineage import cut
 
 #: A token is hot that makes more than one in so many of all.
 HOT = 1000
+#: Sets of a token's group that meet at once, at most about; longs of a parity map.
+BLOCK, LANES = 4096, 4
 
 
 def nearest_lookup(facts: DataFrame, reference: DataFrame, key: str, fact_id: str, value: str, ref_id: str, ref_value: str, tolerance: float) -> DataFrame:
@@ -28,31 +30,48 @@ def token_sets(docs: DataFrame, key: str, text: str, carry: str) -> DataFrame:
     return found.select(F.col(f"r.{key}").alias("class_id"), "tokens", F.size("tokens").alias("size"), "copies", F.col(f"r.{carry}").alias(carry))
 
 
+def ranked_sets(sets: DataFrame, carry: str) -> DataFrame:
+    """Sets with their tokens as numbers: class_id, size, ``carry``, ranks (rising; rare tokens have small numbers) and bits (of which hashed tokens the set has an odd number)."""
+    held = cut(sets.select("class_id", "size", F.col(carry).alias("_c"), "tokens"))  # read twice, and made from whole texts
+    tokens = held.select("class_id", "size", "_c", F.explode("tokens").alias("token"))
+    often = tokens.groupBy("token").agg(F.count("*").alias("f"))
+    number = cut(often.orderBy("f", "token").select("token", "f", F.monotonically_increasing_id().alias("rank")))  # cut, as a number must stay what it is
+    least = (number.agg(F.sum("f")).first()[0] or 0) // HOT
+    hot, rest = number.where(F.col("f") > least), number.where(F.col("f") <= least)  # HOT hot ones at most, so they are broadcast and no token is a task
+    known = tokens.join(F.broadcast(hot), "token", "left")
+    placed = known.where("rank is not null").drop("f").unionByName(known.where("rank is null").drop("f", "rank").join(rest.drop("f"), "token"))
+    bit = F.pmod(F.xxhash64("rank"), F.lit(64 * LANES)).cast("int")
+    lanes = [F.bit_xor(F.when(F.expr(f"_bit div 64 = {i}"), F.expr("shiftleft(1L, _bit % 64)")).otherwise(F.lit(0))) for i in range(LANES)]
+    whole = placed.withColumn("_bit", bit).groupBy("class_id", "size", "_c").agg(F.sort_array(F.collect_list("rank")).alias("ranks"), F.array(*lanes).alias("bits"))
+    return cut(whole.withColumnRenamed("_c", carry))
+
+
 def near_join(sets: DataFrame, carry: str, permille: int = 120) -> DataFrame:
     """Pairs a < b of classes whose symmetric difference is at most ``permille`` / 1000 of their mean size.
 
-    Two such sets share so many tokens that the rarest few of each have one in common: sets meet on
-    those (prefix filtering), so common tokens never make a group. The ratio is compared in whole numbers.
+    Two such sets share so many tokens that the rarest few of each have one in common: sets meet on those (prefix filtering),
+    if from the token on both have enough left to share (the first common one shows that), and if their parity maps, which differ in no more bits than the
+    sets in tokens, don't rule them out. A token that ends many prefixes is dealt in blocks that meet two by two. Only pairs that are left bring their numbers
+    together. Ratios are compared in whole numbers.
     """
-    tokens = sets.select("class_id", "size", F.explode("tokens").alias("token"))
-    often = tokens.groupBy("token").agg(F.count("*").alias("f"))
-    least = (sets.agg(F.sum("size")).first()[0] or 0) // HOT
-    hot, rest = often.where(F.col("f") > least), often.where(F.col("f") <= least)  # HOT hot ones at most, so they are broadcast and no token is a task
-    known = tokens.join(F.broadcast(hot), "token", "left")
-    ranked = known.where("f is not null").unionByName(known.where("f is null").drop("f").join(rest, "token"))
-    order = F.row_number().over(Window.partitionBy("class_id").orderBy("f", "token"))
+    known = ranked_sets(sets, carry)
     # overlap o >= (1 - r/2) * mean size, and the other set has at least (1 - r/2) / (1 + r/2) of this one's size
     share = (2000 - permille) / (2000 + permille)
-    prefix = ranked.withColumn("_o", order).where(F.col("_o") <= F.col("size") - F.ceil(F.col("size") * share - 1e-9) + 1)
-    ids = prefix.select("token", F.col("class_id"), "size")
-    a, b = ids.select("token", F.col("class_id").alias("a"), F.col("size").alias("a_size")), ids.select("token", F.col("class_id").alias("b"), F.col("size").alias("b_size"))
-    band = (F.col("a") < F.col("b")) & (F.col("a_size") >= F.col("b_size") * share - 1e-9) & (F.col("b_size") >= F.col("a_size") * share - 1e-9)
-    pairs = a.join(b, "token").where(band).select("a", "b").distinct()
-    left = sets.select(F.col("class_id").alias("a"), F.col("tokens").alias("a_tokens"), F.col(carry).alias(f"a_{carry}"))
-    right = sets.select(F.col("class_id").alias("b"), F.col("tokens").alias("b_tokens"), F.col(carry).alias(f"b_{carry}"))
-    met = pairs.join(left, "a").join(right, "b")
-    total = F.size("a_tokens") + F.size("b_tokens")
-    found = met.withColumn("differing", total - 2 * F.size(F.array_intersect("a_tokens", "b_tokens"))).withColumn("total", total)
+    first = F.slice("ranks", 1, (F.col("size") - F.ceil(F.col("size") * share - 1e-9) + 1).cast("int"))
+    places = known.select("class_id", "size", "bits", F.posexplode(first).alias("pos", "rank"))
+    many = places.groupBy("rank").agg(F.ceil(F.count("*") / BLOCK).cast("int").alias("_k"), F.count("*").alias("_n")).where("_n > 1").drop("_n")
+    dealt = places.join(many, "rank").withColumn("_own", F.pmod(F.xxhash64("class_id"), F.col("_k")).cast("int"))
+    side = lambda c, to: dealt.select("rank", F.col("class_id").alias(c), *(F.col(x).alias(f"{c}_{x}") for x in ("size", "pos", "bits")), *to)
+    a = side("x", [F.col("_own").alias("_i"), F.explode(F.sequence("_own", F.col("_k") - 1)).alias("_j")])
+    b = side("y", [F.col("_own").alias("_j"), F.explode(F.sequence(F.lit(0), F.col("_own"))).alias("_i")])
+    total, left = F.col("x_size") + F.col("y_size"), F.least(F.col("x_size") - F.col("x_pos"), F.col("y_size") - F.col("y_pos"))
+    apart = sum((F.bit_count(F.col("x_bits")[i].bitwiseXOR(F.col("y_bits")[i])) for i in range(LANES)), F.lit(0))
+    once = F.when(F.col("_i") == F.col("_j"), F.col("x") < F.col("y")).otherwise(F.col("x") != F.col("y"))
+    met = a.join(b, ["rank", "_i", "_j"]).where(once & (4000 * left >= (2000 - permille) * total) & (2000 * apart <= permille * total))
+    pairs = met.select(F.least("x", "y").alias("a"), F.greatest("x", "y").alias("b")).distinct()
+    held = lambda c: known.select(F.col("class_id").alias(c), F.col("ranks").alias(f"{c}_ranks"), F.col(carry).alias(f"{c}_{carry}"))
+    total = F.size("a_ranks") + F.size("b_ranks")
+    found = pairs.join(held("a"), "a").join(held("b"), "b").withColumns({"differing": total - 2 * F.size(F.array_intersect("a_ranks", "b_ranks")), "total": total})
     return found.where(2000 * F.col("differing") <= permille * F.col("total")).select("a", "b", f"a_{carry}", f"b_{carry}", "differing", "total")
 
 
