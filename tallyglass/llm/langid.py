@@ -25,8 +25,8 @@ DIM = 1024
 #: Languages that one pass over the texts compares with.
 TOGETHER = 1024
 UNKNOWN = "und"
-#: Letters from which on a text's score tells a known language from noise.
-LETTERS = 20
+#: Letters at which the bar of :func:`known` is half of a long text's.
+SHORT = 8
 _COLUMNS = 4096
 _CELLS = 1 << 21
 
@@ -173,13 +173,13 @@ def _nearer(docs: DataFrame, names: list[str], known: np.ndarray, text: str) ->
 
 
 def known(text: str = "text", dim: int = DIM):
-    """True for predicted rows that are like a known language: a score of 3 / sqrt(dim) or more.
+    """True for predicted rows that are like a known language: their score is above 3 / sqrt(dim) * n / (n + ``SHORT``), for a text of n letters.
 
-    Cosines of unrelated texts have a standard deviation of 1 / sqrt(dim). Texts of fewer than ``LETTERS``
-    letters may score as low in their own language; for them any score above 0 is enough.
+    Cosines of unrelated texts have a standard deviation of 1 / sqrt(dim), whatever their length; those of a text in its own language grow with its letters, so the bar
+    does as well, by one rule for all lengths.
     """
-    short = F.length(F.regexp_replace(F.col(text), r"\P{L}+", "")) < LETTERS
-    return (F.col("lang_pred") != UNKNOWN) & ((F.col("score") >= 3 / dim**0.5) | (short & (F.col("score") > 0)))
+    letters = F.length(F.regexp_replace(F.col(text), r"\P{L}+", ""))
+    return (F.col("lang_pred") != UNKNOWN) & (F.col("score") > 3 / dim**0.5 * letters / (letters + SHORT))
 
 
 def held_out(doc_id: str = "doc_id"):

@@ -38,6 +38,28 @@ def test_language_stage_rejects_unlearned_scripts(spark):
     assert {x["doc_id"] for x in out.collect()} == {*range(20), 50}
 
 
+def test_language_stage_has_one_rule_for_short_and_long_texts(spark):
+    """Junk of scripts that weren't learned goes the surer the longer it is; parts of known texts stay at every length."""
+    r = random.Random(2)
+    english = "the cat sat on the mat and slept all day while the dog ran far away and ate some fish".split()
+    lengths, many = (1, 2, 3, 5, 8, 12, 20, 40), 150
+    rows = [(i, " ".join(english), "en", "s", 0) for i in range(20)]
+    for n in lengths:
+        for i in range(many):
+            junk = "".join(chr(r.randrange(*((0x430, 0x450), (0x3B1, 0x3CA), (0x4E00, 0x9000))[i % 3])) for _ in range(n))
+            rows.append((n * 1000 + i, " ".join(junk[k : k + 5] for k in range(0, n, 5)), None, "junk", 0))
+        for i in range(len(english)):
+            part, k = [], i
+            while sum(map(len, part)) < n:
+                part.append(english[k % len(english)])
+                k += 1
+            rows.append((100_000 + n * 1000 + i, " ".join(part), None, "right", 0))
+    out = corpus_pipeline.language_id(spark, spark.createDataFrame(rows, "doc_id long, text string, lang string, source string, n_chars long"), "").collect()
+    stay = {(s, n): sum(x["source"] == s and x["doc_id"] % 100_000 // 1000 == n for x in out) for s in ("junk", "right") for n in lengths}
+    assert all(stay["right", n] == len(english) for n in lengths)
+    assert stay["junk", 1] < many / 2 and stay["junk", 5] < many / 4 and stay["junk", 12] < many / 10 and stay["junk", 40] < many / 25
+
+
 def test_stages_take_odd_rows_and_clashing_columns(spark, tmp_path):
     english = "the cat sat on the mat and slept all day while the dog ran far away and ate some fish near token = 'abcdefabcdefabcdefabcdef'"
     rows = [(i, f"{english} number {i}\nand line {i} of it\nthird {i}", "en", "s", 0) for i in range(20)]
