@@ -39,6 +39,15 @@ def clean(text: Column) -> Column:
     return F.array_join(kept, "\n")
 
 
+def transcript(message: Column, tool: str = "submit_transcript") -> Column:
+    """The cleaned text of a model's message (JSON): the lines that its first call of ``tool`` with a list of lines gives, or else its content; empty without either."""
+    said = F.from_json(message, "content string, tool_calls array<struct<function: struct<name: string, arguments: string>>>")
+    calls = F.filter(said["tool_calls"], lambda c: c["function"]["name"] == tool)
+    given = F.transform(calls, lambda c: F.from_json(c["function"]["arguments"], "lines array<string>")["lines"])
+    lines = F.get(F.filter(given, lambda x: x.isNotNull()), F.lit(0))
+    return clean(F.coalesce(F.array_join(lines, "\n"), said["content"], F.lit("")))
+
+
 def unrepeated(text: Column, n_lines: Column) -> Column:
     """A cleaned answer that is ``n_lines`` lines over and over becomes those lines once."""
     lines = _lines(text)

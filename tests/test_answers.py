@@ -1,3 +1,4 @@
+import json
 import zlib
 
 import numpy as np
@@ -20,6 +21,21 @@ def test_cleaning_and_sheets(spark):
     assert tuple(got) == ("a\nb", "a\nb", "a\nb\na\nb", ["one", "two\nmore", "three"], None)
 
 
+def test_transcripts_of_messages(spark):
+    call = lambda name, arguments: {"function": {"name": name, "arguments": arguments}}
+    given = json.dumps({"lines": ["one ", "", "two"]})
+    cases = [
+        ({"content": "x", "tool_calls": [call("other", given), call("submit_transcript", given)]}, "one\ntwo"),
+        ({"content": "```\nx\n```", "tool_calls": [call("submit_transcript", "{}")]}, "x"),
+        ({"content": "x", "tool_calls": [call("submit_transcript", '{"lines": "no list"}'), call("submit_transcript", given)]}, "one\ntwo"),
+        ({"content": "x", "tool_calls": [call("submit_transcript", "no json")]}, "x"), ({"content": None, "tool_calls": []}, ""), ({"content": "a\nb"}, "a\nb"),
+        ({"tool_calls": [call("submit_transcript", '{"lines": []}')], "content": "x"}, ""),
+    ]
+    rows = spark.createDataFrame([(i, json.dumps(m)) for i, (m, _) in enumerate(cases)] + [(90, "no json"), (91, None)], "i int, m string")
+    got = {r["i"]: r["t"] for r in rows.select("i", A.transcript(F.col("m")).alias("t")).collect()}
+    assert got == {**{i: t for i, (_, t) in enumerate(cases)}, 90: "", 91: ""}
+
+
 def _drawn(text):
     """Lines of glyphs that draw the lines of a text, each letter known."""
     out = []
