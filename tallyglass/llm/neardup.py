@@ -4,7 +4,8 @@ Candidates come from two sources: the trie self-join of SimHash fingerprints, wi
 of MinHash values, since at a similarity of 0.8 fingerprints of 64 bits differ in too many bits for a trie
 to prune. A pair of similarity s shares a band with probability 1 - (1 - s**ROWS)**BANDS, and a full group of a
 band gives a largest spanning forest by estimated similarity in place of all its pairs. Every candidate is
-then checked on the shingles themselves, and only pairs at or above the similarity are links.
+then checked on the shingles themselves, and only pairs at or above the similarity are links. Parity maps as long as the sets
+rule out nearly all other pairs first, so that few shingles are exchanged.
 
 What these sources leave out is found by prefix filtering, which is exact: in one order of all shingles, a pair at
 the similarity has a shingle in common among the first of both. Only texts that are not in one component yet meet, so
@@ -43,7 +44,7 @@ _BLOCK = 8_192
 _SAMPLE = 10_000
 _OFTEN = 3
 _LISTED = 200_000
-#: Bits of a set's parity map; it tells little of sets that may differ in over half as many shingles.
+#: Bits of a set's parity map; it tells little of sets that may differ in over half as many shingles. Larger sets have a wide map too.
 _BITS = 1_024
 _PAIRS = 1 << 17
 #: Places of shingles in prefixes that are exchanged at once, at about, and in how many parts at most.
@@ -98,16 +99,35 @@ def prefix(shingles: np.ndarray, common: tuple[np.ndarray, np.ndarray], similari
     return shingles[:many]
 
 
+def parity(shingles: np.ndarray, bits: int) -> bytes:
+    """Of which hashes' last bits, ``bits`` (a power of two) values in all, the set has an odd number."""
+    odd = np.bincount((shingles & np.uint64(bits - 1)).astype(np.int64), minlength=bits) & 1
+    return np.packbits(odd.astype(np.uint8)).tobytes()
+
+
+def wide_parity(shingles: np.ndarray) -> bytes:
+    """The parity map of a set of over ``_BITS`` shingles, with a bit a shingle at least; else nothing."""
+    return parity(shingles, 1 << (shingles.size - 1).bit_length()) if shingles.size > _BITS else b""
+
+
+def apart(a: bytes, b: bytes) -> int:
+    """In how many bits two parity maps differ, at the length of the shorter: the sets differ in as many shingles at least."""
+    x, y = np.frombuffer(a, dtype=np.uint64), np.frombuffer(b, dtype=np.uint64)
+    size = min(x.size, y.size)
+    x, y = (np.bitwise_xor.reduce(m.reshape(-1, size), 0) for m in (x, y))
+    return int(np.bitwise_count(x ^ y).sum())
+
+
 def sketches(docs: DataFrame, words: int, keep: tuple[str, ...], similarity: float) -> DataFrame:
     """``keep`` and, of each text: set (a hash of its shingles), fp, sig (a byte a MinHash value), bands (empty for a text without words),
-    n (shingles), bits (which hashes' last bits it has an odd number of times) and prefix."""
+    n (shingles), bits (its parity map), wide (see :func:`wide_parity`) and prefix."""
     small_batches(docs.sparkSession)
     kept = docs.select(*keep, F.col("text").alias("_text"))
     common = common_shingles(docs, words)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            sets, fps, sigs, bands, sizes, bits, first = [], [], [], [], [], [], []
+            sets, fps, sigs, bands, sizes, bits, wide, first = [], [], [], [], [], [], [], []
             for t in batch.column(batch.num_columns - 1).to_pylist():
                 found = distinct_shingles(t, words)
                 least = minhashes(found)
@@ -116,15 +136,15 @@ def sketches(docs: DataFrame, words: int, keep: tuple[str, ...], similarity: flo
                 sigs.append((least >> np.uint64(32)).astype(np.uint8).tobytes())
                 bands.append((least * (_DRAWN[2] | np.uint64(1))).reshape(BANDS, ROWS).sum(1, dtype=np.uint64).view(np.int64).tolist() if found.size else [])
                 sizes.append(found.size)
-                odd = np.bincount((found & np.uint64(_BITS - 1)).astype(np.int64), minlength=_BITS) & 1
-                bits.append(np.packbits(odd.astype(np.uint8)).tobytes())
+                bits.append(parity(found, _BITS))
+                wide.append(wide_parity(found))
                 first.append(prefix(found, common, similarity).view(np.int64))
             whole = [pa.array(np.array(x, dtype=np.uint64).view(np.int64)) for x in (sets, fps)]
-            whole += [pa.array(sigs, pa.binary()), pa.array(bands, pa.list_(pa.int64())), pa.array(sizes, pa.int64()), pa.array(bits, pa.binary()), pa.array(first, pa.list_(pa.int64()))]
-            yield pa.RecordBatch.from_arrays([*batch.columns[:-1], *whole], [*keep, "set", "fp", "sig", "bands", "n", "bits", "prefix"])
+            whole += [pa.array(sigs, pa.binary()), pa.array(bands, pa.list_(pa.int64())), pa.array(sizes, pa.int64()), pa.array(bits, pa.binary()), pa.array(wide, pa.binary()), pa.array(first, pa.list_(pa.int64()))]
+            yield pa.RecordBatch.from_arrays([*batch.columns[:-1], *whole], [*keep, "set", "fp", "sig", "bands", "n", "bits", "wide", "prefix"])
 
     head = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in kept.schema.fields[:-1])
-    return kept.mapInArrow(run, f"{head}, set long, fp long, sig binary, bands array<long>, n long, bits binary, prefix array<long>")
+    return kept.mapInArrow(run, f"{head}, set long, fp long, sig binary, bands array<long>, n long, bits binary, wide binary, prefix array<long>")
 
 
 def forest(sig: np.ndarray, least: float) -> tuple[np.ndarray, np.ndarray]:
@@ -251,10 +271,25 @@ def among(docs: DataFrame, named: DataFrame) -> DataFrame:
     return marked.where(F.expr(f"bit_get(_m, cast({at} % 64 AS int)) = 1")).drop("_w", "_m")
 
 
+def screened(nodes: DataFrame, pairs: DataFrame, similarity: float) -> DataFrame:
+    """The pairs (a, b) but those whose parity maps differ in more bits than alike sets may differ in shingles."""
+    side = lambda c: nodes.select(F.col("set").alias(c), F.col("n").alias(f"n{c}"), F.when(F.length("wide") > 0, F.col("wide")).otherwise(F.col("bits")).alias(f"p{c}"))
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            both = batch.column(2).to_numpy() + batch.column(3).to_numpy()
+            most = both - 2 * (similarity / (1 + similarity) * both - 1e-6)
+            near = [apart(x, y) <= m for x, y, m in zip(batch.column(4).to_pylist(), batch.column(5).to_pylist(), most.tolist(), strict=True)]
+            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1)], ["a", "b"]).filter(pa.array(near, pa.bool_()))
+
+    return pairs.join(side("a"), "a").join(side("b"), "b").select("a", "b", "na", "nb", "pa", "pb").mapInArrow(run, "a long, b long")
+
+
 def links(docs: DataFrame, nodes: DataFrame, candidates: DataFrame, words: int, similarity: float) -> DataFrame:
     """A table of the candidate pairs whose shingles have a Jaccard similarity of ``similarity`` or more."""
     both = candidates.where("a <> b")
-    pairs = materialize(both.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct(), "neardup-pairs")
+    both = both.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
+    pairs = materialize(screened(nodes, both, similarity), "neardup-pairs")
     if pairs.isEmpty():
         return pairs
     named = pairs.select(F.col("a").alias("set")).union(pairs.select("b")).distinct()
@@ -291,7 +326,7 @@ def deduplicate(docs: DataFrame, words: int = WORDS, similarity: float = SIMILAR
     columns = docs.columns
     keyed = docs.withColumn("_k", F.xxhash64("doc_id", "text")).withColumn("_k2", F.xxhash64("text", "doc_id"))
     prints = materialize(sketches(keyed, words, ("doc_id", "_k", "_k2"), similarity), "neardup")
-    nodes = prints.groupBy("set").agg(F.min(F.struct("_k", "_k2", "fp", "sig", "bands", "n", "bits", "prefix")).alias("x")).select("set", "x.*")
+    nodes = prints.groupBy("set").agg(F.min(F.struct("_k", "_k2", "fp", "sig", "bands", "n", "bits", "wide", "prefix")).alias("x")).select("set", "x.*")
     nodes = materialize(nodes, "neardup-sets")
     members = materialize(prints.select("set", "doc_id", "_k", "_k2"), "neardup-members")
     discard(prints)

@@ -881,3 +881,38 @@ def test_whole_groups(spark):
     batches = [pa.RecordBatch.from_arrays([pa.array(keys[i : i + 17])], ["k"]) for i in range(0, 500, 17)]
     out = [t["k"].to_pylist() for t in common.whole_groups(iter(batches), ["k"], 40)]
     assert sum(out, []) == keys and all(a[-1] < b[0] for a, b in itertools.pairwise(out))
+
+
+def test_long_texts_that_share_a_passage_exchange_no_shingles(spark, monkeypatch):
+    r = random.Random(3)
+    word = lambda: "".join(r.choices("abcdefghij", k=6))
+    passage = [word() for _ in range(600)]
+    texts = [" ".join([*passage, *(word() for _ in range(2600))]) for _ in range(6)]
+    near = texts[0].split()
+    near[-1] = "changed"
+    keyed = docs(spark, [(i, t, None, None, 0) for i, t in enumerate([*texts, " ".join(near)])]).withColumn("_k", F.xxhash64("doc_id", "text")).withColumn("_k2", F.xxhash64("text", "doc_id"))
+    nodes = neardup.sketches(keyed, neardup.WORDS, ("doc_id", "_k", "_k2"), 0.8).cache()
+    at = {x["doc_id"]: x["set"] for x in nodes.collect()}
+    every = spark.createDataFrame([(at[i], at[j]) for i in at for j in at if i < j], "a long, b long")
+    many, real = {}, neardup.materialize
+
+    def made(df, label):
+        out = real(df, label)
+        many[label] = out.count()
+        return out
+
+    monkeypatch.setattr(neardup, "materialize", made)
+    found = neardup.links(keyed, nodes, every, neardup.WORDS, 0.8).collect()
+    assert {frozenset(x) for x in found} == {frozenset((at[0], at[6]))}
+    assert many["neardup-shingles"] == 2
+
+
+def test_parity_maps_never_differ_in_more_bits_than_sets(spark):
+    g = np.random.default_rng(5)
+    for n in (1, 900, 1024, 1025, 2040, 2050, 5000):
+        x = g.integers(0, 1 << 63, n, dtype=np.uint64)
+        for cut in (0, 1, n // 10, n // 2, n):
+            y = np.append(x[cut:], g.integers(0, 1 << 63, g.integers(0, cut + 1), dtype=np.uint64))
+            maps = [neardup.wide_parity(z) or neardup.parity(z, neardup._BITS) for z in (x, y)]
+            assert neardup.apart(*maps) <= len(set(x.tolist()) ^ set(y.tolist()))
+    assert neardup.apart(neardup.wide_parity(g.integers(0, 1 << 63, 5000, dtype=np.uint64)), neardup.wide_parity(g.integers(0, 1 << 63, 5000, dtype=np.uint64))) > 10_000 / 9
