@@ -13,6 +13,8 @@ from pyspark.sql import functions as F
 from .lineage import cut
 
 BATCH = 16
+#: Tracks of a frame that have a key; so many pairs a track of such a key are counted, at most.
+FEW = 64
 
 
 def word_memory(words: DataFrame, memory: DataFrame) -> DataFrame:
@@ -128,29 +130,33 @@ def census_groups(tracks: DataFrame, keys: DataFrame, frame: str, least_permille
     """Tracks that share most of their glyphs: rows (track, leader), largest track first within a frame size.
 
     A track joins the first leader that covers ``least_permille`` of its keys; else it leads. A leader has one of the rarest few keys of such a track, so
-    tracks meet on those (prefix filtering) and common keys make no group; then their key sets are compared. The ordered choice folds over a frame's
-    tracks alone.
+    tracks meet on those (prefix filtering) and on keys that few tracks have, and what a pair shares of them is counted. A track's other keys, common ones, make
+    no group; they are compared only for pairs that they could decide. The ordered choice folds over a frame's tracks alone.
     """
     framed = keys.select("track", "key").distinct().join(tracks.select("track", frame).distinct(), "track")
-    own = framed.groupBy("track", frame).agg(F.count("*").alias("n"), F.collect_set("key").alias("keys"))  # a track's keys
-    often = framed.groupBy(frame, "key").agg(F.count("*").alias("f"))
-    rare = F.row_number().over(Window.partitionBy("track", frame).orderBy("f", "key"))
-    needed = F.greatest(F.ceil(F.col("n") * least_permille / 1000), F.lit(1))
-    prefix = framed.join(often, [frame, "key"]).join(own.select("track", frame, "n"), ["track", frame]).withColumn("_o", rare).where(F.col("_o") <= F.col("n") - needed + 1)
-    met = prefix.select(frame, "key", F.col("track").alias("a")).join(framed.select(frame, "key", F.col("track").alias("b")), [frame, "key"]).where("a <> b").select(frame, "a", "b").distinct()
-    side = lambda x: own.select(frame, F.col("track").alias(x), F.col("keys").alias(f"{x}_keys"))
-    met = met.join(side("a"), [frame, "a"]).join(side("b"), [frame, "b"])
-    covers = 1000 * F.size(F.array_intersect("a_keys", "b_keys")) >= least_permille * F.size("a_keys")
-    covering = met.where(covers).groupBy(F.col("a").alias("track"), frame).agg(F.collect_set("b").alias("by"))
+    order = F.row_number().over(Window.partitionBy("track", frame).orderBy(F.col("key").isNull(), "_f", "key"))
+    placed = cut(framed.withColumn("_f", F.count("*").over(Window.partitionBy(frame, "key"))).withColumns({"_o": order, "_n": F.count("key").over(Window.partitionBy("track", frame))}))
+    needed = F.greatest(F.ceil(F.col("_n") * least_permille / 1000), F.lit(1))
+    meets = (F.col("_o") <= F.col("_n") - needed + 1) | (F.col("_f") <= FEW)
+    common = F.sort_array(F.collect_list(F.when(F.col("_f") > FEW, F.col("key"))))  # of a track's keys
+    own = placed.groupBy("track", frame).agg(F.count("*").alias("n"), F.max("_n").alias("_n"), common.alias("_common"), F.collect_list(F.when(~meets, F.col("key"))).alias("_rest"))
+    own = cut(own.withColumn("_needed", needed))
+    held = placed.where(F.col("key").isNotNull() & (F.col("_f") > 1)).select(frame, "key", "track", meets.alias("_meets"))
+    a, b = held.where("_meets").select(frame, "key", F.col("track").alias("a")), held.select(frame, "key", F.col("track").alias("b"))
+    shared = a.join(b, [frame, "key"]).where("a <> b").groupBy(frame, "a", "b").agg(F.count("*").alias("_c"))
+    met = shared.join(own.select(frame, F.col("track").alias("a"), "_needed", F.size("_rest").alias("_left")), [frame, "a"]).where("_c + _left >= _needed")
+    sure = met.where("_c >= _needed").select(frame, "a", "b")
+    unsure = met.where("_c < _needed").join(own.select(frame, F.col("track").alias("a"), "_rest"), [frame, "a"]).join(own.select(frame, F.col("track").alias("b"), "_common"), [frame, "b"])
+    found = sure.unionByName(unsure.where(F.col("_c") + F.size(F.array_intersect("_rest", "_common")) >= F.col("_needed")).select(frame, "a", "b"))
+    covering = found.groupBy(F.col("a").alias("track"), frame).agg(F.collect_set("b").alias("by"))
     rows = own.select("track", frame, "n").join(covering, ["track", frame], "left").select(frame, "track", "n", "by")
 
     def fold(part: pd.DataFrame) -> pd.DataFrame:
-        leaders, out = [], []
+        leaders, out = {}, []  # leaders by their turn
         for r in part.sort_values(["n", "track"], ascending=[False, True]).itertuples():
-            by = set() if r.by is None else set(r.by)
-            leader = next((x for x in leaders if x in by), None)
+            leader = min((x for x in (() if r.by is None else r.by) if x in leaders), key=leaders.__getitem__, default=None)
             if leader is None:
-                leaders.append(r.track)
+                leaders[r.track] = len(leaders)
             out.append((r.track, r.track if leader is None else leader))
         return pd.DataFrame(out, columns=["track", "leader"])
 

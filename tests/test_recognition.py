@@ -1,6 +1,8 @@
 import itertools
 import json
+import random
 
+import pytest
 from pyspark.sql import functions as F
 
 from tallyglass.operators import recognition as R
@@ -145,3 +147,22 @@ def test_census_equals_a_naive_fold(spark):
     rows = spark.createDataFrame([(t, f) for t, (f, _) in tracks.items()], "track long, frame string")
     keys = spark.createDataFrame([(t, k) for t, (_, ks) in tracks.items() for k in ks], "track long, key string")
     assert {x["track"]: x["leader"] for x in R.census_groups(rows, keys, "frame").collect()} == want and len(set(want.values())) < 24
+
+
+@pytest.mark.parametrize("few", [0, 1, 3, 64])
+def test_census_counts_what_pairs_share(spark, monkeypatch, few):
+    monkeypatch.setattr(R, "FEW", few)
+    r = random.Random(8)
+    glyphs = {(f, t): set(r.sample(range(30), r.randint(1, 12))) | set(r.sample(range(100, 104), r.randint(0, 4))) for f in ("p", "q") for t in range(f == "q", 40, 2)}
+    tracks = spark.createDataFrame([(t, f) for f, t in glyphs], "track long, frame string")
+    keys = spark.createDataFrame([(t, k) for (_, t), ks in glyphs.items() for k in [*ks, *ks, None]], "track long, key long")
+    for least in (1, 300, 600, 1000):
+        want, leaders = {}, {"p": [], "q": []}
+        for (f, t), ks in sorted(glyphs.items(), key=lambda x: (-len(x[1]), x[0][1])):
+            lead = next((x for x in leaders[f] if 1000 * len(ks & glyphs[f, x]) >= least * len(ks)), t)
+            leaders[f] += [t] * (lead == t)
+            want[t] = lead
+        found = R.census_groups(tracks, keys, "frame", least)
+        assert {x["track"]: x["leader"] for x in found.collect()} == want
+        # only the rows of one track have an array of its keys when tracks are met: pairs are counted
+        assert "array_intersect(a_keys" not in found._jdf.queryExecution().analyzed().toString()
