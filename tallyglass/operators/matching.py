@@ -9,8 +9,8 @@ from pyspark.sql import functions as F
 
 from .lineage import cut
 
-#: A token is hot that makes more than one in so many of all.
-HOT = 1000
+#: A token is hot that makes more than one in so many of all; there are as many at most, and each task holds them.
+HOT = 200_000
 #: Sets of a token's group that meet at once, at most about; longs of a parity map.
 BLOCK, LANES = 4096, 4
 
@@ -30,20 +30,25 @@ def token_sets(docs: DataFrame, key: str, text: str, carry: str) -> DataFrame:
     return found.select(F.col(f"r.{key}").alias("class_id"), "tokens", F.size("tokens").alias("size"), "copies", F.col(f"r.{carry}").alias(carry))
 
 
-def ranked_sets(sets: DataFrame, carry: str) -> DataFrame:
-    """Sets with their tokens as numbers: class_id, size, ``carry``, ranks (rising; rare tokens have small numbers) and bits (of which hashed tokens the set has an odd number)."""
-    held = cut(sets.select("class_id", "size", F.col(carry).alias("_c"), "tokens"))  # read twice, and made from whole texts
-    tokens = held.select("class_id", "size", "_c", F.explode("tokens").alias("token"))
+def ranked_sets(sets: DataFrame) -> tuple[DataFrame, int, int]:
+    """Sets with their tokens as numbers: class_id, size, ranks (rising; rare tokens have small numbers) and bits (of which hashed tokens the set has an odd number).
+
+    Also the first number of a token that several sets have, and that of one that over BLOCK sets have.
+    """
+    tokens = sets.select("class_id", F.explode("tokens").alias("token"))
     often = tokens.groupBy("token").agg(F.count("*").alias("f"))
     number = cut(often.orderBy("f", "token").select("token", "f", F.monotonically_increasing_id().alias("rank")))  # cut, as a number must stay what it is
-    least = (number.agg(F.sum("f")).first()[0] or 0) // HOT
-    hot, rest = number.where(F.col("f") > least), number.where(F.col("f") <= least)  # HOT hot ones at most, so they are broadcast and no token is a task
+    first = lambda c: F.min(F.when(c, F.col("rank")))
+    total, shared, many = number.agg(F.sum("f"), first(F.col("f") > 1), first(F.col("f") > BLOCK)).first()
+    least = (total or 0) // HOT
+    hot, rest = number.where(F.col("f") > least).drop("f"), number.where(F.col("f") <= least).drop("f")  # hot ones are broadcast: most of all places, which so stay where they are, and no token is a task
     known = tokens.join(F.broadcast(hot), "token", "left")
-    placed = known.where("rank is not null").drop("f").unionByName(known.where("rank is null").drop("f", "rank").join(rest.drop("f"), "token"))
+    placed = known.where("rank is not null").drop("token").unionByName(known.where("rank is null").drop("rank").join(rest, "token").drop("token"))
     bit = F.pmod(F.xxhash64("rank"), F.lit(64 * LANES)).cast("int")
     lanes = [F.bit_xor(F.when(F.expr(f"_bit div 64 = {i}"), F.expr("shiftleft(1L, _bit % 64)")).otherwise(F.lit(0))) for i in range(LANES)]
-    whole = placed.withColumn("_bit", bit).groupBy("class_id", "size", "_c").agg(F.sort_array(F.collect_list("rank")).alias("ranks"), F.array(*lanes).alias("bits"))
-    return cut(whole.withColumnRenamed("_c", carry))
+    whole = placed.withColumn("_bit", bit).groupBy("class_id").agg(F.sort_array(F.collect_list("rank")).alias("ranks"), F.array(*lanes).alias("bits"))
+    last = 1 << 62
+    return cut(whole.select("class_id", F.size("ranks").alias("size"), "ranks", "bits")), last if shared is None else shared, last if many is None else many
 
 
 def near_join(sets: DataFrame, carry: str, permille: int = 120) -> DataFrame:
@@ -54,13 +59,14 @@ def near_join(sets: DataFrame, carry: str, permille: int = 120) -> DataFrame:
     sets in tokens, don't rule them out. A token that ends many prefixes is dealt in blocks that meet two by two. Only pairs that are left bring their numbers
     together. Ratios are compared in whole numbers.
     """
-    known = ranked_sets(sets, carry)
+    sets = cut(sets)  # read three times, and made from whole texts
+    known, shared, hot = ranked_sets(sets)
     # overlap o >= (1 - r/2) * mean size, and the other set has at least (1 - r/2) / (1 + r/2) of this one's size
     share = (2000 - permille) / (2000 + permille)
     first = F.slice("ranks", 1, (F.col("size") - F.ceil(F.col("size") * share - 1e-9) + 1).cast("int"))
-    places = known.select("class_id", "size", "bits", F.posexplode(first).alias("pos", "rank"))
-    many = places.groupBy("rank").agg(F.ceil(F.count("*") / BLOCK).cast("int").alias("_k"), F.count("*").alias("_n")).where("_n > 1").drop("_n")
-    dealt = places.join(many, "rank").withColumn("_own", F.pmod(F.xxhash64("class_id"), F.col("_k")).cast("int"))
+    places = known.select("class_id", "size", "bits", F.posexplode(first).alias("pos", "rank")).where(F.col("rank") >= shared)
+    many = places.where(F.col("rank") >= hot).groupBy("rank").agg(F.ceil(F.count("*") / BLOCK).cast("int").alias("_k")).where("_k > 1")  # few: each ends over BLOCK prefixes
+    dealt = places.join(F.broadcast(many), "rank", "left").withColumn("_k", F.coalesce("_k", F.lit(1))).withColumn("_own", F.pmod(F.xxhash64("class_id"), F.col("_k")).cast("int"))
     side = lambda c, to: dealt.select("rank", F.col("class_id").alias(c), *(F.col(x).alias(f"{c}_{x}") for x in ("size", "pos", "bits")), *to)
     a = side("x", [F.col("_own").alias("_i"), F.explode(F.sequence("_own", F.col("_k") - 1)).alias("_j")])
     b = side("y", [F.col("_own").alias("_j"), F.explode(F.sequence(F.lit(0), F.col("_own"))).alias("_i")])
@@ -68,11 +74,16 @@ def near_join(sets: DataFrame, carry: str, permille: int = 120) -> DataFrame:
     apart = sum((F.bit_count(F.col("x_bits")[i].bitwiseXOR(F.col("y_bits")[i])) for i in range(LANES)), F.lit(0))
     once = F.when(F.col("_i") == F.col("_j"), F.col("x") < F.col("y")).otherwise(F.col("x") != F.col("y"))
     met = a.join(b, ["rank", "_i", "_j"]).where(once & (4000 * left >= (2000 - permille) * total) & (2000 * apart <= permille * total))
-    pairs = met.select(F.least("x", "y").alias("a"), F.greatest("x", "y").alias("b")).distinct()
-    held = lambda c: known.select(F.col("class_id").alias(c), F.col("ranks").alias(f"{c}_ranks"), F.col(carry).alias(f"{c}_{carry}"))
+    pairs = cut(met.select(F.least("x", "y").alias("a"), F.greatest("x", "y").alias("b")).distinct())
+    named = pairs.select(F.col("a").alias("class_id")).union(pairs.select("b")).distinct()
+    some = cut(known.select("class_id", "ranks").join(named, "class_id", "left_semi"))  # other sets' numbers aren't exchanged for the pairs
+    held = lambda c: some.select(F.col("class_id").alias(c), F.col("ranks").alias(f"{c}_ranks"))
     total = F.size("a_ranks") + F.size("b_ranks")
-    found = pairs.join(held("a"), "a").join(held("b"), "b").withColumns({"differing": total - 2 * F.size(F.array_intersect("a_ranks", "b_ranks")), "total": total})
-    return found.where(2000 * F.col("differing") <= permille * F.col("total")).select("a", "b", f"a_{carry}", f"b_{carry}", "differing", "total")
+    found = pairs.join(held("a"), "a").join(held("b"), "b").select("a", "b", (total - 2 * F.size(F.array_intersect("a_ranks", "b_ranks"))).alias("differing"), total.alias("total"))
+    near = cut(found.where(2000 * F.col("differing") <= permille * F.col("total")))
+    own = cut(sets.select("class_id", carry).join(near.select(F.col("a").alias("class_id")).union(near.select("b")).distinct(), "class_id", "left_semi"))
+    label = lambda c: own.select(F.col("class_id").alias(c), F.col(carry).alias(f"{c}_{carry}"))
+    return cut(near.join(label("a"), "a").join(label("b"), "b").select("a", "b", f"a_{carry}", f"b_{carry}", "differing", "total"))  # read several times by what follows
 
 
 def both_ways(pairs: DataFrame, carry: str) -> DataFrame:

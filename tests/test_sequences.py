@@ -97,3 +97,21 @@ def test_replay_is_idempotent(spark):
     journal = spark.createDataFrame([("r1", "k", "a", 1), ("r2", "k", "a", 2)], "run string, key string, label string, n long")
     assert merging.replay(journal, journal.select("run")).count() == 0
     assert merging.replay(journal, journal.where(F.col("run") == "r1")).first()["n"] == 2
+
+
+def test_near_join_reads_no_text_twice(spark):
+    rows = [(i, " ".join(f"w{chr(97 + j)}{chr(97 + i // 2)}" for j in range(20)) + (" more" if i % 2 else ""), "ab"[i % 2]) for i in range(20)]
+    times = spark.sparkContext.accumulator(0)
+
+    def read(batches):
+        for b in batches:
+            times.add(b.num_rows)
+            yield b
+
+    docs = spark.createDataFrame(rows, "doc_id long, text string, source string").mapInArrow(read, "doc_id long, text string, source string")
+    pairs = matching.near_join(matching.token_sets(docs, "doc_id", "text", "source"), "source")
+    assert times.value == 20
+    assert {(x["a"], x["b"]) for x in pairs.collect()} == {(i, i + 1) for i in range(0, 20, 2)}
+    assert {x["id"] for x in matching.nearest_with_margin(pairs, "source").collect()} == set(range(20))
+    assert times.value == 20  # what follows reads the pairs, which aren't found again
+    assert "generate" not in pairs._jdf.queryExecution().optimizedPlan().toString().lower()
