@@ -8,7 +8,9 @@ from pyspark.sql import DataFrame
 
 
 def cut(df: DataFrame) -> DataFrame:
-    """``df`` checkpointed in the folder that the cluster names in ``spark.checkpoint.dir``; on one machine without that setting, in a temporary one."""
+    """``df`` checkpointed in the folder that the cluster names in ``spark.checkpoint.dir``; on one machine without that setting, in a temporary one. What was cut is given back as it is."""
+    if getattr(df, "_tallyglass_cut", False):
+        return df
     spark = df.sparkSession
     context = spark.sparkContext
     if context._jsc.sc().getCheckpointDir().isEmpty():
@@ -16,4 +18,6 @@ def cut(df: DataFrame) -> DataFrame:
         if not named and not context.master.startswith("local"):
             raise RuntimeError("set spark.checkpoint.dir to a folder that driver and executors share")
         context.setCheckpointDir(named or "file://" + tempfile.mkdtemp(prefix="tallyglass-"))
-    return df.checkpoint()
+    out = df.checkpoint()
+    out._tallyglass_cut = True  # type: ignore[attr-defined]
+    return out
