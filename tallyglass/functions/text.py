@@ -6,10 +6,12 @@ import unicodedata
 from collections.abc import Iterator
 
 import pandas as pd
-from pyspark.sql import Column
+from pyspark.sql import Column, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from ..llm.common import small_batches
+
 # Typographic variants and what they are folded to.
 SINGLE_QUOTES = "´`’‘‚′ʼʻ‹›‛"
 DOUBLE_QUOTES = "„“”«»″‟＂〝〞"
@@ -50,7 +52,9 @@ def compose(parts: Iterator[pd.Series]) -> Iterator[pd.Series]:
 
 
 def simplify(text: Column) -> Column:
-    """Compose, then fold."""
+    """Compose, then fold. Text goes to Python in batches of bounded rows and bytes."""
+    if session := SparkSession.getActiveSession():
+        small_batches(session)
     return fold(compose(text))
 
 

@@ -115,3 +115,12 @@ def test_near_join_reads_no_text_twice(spark):
     assert {x["id"] for x in matching.nearest_with_margin(pairs, "source").collect()} == set(range(20))
     assert times.value == 20  # what follows reads the pairs, which aren't found again
     assert "generate" not in pairs._jdf.queryExecution().optimizedPlan().toString().lower()
+
+
+def test_simplify_bounds_its_batches(spark):
+    from tallyglass.functions import text
+
+    spark.conf.unset("spark.sql.execution.arrow.maxRecordsPerBatch")
+    rows = spark.createDataFrame([("e\u0301 … x",), ("plain – é",), (None,), ("",)], "t string")
+    assert [x[0] for x in rows.select(text.simplify(F.col("t"))).collect()] == ["é ... x", "plain - é", None, ""]
+    assert int(spark.conf.get("spark.sql.execution.arrow.maxRecordsPerBatch")) <= 500
