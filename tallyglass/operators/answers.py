@@ -9,7 +9,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from .align import split_over_cues
-from .votes import trusted_label
+from .votes import trusted_label, verdict
 
 # Fixed value: a number that leads a part, as "1.", "(2)", "3:" or "4 -".
 NUMBER = r"^\s*(\(?\d{1,2}[.):]|\d{1,2}\s*[-–])\s+"
@@ -114,8 +114,32 @@ def alike_font(votes: DataFrame, shapes: DataFrame, a: str = "I", b: str = "l")
     """
     keys = ["set", "cluster", "top_rel"]
     n = lambda label: F.coalesce(F.sum(F.when(F.col("label") == label, F.col("n"))), F.lit(0))
-    both = votes.groupBy(*keys).agg(((n(a) >= 2) & (n(b) >= 2)).alias("both")).groupBy("set").agg(F.bool_or("both").alias("both"))
-    read = trusted_label(votes, keys).where(F.col("label").isin(a, b)).join(shapes, ["set", "cluster"]).select("set", "label", "h", "w").distinct()
-    one = read.where(F.col("label") == a).select("set", F.explode(F.sequence(F.col("h") - 1, F.col("h") + 1)).alias("h"), F.col("w").alias("w1"))
-    near = one.join(read.where(F.col("label") == b), ["set", "h"]).where(F.abs(F.col("w") - F.col("w1")) <= 1).select("set").distinct().withColumn("near", F.lit(True))
-    return both.join(near, "set", "left").select("set", (F.col("both") | F.coalesce("near", F.lit(False))).alias("alike"))
+    both = votes.groupBy(*keys).agg(((n(a) >= 2) & (n(b) >= 2)).alias("both"))
+    read = trusted_label(votes, keys).where(F.col("label").isin(a, b)).join(shapes, ["set", "cluster"])
+    return _alike(both.unionByName(read.select("set", "label", "h", "w"), allowMissingColumns=True), a, b)
+
+
+def alike_font_counted(counts: DataFrame, a: str = "I", b: str = "l") -> DataFrame:
+    """:func:`alike_font` of variants whose observations are counted: ``counts`` (set, cluster, total, n_a, n_b, h, w), of all labels and of the two.
+
+    A row a variant in place of one a label: two thirds of all are the majority whatever the other labels are.
+    """
+    sure = lambda n: verdict(F.col("total"), F.col(n), F.when(F.col(n) < F.col("total"), 2).otherwise(1)) == ""
+    label = F.when(F.col("set").isNotNull() & F.col("cluster").isNotNull(), F.when(sure("n_a"), a).when(sure("n_b"), b))
+    return _alike(counts.select("set", ((F.col("n_a") >= 2) & (F.col("n_b") >= 2)).alias("both"), label.alias("label"), "h", "w"), a, b)
+
+
+def _alike(rows: DataFrame, a: str, b: str) -> DataFrame:
+    """(set, alike) of rows (set, both, label, h, w); label, h and w are null where nothing is trusted.
+
+    Shapes of ``a`` are put under the nine sizes around their own, so that a size with both letters is a pair: no join.
+    """
+    known = F.col("label").isNotNull() & F.col("h").isNotNull() & F.col("w").isNotNull()
+    rows = rows.select("set", F.coalesce("both", F.lit(False)).alias("both"), *[F.when(known, F.col(c)).alias(c) for c in ("label", "h", "w")])
+    once = rows.groupBy("set", "label", "h", "w").agg(F.bool_or("both").alias("both"))
+    around = F.when(F.col("label") == a, F.array(*[F.lit(d) for d in (-1, 0, 1)])).otherwise(F.array(F.lit(0)))
+    put = once.withColumn("_dh", F.explode(around)).withColumn("_dw", F.explode(around))
+    sizes = put.groupBy("set", (F.col("h") + F.col("_dh")).alias("h"), (F.col("w") + F.col("_dw")).alias("w")).agg(
+        F.bool_or("both").alias("both"), *[F.coalesce(F.bool_or(F.col("label") == x), F.lit(False)).alias(c) for x, c in ((a, "_a"), (b, "_b"))]
+    )
+    return sizes.groupBy("set").agg(F.bool_or(F.col("both") | (F.col("_a") & F.col("_b"))).alias("alike"))

@@ -1,5 +1,7 @@
 import json
+import random
 import zlib
+from collections import Counter
 
 import numpy as np
 from pyspark.sql import functions as F
@@ -110,6 +112,29 @@ def test_alike_fonts(spark):
     assert {r["set"]: r["alike"] for r in A.alike_font(votes, shapes).collect()} == {"s": True, "t": True, "u": False}
 
 
+def test_alike_fonts_from_counts(spark):
+    rng = random.Random(5)
+    pick = lambda *xs: rng.choice(xs)
+    places = [(s, c, pick(*"IIllx")) for s in [*"abcdefghjkmnopqrstuvw", None] for c in [*"cdef", None]]
+    seen = [(s, c, x if rng.random() < 0.8 else pick("I", "l", "y", None)) for s, c, x in (rng.choice(places) for _ in range(600))]
+    shapes = {(s, c): (pick(*range(20, 26), None), pick(*range(3, 7), None)) for s, c, _ in seen}
+    votes, known = Counter(seen), {}
+    for s, c in shapes:
+        of = {x: n for (s2, c2, x), n in votes.items() if (s2, c2) == (s, c)}
+        top = max(of.values())
+        sure = sum(of.values()) >= 2 and 3 * top >= 2 * sum(of.values()) and (len(of) == 1 or top >= 3)
+        known[s, c] = (of.get("I", 0) >= 2 and of.get("l", 0) >= 2, max(of, key=of.get) if sure else None)
+    read = [(s, label, *shapes[s, c]) for (s, c), (_, label) in known.items() if None not in (s, c, label, *shapes[s, c])]
+    near = {s for s, x, h, w in read for s2, x2, h2, w2 in read if (s, x, x2) == (s2, "I", "l") and abs(h - h2) <= 1 and abs(w - w2) <= 1}
+    want = {s: s in near or any(both for (s2, _), (both, _) in known.items() if s2 == s) for s, _, _ in seen}
+    assert 0 < len(near) < sum(want.values()) < len(want)
+    rows = spark.createDataFrame([(s, c, x, *shapes[s, c]) for s, c, x in seen], "set string, cluster string, label string, h int, w int").withColumn("top_rel", F.lit(0))
+    counts = rows.groupBy("set", "cluster").agg(F.count("*").alias("total"), F.count_if(F.col("label") == "I").alias("n_a"), F.count_if(F.col("label") == "l").alias("n_b"), F.first("h").alias("h"), F.first("w").alias("w"))
+    plain = A.alike_font(rows.groupBy("set", "cluster", "top_rel", "label").agg(F.count("*").alias("n")), rows.select("set", "cluster", "h", "w").distinct())
+    for got in (A.alike_font_counted(counts), plain):
+        assert {r["set"]: r["alike"] for r in got.collect()} == want and got.count() == len(want)
+
+
 def test_local_and_prototype_difference():
     rng = np.random.default_rng(2)
     a = rng.random((14, 30)) < 0.5
