@@ -13,10 +13,12 @@ from __future__ import annotations
 import re
 import zlib
 from collections import deque
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
+from itertools import chain, pairwise
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -26,26 +28,108 @@ from .packing import fullest
 
 CAPACITY = 1024
 END_ID = 0
+#: Units that the memo holds at most, and bytes of them.
 MEMO = 600_000
-_TOGETHER = 5000
+_MEMO_BYTES = 64 << 20
+#: Bytes of text that are looked up at a time, and split at a time, as targets; and rows given out at a time.
+_GROUP = 4 << 20
+_SPLIT = 1 << 19
+_OUT = 1000
+_TOGETHER = 500
 _RANKED = 100_000
 _SPACES = r"\t-\r \x85\xa0\u1680\u2000-\u200a\u2028\u2029\u202f\u205f\u3000"
 #: White space and what follows up to the next: the tokenizer's units never reach from other characters into white space.
 _CHUNKS = re.compile(rf"[{_SPACES}]*[^{_SPACES}]+|[{_SPACES}]+")
-#: The tokenizer's own units, for texts without a character whose class another version of Unicode might see otherwise.
-_FOREIGN = re.compile(r"[^\x00-\u024f]")
+#: The classes of the tokenizer's own units, for texts without a character whose class another version of Unicode might see otherwise.
+_LAST = 0x24F
 _LETTERS = r"A-Za-z\xaa\xb5\xba\xc0-\xd6\xd8-\xf6\xf8-\u024f"
 _DIGITS, _BLANKS = r"0-9\xb2\xb3\xb9\xbc-\xbe", r"\t-\r \x85\xa0"
-_UNITS = re.compile(rf" ?[{_LETTERS}]+|'(?:s|t|re|ve|m|ll|d)| ?[{_DIGITS}]+| ?[^{_BLANKS}{_LETTERS}{_DIGITS}]+|[{_BLANKS}]+(?![^{_BLANKS}])|[{_BLANKS}]+")
-_WORD = re.compile(rf" [{_LETTERS}]+")
-#: How the vocabulary writes a byte: as the character of its number, or one from 256 on where that doesn't print. A space comes first in a word.
-_SHOWN = {b: chr(256 + k) for k, b in enumerate([*range(33), *range(127, 161), 173])}
-_FIRST = _SHOWN[32]
-_APART = _SHOWN | {32: " " + _FIRST}
+_BLANK = 2
+_CLASS = np.array([next((k for k, c in enumerate((_LETTERS, _DIGITS, _BLANKS)) if re.match(f"[{c}]", chr(i))), 3) for i in range(_LAST + 1)], dtype=np.uint8)
+#: How the vocabulary writes a byte: as the character of its number, or one from 256 on where that doesn't print.
+_SHOWN = np.arange(256, dtype="<u4")
+_SHOWN[[*range(33), *range(127, 161), 173]] = 256 + np.arange(68)
+
+
+def _bytes(column: pa.LargeStringArray | pa.LargeBinaryArray) -> tuple[np.ndarray, np.ndarray]:
+    """The bytes of all values, and where each starts in them, with the end. There may be no null."""
+    _, at, data = column.buffers()
+    if not len(column) or data is None:
+        return np.empty(0, np.uint8), np.zeros(len(column) + 1, np.int64)
+    at = np.frombuffer(at, np.int64)[column.offset : column.offset + len(column) + 1]
+    return np.frombuffer(data, np.uint8)[at[0] : at[-1]], at - at[0]
+
+
+def _column(kind: pa.DataType, data: np.ndarray, at: np.ndarray) -> pa.Array:
+    """What :func:`_bytes` takes apart."""
+    return pa.Array.from_buffers(kind, at.size - 1, [None, pa.py_buffer(at.astype(np.int64)), pa.py_buffer(data)])
+
+
+def _slices(column: pa.LargeStringArray) -> Iterator[pa.LargeStringArray]:
+    """The column in parts that start ``_SPLIT`` bytes apart, or a text where that is longer."""
+    at = _bytes(column)[1]
+    ends = np.unique(np.append(np.searchsorted(at, np.arange(_SPLIT, at[-1], _SPLIT)), len(column)))
+    return (column[a:b] for a, b in pairwise([0, *ends.tolist()]))
+
+
+def _foreign(column: pa.LargeStringArray) -> np.ndarray:
+    """Which texts hold a character beyond ``_LAST``."""
+    data, at = _bytes(column)
+    lead = np.flatnonzero(data >= 0xC9)
+    lead = lead[(data[lead] > 0xC9) | (data[lead + 1] > 0x8F)]
+    out = np.zeros(len(column), dtype=bool)
+    out[np.searchsorted(at, lead, side="right") - 1] = True
+    return out
+
+
+def _units(column: pa.LargeStringArray) -> tuple[pa.LargeStringArray, np.ndarray]:
+    """The tokenizer's own units of texts that aren't foreign, and how many each text has.
+
+    A run of letters, of digits or of others, with a space before it, is a unit; so is white space, less its last character where
+    something follows. An apostrophe alone, without a space before it, takes s, t, m, d, re, ve or ll along.
+    """
+    data, at = _bytes(column)
+    n = data.size
+    kind = np.take(_CLASS, data)
+    lead = np.flatnonzero(data > 0xC0)
+    kind[lead] = kind[lead + 1] = _CLASS[(data[lead].astype(np.int64) & 31) << 6 | data[lead + 1] & 63]
+    first = at[:-1][at[:-1] < at[1:]]
+    start = np.ones(n, dtype=bool)
+    np.not_equal(kind[1:], kind[:-1], out=start[1:])
+    after = start & (kind != _BLANK)
+    after[1:] &= kind[:-1] == _BLANK
+    after[first] = False
+    start[first] = True
+    after = np.flatnonzero(after)  # where something follows white space
+    start[after - 1 - (data[after - 1] >= 0x80)] = True
+    start[after[data[after - 1] == ord(" ")]] = False
+    ends = np.zeros(n + 3, dtype=bool)  # where a run or a text ends, for three bytes beyond the last too
+    ends[:n] = start
+    ends[n:] = True
+    quote = np.flatnonzero(data == ord("'"))
+    quote = quote[start[quote] & ends[quote + 1] & (quote + 1 < n)]
+    quote = quote[~np.isin(quote + 1, first)]
+    next_, second = data[quote + 1], data[np.minimum(quote + 2, n - 1)]
+    two = ~ends[quote + 2] & ((second == ord("e")) & ((next_ == ord("r")) | (next_ == ord("v"))) | (second == ord("l")) & (next_ == ord("l")))
+    one = np.isin(next_, np.frombuffer(b"stmd", np.uint8))
+    ends[quote[one | two] + 1] = False
+    ends[quote[one] + 2] = True
+    ends[quote[two] + 3] = True
+    starts = np.append(np.flatnonzero(ends[:n]), n)
+    return _column(pa.large_string(), data, starts), np.diff(np.searchsorted(starts, at))
+
+
+def _chunks(column: pa.LargeStringArray) -> tuple[pa.LargeStringArray, np.ndarray]:
+    """The chunks of any texts, as :func:`_units`."""
+    found = [_CHUNKS.findall(t) for t in column.to_pylist()]
+    return pa.array(chain.from_iterable(found), pa.large_string()), np.array([len(x) for x in found])
 
 
 class ByteTokenizer:
-    """Ids of whole texts, unit by unit, with a bounded memo; new words go to the library many at a time."""
+    """Ids of whole texts, unit by unit, with a bounded memo; new units go to the library many at a time.
+
+    Units are told apart, numbered and looked up by Arrow, with the memo's as the first numbers.
+    """
 
     def __init__(self, path: str):
         from tokenizers import Tokenizer, pre_tokenizers
@@ -54,43 +138,75 @@ class ByteTokenizer:
         self.library.encode_special_tokens = True
         self.bare = Tokenizer(self.library.model)  # for units written in the vocabulary's characters
         self.bare.pre_tokenizer = pre_tokenizers.WhitespaceSplit()
-        self.memo: dict[str, bytes] = {}
-        self.older: dict[str, bytes] = {}
         self.type = "<u2" if self.library.get_vocab_size() <= 1 << 16 else "<u4"
         vocabulary = self.library.get_vocab(with_added_tokens=True)
-        self.first = np.zeros(max(vocabulary.values()) + 1, dtype=bool)
-        self.first[[i for t, i in vocabulary.items() if t.startswith(_FIRST)]] = True
+        self.sizes = np.zeros(max(vocabulary.values()) + 1, dtype=np.int64)
+        self.sizes[list(vocabulary.values())] = list(map(len, vocabulary))
+        self.memo = pa.array([], pa.large_string())
+        self.known = pa.array([], pa.large_binary())
+        self.seen = np.zeros(0, dtype=np.int64)
 
-    def ids(self, texts: list[str]) -> list[bytes]:
+    def ids(self, texts: pa.Array | list[str]) -> list[bytes]:
         """For each text the ids one after the other, little-endian, ``type`` each."""
-        units = [(_CHUNKS if _FOREIGN.search(t) else _UNITS).findall(t) for t in texts]
-        new = set().union(*units).difference(self.memo)
-        if len(self.memo) + len(new) > MEMO:  # a full memo is set aside, and units still in use move over
-            self.older, self.memo = self.memo, {}
-            new = set().union(*units)
-        for u in new.intersection(self.older):
-            self.memo[u] = self.older[u]
-        self._learn(new.difference(self.older))
-        return [b"".join(map(self.memo.__getitem__, u)) for u in units]
-
-    def _learn(self, new: set[str]) -> None:
-        plain, beyond, odd = [], [], []
-        for u in new:
-            (odd if not _WORD.fullmatch(u) else plain if u.isascii() else beyond).append(u)
-        width = np.dtype(self.type).itemsize
-        for words in (plain, beyond):
-            for at in range(0, len(words), _TOGETHER):
-                part = words[at : at + _TOGETHER]
-                shown = "".join(part)
-                shown = shown.replace(" ", " " + _FIRST) if words is plain else shown.encode().decode("latin-1").translate(_APART)
-                ids = np.array(self.bare.encode_batch_fast([shown], add_special_tokens=False)[0].ids, dtype=self.type)
-                starts = (width * np.flatnonzero(self.first[ids])).tolist()  # a word's first id shows its space
-                data = ids.tobytes()
-                self.memo.update((w, data[a:b]) for w, a, b in zip(part, starts, [*starts[1:], len(data)], strict=True))
-        for at in range(0, len(odd), _TOGETHER):
-            part = odd[at : at + _TOGETHER]
-            for u, e in zip(part, self.library.encode_batch_fast(part, add_special_tokens=False), strict=True):
-                self.memo[u] = np.array(e.ids, dtype=self.type).tobytes()
+        column = texts.cast(pa.large_string()) if isinstance(texts, pa.Array) else pa.array(texts, pa.large_string())
+        column.validate(full=True)
+        foreign = _foreign(column)
+        out = [b""] * len(column)
+        for among, split, learn in ((~foreign, _units, self._learn_units), (foreign, _chunks, self._learn_chunks)):
+            rows = np.flatnonzero(among)
+            if rows.size:
+                units, counts = zip(*map(split, _slices(column.take(pa.array(rows)) if rows.size < len(column) else column)), strict=True)
+                data, starts = _bytes(self._look_up(units, learn))
+                starts = starts[np.append(0, np.cumsum(np.concatenate(counts)))].tolist()
+                for i, a, b in zip(rows.tolist(), starts, starts[1:], strict=False):
+                    out[i] = data[a:b].tobytes()
+        return out
+
+    def _look_up(self, units: tuple[pa.LargeStringArray, ...], learn: Callable[[pa.LargeStringArray], pa.LargeBinaryArray]) -> pa.LargeBinaryArray:
+        held = len(self.memo)
+        coded = pa.concat_arrays([self.memo, *units]).dictionary_encode()
+        memo, codes = coded.dictionary, coded.indices[held:]
+        if len(memo) > held:
+            self.known = pa.concat_arrays([self.known, learn(memo[held:])])
+        seen = np.bincount(codes.to_numpy(), minlength=len(memo))
+        seen[:held] += self.seen
+        self.memo, self.seen = memo, seen
+        found = self.known.take(codes)
+        if len(self.memo) > MEMO or self.memo.nbytes + self.known.nbytes > _MEMO_BYTES:
+            self._forget()
+        return found
+
+    def _forget(self) -> None:
+        """Leave what is seen least out of a full memo, down to a half at least."""
+        size = np.diff(_bytes(self.memo)[1]) + np.diff(_bytes(self.known)[1]) + 16
+        while (self.seen > 0).sum() > MEMO // 2 or size[self.seen > 0].sum() > _MEMO_BYTES // 2:
+            self.seen //= 2
+        kept = np.flatnonzero(self.seen)
+        self.memo, self.known, self.seen = self.memo.take(pa.array(kept)), self.known.take(pa.array(kept)), self.seen[kept]
+
+    def _learn_units(self, units: pa.LargeStringArray) -> pa.LargeBinaryArray:
+        """Ids of single units. The bytes that ids stand for tell where each unit ends."""
+        data, at = _bytes(units)
+        shown = np.full(data.size + len(units), ord(" "), dtype="<u4")
+        shown[np.arange(data.size) + np.repeat(np.arange(len(units)), np.diff(at))] = _SHOWN[data]
+        parts = [np.empty(0, dtype=self.type)]
+        for a in range(0, len(units), _TOGETHER):
+            b = min(a + _TOGETHER, len(units))
+            part = shown[at[a] + a : at[b] + b].tobytes().decode("utf-32-le")
+            parts.append(np.array(self.bare.encode_batch_fast([part], add_special_tokens=False)[0].ids, dtype=self.type))
+        ids = np.concatenate(parts)
+        reach = np.append(0, np.cumsum(self.sizes[ids]))
+        ends = np.searchsorted(reach, at)
+        if reach[-1] != at[-1] or not np.array_equal(reach[ends], at):
+            raise ValueError("not a vocabulary of bytes")
+        return _column(pa.large_binary(), ids, ids.itemsize * ends)
+
+    def _learn_chunks(self, chunks: pa.LargeStringArray) -> pa.LargeBinaryArray:
+        out = []
+        for a in range(0, len(chunks), 10 * _TOGETHER):
+            for e in self.library.encode_batch_fast(chunks[a : a + 10 * _TOGETHER].to_pylist(), add_special_tokens=False):
+                out.append(np.array(e.ids, dtype=self.type).tobytes())
+        return pa.array(out, pa.large_binary())
 
 
 _TOKENIZERS: dict[str, ByteTokenizer] = {}
@@ -109,6 +225,22 @@ def _crc(ids: bytes, kind: str) -> int:
     return zlib.crc32(np.frombuffer(ids, dtype=kind).astype("<u4"))
 
 
+def _groups(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Rows (row, text) by about ``_GROUP`` bytes of text; a single longer text is the last of its batch."""
+    held, size = [], 0
+    for batch in batches:
+        at = 0
+        for i, n in enumerate(pc.binary_length(batch.column(1)).to_pylist(), 1):
+            size += n
+            if size >= _GROUP:
+                yield from pa.Table.from_batches([*held, batch.slice(at, i - at)]).combine_chunks().to_batches()
+                held, size, at = [], 0, i
+        if at < batch.num_rows:
+            held.append(batch.slice(at))
+    if held:
+        yield from pa.Table.from_batches(held).combine_chunks().to_batches()
+
+
 def pieces(docs: DataFrame, path: str, text: str = "text", keep: tuple[str, ...] = ("doc_id",), capacity: int = CAPACITY) -> DataFrame:
     """Tokenize whole texts, append the end id, and cut what is longer than ``capacity`` into full pieces and a rest.
 
@@ -122,23 +254,17 @@ def pieces(docs: DataFrame, path: str, text: str = "text", keep: tuple[str, ...]
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         t = tokenizer(path)
         width, end = np.dtype(t.type).itemsize, np.array([END_ID], dtype=t.type).tobytes()
-        for batch in batches:
-            texts = batch.column(1).to_pylist()
-            at = size = 0
-            for i, x in enumerate(texts):  # so many texts at a time that their chunks stay few
-                size += len(x)
-                if size < 4_000_000 and i + 1 < len(texts):
-                    continue
-                which, found = [], []
-                for j, data in enumerate(t.ids(texts[at : i + 1]), at):
-                    data += end
-                    for s in range(0, len(data), width * capacity):
-                        part = data[s : s + width * capacity]
-                        which.append(j)
-                        found.append((s // width, len(part) // width, _crc(part, t.type), len(data) // width, part))
-                columns = [pa.array(c, pa.binary() if n == "ids" else pa.int64()) for n, c in zip(names, zip(*found, strict=True), strict=True)]
-                yield pa.RecordBatch.from_arrays([batch.column(0).take(pa.array(which, pa.int64())), *columns], ["row", *names])
-                at, size = i + 1, 0
+        for batch in _groups(batches):
+            which, found = [], []
+            for j, data in enumerate(t.ids(batch.column(1))):
+                data += end
+                for s in range(0, len(data), width * capacity):
+                    part = data[s : s + width * capacity]
+                    which.append(j)
+                    found.append((s // width, len(part) // width, _crc(part, t.type), len(data) // width, part))
+            for s in range(0, len(found), _OUT):
+                columns = [pa.array(c, pa.binary() if n == "ids" else pa.int64()) for n, c in zip(names, zip(*found[s : s + _OUT], strict=True), strict=True)]
+                yield pa.RecordBatch.from_arrays([batch.column(0).take(pa.array(which[s : s + _OUT], pa.int64())), *columns], ["row", *names])
 
     schema = T.StructType([rows.schema["row"], *(T.StructField(n, T.BinaryType() if n == "ids" else T.LongType()) for n in names)])
     return rows.mapInArrow(run, schema)

@@ -1,16 +1,21 @@
 """Operators 11 to 13 against brute force on small fixtures, and on the odd cases their docstrings define."""
 
 import collections
+import gc
 import hashlib
+import itertools
 import math
 import os
 import random
 import re
+import sys
+import time
 import zlib
 from decimal import Decimal
 
 import numpy as np
 import public_tokenizers
+import pyarrow as pa
 import pytest
 from hypothesis import given
 from hypothesis import settings as limits
@@ -140,6 +145,69 @@ def test_chunks_have_the_librarys_ids(library, monkeypatch):
         assert [list(np.frombuffer(x, dtype=t.type)) for x in t.ids(part)] == [library(x)[:-1] for x in part]
 
 
+#: The tokenizer's own expression, for characters up to U+024F.
+UNITS = re.compile(r" ?[^\W\d_\xb2\xb3\xb9\xbc-\xbe]+|'(?:s|t|re|ve|m|ll|d)| ?[\d\xb2\xb3\xb9\xbc-\xbe]+| ?(?:[^\w\t-\r \x85\xa0]|_)+|[\t-\r \x85\xa0]+(?![^\t-\r \x85\xa0])|[\t-\r \x85\xa0]+")
+
+
+def test_units_are_the_tokenizers():
+    r = random.Random(4)
+    signs = [*"abzAZ '\".,!?-_0129\n\n\t  \r", "\x1c", "\x85", "\xa0", "é", "ß", "ª", "²", "½", "×", "÷", "ÿ", "ɏ", "'s", "'re", "'ll", "'ve", "'l", "' ", " '", "\x00", "\x7f", "\xad"]
+    made = ["".join(r.choice(signs) for _ in range(r.randrange(30))) for _ in range(20_000)]
+    units, counts = windows._units(pa.array(made, pa.large_string()).slice(1))
+    units = units.to_pylist()
+    assert [units[a:b] for a, b in itertools.pairwise([0, *np.cumsum(counts).tolist()])] == [UNITS.findall(t) for t in made[1:]]
+
+
+def test_units_cost_less_than_an_object_each():
+    """Known text takes less time than to split it into Python strings and join what a dictionary has for them, and the memo holds no objects."""
+    r = random.Random(6)
+    words = ["".join(r.choice("etaoinshrdlu") for _ in range(r.randrange(1, 10))) for _ in range(30_000)]
+    made = [" ".join(r.choice(words) for _ in range(600)) for _ in range(600)]
+    t = windows.ByteTokenizer(PATH)
+    t.ids(made[:1])
+    gc.collect()
+    before = sys.getallocatedblocks()
+    want = [len(x) for x in t.ids(made)]
+    gc.collect()
+    assert sys.getallocatedblocks() - before < 10_000
+    parts = re.compile(" ?[a-z]+")
+    known = dict.fromkeys((u for x in made for u in parts.findall(x)), b"12")
+
+    def seconds(f):
+        times = []
+        for _ in range(3):
+            at = time.process_time()
+            f()
+            times.append(time.process_time() - at)
+        return min(times)
+
+    assert seconds(lambda: t.ids(made)) < 0.8 * seconds(lambda: [b"".join(map(known.__getitem__, parts.findall(x))) for x in made])
+    assert [len(x) for x in t.ids(made)] == want
+
+
+def test_a_full_memo_keeps_what_is_seen_most(library, monkeypatch):
+    monkeypatch.setattr(windows, "MEMO", 100)
+    t = windows.ByteTokenizer(PATH)
+    for at in range(30):
+        part = [" often and again" * 5 + "".join(f" new{chr(97 + k)}{chr(97 + at % 26)}{at}" for k in range(20))]
+        assert [list(np.frombuffer(x, dtype=t.type)) for x in t.ids(part)] == [library(x)[:-1] for x in part]
+        assert len(t.memo) == len(t.known) == len(t.seen) <= 100 and {" often", " and", " again"} <= set(t.memo.to_pylist())
+    monkeypatch.setattr(windows, "_MEMO_BYTES", 10_000)
+    assert list(np.frombuffer(t.ids(["x" * 20_000])[0], dtype=t.type)) == library("x" * 20_000)[:-1]
+    assert t.memo.nbytes + t.known.nbytes <= 10_000
+
+
+def test_groups_hold_every_row_once(monkeypatch):
+    monkeypatch.setattr(windows, "_GROUP", 50)
+    sizes = [[3, 0, 200, 1], [], [10] * 12, [49], [1], [0, 0], [7]]
+    rows = iter(range(100))
+    batches = [pa.RecordBatch.from_pydict({"row": pa.array([next(rows) for _ in s], pa.int64()), "text": pa.array(["x" * k for k in s], pa.string())}) for s in sizes]
+    groups = [g.column(1).to_pylist() for g in windows._groups(iter(batches))]
+    assert [len(t) for g in groups for t in g] == [k for s in sizes for k in s]
+    assert all(sum(map(len, g[:-1])) < 50 and g for g in groups) and len(groups) == 5
+    assert list(windows._groups(iter(batches[1:2]))) == []
+
+
 @limits(max_examples=150, deadline=None)
 @given(st.sampled_from([1, 2, 8, 30, 64, 1024]), st.dictionaries(st.integers(1, 1024), st.integers(0, 300), max_size=50))
 def test_plan_leaves_no_padding(capacity, counts):
