@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .lineage import cut
+from .lineage import cut, drop, table
 
 #: A token is hot that makes more than one in so many of all; there are as many at most, and each task holds them.
 HOT = 200_000
@@ -23,21 +23,38 @@ def nearest_lookup(facts: DataFrame, reference: DataFrame, key: str, fact_id: st
 
 
 def token_sets(docs: DataFrame, key: str, text: str, carry: str) -> DataFrame:
-    """Distinct token sets: class_id (the smallest key), tokens (sorted), size, copies, and ``carry`` of the class row."""
-    words = F.array_sort(F.array_distinct(F.regexp_extract_all(F.lower(text), F.lit(r"([\p{L}]+)"), F.lit(1))))
-    sets = docs.select(key, carry, words.alias("tokens")).where(F.size("tokens") > 0)
-    found = sets.groupBy("tokens").agg(F.min(F.struct(key, carry)).alias("r"), F.count("*").alias("copies"))
-    return found.select(F.col(f"r.{key}").alias("class_id"), "tokens", F.size("tokens").alias("size"), "copies", F.col(f"r.{carry}").alias(carry))
+    """Distinct token sets: class_id (the smallest key), tokens (sorted), size, copies, and ``carry`` of the class row.
+
+    The texts are read once, into a table of their tokens. Equal sets are found by SHA-256, so that no tokens are exchanged for it.
+    """
+    words = F.sort_array(F.array_distinct(F.regexp_extract_all(F.lower(text), F.lit(r"([\p{L}]+)"), F.lit(1))))
+    read = docs.select(key, carry, words.alias("tokens"))  # not filtered here, as a filter would find the words once more
+    read = table(read.select(key, carry, "tokens", F.size("tokens").alias("size"), F.unhex(F.sha2(F.array_join("tokens", " "), 256)).alias("_same"), F.monotonically_increasing_id().alias("_row")))
+    found = read.where("size > 0").groupBy("_same").agg(F.min(F.struct(key, carry, "size", "_row")).alias("r"), F.count("*").alias("copies"))
+    classes = table(found.select(F.col(f"r.{key}").alias("class_id"), "r.size", "copies", F.col(f"r.{carry}").alias(carry), "r._row"))
+    sets = classes.join(read.select("_row", "tokens"), "_row").select("class_id", "tokens", "size", "copies", carry)
+    sets._tallyglass_parts = (read, classes)  # type: ignore[attr-defined]
+    return sets
+
+
+def _parts(sets: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """Tokens by _row, of classes and maybe of their copies, and the classes with their _row: the tables of :func:`token_sets`, or else made here."""
+    known = getattr(sets, "_tallyglass_parts", None)
+    if known is None:
+        read = table(sets.withColumn("_row", F.monotonically_increasing_id()))
+        known = sets._tallyglass_parts = (read, read.drop("tokens"))  # type: ignore[attr-defined]
+    return known
 
 
 def ranked_sets(sets: DataFrame) -> tuple[DataFrame, int, int]:
     """Sets with their tokens as numbers: class_id, size, ranks (rising; rare tokens have small numbers) and bits (of which hashed tokens the set has an odd number).
 
-    Also the first number of a token that several sets have, and that of one that over BLOCK sets have.
+    Also the first number of a token that several sets have, and that of one that over BLOCK sets have (copies count as sets in both).
     """
-    tokens = sets.select("class_id", F.explode("tokens").alias("token"))
+    read, classes = _parts(sets)
+    tokens = read.select("_row", F.explode("tokens").alias("token"))
     often = tokens.groupBy("token").agg(F.count("*").alias("f"))
-    number = cut(often.orderBy("f", "token").select("token", "f", F.monotonically_increasing_id().alias("rank")))  # cut, as a number must stay what it is
+    number = table(often.orderBy("f", "token").select("token", "f", F.monotonically_increasing_id().alias("rank")))  # a table, as a number must stay what it is
     first = lambda c: F.min(F.when(c, F.col("rank")))
     total, shared, many = number.agg(F.sum("f"), first(F.col("f") > 1), first(F.col("f") > BLOCK)).first()
     least = (total or 0) // HOT
@@ -46,9 +63,11 @@ def ranked_sets(sets: DataFrame) -> tuple[DataFrame, int, int]:
     placed = known.where("rank is not null").drop("token").unionByName(known.where("rank is null").drop("rank").join(rest, "token").drop("token"))
     bit = F.pmod(F.xxhash64("rank"), F.lit(64 * LANES)).cast("int")
     lanes = [F.bit_xor(F.when(F.expr(f"_bit div 64 = {i}"), F.expr("shiftleft(1L, _bit % 64)")).otherwise(F.lit(0))) for i in range(LANES)]
-    whole = placed.withColumn("_bit", bit).groupBy("class_id").agg(F.sort_array(F.collect_list("rank")).alias("ranks"), F.array(*lanes).alias("bits"))
+    whole = placed.withColumn("_bit", bit).groupBy("_row").agg(F.sort_array(F.collect_list("rank")).alias("ranks"), F.array(*lanes).alias("bits"))
     last = 1 << 62
-    return cut(whole.select("class_id", F.size("ranks").alias("size"), "ranks", "bits")), last if shared is None else shared, last if many is None else many
+    out = table(whole.join(classes.select("_row", "class_id"), "_row").select("class_id", F.size("ranks").alias("size"), "ranks", "bits"))  # copies go; the numbers are dealt by _row already
+    drop(number)
+    return out, last if shared is None else shared, last if many is None else many
 
 
 def near_join(sets: DataFrame, carry: str, permille: int = 120) -> DataFrame:
@@ -57,9 +76,8 @@ def near_join(sets: DataFrame, carry: str, permille: int = 120) -> DataFrame:
     Two such sets share so many tokens that the rarest few of each have one in common: sets meet on those (prefix filtering),
     if from the token on both have enough left to share (the first common one shows that), and if their parity maps, which differ in no more bits than the
     sets in tokens, don't rule them out. A token that ends many prefixes is dealt in blocks that meet two by two. Only pairs that are left bring their numbers
-    together. Ratios are compared in whole numbers.
+    together. Ratios are compared in whole numbers. Steps are tables that go once nothing reads them.
     """
-    sets = cut(sets)  # read three times, and made from whole texts
     known, shared, hot = ranked_sets(sets)
     # overlap o >= (1 - r/2) * mean size, and the other set has at least (1 - r/2) / (1 + r/2) of this one's size
     share = (2000 - permille) / (2000 + permille)
@@ -74,16 +92,20 @@ def near_join(sets: DataFrame, carry: str, permille: int = 120) -> DataFrame:
     apart = sum((F.bit_count(F.col("x_bits")[i].bitwiseXOR(F.col("y_bits")[i])) for i in range(LANES)), F.lit(0))
     once = F.when(F.col("_i") == F.col("_j"), F.col("x") < F.col("y")).otherwise(F.col("x") != F.col("y"))
     met = a.join(b, ["rank", "_i", "_j"]).where(once & (4000 * left >= (2000 - permille) * total) & (2000 * apart <= permille * total))
-    pairs = cut(met.select(F.least("x", "y").alias("a"), F.greatest("x", "y").alias("b")).distinct())
+    pairs = table(met.select(F.least("x", "y").alias("a"), F.greatest("x", "y").alias("b")).distinct())
     named = pairs.select(F.col("a").alias("class_id")).union(pairs.select("b")).distinct()
-    some = cut(known.select("class_id", "ranks").join(named, "class_id", "left_semi"))  # other sets' numbers aren't exchanged for the pairs
+    some = table(known.select("class_id", "ranks").join(named, "class_id", "left_semi"))  # other sets' numbers aren't exchanged for the pairs
+    drop(known)
     held = lambda c: some.select(F.col("class_id").alias(c), F.col("ranks").alias(f"{c}_ranks"))
     total = F.size("a_ranks") + F.size("b_ranks")
     found = pairs.join(held("a"), "a").join(held("b"), "b").select("a", "b", (total - 2 * F.size(F.array_intersect("a_ranks", "b_ranks"))).alias("differing"), total.alias("total"))
-    near = cut(found.where(2000 * F.col("differing") <= permille * F.col("total")))
-    own = cut(sets.select("class_id", carry).join(near.select(F.col("a").alias("class_id")).union(near.select("b")).distinct(), "class_id", "left_semi"))
+    near = table(found.where(2000 * F.col("differing") <= permille * F.col("total")))
+    drop(pairs, some)
+    own = _parts(sets)[1].select("class_id", carry)
     label = lambda c: own.select(F.col("class_id").alias(c), F.col(carry).alias(f"{c}_{carry}"))
-    return cut(near.join(label("a"), "a").join(label("b"), "b").select("a", "b", f"a_{carry}", f"b_{carry}", "differing", "total"))  # read several times by what follows
+    out = table(near.join(label("a"), "a").join(label("b"), "b").select("a", "b", f"a_{carry}", f"b_{carry}", "differing", "total"))  # read several times by what follows
+    drop(near)
+    return out
 
 
 def both_ways(pairs: DataFrame, carry: str) -> DataFrame:
@@ -110,7 +132,7 @@ def nearest_with_margin(pairs: DataFrame, carry: str, margin_permille: int = 60)
 def without_rivals(sets: DataFrame, pairs: DataFrame, carry: str) -> DataFrame:
     """Classes with no differently labelled near class."""
     rivals = both_ways(pairs, carry).where(~F.col("label").eqNullSafe(F.col("other_label"))).select(F.col("id").alias("class_id"))
-    return sets.join(rivals, "class_id", "left_anti").select("class_id", "size", "copies")
+    return _parts(sets)[1].join(rivals, "class_id", "left_anti").select("class_id", "size", "copies")
 
 
 def coverage(keys: DataFrame, group: str, sets: DataFrame, set_name: str, key: str) -> DataFrame:

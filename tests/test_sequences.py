@@ -1,3 +1,4 @@
+import os
 import random
 
 from pyspark.sql import functions as F
@@ -117,6 +118,30 @@ def test_near_join_reads_no_text_twice(spark):
     assert "generate" not in pairs._jdf.queryExecution().optimizedPlan().toString().lower()
 
 
+def test_rivals_leave_few_bytes(spark, tmp_path):
+    from tallyglass.operators import lineage
+
+    r = random.Random(5)
+    letters = [chr(97 + i) + chr(97 + j) + chr(97 + k) for i in range(26) for j in range(26) for k in range(12)]
+    texts = [" ".join(r.choices(letters, k=300)) for _ in range(150)]
+    texts += [texts[i] + " more" for i in range(20)] + [texts[i] for i in range(20, 60)]
+    rows = [(i, x, "ab"[i % 7 == 0]) for i, x in enumerate(texts)] + [(900, "", "a"), (901, None, "a"), (59, texts[59], "ab"[59 % 7 == 0])]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, source string")
+    folder = lineage._folder(spark).removeprefix("file:")
+    size = lambda: sum(os.path.getsize(os.path.join(d, f)) for d, _, fs in os.walk(folder) for f in fs)
+    before = size()
+    sets = matching.token_sets(docs, "doc_id", "text", "source")
+    got = {tuple(x) for x in matching.without_rivals(sets, matching.near_join(sets, "source"), "source").collect()}
+    assert size() - before < sum(len(x[1] or "") for x in rows)  # 253 kB of text; with checkpoints of the steps 557 stayed
+    first = {}
+    for i, x, s in sorted(rows, key=lambda x: x[0]):
+        if x:
+            first.setdefault(frozenset(x.split()), []).append((i, s))
+    near = lambda a, b: 2000 * len(a ^ b) <= 120 * (len(a) + len(b))
+    assert got == {(v[0][0], len(k), len(v)) for k, v in first.items() if not any(v[0][1] != w[0][1] and near(k, j) for j, w in first.items())}
+    assert {tuple(x) for x in sets.select("class_id", "size", "copies").collect()} == {(v[0][0], len(k), len(v)) for k, v in first.items()}
+
+
 def test_simplify_bounds_its_batches(spark):
     from tallyglass.functions import text
 
